@@ -6,13 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assaylake.llm import bpe, mixing, tokenfile, warc
 from assaylake.llm.simhash import simhash_components
 
+#: The tokenizer file of the queries; a parameter of the operators.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer())
+
 
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer())
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
