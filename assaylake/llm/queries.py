@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaylake.llm import bpe, mixing, mtree, rabitq, tokenfile, toxicity, warc
+from assaylake.llm import bpe, lattice, mixing, mtree, rabitq, tokenfile, toxicity, warc
 from assaylake.llm.simhash import simhash_components
 
 #: The tokenizer file of the queries; a parameter of the operators.
 TOKENIZER = "byte_bpe_50k.json"
+#: The piece vocabulary of the lattice.
+PIECES = "piece_bpe_32k.model"
 
 
-def _tokenizer() -> str:
+def _tokenizer(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +38,10 @@ def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.lattice_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer(PIECES))
+
+
 def op7_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
