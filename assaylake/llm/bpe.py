@@ -16,6 +16,7 @@ import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,6 +28,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Fixed value: what \s of that pattern matches (Unicode White_Space).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SEGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+BLANK = re.compile(f"[{SPACE}]").match
+#: White space before a space: no certain cut there.
+UNSURE_ASCII = [c + " " for c in "\t\n\x0b\x0c\r "]
+UNSURE = [c + " " for c in map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
 #: Segments a worker keeps, twice over at most.
 KEPT = 250_000
 
@@ -64,7 +69,10 @@ class Encoder:
         front = described["pre_tokenizer"]
         if described.get("normalizer") or front.get("type") != "ByteLevel" or front.get("add_prefix_space") or described["model"]["type"] != "BPE":
             raise ValueError("only plain byte-level BPE files are read")
-        self.model = Tokenizer.from_str(spec).model
+        self.library = Tokenizer.from_str(spec)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.model = self.library.model
         letters = byte_letters()
         self.letters = dict(enumerate(letters))
         self.byte_of = {c: b for b, c in enumerate(letters)}
@@ -75,7 +83,9 @@ class Encoder:
         self.pattern = regex.compile(PATTERN)
         self.bytes_of = {i: self._bytes(t) for t, i in [*vocabulary.items(), *self.added.items()]}
         self.decimal = Kept(lambda s: ",".join(map(str, self.segment_ids(s))))
-        self.binary = Kept(lambda s: b"".join(i.to_bytes(4, "little") for i in self.segment_ids(s)))
+        self.binary: dict[str, bytes] = {}
+        self.width = np.zeros(max(self.bytes_of) + 1, np.int64)
+        self.width[list(self.bytes_of)] = [len(b) for b in self.bytes_of.values()]
         self.bytes_of_decimal = {str(i): b for i, b in self.bytes_of.items()}
 
     def _bytes(self, token: str) -> bytes:
@@ -106,9 +116,43 @@ class Encoder:
     def ids(self, text: str | None) -> list[int]:
         return [i for s in self.segments(text) for i in self.segment_ids(s)]
 
-    def id_bytes(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.binary.__getitem__, self.segments(text)))
+    def spaced(self, text: str) -> list[str] | None:
+        """text cut at its spaces, or None where some cut is not certain (white space or an added token before a space)."""
+        if "\0" in text or any(s in text for s in (UNSURE_ASCII if text.isascii() else UNSURE)) or any(a in text for a in self.added):
+            return None
+        return text.split(" ")
+
+    def id_bytes(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers, by the library itself.
+
+        A part keeps the space before it. Parts not met before go to the library together: where one ends with no white
+        space the cut before the next one's space is certain, and the ids are dealt back by their bytes.
+        """
+        if len(self.binary) > 2 * KEPT:
+            self.binary = {}
+        known, new, cut = self.binary, set(), []
+        for text in texts:
+            parts = self.spaced(text or "")  # "\0" marks a part that has no space before it
+            cut.append(["\0" + s for s in self.segments(text)] if parts is None else ["\0" + parts[0], *parts[1:]])
+            new.update(p for p in cut[-1] if p not in known)
+        self._learn(new)
+        return [b"".join(map(known.__getitem__, c)) for c in cut]
+
+    def _learn(self, parts: set[str], most: int = 2_000) -> None:
+        def ids(texts: list[str]) -> list[np.ndarray]:
+            return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+        apart = [p for p in parts if p[:1] == "\0" or not p or BLANK(p[-1])]
+        for start in range(0, len(apart), most):
+            some = apart[start : start + most]
+            self.binary.update((p, i.tobytes()) for p, i in zip(some, ids([p[1:] if p[:1] == "\0" else " " + p for p in some]), strict=True))
+        joined = list(parts.difference(apart))
+        for start in range(0, len(joined), most):
+            some = joined[start : start + most]
+            found = ids([" " + " ".join(some)])[0]
+            ends = np.searchsorted(np.cumsum(self.width[found]), np.cumsum([len(p.encode()) + 1 for p in some])) + 1
+            raw = found.tobytes()
+            self.binary.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, and special tokens are kept."""

@@ -40,7 +40,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 2,
     enc = encoder(spec)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = sampled(rows.where("text <> ''"), F.xxhash64("doc_id", F.lit(8)), F.col("text"), SAMPLE, SAMPLE_BYTES)
-    dictionary = trained([enc.id_bytes(t.decode("utf-8", "replace")) for t in texts])
+    dictionary = trained(enc.id_bytes([t.decode("utf-8", "replace") for t in texts]))
     sent = context.broadcast((spec, dictionary))
     end = struct.pack("<I", end_id)
 
@@ -52,8 +52,8 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 2,
         for batch in batches:
             out = [head] if first else []
             first = False
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.id_bytes(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.id_bytes(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 out.append(frame := squeeze.compress(ids))
                 index.append((NULL_ID if doc_id is None else doc_id, start, len(ids) // 4, at, len(frame)))
                 start += len(ids) // 4
