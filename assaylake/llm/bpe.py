@@ -34,6 +34,8 @@ UNSURE_ASCII = [c + " " for c in "\t\n\x0b\x0c\r "]
 UNSURE = [c + " " for c in map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
 #: Segments a worker keeps, twice over at most.
 KEPT = 250_000
+#: Parts a worker keeps with their ids in bytes, some 200 bytes each.
+KEPT_BINARY = 1_200_000
 
 
 def byte_letters() -> list[str]:
@@ -128,7 +130,7 @@ class Encoder:
         A part keeps the space before it. Parts not met before go to the library together: where one ends with no white
         space the cut before the next one's space is certain, and the ids are dealt back by their bytes.
         """
-        if len(self.binary) > 2 * KEPT:
+        if len(self.binary) > KEPT_BINARY:
             self.binary = {}
         known, new, cut = self.binary, set(), []
         for text in texts:
