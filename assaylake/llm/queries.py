@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaylake.llm import bpe, lattice, mixing, mtree, rabitq, tokenfile, toxicity, warc
+from assaylake.llm import bpe, lattice, mixing, mtree, rabitq, tokenfile, toolcalls, toxicity, warc
 from assaylake.llm.simhash import simhash_components
 
 #: The tokenizer file of the queries; a parameter of the operators.
@@ -25,6 +25,10 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer())
 
 
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.linked_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op3_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return mtree.top_k(rows, rows.where("vec_id % 50 = 0"))
@@ -63,6 +67,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 SQL = {
+    "op2_tool_calls": """
+        WITH calls AS (
+            SELECT conv_id, 'call_' || conv_id || '_' || turn AS call_id, turn, text, if(role = 'system', 'configure', 'ask') AS name,
+                   role = 'user' AND turn > 0 AND conv_id IN (SELECT conv_id FROM conversations WHERE role = 'system' AND turn = 0) AS led,
+                   row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS nth
+            FROM conversations WHERE role IN ('system', 'user')
+        ), results AS (
+            SELECT conv_id, 'call_' || conv_id || '_' || (turn - 1) AS call_id, turn, text AS content, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS nth
+            FROM conversations WHERE role = 'assistant'
+        ), met AS (
+            SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.turn) AS turn, name, c.text, content,
+                   CASE WHEN c.conv_id IS NULL THEN 'orphan' WHEN r.conv_id IS NULL THEN 'open' ELSE 'linked' END AS status,
+                   CASE WHEN c.conv_id IS NOT NULL THEN if(led, 2, 0) END AS level,
+                   CASE WHEN c.conv_id IS NOT NULL THEN if(name = 'configure', length(c.text) >= 20, length(c.text) BETWEEN 1 AND 300) END AS valid
+            FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id AND c.nth = r.nth
+        ), told AS (
+            SELECT *, '{"arguments":' || if(status = 'orphan', 'null', '{"text":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '}')
+                   || ',"call_id":"' || call_id || '","content":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || ',"name":' || coalesce('"' || name || '"', 'null')
+                   || ',"status":"' || status || '","valid":' || coalesce(CAST(valid AS VARCHAR), 'null') || '}' AS json
+            FROM met
+        )
+        SELECT conv_id, call_id, name, status, valid, level, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(level, 1073741824), turn, status, json) AS position, json FROM told
+    """,
     "op3_mtree_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
