@@ -21,7 +21,7 @@ from assaylake.llm.shared import blocks_for, written
 from assaylake.llm.vectors import matrix, packed, sound
 
 #: Rows in a shard, queries in a block, entries of an inner page and of a leaf, largest component.
-SHARD, QUERIES, PAGE, LEAF, LARGEST = 8192, 4096, 16, 256, float(1 << 15)
+SHARD, QUERIES, PAGE, LEAF, LARGEST = 8192, 4096, 16, 512, float(1 << 15)
 
 
 class MTree:
@@ -38,6 +38,7 @@ class MTree:
         everything = np.arange(len(ids))
         self.root_row = 0
         self.root, self.root_radius = self._grow(everything, 0, self.distance(0, everything))
+        self._lay_out()
 
     def distance(self, row: int, rows: np.ndarray) -> np.ndarray:
         """Metric distances between rows of the tree."""
@@ -68,6 +69,15 @@ class MTree:
         self.pages[number] = (routing, False, np.array(entries), np.array(parent), np.array(radii), children)
         return number, float(away.max())
 
+    def _lay_out(self) -> None:
+        """Puts the rows of each leaf side by side, so that a leaf is one slice of the rows."""
+        order = np.concatenate([p[2] for p in self.pages if p[1]])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.ids, self.rows, self.norm2, self.lift = self.ids[order], self.rows[order], self.norm2[order], self.lift[order]
+        self.root_row = int(place[self.root_row])
+        self.pages = [(place[routing], leaf, place[entries], *rest) for routing, leaf, entries, *rest in self.pages]
+
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[list[tuple[int, int]], int]:
         """([(score, id)] of the k best rows but those whose id is own, best first; inner products computed)."""
         base = float(query @ query) + self.top2
@@ -85,8 +95,11 @@ class MTree:
             if not len(open_):
                 continue
             rows = entries[open_]
-            inner = self.rows[rows] @ query
+            whole = is_leaf and len(open_) == len(entries)
+            inner = (self.rows[entries[0] : entries[0] + len(entries)] if whole else self.rows[rows]) @ query
             computed += len(rows)
+            if is_leaf and len(best) == k and inner.max() < best[0][0]:
+                continue
             if not is_leaf:
                 to = np.sqrt(np.maximum(base - 2 * inner, 0.0))
                 low = np.maximum(to - radii[open_], 0.0)
