@@ -52,11 +52,12 @@ class MTree:
         if len(rows) <= self.leaf:
             self.pages[number] = (routing, True, rows, away, np.zeros(len(rows)), None)
             return number, float(away.max())
-        routes = self.rng.choice(rows, self.page, replace=False)
+        width = min(self.page, -(-len(rows) // self.leaf))  # no more entries than leaves are needed
+        routes = self.rng.choice(rows, width, replace=False)
         to = np.stack([self.distance(r, rows) for r in routes])
         nearest = to.argmin(0)
-        if np.bincount(nearest, minlength=self.page).max() > 0.9 * len(rows):  # many equal rows: deal them out evenly
-            nearest = np.arange(len(rows)) * self.page // len(rows)
+        if np.bincount(nearest, minlength=width).max() > 0.9 * len(rows):  # many equal rows: deal them out evenly
+            nearest = np.arange(len(rows)) * width // len(rows)
         entries, parent, radii, children = [], [], [], []
         for k, route in enumerate(routes):
             below = np.flatnonzero(nearest == k)
