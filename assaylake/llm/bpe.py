@@ -14,6 +14,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import filterfalse
 from pathlib import Path
 
 import numpy as np
@@ -124,19 +125,21 @@ class Encoder:
             return None
         return text.split(" ")
 
-    def id_bytes(self, texts: list[str | None]) -> list[bytes]:
+    def id_bytes(self, texts: list[str | None], most: int = 400) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers, by the library itself.
 
         A part keeps the space before it. Parts not met before go to the library together: where one ends with no white
         space the cut before the next one's space is certain, and the ids are dealt back by their bytes.
         """
+        if len(texts) > most:  # the parts of a few hundred texts at a time
+            return [b for i in range(0, len(texts), most) for b in self.id_bytes(texts[i : i + most])]
         if len(self.binary) > KEPT_BINARY:
             self.binary = {}
         known, new, cut = self.binary, set(), []
         for text in texts:
             parts = self.spaced(text or "")  # "\0" marks a part that has no space before it
             cut.append(["\0" + s for s in self.segments(text)] if parts is None else ["\0" + parts[0], *parts[1:]])
-            new.update(p for p in cut[-1] if p not in known)
+            new.update(filterfalse(known.__contains__, cut[-1]))
         self._learn(new)
         return [b"".join(map(known.__getitem__, c)) for c in cut]
 

@@ -2,35 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assaylake.sources.scratch import cut, new_folder, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where it is unset (tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage by a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, read back by column, safe from lost executors."""
-    df.write.parquet(path := new_folder(df.sparkSession, name))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["blocks_for", "cut", "new_folder", "row_key", "shared_dir", "written"]
 
 
 def row_key(id_col: Column, text_col: Column) -> Column:
