@@ -36,7 +36,7 @@ UNSURE = [c + " " for c in map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *ran
 #: Segments a worker keeps, twice over at most.
 KEPT = 250_000
 #: Parts a worker keeps with their ids in bytes, some 200 bytes each.
-KEPT_BINARY = 1_200_000
+KEPT_BINARY = 1_600_000
 
 
 def byte_letters() -> list[str]:
