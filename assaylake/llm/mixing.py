@@ -140,16 +140,16 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
     repeated rows are rows of their own. No rows give no rows. Other columns, whatever their names, are not read.
     rule: weights, share, most as in targets(). The same rows give the same mix, whatever their order or partitions.
     """
-    placed, taken = _plan(docs, block, shard, seed, **rule)
+    placed, taken = _plan(docs, block, shard, seed, **rule)  # merge joins below: Spark's size of an exploded table is that before it
     times = taken.groupBy("sid", "number").agg(F.count("*").alias("times"))
-    words = pieces(placed, block).join(times, ["sid", "number"]).groupBy("key", "rep").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    words = pieces(placed, block).hint("merge").join(times.hint("merge"), ["sid", "number"]).groupBy("key", "rep").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     return placed.join(words, ["key", "rep"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_blocks(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, **rule) -> DataFrame:
     """The mix itself: (shard, sid, k, number, key, rep, skip, words), one row for each part of a document in each slot."""
     placed, taken = _plan(docs, block, shard, seed, **rule)
-    return taken.join(pieces(placed, block), ["sid", "number"]).select("shard", "sid", "k", "number", "key", "rep", "skip", "words")
+    return taken.hint("merge").join(pieces(placed, block).hint("merge"), ["sid", "number"]).select("shard", "sid", "k", "number", "key", "rep", "skip", "words")
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, **rule) -> DataFrame:
@@ -159,7 +159,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, see
     one not taken goes. n_chars, where docs has it, is counted anew.
     """
     placed, taken = _plan(docs, block, shard, seed, **rule)
-    parts = taken.join(pieces(placed, block), ["sid", "number"]).groupBy("key", "rep", "turn").agg(F.sum("words").alias("__words"), F.array_sort(F.collect_list(F.struct("skip", "words"))).alias("__parts"))
+    parts = taken.hint("merge").join(pieces(placed, block).hint("merge"), ["sid", "number"]).groupBy("key", "rep", "turn").agg(F.sum("words").alias("__words"), F.array_sort(F.collect_list(F.struct("skip", "words"))).alias("__parts"))
     parts = parts.join(placed.select("key", "rep", "size"), ["key", "rep"]).select(F.col("key").alias("__key"), F.col("rep").alias("__rep"), "__words", F.when(F.col("__words") < F.col("size"), F.col("__parts")).alias("__parts"))
     named = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
     same = Window.partitionBy("__key").orderBy(F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)), "source")

@@ -167,7 +167,7 @@ def links_of(classes: DataFrame, radius: int = 4, part: int = PART) -> DataFrame
     sizes = routed.groupBy("shard").count().where("count > 1").select("shard", F.ceil(F.col("count") / part).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("fp"), "parts").cast("int")
     met = (
-        routed.join(sizes, "shard")
+        routed.hint("merge").join(sizes.hint("merge"), "shard")  # Spark's size of routed is that before the explode
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("shard", F.least("own", "other").cast("long").alias("left"), F.greatest("own", "other").cast("long").alias("right"), "fp")
