@@ -89,6 +89,7 @@ def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int
     block's number in the source and turn how often the source has been gone through before.
     """
     wanted = sources.where("source_size > 0").select("sid", F.ceil(F.col("source_size") / block).alias("blocks"), F.round(F.col("target") / block).cast("long").alias("slots")).where("slots > 0")
+    wide = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows grow to many here: a fixed number is not coalesced
     whole = Window.partitionBy()
     before = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
     ranged = wanted.withColumns({"low": F.coalesce(F.sum("slots").over(before), F.lit(0)), "all": F.sum("slots").over(whole)})
@@ -97,12 +98,12 @@ def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int
     shares = ranged.select("sid", "low", (F.col("low") + F.col("slots")).alias("high"), bins.alias("bin"))
     lots = ranged.groupBy("all").count().select("all", F.explode(F.sequence(F.lit(0), F.floor((F.col("all") - 1) / shard))).alias("shard"))
     drawn = (
-        lots.repartition("shard")
+        lots.repartition(wide, "shard")
         .select("shard", "all", F.explode(F.sequence(F.col("shard") * shard, F.least((F.col("shard") + 1) * shard, F.col("all")) - 1)).alias("slot"))
         .select("shard", F.pmod(F.xxhash64(F.lit(seed), "slot"), "all").alias("lot"), "all")
         .withColumn("bin", F.floor(F.col("lot") * 1024 / F.col("all")))
     )
-    counts = drawn.join(shares, "bin").where("lot >= low and lot < high").groupBy("shard", "sid").agg(F.count("*").alias("n"))
+    counts = drawn.hint("merge").join(shares.hint("merge"), "bin").where("lot >= low and lot < high").groupBy("shard", "sid").agg(F.count("*").alias("n"))
     # What a source draws above its slots is free for those that drew too few.
     running = Window.partitionBy("sid").orderBy("shard")
     kept = counts.join(wanted.select("sid", "slots"), "sid").withColumn("first", F.sum("n").over(running) - F.col("n")).withColumn("kept", F.greatest(F.lit(0), F.least(F.col("n"), F.col("slots") - F.col("first"))))
@@ -113,7 +114,7 @@ def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int
     free = kept.where("n > kept").groupBy("shard").agg(F.sum(F.col("n") - F.col("kept")).alias("free"))
     free = free.withColumn("low", F.sum("free").over(Window.orderBy("shard")) - F.col("free")).select("shard", F.explode(F.sequence(F.col("low"), F.col("low") + F.col("free") - 1)).alias("x"))
     dealt = free.join(lacking, "x").select("shard", "sid", (F.col("had") + F.col("x") - F.col("low")).alias("k"))
-    own = kept.where("kept > 0").select("shard", "sid", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("kept") - 1)).alias("k"))
+    own = kept.where("kept > 0").repartition(wide, "shard").select("shard", "sid", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("kept") - 1)).alias("k"))
     numbered = own.unionByName(dealt).join(wanted.select("sid", "blocks"), "sid").withColumns({"turn": F.floor(F.col("k") / F.col("blocks")), "index": F.col("k") % F.col("blocks")})
     return numbered.select("shard", "sid", "k", "turn", permuted(F.col("index"), F.col("blocks"), F.lit(seed), F.col("sid"), F.col("turn")).alias("number"))
 
@@ -164,9 +165,10 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, see
     named = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
     same = Window.partitionBy("__key").orderBy(F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)), "source")
     named = named.withColumn("__rep", F.row_number().over(same))
+    # The words are bound once for each text: inside the lambda over parts Spark would find them anew for each part.
     spelled = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    cut_text = F.array_join(F.transform("__parts", lambda p: F.array_join(F.slice("__spelled", (p["skip"] + 1).cast("int"), p["words"].cast("int")), "")), "")
-    joined = named.join(parts, ["__key", "__rep"]).withColumn("__spelled", F.when(F.col("__parts").isNotNull(), spelled))
+    cut_text = F.transform(F.array(spelled), lambda s: F.array_join(F.transform("__parts", lambda p: F.array_join(F.slice(s, (p["skip"] + 1).cast("int"), p["words"].cast("int")), "")), ""))[0]
+    joined = named.join(parts, ["__key", "__rep"])
     out = joined.withColumn("text", F.when(F.col("__parts").isNull(), F.col("text")).otherwise(cut_text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
