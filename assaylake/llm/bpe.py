@@ -33,6 +33,7 @@ BLANK = re.compile(f"[{SPACE}]").match
 #: White space before a space: no certain cut there.
 UNSURE_ASCII = [c + " " for c in "\t\n\x0b\x0c\r "]
 UNSURE = [c + " " for c in map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
+STOPS = ".,"
 #: Segments a worker keeps, twice over at most.
 KEPT = 250_000
 #: Parts a worker keeps with their ids in bytes, some 200 bytes each.
@@ -147,6 +148,9 @@ class Encoder:
         def ids(texts: list[str]) -> list[np.ndarray]:
             return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+        # A stop or comma after a letter is a piece of its own, so the part is its word and the sign.
+        ended = [p for p in parts if len(p) > 1 and p[-1] in STOPS and p[-2].isalpha() and p[0] != "\0"]
+        parts = parts.difference(ended).union(w for p in ended if (w := p[:-1]) not in self.binary)
         apart = [p for p in parts if p[:1] == "\0" or not p or BLANK(p[-1])]
         for start in range(0, len(apart), most):
             some = apart[start : start + most]
@@ -158,6 +162,9 @@ class Encoder:
             ends = np.searchsorted(np.cumsum(self.width[found]), np.cumsum([len(p.encode()) + 1 for p in some])) + 1
             raw = found.tobytes()
             self.binary.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+        if ended:
+            sign = {s: ids([s])[0].tobytes() for s in STOPS}
+            self.binary.update([(p, self.binary[p[:-1]] + sign[p[-1]]) for p in ended])
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, and special tokens are kept."""
