@@ -60,13 +60,13 @@ def block_entropy(df: DataFrame, size: int = 256, skip_uniform: bool = True, key
 def weighted_entropy(sections: DataFrame) -> DataFrame:
     """(hash, entropy): mean of section entropies weighted by size, without zero and null ones."""
     used = sections.where((F.col("entropy") > 0) & (F.col("raw_size") > 0))
-    return used.groupBy("hash").agg(F.round(F.sum(F.col("entropy") * F.col("raw_size")) / F.sum("raw_size"), 6).alias("entropy"))
+    return used.groupBy("hash").agg((F.sum(F.col("entropy") * F.col("raw_size")) / F.sum("raw_size")).alias("entropy"))
 
 
 def topk_part_entropy(df: DataFrame, size: int, k: int, key: str = "doc_id") -> DataFrame:
     """(key, entropy): mean over parts of `size` bytes, those above 0, of the entropy of their k most frequent bytes."""
     counts = grams(df, key=key).groupBy(key, F.floor(F.col("pos") / size).alias("part"), "gram").agg(F.count("*").alias("n"))
-    return entropy_of(counts, [key, "part"], k).where("entropy > 0").groupBy(key).agg(F.round(F.avg("entropy"), 6).alias("entropy"))
+    return entropy_of(counts, [key, "part"], k).where("entropy > 0").groupBy(key).agg(F.avg("entropy").alias("entropy"))
 
 
 def joint_entropy(df: DataFrame, group: str, key: str = "doc_id") -> DataFrame:

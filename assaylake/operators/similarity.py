@@ -11,16 +11,20 @@ from assaylake.sources.scratch import cut
 WORDS, ROWS, BAND = 5, 64, 4
 
 
+def bound(value: Column, make) -> Column:
+    """make(value), value computed once: inside a lambda Spark would compute it anew for each element."""
+    return F.transform(F.array(value), make)[0]
+
+
 def shingles(text: Column, words: int = WORDS) -> Column:
     """Distinct runs of `words` words of the lower-cased text; a shorter text is one shingle."""
     parts = F.split(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), " ")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - (words - 1))), lambda i: F.array_join(F.slice(parts, i, words), " "))
-    return F.array_distinct(runs)
+    return bound(parts, lambda p: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(p) - (words - 1))), lambda i: F.array_join(F.slice(p, i, words), " "))))
 
 
 def signature(items: Column, rows: int = ROWS) -> Column:
     """MinHash signature: for each row the smallest seeded hash of the items."""
-    return F.array(*(F.array_min(F.transform(items, lambda s: F.xxhash64(s, F.lit(r)))) for r in range(rows)))
+    return bound(items, lambda s: F.array(*(F.array_min(F.transform(s, lambda x: F.xxhash64(x, F.lit(r)))) for r in range(rows))))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -38,14 +38,14 @@ def block_entropy(spark, d):
     return content.block_entropy(blobs(spark, d))
 
 
-@register(sql("SELECT hash, round(sum(entropy * raw_size) / sum(raw_size), 4) AS entropy FROM sections WHERE entropy > 0 AND raw_size > 0 GROUP BY 1", "sections"))
+@register(sql("SELECT hash, round(sum(entropy * raw_size) / sum(raw_size) + 1e-9, 6) AS entropy FROM sections WHERE entropy > 0 AND raw_size > 0 GROUP BY 1", "sections"))
 def weighted_section_entropy(spark, d):
-    return content.weighted_entropy(sections(spark, d)).withColumn("entropy", F.round("entropy", 4))
+    return content.weighted_entropy(sections(spark, d)).withColumn("entropy", F.round(F.col("entropy") + 1e-9, 6))
 
 
-@register(sql(f"WITH {_grams(1)}, c AS (SELECT doc_id, pos // 512 AS part, gram, count(*) AS n FROM g GROUP BY 1, 2, 3), r AS (SELECT *, sum(n) OVER w AS a, row_number() OVER (PARTITION BY doc_id, part ORDER BY n DESC, gram) AS k FROM c WINDOW w AS (PARTITION BY doc_id, part)), e AS (SELECT doc_id, part, round(sum(-(n / a) * log2(n / a)), 6) AS e FROM r WHERE k <= 16 GROUP BY 1, 2) SELECT doc_id, round(avg(e), 4) AS entropy FROM e WHERE e > 0 GROUP BY 1", "blobs"))
+@register(sql(f"WITH {_grams(1)}, c AS (SELECT doc_id, pos // 512 AS part, gram, count(*) AS n FROM g GROUP BY 1, 2, 3), r AS (SELECT *, sum(n) OVER w AS a, row_number() OVER (PARTITION BY doc_id, part ORDER BY n DESC, gram) AS k FROM c WINDOW w AS (PARTITION BY doc_id, part)), e AS (SELECT doc_id, part, round(sum(-(n / a) * log2(n / a)), 6) AS e FROM r WHERE k <= 16 GROUP BY 1, 2) SELECT doc_id, round(avg(e) + 1e-9, 5) AS entropy FROM e WHERE e > 0 GROUP BY 1", "blobs"))
 def topk_section_entropy(spark, d):
-    return content.topk_part_entropy(blobs(spark, d), 512, 16).withColumn("entropy", F.round("entropy", 4))
+    return content.topk_part_entropy(blobs(spark, d), 512, 16).withColumn("entropy", F.round(F.col("entropy") + 1e-9, 5))
 
 
 @register("""

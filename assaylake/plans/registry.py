@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of this package that register queries.
-MODULES: tuple[str, ...] = ("tables", "quality", "content")
+MODULES: tuple[str, ...] = ("tables", "quality", "content", "learning")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
