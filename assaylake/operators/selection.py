@@ -99,7 +99,7 @@ def filter_pipeline(df: DataFrame, columns: list[str], label: str, threshold: fl
 def compared(df: DataFrame, columns: list[str], label: str, dataset: str, reference: str, groups: dict[str, str]) -> DataFrame:
     """(dataset, grp, mi, diff): mutual information by dataset, features grouped by the first regex that fits, and its distance from the reference dataset."""
     mi = mutual_information(df, columns, label, by=dataset)
-    named = F.coalesce(*(F.when(F.col("feature").rlike(p), g) for g, p in groups.items()), F.col("feature"))
+    named = F.coalesce(*(F.when(F.col("feature").rlike(p), g) for p, g in groups.items()), F.col("feature"))
     grouped = mi.groupBy(F.col(dataset).alias("dataset"), named.alias("grp")).agg(F.avg("mi").alias("mi"))
     ref = grouped.where(F.col("dataset") == reference).select("grp", F.col("mi").alias("ref"))
     return grouped.join(ref, "grp").select("dataset", "grp", F.round("mi", 6).alias("mi"), F.round(F.abs(F.col("mi") - F.col("ref")), 6).alias("diff"))
