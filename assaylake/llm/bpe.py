@@ -14,7 +14,6 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
-from itertools import filterfalse
 from pathlib import Path
 
 import numpy as np
@@ -136,13 +135,19 @@ class Encoder:
             return [b for i in range(0, len(texts), most) for b in self.id_bytes(texts[i : i + most])]
         if len(self.binary) > KEPT_BINARY:
             self.binary = {}
-        known, new, cut = self.binary, set(), []
+        known, new, found = self.binary, set(), []
         for text in texts:
             parts = self.spaced(text or "")  # "\0" marks a part that has no space before it
-            cut.append(["\0" + s for s in self.segments(text)] if parts is None else ["\0" + parts[0], *parts[1:]])
-            new.update(filterfalse(known.__contains__, cut[-1]))
+            parts = ["\0" + s for s in self.segments(text)] if parts is None else ["\0" + parts[0], *parts[1:]]
+            values = list(map(known.get, parts))  # one look-up for each part; only those not met before take another
+            gaps = [(i, parts[i]) for i, v in enumerate(values) if v is None] if None in values else []
+            new.update(p for _, p in gaps)
+            found.append((values, gaps))
         self._learn(new)
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+        for values, gaps in found:
+            for i, p in gaps:
+                values[i] = known[p]
+        return [b"".join(values) for values, _ in found]
 
     def _learn(self, parts: set[str], most: int = 2_000) -> None:
         def ids(texts: list[str]) -> list[np.ndarray]:
