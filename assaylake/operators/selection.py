@@ -102,7 +102,7 @@ def compared(df: DataFrame, columns: list[str], label: str, dataset: str, refere
     named = F.coalesce(*(F.when(F.col("feature").rlike(p), g) for p, g in groups.items()), F.col("feature"))
     grouped = mi.groupBy(F.col(dataset).alias("dataset"), named.alias("grp")).agg(F.avg("mi").alias("mi"))
     ref = grouped.where(F.col("dataset") == reference).select("grp", F.col("mi").alias("ref"))
-    return grouped.join(ref, "grp").select("dataset", "grp", F.round("mi", 6).alias("mi"), F.round(F.abs(F.col("mi") - F.col("ref")), 6).alias("diff"))
+    return grouped.join(ref, "grp").select("dataset", "grp", F.round(F.col("mi") + 1e-9, 6).alias("mi"), F.round(F.abs(F.col("mi") - F.col("ref")) + 1e-9, 6).alias("diff"))
 
 
 def mean_differences(a: DataFrame, reference: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -158,7 +158,7 @@ def infogain_ranking(spark, d):
     s AS (SELECT *, sum(n) OVER (PARTITION BY dataset, feature) AS a, sum(n) OVER (PARTITION BY dataset, feature, bin) AS x, sum(n) OVER (PARTITION BY dataset, feature, label) AS l FROM j),
     mi AS (SELECT dataset, feature, round(sum(n / a * ln(n * a / (x * l))), 6) AS mi FROM s GROUP BY 1, 2),
     g AS (SELECT dataset, CASE WHEN feature IN ('discount', 'tax') THEN 'rates' ELSE feature END AS grp, avg(mi) AS mi FROM mi GROUP BY 1, 2)
-    SELECT g.dataset, grp, round(g.mi, 6) AS mi, round(abs(g.mi - r.mi), 6) AS diff FROM g JOIN (SELECT grp, mi FROM g WHERE dataset = 'O') r USING (grp)""", "features"))
+    SELECT g.dataset, grp, round(g.mi + 1e-9, 6) AS mi, round(abs(g.mi - r.mi) + 1e-9, 6) AS diff FROM g JOIN (SELECT grp, mi FROM g WHERE dataset = 'O') r USING (grp)""", "features"))
 def infogain_comparison(spark, d):
     return selection.compared(features(spark, d), COLUMNS, "label", "dataset", "O", {"discount|tax": "rates"})
 
@@ -490,7 +490,7 @@ def category_profile(spark, d):
     return explain.category_profile(row.select(F.explode(F.array(*cells)).alias("c")).select("c.*"), known)
 
 
-@register(sql(f"SELECT hash, round({_moved('quantity', 1)}, 6) AS quantity, round({_moved('discount', -1)}, 6) AS discount, round(part + greatest(1, abs(part) * 0.1)) AS part FROM features WHERE part > 0", "features"))
+@register(sql(f"SELECT hash, round({_moved('quantity', 1)}, 6) AS quantity, round({_moved('discount', -1)}, 6) AS discount, CAST(round(part + greatest(1, abs(part) * 0.1)) AS DOUBLE) AS part FROM features WHERE part > 0", "features"))
 def perturb_feature(spark, d):
     rows = features(spark, d).where("part > 0")
     return rows.select("hash", F.round(explain.perturbed(F.col("quantity"), 0.1, True, name="quantity"), 6).alias("quantity"), F.round(explain.perturbed(F.col("discount"), 0.1, False, name="discount"), 6).alias("discount"), explain.perturbed(F.col("part"), 0.1, True, "bigint").alias("part"))

@@ -32,10 +32,7 @@ def db(sf):
     return con
 
 
-NAMES = [n for n in registry.oracle_sql() if n not in {"perturb_feature"}]
-
-
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", list(registry.oracle_sql()))
 def test_query_equals_sql(spark, sf, db, name):
     assert rows(registry.queries()[name](spark, sf).toPandas()) == rows(db.sql(registry.oracle_sql()[name]).df())
 
