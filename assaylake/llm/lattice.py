@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from assaylake.llm.shared import new_folder, written
 
-#: Tokens and documents of a chunk, languages with counts of their own, added count of each piece, characters scored as one word.
-TOKENS, DOCS, LANGUAGES, ADDED, LONGEST = 1_000_000, 4000, 4, 0.01, 256
+#: Tokens and documents of a chunk, languages with counts of their own, added count of each piece.
+TOKENS, DOCS, LANGUAGES, ADDED = 1_000_000, 4000, 4, 0.01
+#: Words of more characters, or of a smaller chance, are summed in logs; words and characters of a step there.
+LINEAR, SMALL, SIDE, SPAN = 96, 1e-290, 256, 256
 _SPACE = "▁"
 
 
@@ -73,6 +75,7 @@ class Lattice:
         self.chance = np.vstack([np.zeros(len(chance)), chance[:, used].T])
         self._tables([pieces.names[i] for i in used])
         self.single = {pieces.names[i] for i in used if len(pieces.names[i]) == 1}
+        self.logs = np.zeros((0, len(self.end)))
         self.spelled: dict[str, int] = {}  # characters without a piece get an edge of their own when met
 
     def _tables(self, names: list[str]) -> None:
@@ -119,27 +122,31 @@ class Lattice:
     def log_chance(self, words: list[str]) -> np.ndarray:
         """(words, languages): natural log of each word's marginal probability; the empty word is an end alone."""
         out = np.tile(np.log(self.end), (len(words), 1))
-        parts, owner = [], []
-        for n, word in enumerate(words):
-            if word:
-                text = _SPACE + word
-                for at in range(0, len(text), LONGEST):
-                    parts.append(text[at : at + LONGEST])
-                    owner.append(n)
-        length, owned = np.fromiter(map(len, parts), np.int64, len(parts)), np.array(owner, np.int64)
+        texts = [_SPACE + word if word else "" for word in words]
+        length = np.fromiter(map(len, texts), np.int64, len(texts))
         order = np.argsort(length, kind="stable")
+        order = order[(length[order] > 0) & (length[order] <= LINEAR)]
+        low = [np.flatnonzero(length > LINEAR)]
         cuts = np.flatnonzero(np.diff(length[order])) + 1
         for same in np.split(order, cuts) if len(order) else []:
             n = int(length[same[0]])
             step = max(1, 400_000 // n)
             for start in range(0, len(same), step):
                 chosen = same[start : start + step]
-                codes = np.frombuffer("".join([parts[i] for i in chosen]).encode("utf-32-le"), np.uint32).reshape(len(chosen), n)
-                np.add.at(out, owned[chosen], self._forward(codes))
+                codes = np.frombuffer("".join([texts[i] for i in chosen]).encode("utf-32-le"), np.uint32).reshape(len(chosen), n)
+                sums = self._forward(codes)
+                good = (sums >= SMALL).all(1)
+                out[chosen[good]] += np.log(sums[good])
+                low.append(chosen[~good])
+        rest = np.concatenate(low)
+        rest = rest[np.argsort(-length[rest], kind="stable")]
+        for start in range(0, len(rest), SIDE):
+            chosen = rest[start : start + SIDE]
+            out[chosen] += self._forward_logs([texts[i] for i in chosen])
         return out
 
-    def _forward(self, codes: np.ndarray) -> np.ndarray:
-        """The forward recursion over words of one length; sums are rescaled on the way, their logs kept apart."""
+    def _edges_by_length(self, codes: np.ndarray) -> list[np.ndarray]:
+        """For each length from 1 to that of the longest piece: the edges that start at each place, 0 where there is none."""
         m, n = codes.shape
         wide = codes.astype(np.uint64) + np.uint64(1)
         hashes, edges = np.zeros((m, n + 1), np.uint64), []
@@ -149,22 +156,55 @@ class Lattice:
         missing = np.argwhere(edges[0] == 0)
         for i, j in missing:
             edges[0][i, j] = self._spell(int(codes[i, j]))
+        return edges
+
+    def _forward(self, codes: np.ndarray) -> np.ndarray:
+        """The forward recursion over words of one length, summed as it is.
+
+        What follows a state has a chance of at most 1, so that sums below the smallest float change a result by no more than
+        themselves: a result of SMALL or more is right.
+        """
+        m, n = codes.shape
+        edges = self._edges_by_length(codes)
         sums = np.zeros((n + 1, m, len(self.end)))
         sums[0] = 1
-        scale = np.zeros((m, len(self.end)))
         for j in range(1, n + 1):
             for length in range(1, min(j, self.longest) + 1):
                 edge = edges[length - 1][:, j - length]
                 there = np.flatnonzero(edge)
                 if len(there):
                     sums[j, there] += sums[j - length, there] * self.chance[edge[there]]
-            if j % 16 == 0:
-                back = max(0, j - self.longest)
-                top = sums[back : j + 1].max(0)
-                top[top == 0] = 1
-                sums[back : j + 1] /= top
-                scale += np.log(top)
-        return np.log(np.maximum(sums[n], 1e-300)) + scale
+        return sums[n]
+
+    def _forward_logs(self, texts: list[str]) -> np.ndarray:
+        """The forward recursion in logs over texts of any length, the longest first; SPAN characters at a time, the last states carried on."""
+        most = self.longest
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        out = np.empty((len(texts), len(self.end)))
+        carried = np.full((len(texts), most, len(self.end)), -np.inf)
+        carried[:, -1] = 0
+        for at in range(0, int(size[0]), SPAN):
+            m = int((size > at).sum())
+            width = min(SPAN, int(size[0]) - at)
+            # What stands before a text has no state, and what stands after it is not read.
+            before = [t[max(0, at - most + 1) : at].rjust(most - 1, _SPACE) + t[at : at + width].ljust(width, _SPACE) for t in texts[:m]]
+            codes = np.frombuffer("".join(before).encode("utf-32-le"), np.uint32).reshape(m, most - 1 + width)
+            edges = self._edges_by_length(codes)
+            ending = np.zeros((m, width, most), np.int64)  # at each character, the edges that end there, the longest first
+            for length, edge in enumerate(edges, 1):
+                ending[:, :, most - length] = edge[:, most - length : most - length + width]
+            if len(self.logs) != len(self.chance):
+                with np.errstate(divide="ignore"):
+                    self.logs = np.log(self.chance)
+            states = np.concatenate([carried[:m], np.empty((m, width, len(self.end)))], axis=1)
+            for i in range(width):
+                terms = states[:, i : i + most] + self.logs[ending[:, i]]
+                top = terms.max(1)
+                states[:, most + i] = top + np.log(np.exp(terms - top[:, None]).sum(1))
+            carried = states[:, -most:]
+            done = np.flatnonzero(size[:m] <= at + width)
+            out[done] = states[done, most - 1 + size[done] - at]
+        return out
 
 
 _READY: dict[int, object] = {}
@@ -268,10 +308,10 @@ def lattice_scores(docs: DataFrame, path: str, languages: int = LANGUAGES) -> Da
             for g in range(k):
                 count[place, g] = words[f"t{g}"].to_numpy()
             count[-1] = docs_in
-            spelled = np.exp(lattice.log_chance([*row["words"], ""]))
+            spelled = lattice.log_chance([*row["words"], ""])
             tokens = docs_in + words_in
-            chance = (count + variety * np.maximum(spelled, 1e-300)) / (tokens + variety)
-            ln = np.log(chance)
+            with np.errstate(divide="ignore"):
+                ln = np.logaddexp(np.log(count), np.log(variety) + spelled) - np.log(tokens + variety)
             c = count.sum(1)
             base = np.log10((c + 0.1) / (train_tokens + 0.1 * (known + 1)))
             ids = np.frombuffer(zstandard.decompress(row["tokens"]), np.uint32).astype(np.int64)

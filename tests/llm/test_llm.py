@@ -230,6 +230,35 @@ def test_lattice_sums_all_segmentations():
     assert np.isfinite(model.log_chance(["", "一\U0001f600߿", "z" * 2000])).all()
 
 
+def test_lattice_of_long_words():
+    pieces = lattice.Pieces(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    counts = pieces.counts(["hello", "help", "low", "el"], np.array([[3, 2, 1, 4], [1, 1, 9, 1]]))
+    model = lattice.Lattice(pieces, counts, np.array([10.0, 12.0]))
+    total = counts.sum(1) + lattice.ADDED * counts.shape[1] + np.array([10.0, 12.0]) + 1
+    logs = {name: np.log((counts[:, i] + lattice.ADDED) / total) for i, name in enumerate(pieces.names) if pieces.plain[i] and (len(name) == 1 or counts[:, i].any())}
+
+    def forward(text):
+        sums = [np.zeros(2)]
+        for j in range(1, len(text) + 1):
+            terms = [sums[j - n] + logs[text[j - n : j]] for n in range(1, min(j, model.longest) + 1) if text[j - n : j] in logs]
+            terms = terms or [sums[j - 1] + sum(np.log(model.byte[b]) for b in text[j - 1].encode())]
+            sums.append(np.logaddexp.reduce(terms))
+        return sums[-1] + np.log(model.end)
+
+    words = ["lowhello" * n for n in (1, 11, 12, 31, 32, 33, 64, 200)] + ["\U0001f600" * 40 + "hello", "\U00012345low" * 300, "z" * 5000]
+    got = model.log_chance(words)
+    assert np.allclose(got, [forward("▁" + w) for w in words], rtol=1e-9)
+    assert got[-1].max() < -10_000
+
+
+def test_lattice_scores_tell_long_words_apart(spark):
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    rows = [(i, "the cat sat on the mat") for i in range(60) if i not in held] + [(held[0], "q7" * 200), (held[1], "q7" * 2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lattice.lattice_scores(df, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert got[held[1]] < 5 * got[held[0]] < -1500
+
+
 def test_lattice_scores(spark):
     texts = [*TEXTS, *(f"the cat sat on mat number {i}" for i in range(60))]
     got = {r["doc_id"]: r for r in lattice.lattice_scores(documents(spark, texts), public_tokenizers.path("piece_bpe_32k.model")).collect() if r["doc_id"] is not None}
