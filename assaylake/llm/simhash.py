@@ -15,8 +15,9 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from assaylake.llm.components import connected_components
 from assaylake.llm.shared import written
@@ -45,15 +46,18 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. One row for each input row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, also: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, fp) and the longs of also, none of them null: fp is the fingerprint as a signed long. One row for each input row."""
+    also = also or {}
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = np.array([fingerprint(t, width) for t in batch["text"]], dtype="<u8").view("<i8")
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps, **{name: batch[name] for name in names}})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(each, "doc_id long, fp long")
+    names = list(also)
+    told = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(c.alias(name) for name, c in also.items()))
+    return told.mapInPandas(each, ", ".join(["doc_id long", "fp long", *(f"{name} long" for name in names)]))
 
 
 class BKForest:
@@ -175,6 +179,12 @@ def links_of(classes: DataFrame, radius: int = 4, part: int = PART) -> DataFrame
     return met.repartition("shard", "left", "right").sortWithinPartitions("shard", "left", "right").mapInPandas(lambda batches: _forests(batches, radius), "a long, b long")
 
 
+def _rooted(classes: DataFrame, radius: int) -> DataFrame:
+    """classes (fp, first) with component, the name of the component of each fp."""
+    tied = connected_components(links_of(classes, radius))
+    return classes.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs.
 
@@ -186,17 +196,24 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     fps = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    tied = connected_components(links_of(classes, radius))
-    rooted = classes.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    rooted = _rooted(classes, radius)
     lowest = rooted.groupBy("component").agg(F.min("first").alias("component_id"))
     found = rooted.join(lowest, "component").select("fp", "component_id")
     return fps.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """The documents without near copies: of each component the document with the smallest doc_id stays (one row)."""
-    found = simhash_components(docs, radius=radius)
-    kept = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    columns = docs.columns
-    once = docs.join(kept.withColumnRenamed("doc_id", "__kept"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return once.select(*columns).dropDuplicates(["doc_id"])
+    """The documents without near copies: one row of each component stays, that with the smallest doc_id.
+
+    Ids need not be there nor be distinct: rows with a null id come last, and among equal ids a hash of the row decides, so
+    that different texts stay whatever their ids. Of rows equal in all columns one stays.
+    """
+    told = [x for f in docs.schema.fields if not isinstance(f.dataType, MapType) for x in (F.col(f.name), F.col(f.name).isNull())]  # a null alone does not change a hash
+    keys = {"__one": F.xxhash64(F.lit(1), *told), "__two": F.xxhash64(F.lit(2), *told)}
+    own = F.col("doc_id").cast("long")
+    also = {"none": own.isNull().cast("long"), "id": F.coalesce(own, F.lit(0)), **keys}
+    fps = written(fingerprints(docs, also=also).drop("doc_id"), "fingerprints")
+    classes = written(fps.groupBy("fp").agg(F.min(F.struct(*also)).alias("first")), "classes")
+    kept = _rooted(classes, radius).groupBy("component").agg(F.min("first").alias("first")).select(*(F.col(f"first.{k}").alias(k) for k in keys))
+    once = docs.withColumns(keys).join(kept.hint("merge"), list(keys), "left_semi")
+    return once.dropDuplicates(list(keys)).select(*docs.columns)

@@ -92,6 +92,18 @@ def test_simhash_against_all_pairs(spark):
     assert got == {i: (f"{fps[i]:016x}", smallest[label[i]]) for i in range(len(fps)) if i != 3}
 
 
+def test_keep_first_keeps_texts_without_ids_of_their_own(spark):
+    rng = np.random.default_rng(7)
+    text = lambda: " ".join(rng.choice([f"w{k}" for k in range(500)], 50))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (1, c), (9, e), (9, e), (2**60 + 1, f), (2**60, f + " "), (None, c), (None, None), (None, "")]
+    df = spark.createDataFrame([(i, t, None, None) for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = simhash.keep_first(df.repartition(3))
+    assert got.columns == df.columns
+    kept = {(r["doc_id"], r["text"] or "") for r in got.collect()}
+    assert got.count() == 7 and kept == {(None, a), (None, b), (1, c), (7, d), (9, e), (2**60, f + " "), (None, "")}
+
+
 def test_bk_forest_finds_all_neighbours():
     value = np.random.default_rng(1).integers(0, 1 << 12, 300).astype(np.uint64)
     value = np.unique(value)
