@@ -3,8 +3,8 @@
 A word's embedding is the sum of hashed rows for the word and for its first three, four and five letters. Filters of
 several widths run over the words, each filter's maximum over the text is kept, and a logistic layer reads the maxima.
 Training takes a bounded sample of labelled rows, as many of either class as the bound allows, and the score is then set
-back to the class shares of all labelled rows. Thresholds for rejecting are calibrated by language on rows kept out
-of the training; the language is no input of a score.
+back to the class shares of all labelled rows. Thresholds for rejecting are calibrated by language on all labelled rows
+that did not train the net; the language is no input of a score.
 """
 
 from __future__ import annotations
@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.llm.shared import cut, written
+
 WORD = re.compile(r"\w+")
 #: Hash rows, size of an embedding, filter widths, filters of each width.
 ROWS, SIZE, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 16
 #: Labelled documents drawn of either class, and the length in characters beyond which none is drawn for training.
 SAMPLE, SAMPLE_CHARS = 3000, 65_536
-#: The score from which a document counts as toxic where no threshold is calibrated.
-THRESHOLD = 0.3
+#: The score from which a document counts as toxic where no threshold is calibrated, and the thresholds to choose from.
+THRESHOLD, STEPS = 0.3, tuple(k / 20 for k in range(1, 20))
 PARTS = 4
 
 
@@ -49,7 +51,7 @@ class Net:
     bias: dict[int, np.ndarray]
     out: np.ndarray
     shift: float
-    thresholds: dict[str, float] = field(default_factory=dict)
+    taught: list[int] = field(default_factory=list)  # ids of the documents it learned from
 
     @classmethod
     def new(cls, seed: int) -> Net:
@@ -163,36 +165,76 @@ def train(texts: list[str], labels: list[int], seed: int = 9, shown: int = 24_00
     return net
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray, fallback: float = THRESHOLD) -> float:
-    """The threshold of the best F score, nearest to fallback; fallback where either class has fewer than five rows."""
-    if min((labels == 1).sum(), (labels == 0).sum()) < 5:
+def best_threshold(counts: np.ndarray, shares: np.ndarray, fallback: float = THRESHOLD) -> float:
+    """The threshold of STEPS of the best F score, nearest to fallback; fallback where either class has fewer than five rows.
+
+    counts: (2, steps + 1), rows of either class by the number of steps their scores reach; shares: what either class counts for.
+    """
+    if counts.sum(1).min() < 5:
         return fallback
-    steps = np.arange(1, 20) / 20
-    hit = np.array([((scores >= t) & (labels == 1)).sum() for t in steps])
-    value = 2 * hit / np.maximum(1, np.array([(scores >= t).sum() for t in steps]) + (labels == 1).sum())
+    steps = np.array(STEPS)
+    reach = (counts * (shares / counts.sum(1))[:, None])[:, ::-1].cumsum(1)[:, ::-1][:, 1:]
+    value = 2 * reach[1] / np.maximum(1e-300, reach.sum(0) + shares[1])
     good = steps[value >= value.max() - 1e-9]
     return float(good[np.abs(good - fallback).argmin()])
 
 
+def calibrated(scored: DataFrame, labels: DataFrame, net: Net) -> dict[str | None, float]:
+    """Thresholds by language (null as ""), and one under None for all others, from scored (doc_id, lang, score).
+
+    Counted are all rows whose label the net could have learned from but did not (see fit()). Rows of a class stand for all rows
+    of that class in the language, those learned from included, so that the shares of the classes are those of all labelled
+    rows. A language with fewer than five rows of either class takes the threshold of all languages together.
+    """
+    if not net.taught:
+        return {None: THRESHOLD}
+    spark = scored.sparkSession
+    taught = F.broadcast(spark.createDataFrame([(i,) for i in sorted(set(net.taught))], "doc_id long").withColumn("taught", F.lit(True)))  # twice the sample at most
+    known = _known(labels).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").join(taught, "doc_id", "left")
+    reached = sum((F.col("score") >= t).cast("int") for t in STEPS)
+    rows = scored.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), reached.alias("reached")).join(known, "doc_id")
+    counted = cut(rows.groupBy("lang", "toxic", F.coalesce("taught", F.lit(False)).alias("taught"), "reached").count())
+
+    def tables(key: str, of: DataFrame) -> dict:
+        found: dict = {}
+        for r in of.groupBy(key, "toxic", "taught", "reached").agg(F.sum("count").alias("n")).collect():
+            counts, shares = found.setdefault(r[key], (np.zeros((2, len(STEPS) + 1)), np.zeros(2)))
+            shares[r["toxic"]] += r["n"]
+            if not r["taught"]:
+                counts[r["toxic"], r["reached"]] += r["n"]
+        return found
+
+    fresh = lambda c: F.sum(F.when((F.col("toxic") == c) & ~F.col("taught"), F.col("count")).otherwise(0))
+    enough = counted.groupBy("lang").agg(fresh(0).alias("clean"), fresh(1).alias("bad")).where("clean >= 5 and bad >= 5").select("lang")
+    pooled = tables("every", counted.withColumn("every", F.lit(1)))
+    out = {None: best_threshold(*pooled[1]) if pooled else THRESHOLD}
+    return out | {lang: best_threshold(*found, out[None]) for lang, found in sorted(tables("lang", counted.join(enough, "lang", "left_semi")).items())}
+
+
 def _remainder(id_col: str):
     return F.crc32(F.col(id_col).cast("string")) % 4
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labelled rows that may be learned from."""
+    return labels.where(F.col("toxic").isin(0, 1) & (_remainder("doc_id") != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net:
     """Learns from labels (doc_id, toxic 0 or 1) of rows whose crc32(doc_id as text) mod 4 is not 2.
 
     At most `sample` documents of either class, the first by a hash of the id, of at most SAMPLE_CHARS characters, come to
-    the driver; the class shares are counted over all labelled rows. A fifth of the sample is kept out for the thresholds.
+    the driver; the class shares are counted over all labelled rows. A fifth of the sample is kept out for the thresholds (see calibrated()).
     Rows with another label, a null one or a null id teach nothing; a document labelled both ways counts as toxic. Without
     rows of both classes the score is the share of toxic ones, or 0.
     """
-    known = labels.where(F.col("toxic").isin(0, 1) & (_remainder("doc_id") != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = _known(labels)
     shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     drawn = None
     for label in (0, 1):
         ids = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(sample)
         drawn = ids if drawn is None else drawn.unionByName(ids)
-    texts = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).select("doc_id", "text", *(["lang"] if "lang" in docs.columns else []))
+    texts = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).select("doc_id", "text")
     got = sorted(texts.join(F.broadcast(drawn), "doc_id").collect(), key=lambda r: (zlib.crc32(f"s{r['doc_id']}".encode()), r["doc_id"], r["text"] or ""))  # 2 * sample rows at most, and as many copies of an id as docs holds
     y = np.array([r["toxic"] for r in got], int)
     prior = (shares.get(1, 0) + 0.5) / (sum(shares.values()) + 1)
@@ -205,9 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net:
     net = train([r["text"] or "" for r in got[part:]], y[part:].tolist())
     seen = y[part:].mean()
     net.shift += math.log(prior / (1 - prior)) - math.log(seen / (1 - seen))
-    scores = Scorer(net).scores([r["text"] for r in got[:part]])
-    langs = np.array([(r["lang"] if "lang" in texts.columns else None) or "" for r in got[:part]])
-    net.thresholds = {lang: best_threshold(scores[langs == lang], y[:part][langs == lang]) for lang in sorted(set(langs.tolist()))}
+    net.taught = [int(r["doc_id"]) for r in got[part:]]
     return net
 
 
@@ -242,9 +282,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs without the rows whose score reaches their language's threshold (0.3 where none is calibrated); columns as in docs."""
+    """docs without the rows whose score reaches their language's threshold (see calibrated(); 0.3 where nothing is learned); columns as in docs.
+
+    The rows are scored once and written with their scores: thresholds need the scores of all labelled rows first.
+    """
     net = fit(docs, labels, sample)
-    levels = F.create_map(*(F.lit(x) for pair in [("", THRESHOLD), *net.thresholds.items()] for x in pair)) if net.thresholds else None
     columns = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(net)
     name = f"{docs.sparkSession.sparkContext.applicationId} {sent._jbroadcast.id()}"
@@ -258,5 +300,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
             _READY[name] = Scorer(sent.value)
         return pd.Series(_READY[name].scores(texts.tolist()))
 
-    limit = F.lit(THRESHOLD) if levels is None else F.coalesce(levels[F.coalesce(F.col("lang"), F.lit(""))], F.lit(THRESHOLD))
-    return docs.where(scored("text") < limit).select(*columns)
+    rows = written(docs.withColumn("__score", scored("text")), "toxicity")
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in columns else F.lit("")
+    levels = calibrated(rows.select("doc_id", lang.alias("lang"), F.col("__score").alias("score")), labels, net)
+    pooled, own = levels.pop(None), levels
+    limit = F.coalesce(F.create_map(*(F.lit(x) for pair in own.items() for x in pair))[lang], F.lit(pooled)) if own else F.lit(pooled)
+    return rows.where(F.col("__score") < limit).select(*columns)

@@ -310,6 +310,48 @@ def test_toxicity_learns_words_and_stems(spark):
     assert toxicity.without_toxic(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).columns == docs.columns
 
 
+def test_thresholds_count_all_labelled_rows(spark):
+    rng = np.random.default_rng(8)
+    ids = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 4 != 2][:4000]
+    rows, labels = [], []
+    for n, i in enumerate(ids):  # a rare language, and one with hardly a label
+        toxic = n % 10 == 0
+        lang = "rare" if n % 100 < 2 else "none" if n == 55 else "main"
+        score = 0.9 if lang == "rare" and toxic else 0.72 if lang == "rare" else float(rng.uniform(0.5, 1)) if toxic else float(rng.uniform(0, 0.5))
+        rows.append((i, lang, score))
+        labels.append((i, int(toxic)))
+    net = toxicity.Net.new(1)
+    net.taught = [i for n, i in enumerate(ids) if n % 20 == 0 and n % 100]  # more of the toxic than of the others
+    got = toxicity.calibrated(spark.createDataFrame(rows, "doc_id long, lang string, score double"), spark.createDataFrame(labels, "doc_id long, toxic int"), net)
+    assert set(got) == {None, "rare", "main"} and got["rare"] == 0.75 and got["main"] == 0.5
+
+
+def test_threshold_is_chosen_at_the_share_of_the_classes():
+    counts = np.zeros((2, 20))
+    counts[0, 4], counts[0, 10], counts[1, 8], counts[1, 16] = 90, 10, 50, 50
+    assert toxicity.best_threshold(counts, np.array([100, 100])) == 0.3
+    assert toxicity.best_threshold(counts, np.array([10_000, 100])) == 0.55
+    assert toxicity.best_threshold(counts / 25, np.array([100, 100])) == toxicity.THRESHOLD
+
+
+def test_without_toxic_calibrates_a_rare_language(spark):
+    rng = np.random.default_rng(9)
+    rows, labels = [], []
+    for i in range(1200):
+        words = rng.choice([f"w{k}" for k in range(300)], 30).tolist()
+        if i % 3 == 0:
+            words[3] = f"nasty{rng.integers(50)}"
+        rows.append((i, " ".join(words), "xx" if i % 30 < 2 else "en"))
+        labels.append((i, int(i % 3 == 0)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    net = toxicity.fit(docs, known, 60)
+    scored = toxicity.score(docs, net)
+    assert {"xx", "en", None} == set(toxicity.calibrated(scored, known, net))
+    kept = {r[0] for r in toxicity.without_toxic(docs, known, 60).select("doc_id").collect()}
+    levels = toxicity.calibrated(scored, known, net)
+    assert kept == {r["doc_id"] for r in scored.collect() if r["score"] < levels[r["lang"]]}
+
+
 def test_tool_calls(spark):
     calls = [("c", "1", 0, "f", '{"x": 2, "a": "\\u00e9"}', []), ("c", "2", 1, "f", '{"x": "no"}', ["1"]), ("c", "3", 2, "g", "not json", ["2", "gone"]), ("c", "4", 3, "f", "{}", ["5"]), ("c", "5", 4, "f", "{}", ["4"]), (None, None, None, None, None, None)]
     results = [("c", "1", 5, "ok"), ("c", "1", 6, "again"), ("c", "9", 7, "alone")]
