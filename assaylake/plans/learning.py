@@ -538,5 +538,5 @@ def stream_update(spark, d):
 
 @register()
 def stream_votes(spark, d):
-    rows = _event_stream(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("label"))
-    return updates.windowed_votes(spark, rows, "ts", "1 day", "2 days")
+    rows = _event_stream(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("hash"), F.col("event_type").alias("label"))
+    return updates.windowed_votes(spark, rows, "ts", "1 day")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.sources.scratch import new_folder
@@ -38,8 +38,24 @@ def upsert_batches(spark: SparkSession, source: DataFrame, columns: list[str]) -
     return spark.read.parquet(state["path"])
 
 
-def windowed_votes(spark: SparkSession, source: DataFrame, time: str, width: str, late: str) -> DataFrame:
-    """Votes for each label in windows of event time, closed ones only."""
-    counts = source.withWatermark(time, late).groupBy(F.window(time, width), "label").agg(F.count("*").alias("n"))
-    out = counts.select(F.col("window.start").alias("start"), "label", "n")
-    return _drain(out, "append", new_folder(spark, "stream-votes"))
+def windowed_votes(spark: SparkSession, source: DataFrame, time: str, width: str) -> DataFrame:
+    """(start, hash, label, n): votes of each hash for each label in windows of event time.
+
+    Each micro-batch writes its counts to a folder of its own (a batch run again writes it anew), and the counts of all batches are
+    added up: every event with a time counts, whatever the order of the files.
+    """
+    folder = new_folder(spark, "stream-votes")
+
+    def counted(rows: DataFrame, n: Column) -> DataFrame:
+        return rows.groupBy("start", "hash", "label").agg(n.cast("long").alias("n"))
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        rows = batch.select(F.window(time, width).alias("window"), "hash", "label").select(F.col("window.start").alias("start"), "hash", "label")
+        counted(rows, F.count("*")).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
+    schema = f"start timestamp, hash {kinds['hash']}, label {kinds['label']}, n long"
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/batch=-1")  # a stream without rows has no batch
+    query = source.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return counted(spark.read.schema(schema).parquet(folder), F.sum("n"))

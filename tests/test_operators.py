@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from assaylake.functions import content
 from assaylake.operators import derive, joins, models, project, similarity, voting
+from assaylake.plans import learning
 
 
 def test_upsert_keeps_labelled_rows(spark):
@@ -59,3 +60,15 @@ def test_dbscan_on_two_groups(spark):
     df = spark.createDataFrame(points, "hash long, x double, y double")
     got = {r["hash"]: r["cluster"] for r in models.dbscan(df, "x", "y", 0.05, 3).collect()}
     assert got[99] == -1 and {got[i] for i in range(5)} == {0} and {got[10 + i] for i in range(5)} == {10}
+
+
+def test_stream_votes_count_every_event(spark, sf, tmp_path):
+    events = learning.table(spark, sf, "events")
+    votes = [F.date_trunc("day", F.col("ts").cast("timestamp")).alias("start"), F.col("user_id").alias("hash"), F.col("event_type").alias("label")]
+    want = sorted(tuple(r) for r in events.select(*votes).groupBy("start", "hash", "label").count().collect())
+    late_first = events.repartitionByRange(9, F.col("ts").desc())
+    for n in range(9):  # more files than a micro-batch takes, the latest events first
+        late_first.where(F.spark_partition_id() == n).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    for folder in (sf, str(tmp_path)):
+        got = learning.stream_votes(spark, folder)
+        assert got.columns == ["start", "hash", "label", "n"] and sorted(tuple(r) for r in got.collect()) == want
