@@ -8,7 +8,9 @@ gathered in one place, so one of any length will do.
 from __future__ import annotations
 
 import json
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 from typing import Any
 
 import pandas as pd
@@ -19,6 +21,8 @@ from assaylake.llm.shared import cut, written
 
 #: Turns of a conversation that are numbered together.
 SPAN = 256
+#: Rounds of levels() between looks at what is open, and the needs that the driver settles.
+EARLY, FEW = 8, 100_000
 _KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
@@ -57,18 +61,44 @@ def _arguments(text: str | None) -> tuple[Any, bool]:
         return None, False
 
 
-def levels(calls: DataFrame, most: int = 64) -> DataFrame:
+def _settled(needs: list) -> list[tuple]:
+    """(conv_id, call_id, level) of the calls in needs (conv_id, call_id, need, level of the need where it is settled), without cycles."""
+    missing, level, waits = Counter(), {}, defaultdict(list)
+    for conv, call, need, below in needs:
+        if below is None:
+            missing[conv, call] += 1
+            waits[conv, need].append((conv, call))
+        level[conv, call] = max(level.get((conv, call), 0), 2 + (below or 0))
+    ready, out = [c for c in level if not missing[c]], []
+    while ready:
+        call = ready.pop()
+        out.append((*call, level[call]))
+        for above in waits[call]:
+            level[above] = max(level[above], level[call] + 2)
+            missing[above] -= 1
+            if not missing[above]:
+                ready.append(above)
+    return out
+
+
+def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 for a call that needs none, else 2 + the highest level of those it needs; null on a cycle.
 
     A result's level is its call's plus 1, so that level order is a topological order. Identifiers that no call has do not count. Each
-    round settles the calls whose needs are settled: as many rounds as the longest chain of needs.
+    round settles the calls whose needs are settled; what is open after EARLY rounds is settled in one go once it is small.
     """
     known = calls.where("conv_id is not null and call_id is not null").select("conv_id", "call_id").distinct()
     needs = calls.select("conv_id", "call_id", F.explode("after").alias("need")).where("need is not null").distinct()
     needs = cut(needs.join(known.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_semi"))
     waiting = needs.groupBy("conv_id", "call_id").agg(F.count("*").alias("needed"))
     settled = cut(known.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    for _ in range(most):
+    for turn in count():
+        if turn % EARLY == EARLY - 1:
+            open_ = needs.join(settled, ["conv_id", "call_id"], "left_anti").join(settled.withColumnsRenamed({"call_id": "need", "level": "below"}), ["conv_id", "need"], "left")
+            open_ = cut(open_.select("conv_id", "call_id", "need", "below"))
+            if open_.limit(FEW + 1).count() <= FEW:
+                settled = cut(settled.unionByName(settled.sparkSession.createDataFrame(_settled(open_.collect()), settled.schema)))  # FEW rows at most
+                break
         met = needs.join(settled.withColumnRenamed("call_id", "need"), ["conv_id", "need"]).groupBy("conv_id", "call_id").agg(F.count("*").alias("met"), F.max("level").alias("below"))
         new = waiting.join(met, ["conv_id", "call_id"]).where("met = needed").join(settled, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", (F.col("below") + 2).alias("level"))
         new = cut(new)
@@ -78,7 +108,7 @@ def levels(calls: DataFrame, most: int = 64) -> DataFrame:
     return known.join(settled, ["conv_id", "call_id"], "left")
 
 
-def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], most: int = 64) -> DataFrame:
+def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """(conv_id, call_id, name, status, valid, level, position, json) for each call, and each result without a call.
 
     status: linked, open (no result) or orphan (a result alone; its name, valid and level are null). An identifier that
@@ -89,7 +119,7 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], most:
     """
     nth = Window.partitionBy("conv_id", "call_id").orderBy("turn", "__text")
     calls = calls.select("conv_id", "call_id", "turn", "name", F.col("arguments").alias("__text"), "after")
-    placed = levels(calls, most)
+    placed = levels(calls)
     calls = calls.withColumn("nth", F.row_number().over(nth)).withColumnRenamed("__text", "arguments").drop("after")
     results = results.select("conv_id", "call_id", "turn", F.col("content").alias("__text")).withColumn("nth", F.row_number().over(nth)).withColumnRenamed("__text", "content")
     results = results.withColumn("there", F.lit(True)).withColumnRenamed("turn", "result_turn")

@@ -94,13 +94,13 @@ def neighbours(df: DataFrame, x: str, y: str, eps: float, key: str) -> DataFrame
     return near.where((F.col(x) - F.col("bx")) ** 2 + (F.col(y) - F.col("by")) ** 2 <= eps * eps).select(F.col(key).alias("a"), "b")
 
 
-def dbscan(df: DataFrame, x: str, y: str, eps: float, least: int, key: str = "hash", most: int = 50) -> DataFrame:
+def dbscan(df: DataFrame, x: str, y: str, eps: float, least: int, key: str = "hash") -> DataFrame:
     """(key, core, cluster): DBSCAN on two columns; cluster is the smallest core key reachable, -1 for noise; a border point joins its smallest cluster."""
     near = cut(neighbours(df, x, y, eps, key))
     core = cut(near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a"))
     links = cut(near.join(core, "a").join(core.withColumnRenamed("a", "b"), "b"))
     label = cut(core.select("a", F.col("a").alias("c")))
-    for _ in range(most):
+    while True:  # labels only fall
         low = links.join(label.withColumnsRenamed({"a": "b", "c": "m"}), "b").groupBy("a").agg(F.min("m").alias("m"))
         new = label.join(low, "a", "left").select("a", F.least("c", F.coalesce("m", "c")).alias("c"))
         jump = new.withColumnsRenamed({"a": "k", "c": "j"})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count, groupby
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from assaylake.sources.scratch import cut
 
 #: Words of a shingle, hash rows of a signature, rows of a band.
 WORDS, ROWS, BAND = 5, 64, 4
+#: Rounds of greedy_keep between looks at what is open, and the similar pairs that the driver settles.
+EARLY, FEW = 8, 100_000
 
 
 def bound(value: Column, make) -> Column:
@@ -65,16 +69,25 @@ def exact_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     return named.join(named.groupBy("h").agg(F.min(key).alias("first")), "h").select(key, "first")
 
 
-def greedy_keep(keys: DataFrame, pairs: DataFrame, key: str, most: int = 100) -> DataFrame:
+def greedy_keep(keys: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """Keys kept when each key, in ascending order, stays unless an earlier kept one is similar: rounds of joins until all are settled.
 
-    A key all of whose smaller similar keys are dropped is kept; one with a kept smaller similar key is dropped.
+    A key all of whose smaller similar keys are dropped is kept; one with a kept smaller similar key is dropped. Each round settles the
+    smallest open key of each group at least; what a chain leaves open after EARLY rounds is settled in one go once it is small.
     """
     edges = cut(pairs.select(F.col("a").alias("small"), F.col("b").alias("large")).distinct())
     state = cut(keys.select(key).distinct().join(edges.select(F.col("large").alias(key)).distinct(), key, "left_anti").select(key, F.lit(True).alias("kept")))
-    for _ in range(most):
+    for turn in count():
         open_ = edges.join(state.select(F.col(key).alias("large")), "large", "left_anti")
         seen = open_.join(state.select(F.col(key).alias("small"), "kept"), "small", "left")
+        if turn % EARLY == EARLY - 1 and (seen := cut(seen)).limit(FEW + 1).count() <= FEW:
+            found: dict = {}
+            for large, rows in groupby(seen.orderBy("large").collect(), lambda r: r["large"]):  # FEW rows at most; the smaller keys come first
+                before = [found.get(r["small"]) if r["kept"] is None else r["kept"] for r in rows]
+                found[large] = False if True in before else None if None in before else True
+            settled = [(k, kept) for k, kept in found.items() if kept is not None]
+            state = cut(state.unionByName(state.sparkSession.createDataFrame(settled, state.schema)))
+            break
         votes = seen.groupBy("large").agg(F.coalesce(F.bool_or("kept"), F.lit(False)).alias("hit"), F.count_if(F.col("kept").isNull()).alias("unknown"))
         new = votes.where("hit or unknown = 0").select(F.col("large").alias(key), (~F.col("hit")).alias("kept"))
         new = cut(new)

@@ -352,6 +352,13 @@ def test_without_toxic_calibrates_a_rare_language(spark):
     assert kept == {r["doc_id"] for r in scored.collect() if r["score"] < levels[r["lang"]]}
 
 
+def test_levels_of_a_long_chain(spark):
+    calls = [("c", str(i), [str(i - 1), "0"] if i else []) for i in range(100)] + [("c", "x", ["y", "99"]), ("c", "y", ["x"]), ("d", "1", ["0"])]
+    df = spark.createDataFrame(calls, "conv_id string, call_id string, after array<string>")
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in toolcalls.levels(df).collect()}
+    assert got == {**{("c", str(i)): 2 * i for i in range(100)}, ("c", "x"): None, ("c", "y"): None, ("d", "1"): 0}
+
+
 def test_tool_calls(spark):
     calls = [("c", "1", 0, "f", '{"x": 2, "a": "\\u00e9"}', []), ("c", "2", 1, "f", '{"x": "no"}', ["1"]), ("c", "3", 2, "g", "not json", ["2", "gone"]), ("c", "4", 3, "f", "{}", ["5"]), ("c", "5", 4, "f", "{}", ["4"]), (None, None, None, None, None, None)]
     results = [("c", "1", 5, "ok"), ("c", "1", 6, "again"), ("c", "9", 7, "alone")]

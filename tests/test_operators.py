@@ -72,3 +72,12 @@ def test_stream_votes_count_every_event(spark, sf, tmp_path):
     for folder in (sf, str(tmp_path)):
         got = learning.stream_votes(spark, folder)
         assert got.columns == ["start", "hash", "label", "n"] and sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_greedy_keep_of_a_long_chain(spark, monkeypatch):
+    n = 130
+    keys = spark.createDataFrame([(i,) for i in range(n)], "k int")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a int, b int")
+    assert sorted(r[0] for r in similarity.greedy_keep(keys, pairs, "k").collect()) == list(range(0, n, 2))
+    monkeypatch.setattr(similarity, "FEW", n - 12)  # the rounds go on until few are open
+    assert sorted(r[0] for r in similarity.greedy_keep(keys, pairs, "k").collect()) == list(range(0, n, 2))
