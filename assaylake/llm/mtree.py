@@ -20,8 +20,12 @@ from pyspark.sql import functions as F
 from assaylake.llm.shared import blocks_for, written
 from assaylake.llm.vectors import matrix, packed, sound
 
-#: Rows in a shard, queries in a block, entries of an inner page and of a leaf, largest component.
-SHARD, QUERIES, PAGE, LEAF, LARGEST = 8192, 4096, 16, 512, float(1 << 15)
+#: Rows in a shard, queries in a block, entries of an inner page and of a leaf.
+SHARD, QUERIES, PAGE, LEAF = 8192, 4096, 16, 512
+#: Components below which a tree is searched, and the sum of products up to which float64 is exact.
+MODEST, EXACT = float(1 << 40), float(1 << 53)
+#: Stands for scores that are too low for a long.
+LEAST = -(1 << 63)
 
 
 class MTree:
@@ -30,6 +34,9 @@ class MTree:
     def __init__(self, ids: np.ndarray, rows: np.ndarray, page: int = PAGE, leaf: int = LEAF, seed: int = 3):
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[order], rows[order].astype(np.float64)
+        self.largest = float(np.abs(self.rows).max())
+        if self.largest >= MODEST:  # distances would be lost in rounding
+            return
         self.norm2 = np.einsum("ij,ij->i", self.rows, self.rows)
         self.top2 = self.norm2.max()
         self.lift = np.sqrt(self.top2 - self.norm2)
@@ -81,6 +88,9 @@ class MTree:
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[list[tuple[int, int]], int]:
         """([(score, id)] of the k best rows but those whose id is own, best first; inner products computed)."""
+        large = float(np.abs(query).max())
+        if max(self.largest, large) >= MODEST or len(query) * self.largest * large > EXACT:
+            return self._scan(query, own, k)
         base = float(query @ query) + self.top2
         slack = 1e-6 * (1 + np.sqrt(base))
         best: list[tuple[int, int]] = []  # (score, -id): the smallest is the worst
@@ -123,6 +133,22 @@ class MTree:
         return [(s, -i) for s, i in sorted(best, reverse=True)], computed
 
 
+    def _scan(self, query: np.ndarray, own: int, k: int) -> tuple[list[tuple[int, int]], int]:
+        """As search, where float64 does not hold the scores: whole numbers for the rows that its bounds do not rule out."""
+        able = np.flatnonzero(self.ids != own)
+        with np.errstate(over="ignore", invalid="ignore"):
+            inner = self.rows[able] @ query
+            # A sum of n rounded products is off by less than n + 1 units of rounding of the sum of their sizes.
+            off = (len(query) + 2) * 2.0**-52 * (np.abs(self.rows[able]) @ np.abs(query))
+            low, high = inner - off, inner + off
+        sane = np.isfinite(low) & np.isfinite(high)
+        least = np.sort(low[sane])[-k] if sane.sum() >= k else -np.inf
+        able = able[~sane | (high >= least)]
+        whole = [int(x) for x in query]
+        best = heapq.nlargest(k, ((sum(int(x) * y for x, y in zip(self.rows[n], whole, strict=True)), -int(self.ids[n])) for n in able))
+        return [(s, -i) for s, i in best], len(self.ids)
+
+
 def _tree(part: pd.DataFrame) -> dict:
     return {"tree": MTree(part["vec_id"].to_numpy("i8"), np.floor(256 * matrix(part["vector"], "f8")))}
 
@@ -139,6 +165,9 @@ def _searched(k: int):
             tree, asked = blobs["tree"]["tree"], blobs["queries"]
             for n, (own, row) in enumerate(zip(asked["ids"].tolist(), asked["rows"], strict=True)):
                 for score, vec_id in tree.search(row, own, k)[0]:
+                    if score >= 1 << 63:
+                        raise OverflowError(f"the score of {own} and {vec_id} is beyond a long: {score}")
+                    score = max(score, LEAST)  # an error only where no better ones are found
                     for name, value in zip(out, (n, own, vec_id, score), strict=True):
                         out[name].append(value)
         frame = pd.DataFrame(out).astype("int64")
@@ -153,12 +182,12 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     """(query_id, rank, vec_id, score): each query's k highest scores among rows, ties to the smaller vec_id.
 
     A score is the inner product of the vectors' floor(256 * x), an integer. Rows with a query's own id are no candidates for
-    it. Vectors that are null, empty, or hold components that are null, no finite numbers or over 32,768 in size, and rows
-    with a null id, take no part. Vectors of different sizes do not meet. Repeated rows are candidates, or queries, of their own.
+    it. Vectors that are null, empty, or hold components that are null or no finite numbers, and rows with a null id,
+    take no part; components may be of any size, and a score that a long does not hold is an error. Vectors of different sizes do not meet. Repeated rows are candidates, or queries, of their own.
     Other columns, whatever their names, are not read. Empty tables give an empty one. Queries go in blocks against
     shards of bounded size; neither side is held whole anywhere.
     """
-    able = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector")).where(F.col("vec_id").isNotNull() & sound(F.col("vector"), LARGEST)).withColumn("size", F.size("vector"))
+    able = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector")).where(F.col("vec_id").isNotNull() & sound(F.col("vector"))).withColumn("size", F.size("vector"))
     rows, queries = able(rows), able(queries)
     shards, blocks = blocks_for(rows.count(), shard), blocks_for(queries.count(), QUERIES)
     trees = packed(rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")), ["size", "shard"], _tree)
@@ -168,4 +197,4 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     two = asked.select("size", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", F.lit("queries").alias("kind"), "blob")
     found = one.unionByName(two).groupBy("size", "shard", "block").applyInPandas(_searched(k), "size long, block long, query long, query_id long, vec_id long, score long")
     order = Window.partitionBy("size", "block", "query", "query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.when(F.col("score") > LEAST, F.col("score")).otherwise(F.raise_error(F.lit("a score is beyond a long"))).alias("score"))

@@ -152,6 +152,26 @@ def test_mtree_against_all_pairs(spark):
     assert mtree.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_mtree_with_large_components(spark):
+    rng = np.random.default_rng(11)
+    rows = rng.standard_normal((60, 8)).astype("f4").astype("f8")
+    rows[3] *= 1e5
+    rows[7, 0], rows[8, 0] = 40_000.5, -1e6
+    rows[20:23] = 0  # scores that one unit tells apart, too large for float64
+    rows[20:23, 7], rows[20:23, 6] = 2.0**22, [0, 1 / 256, -1 / 256]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    ints = [[int(x) for x in np.floor(256 * v)] for v in rows]
+    for shard in (8192, 10):
+        got = sorted(tuple(r) for r in mtree.top_k(df, df, shard=shard).collect())
+        want = []
+        for q in range(60):
+            scores = sorted((-sum(x * y for x, y in zip(ints[q], ints[i], strict=True)), i) for i in range(60) if i != q)
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:5])]
+        assert got == sorted(want)
+    tree = mtree.MTree(np.arange(3), np.array([[2.0**70, 1], [2.0**70, 2], [0, 3]]))
+    assert tree.search(np.array([2.0**70, 1]), 9, 2)[0] == [(2**140 + 2, 1), (2**140 + 1, 0)]
+
+
 def test_mtree_of_equal_rows():
     tree = mtree.MTree(np.arange(3000), np.ones((3000, 4)), leaf=64)
     assert tree.search(np.ones(4), 0, 5)[0] == [(4, i) for i in range(1, 6)]
