@@ -2,17 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from assaylake.sources.scratch import cut, new_folder, shared_dir, written
 
-__all__ = ["blocks_for", "cut", "new_folder", "row_key", "shared_dir", "written"]
-
-
-def row_key(id_col: Column, text_col: Column) -> Column:
-    """A long that deals rows out evenly: the id, or a hash of the text where the id is null."""
-    return F.coalesce(id_col.cast("long"), F.xxhash64(text_col))
+__all__ = ["blocks_for", "cut", "new_folder", "shared_dir", "written"]
 
 
 def blocks_for(rows: int, per_block: int) -> int:
