@@ -68,27 +68,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 SQL = {
     "op2_tool_calls": """
-        WITH calls AS (
-            SELECT conv_id, 'call_' || conv_id || '_' || turn AS call_id, turn, text, if(role = 'system', 'configure', 'ask') AS name,
-                   role = 'user' AND turn > 0 AND conv_id IN (SELECT conv_id FROM conversations WHERE role = 'system' AND turn = 0) AS led,
+        WITH RECURSIVE calls AS (
+            SELECT conv_id, 'call_' || conv_id || '_' || turn AS call_id, turn, text, if(role = 'system', 'configure', 'ask') AS name, (conv_id + turn) % 11 AS fault,
                    row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS nth
             FROM conversations WHERE role IN ('system', 'user')
+        ), ids AS (SELECT DISTINCT conv_id, turn FROM calls
+        ), needs AS (
+            SELECT a.conv_id, a.turn, b.turn AS need FROM ids a JOIN ids b ON a.conv_id = b.conv_id
+            AND (b.turn = 0 AND a.turn > 0 OR b.turn = a.turn - 2 AND a.turn % 64 >= 2 OR a.turn = 2 AND b.turn = 6 AND a.conv_id % 16 = 5)
+        ), walks AS (
+            SELECT conv_id, turn, 0 AS depth FROM ids
+            UNION SELECT n.conv_id, n.turn, w.depth + 1 FROM walks w JOIN needs n ON n.conv_id = w.conv_id AND n.need = w.turn WHERE w.depth < 70
+        ), levels AS (SELECT conv_id, turn, if(max(depth) < 70, 2 * max(depth), NULL) AS level FROM walks GROUP BY ALL
         ), results AS (
             SELECT conv_id, 'call_' || conv_id || '_' || (turn - 1) AS call_id, turn, text AS content, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS nth
             FROM conversations WHERE role = 'assistant'
         ), met AS (
-            SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.turn) AS turn, name, c.text, content,
-                   CASE WHEN c.conv_id IS NULL THEN 'orphan' WHEN r.conv_id IS NULL THEN 'open' ELSE 'linked' END AS status,
-                   CASE WHEN c.conv_id IS NOT NULL THEN if(led, 2, 0) END AS level,
-                   CASE WHEN c.conv_id IS NOT NULL THEN if(name = 'configure', length(c.text) >= 20, length(c.text) BETWEEN 1 AND 300) END AS valid
+            SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.turn) AS turn, name, c.text, content, fault,
+                   CASE WHEN c.conv_id IS NULL THEN 'orphan' WHEN r.conv_id IS NULL THEN 'open' ELSE 'linked' END AS status, l.level,
+                   CASE WHEN c.conv_id IS NOT NULL THEN fault NOT IN (4, 7, 9) AND if(name = 'configure', length(c.text) >= 20, length(c.text) BETWEEN 1 AND 300) END AS valid
             FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id AND c.nth = r.nth
+            LEFT JOIN levels l ON l.conv_id = c.conv_id AND l.turn = c.turn
         ), told AS (
-            SELECT *, '{"arguments":' || if(status = 'orphan', 'null', '{"text":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '}')
+            SELECT *, '{"arguments":' || if(status = 'orphan' OR fault IN (4, 7), 'null', '{"text":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || if(fault = 9, -1 - turn, turn) || '}')
                    || ',"call_id":"' || call_id || '","content":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || ',"name":' || coalesce('"' || name || '"', 'null')
                    || ',"status":"' || status || '","valid":' || coalesce(CAST(valid AS VARCHAR), 'null') || '}' AS json
             FROM met
         )
-        SELECT conv_id, call_id, name, status, valid, level, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(level, 1073741824), turn, status, json) AS position, json FROM told
+        SELECT conv_id, call_id, name, status, valid, CAST(level AS INTEGER) AS level, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(level, 1073741824), turn, status, json) AS position, json FROM told
     """,
     "op3_mtree_topk": """
         WITH v AS (
