@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,14 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a new temporary folder where it is unset (tests)."""
+    """spark.checkpoint.dir; where it is unset, a new temporary folder in local mode, and an error on a cluster, whose machines share none."""
     context = spark.sparkContext
     set_ = context.getConf().get("spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(set_ or tempfile.mkdtemp(prefix="spark-"))
+        if not set_ and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        context.setCheckpointDir(set_ or _temporary())
     return set_ or context.getCheckpointDir()
 
 
+def _temporary() -> str:
+    folder = tempfile.mkdtemp(prefix="spark-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
