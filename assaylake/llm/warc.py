@@ -1,22 +1,24 @@
 """WARC archives with a shared Zstandard dictionary, one frame for each record.
 
 The dictionary is built from records of the table, stands in a leading skippable frame of each file, and each record is
-compressed by itself, so that a reader can begin at any record. Of records with equal payloads one is a response
-and the others revisit it.
+compressed by itself, so that a reader can begin at any record. Each file opens with a warcinfo record. Of records with equal
+payloads one is a response and the others revisit it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.llm.shared import new_folder
-from assaylake.llm.zframes import DICTIONARY, FRAME, compressor, decompressor, frames, read_files, sampled, skippable, trained, write_frames
+from assaylake.llm.zframes import DICTIONARY, FILE_BYTES, FILE_ROWS, FRAME, Layout, compressor, decompressor, frames, read_files, sampled, skippable, trained, write_frames
 
 #: Payloads of fewer bytes are always responses.
 LEAST = 100
@@ -55,13 +57,22 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, size: in
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parsed(data: bytes) -> dict:
-    """The fields of one record; a response's size and digest are those of the payload itself, and must fit its headers."""
+def information(name: str, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """The warcinfo record of a file, uncompressed; name tells its record from others."""
+    block = b"format: WARC File Format 1.1\r\nconformsTo: http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, name)}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def parsed(data: bytes) -> dict | None:
+    """The fields of one record, None for a warcinfo; a response's size and digest are those of the payload itself, and must fit its headers."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     if len(block) != int(fields["Content-Length"]) or rest[len(block) :] != b"\r\n\r\n":
         raise ValueError("the record's length does not fit")
+    if fields["WARC-Type"] == "warcinfo":
+        return None
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])["Content-Length"])
     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
@@ -82,24 +93,36 @@ def planned(pages: DataFrame, least: int = LEAST) -> DataFrame:
     return rows.join(groups, "payload_digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
 
 
-def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> None:
-    """Writes a record for each row of pages (page_id, url, html) to archives in folder, one for each partition.
+def write_archives(pages: DataFrame, folder: str, least: int = LEAST, file_rows: int = FILE_ROWS, file_bytes: int = FILE_BYTES) -> None:
+    """Writes a record for each row of pages (page_id, url, html) to archives in folder, one or more for each partition.
 
-    Only the dictionary's sample, SAMPLE records of at most SAMPLE_BYTES each, comes to the driver; no result depends on it.
+    An archive ends before it would pass file_bytes or file_rows rows. Only the dictionary's sample, about twice SAMPLE records of at most
+    SAMPLE_BYTES each, comes to the driver; no result depends on it.
     """
-    sample = sampled(pages.where("html <> ''"), F.xxhash64("page_id", F.lit(7)), F.col("html"), SAMPLE, SAMPLE_BYTES)
+    sample, _, _ = sampled(pages, F.col("html"), SAMPLE, SAMPLE_BYTES, 7)
     sent = pages.sparkSession.sparkContext.broadcast(trained([record(i, None, s, len(s), hashlib.sha256(s).hexdigest(), None) for i, s in enumerate(sample)]))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze, head = compressor(sent.value), [skippable(DICTIONARY, sent.value)] if sent.value else []
+        squeeze, layout, files = compressor(sent.value), Layout(file_rows, file_bytes), 0
+        opening = [skippable(DICTIONARY, sent.value)] if sent.value else []
         for batch in batches:
-            rows = batch.to_pydict()
-            out = [squeeze.compress(record(page_id, url, payload if refers is None else None, size, digest, refers)) for page_id, url, payload, size, digest, refers in zip(*(rows[c] for c in ("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to")), strict=True)]
-            yield pa.RecordBatch.from_pydict({"frame": pa.array(head + out, pa.binary())})
-            head = []
+            rows, out = batch.to_pydict(), []
+            for page_id, url, payload, size, digest, refers in zip(*(rows[c] for c in ("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to")), strict=True):
+                frame = squeeze.compress(record(page_id, url, payload if refers is None else None, size, digest, refers))
+                if layout.full(len(frame)):
+                    out += layout.rest()
+                if not layout.place:
+                    head = [*opening, squeeze.compress(information(f"{folder} {TaskContext.get().partitionId()} {files}"))]
+                    files += 1
+                    out += head
+                    for h in head:
+                        layout.add(h)
+                layout.add(frame)
+                out.append(frame)
+            yield pa.RecordBatch.from_pydict({"frame": pa.array(out, pa.binary())})
 
     rows = planned(pages, least).withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
-    write_frames(rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to").mapInArrow(write, "frame binary"), folder)
+    write_frames(rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to").mapInArrow(write, "frame binary"), folder, file_rows)
 
 
 def records(content: bytes) -> Iterator[dict]:
@@ -110,7 +133,8 @@ def records(content: bytes) -> Iterator[dict]:
         if magic == DICTIONARY:
             reader = decompressor(bytes(view[start + 8 : end]))
         elif magic == FRAME:
-            yield parsed(reader.decompress(view[start:end]))
+            if (found := parsed(reader.decompress(view[start:end]))) is not None:
+                yield found
 
 
 def read_archives(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
@@ -137,7 +161,7 @@ def archived(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
     Of rows with equal payloads of at least `least` bytes, those with the smallest page_id are responses and the others revisit it. A
     null html is an empty payload; a row with a null page_id revisits where its payload has a row with an id, and is
-    a response otherwise; a null url is replaced by the record's name. Repeated rows are records of their own. Other columns,
+    a response otherwise; a null url is replaced by the record's name. Repeated rows are records of their own, and rows of one page_id share a record id. Other columns,
     whatever their names, are not read. An empty table gives an empty result.
     """
     folder = new_folder(pages.sparkSession, "warc")

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 FRAME, SKIP, DICTIONARY, INDEX = 0xFD2FB528, 0x184D2A50, 0x184D2A5D, 0x184D2A5E
 #: An empty skippable frame as text: magic 50 2A 4D 18, length 0.
 SEPARATOR = "P*M\x18\0\0\0\0"
+#: Rows of a file, and bytes from which the next row goes to a new file: a reader takes a file up whole.
+FILE_ROWS, FILE_BYTES = 100_000, 1 << 28
 
 
 def skippable(magic: int, payload: bytes) -> bytes:
@@ -69,14 +71,50 @@ def digest(dictionary: bytes) -> str:
     return hashlib.sha256(dictionary).hexdigest()
 
 
-def sampled(rows: DataFrame, order: Column, value: Column, count: int, size: int) -> list[bytes]:
-    """The first size bytes of the count rows that come first by order; at most count * size bytes reach the driver."""
-    return [bytes(r["v"]) for r in rows.select(order.alias("o"), F.substring(value.cast("binary"), 1, size).alias("v")).orderBy("o", "v").limit(count).collect() if r["v"] is not None]
+class Layout:
+    """Deals a task's rows out to files of exactly `rows` rows each but the last, so that Spark's writer begins a new file there.
 
+    A file that comes to `size` bytes first is filled up with empty rows, which are separators alone. `closing` rows are kept
+    free at the end of each file.
+    """
 
-def write_frames(rows: DataFrame, folder: str) -> None:
-    """Writes the binary column frame of rows to one file for each partition."""
-    rows.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(folder)
+    def __init__(self, rows: int, size: int, closing: int = 0):
+        self.rows, self.size, self.closing, self.place, self.at = rows, size, closing, 0, 0
+
+    def full(self, length: int) -> bool:
+        """True if a file has been begun and a row of that length should go to the next one."""
+        return self.place > 0 and (self.place + 1 + self.closing > self.rows or self.at + length > self.size)
+
+    def add(self, frame: bytes) -> int:
+        """Takes a row up; where in the file it begins."""
+        start = self.at
+        self.place += 1
+        self.at += len(frame) + len(SEPARATOR)
+        return start
+
+    def rest(self) -> list[bytes]:
+        """The rows that fill the file up to its closing rows; the next row begins a new file."""
+        left = self.rows - self.closing - self.place
+        self.place = self.at = 0
+        return [b""] * left
+
+
+def sampled(rows: DataFrame, value: Column, count: int, size: int, seed: int) -> tuple[list[bytes], int, float]:
+    """(the first size bytes of about count values, number of rows, their mean length in bytes as the sample has it).
+
+    Each row is drawn with the same chance, so that about 2 * count values of at most size bytes reach the driver from a table of any size;
+    of those drawn, count are returned.
+    """
+    n = rows.count()
+    raw = value.cast("binary")
+    drawn = rows.where(F.rand(seed) < min(1.0, 2 * count / max(n, 1))).select(F.substring(raw, 1, size).alias("v"), F.octet_length(raw).alias("n")).collect()
+    some = [bytes(r["v"]) for r in drawn if r["v"]]
+    return sorted(some, key=lambda v: hashlib.md5(v).digest())[:count], n, sum(r["n"] or 0 for r in drawn) / max(1, len(drawn))
+
+
+def write_frames(rows: DataFrame, folder: str, file_rows: int = FILE_ROWS) -> None:
+    """Writes the binary column frame of rows to files, those of a partition holding file_rows rows but for the last."""
+    rows.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", file_rows).text(folder)
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
