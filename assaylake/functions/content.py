@@ -1,60 +1,143 @@
 """Features of contents: (id, content binary) tables to counts, entropies, strings and fragments.
 
-Byte and n-gram counts come from one shape: positions are exploded beside the content and counted by (id, gram); the counts are
-pre-aggregated before the shuffle, so what moves is distinct grams, not bytes. Grams are upper-case hex.
+Bytes and n-grams are counted inside a row, by numpy over Arrow batches: what leaves a row is its distinct grams or its entropies, and
+nothing is shuffled but where counts of several rows are added up. Each row is counted by itself; null contents, and those without a gram,
+have no row. Grams are upper-case hex.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a batch that a row function gives back, and blocks that are counted together.
+BATCH, BLOCKS = 100_000, 2048
+
 
 def content_hash(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.select(key, F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
 
 
-def grams(df: DataFrame, n: int = 1, step: int = 1, key: str = "doc_id", extra: list[str] | None = None) -> DataFrame:
-    """(key, extra..., pos, gram): each n-gram of bytes with its place from 0."""
-    last = F.octet_length("content") - n
-    spread = df.where(last >= 0).select(key, *(extra or []), "content", F.explode(F.sequence(F.lit(0), last, F.lit(step))).alias("pos"))
-    return spread.select(key, *(extra or []), "pos", F.hex(F.substring(F.col("content"), F.col("pos") + 1, F.lit(n))).alias("gram"))
+def per_content(df: DataFrame, keys: list[str], make: Callable[[np.ndarray], dict[str, list]], fields: dict[str, pa.DataType], schema: str) -> DataFrame:
+    """(keys..., fields...): the rows that make gives for the bytes of each content (a list for each field, all of one length), beside its keys."""
+    kinds = dict(df.dtypes)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, held, count = [], {f: [] for f in fields}, 0
+
+            def flushed() -> pa.RecordBatch:
+                columns = [batch.column(i).take(pa.array(np.concatenate(place) if place else np.zeros(0, np.int64))) for i in range(len(keys))]  # noqa: B023
+                made = [pa.array(np.concatenate(v) if v else [], t) for v, t in zip(held.values(), fields.values(), strict=True)]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*columns, *made], [*keys, *fields])
+
+            for n, content in enumerate(batch.column(len(keys))):
+                if content.is_valid and len(data := np.frombuffer(content.as_buffer(), np.uint8)):
+                    found = make(data)
+                    rows = len(next(iter(found.values())))
+                    place.append(np.full(rows, n))
+                    for f in fields:
+                        held[f].append(np.asarray(found[f]))
+                    count += rows
+                    if count >= BATCH:
+                        yield flushed()
+                        place, held, count = [], {f: [] for f in fields}, 0
+            yield flushed()
+
+    return df.select(*keys, "content").mapInArrow(each, ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema]))
+
+
+def codes(data: np.ndarray, n: int, step: int = 1) -> np.ndarray:
+    """The n-grams (n at most 3) of bytes as integers, one from every step-th place on."""
+    places = len(data) - n + 1
+    if places <= 0:
+        return np.zeros(0, np.int64)
+    return sum(data[i : i + places : step].astype(np.int64) << 8 * (n - 1 - i) for i in range(n))
+
+
+def tallied(code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct codes in order, their counts)."""
+    if n == 1 or len(code) > 1 << 14 and n == 2:
+        count = np.bincount(code, minlength=1 << 8 * n)
+        return np.flatnonzero(count), count[count > 0]
+    return np.unique(code, return_counts=True)
+
+
+def _hexed(code: np.ndarray, n: int) -> np.ndarray:
+    return np.array([f"{c:0{2 * n}X}" for c in code.tolist()], object)
+
 
+def gram_counts(df: DataFrame, n: int = 1, step: int = 1, key: str = "doc_id", extra: list[str] | None = None) -> DataFrame:
+    """(key, extra..., gram, n): how often each n-gram stands in a content."""
 
-def gram_counts(df: DataFrame, n: int = 1, step: int = 1, key: str = "doc_id") -> DataFrame:
-    return grams(df, n, step, key).groupBy(key, "gram").agg(F.count("*").alias("n"))
+    def make(data: np.ndarray) -> dict:
+        code, count = tallied(codes(data, n, step), n)
+        return {"gram": _hexed(code, n), "n": count}
 
+    return per_content(df, [key, *(extra or [])], make, {"gram": pa.string(), "n": pa.int64()}, "gram string, n long")
 
-def entropy_of(counts: DataFrame, by: list[str], k: int | None = None) -> DataFrame:
-    """(by..., entropy): Shannon entropy (base 2) of counts n, over the k most frequent grams; shares are of all grams."""
-    total = counts
-    if k is not None:
-        w = Window.partitionBy(*by)
-        total = counts.withColumns({"__all": F.sum("n").over(w), "__r": F.row_number().over(w.orderBy(F.col("n").desc(), "gram"))}).where(F.col("__r") <= k)
-        p = F.col("n") / F.col("__all")
-        return total.groupBy(*by).agg(F.round(F.sum(-p * F.log2(p)), 6).alias("entropy"))
-    return total.groupBy(*by).agg(F.round(F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n"), 6).alias("entropy"))
 
+def shannon(counts: np.ndarray) -> np.ndarray:
+    """Entropies (base 2) of rows of counts."""
+    total = counts.sum(-1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.log2(total) - np.nansum(counts * np.log2(counts), axis=-1) / total
 
-def file_entropy(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    return entropy_of(gram_counts(df, key=key), [key])
+
+def top_entropy(counts: np.ndarray, k: int) -> np.ndarray:
+    """As shannon, over the k largest counts of each row; shares are of all counts."""
+    share = -np.sort(-counts, axis=-1)[..., :k] / counts.sum(-1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.nansum(-share * np.log2(share), axis=-1)
+
+
+def _numbers(df: DataFrame, keys: list[str], make: Callable[[np.ndarray], dict], *names: str) -> DataFrame:
+    return per_content(df, keys, make, {n: pa.float64() for n in names}, ", ".join(f"{n} double" for n in names))
+
+
+def file_entropy(df: DataFrame, key: str = "doc_id", extra: list[str] | None = None) -> DataFrame:
+    """(key, extra..., entropy) of the bytes of each content."""
+    made = _numbers(df, [key, *(extra or [])], lambda data: {"entropy": [shannon(np.bincount(data, minlength=256))]}, "entropy")
+    return made.withColumn("entropy", F.round("entropy", 6))
 
 
 def ngram_entropy(df: DataFrame, n: int, step: int = 1, k: int | None = None, key: str = "doc_id") -> DataFrame:
-    return entropy_of(gram_counts(df, n, step, key), [key], k)
+    """(key, entropy) of the n-grams of each content, over the k most frequent ones where k is given."""
+
+    def make(data: np.ndarray) -> dict:
+        count = tallied(codes(data, n, step), n)[1]
+        return {"entropy": [] if not len(count) else [shannon(count) if k is None else top_entropy(count, k)]}
+
+    return _numbers(df, [key], make, "entropy").withColumn("entropy", F.round("entropy", 6))
+
+
+def _by_block(data: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Counts of the byte values in each block of `size` bytes, BLOCKS blocks at a time."""
+    for start in range(0, len(data), size * BLOCKS):
+        part = data[start : start + size * BLOCKS]
+        blocks = -(-len(part) // size)
+        yield np.bincount(np.arange(len(part)) // size * 256 + part, minlength=blocks * 256).reshape(blocks, 256)
 
 
 def block_entropy(df: DataFrame, size: int = 256, skip_uniform: bool = True, key: str = "doc_id") -> DataFrame:
     """(key, blocks, avg_entropy, max_entropy) over blocks of `size` bytes; blocks of which one byte fills half or more are skipped."""
-    counts = grams(df, key=key).groupBy(key, F.floor(F.col("pos") / size).alias("block"), "gram").agg(F.count("*").alias("n"))
-    each = counts.groupBy(key, "block").agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("e"), (F.max("n") / F.sum("n")).alias("top"))
-    if skip_uniform:
-        each = each.where("top < 0.5")
-    return each.groupBy(key).agg(F.count("*").alias("blocks"), F.round(F.avg("e"), 6).alias("avg_entropy"), F.round(F.max("e"), 6).alias("max_entropy"))
+
+    def make(data: np.ndarray) -> dict:
+        found = []
+        for counts in _by_block(data, size):
+            used = counts[counts.max(1) < 0.5 * counts.sum(1)] if skip_uniform else counts
+            found.append(shannon(used))
+        each = np.concatenate(found)
+        return {"blocks": [len(each)], "avg_entropy": [each.mean()], "max_entropy": [each.max()]} if len(each) else {"blocks": [], "avg_entropy": [], "max_entropy": []}
+
+    made = _numbers(df, [key], make, "blocks", "avg_entropy", "max_entropy")
+    return made.select(key, F.col("blocks").cast("long").alias("blocks"), F.round("avg_entropy", 6).alias("avg_entropy"), F.round("max_entropy", 6).alias("max_entropy"))
 
 
 def weighted_entropy(sections: DataFrame) -> DataFrame:
@@ -64,24 +147,35 @@ def weighted_entropy(sections: DataFrame) -> DataFrame:
 
 
 def topk_part_entropy(df: DataFrame, size: int, k: int, key: str = "doc_id") -> DataFrame:
-    """(key, entropy): mean over parts of `size` bytes, those above 0, of the entropy of their k most frequent bytes."""
-    counts = grams(df, key=key).groupBy(key, F.floor(F.col("pos") / size).alias("part"), "gram").agg(F.count("*").alias("n"))
-    return entropy_of(counts, [key, "part"], k).where("entropy > 0").groupBy(key).agg(F.avg("entropy").alias("entropy"))
+    """(key, entropy): mean over parts of `size` bytes, those above 0, of the entropy of their k most frequent bytes, each to six places."""
+
+    def make(data: np.ndarray) -> dict:
+        each = np.floor(np.concatenate([top_entropy(counts, k) for counts in _by_block(data, size)]) * 1e6 + 0.5) / 1e6
+        each = each[each > 0]
+        return {"entropy": [each.mean()] if len(each) else []}
+
+    return _numbers(df, [key], make, "entropy")
 
 
 def joint_entropy(df: DataFrame, group: str, key: str = "doc_id") -> DataFrame:
     """(group, joint, mean): entropy of the members' bytes taken together, and the mean of their entropies."""
-    counts = grams(df, key=key, extra=[group]).groupBy(group, key, "gram").agg(F.count("*").alias("n"))
-    joint = entropy_of(counts.groupBy(group, "gram").agg(F.sum("n").alias("n")), [group]).withColumnRenamed("entropy", "joint")
-    mean = entropy_of(counts, [group, key]).groupBy(group).agg(F.round(F.avg("entropy"), 5).alias("mean"))
+    counts = gram_counts(df, key=key, extra=[group]).groupBy(group, "gram").agg(F.sum("n").alias("n"))
+    joint = counts.groupBy(group).agg(F.round(F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n"), 6).alias("joint"))
+    mean = file_entropy(df, key, [group]).groupBy(group).agg(F.round(F.avg("entropy"), 5).alias("mean"))
     return joint.join(mean, group)
 
 
 def gram_distribution(df: DataFrame, n: int, k: int, skip: int = 0, exclude: tuple[str, ...] = (), key: str = "doc_id") -> DataFrame:
-    """(key, gram, n): the k most common grams after the first `skip`, without the excluded ones."""
-    w = Window.partitionBy(key).orderBy(F.col("n").desc(), "gram")
-    counts = gram_counts(df, n, key=key).where(~F.col("gram").isin(*exclude)) if exclude else gram_counts(df, n, key=key)
-    return counts.withColumn("__r", F.row_number().over(w)).where((F.col("__r") > skip) & (F.col("__r") <= skip + k)).drop("__r")
+    """(key, gram, n): the k most common grams of each content after the first `skip`, without the excluded ones; ties by gram."""
+    out = np.array(sorted(int(g, 16) for g in exclude), np.int64)
+
+    def make(data: np.ndarray) -> dict:
+        code, count = tallied(codes(data, n), n)
+        code, count = code[~np.isin(code, out)], count[~np.isin(code, out)]
+        chosen = np.lexsort((code, -count))[skip : skip + k]
+        return {"gram": _hexed(code[chosen], n), "n": count[chosen]}
+
+    return per_content(df, [key], make, {"gram": pa.string(), "n": pa.int64()}, "gram string, n long")
 
 
 def bytes_after(content: Column, offset: int, n: int) -> Column:
@@ -139,21 +233,71 @@ def huffman(pairs: list[tuple[int, int]]) -> dict[int, int]:
     return depth
 
 
-def randomness_profile(df: DataFrame, window: int = 32, keep: int = 50, key: str = "doc_id") -> DataFrame:
-    """(key, window, score): sums of Huffman code lengths over windows of bytes, scaled by the largest; the first `keep` windows.
+def window_sums(data: np.ndarray, window: int = 32, skip: int = 32) -> np.ndarray:
+    """Sums of the Huffman code lengths of bytes over whole windows, one from every skip-th byte on; one sum where there is no whole window."""
+    symbol, count = tallied(data.astype(np.int64), 1)
+    bits = np.zeros(256, np.int64)
+    for s, depth in huffman(list(zip(symbol.tolist(), count.tolist(), strict=True))).items():
+        bits[s] = depth
+    run = np.r_[0, np.cumsum(bits[data])]
+    start = np.arange(0, len(data) - window + 1, skip)
+    return run[start + window] - run[start] if len(start) else run[-1:]
+
+
+#: How a profile is pruned to `keep` values: which places of the scaled sums stay, in which order.
+PRUNINGS: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {
+    "first": lambda score, keep: np.arange(min(keep, len(score))),
+    "smallest": lambda score, keep: np.argsort(score, kind="stable")[:keep],
+    "ordered_smallest": lambda score, keep: np.sort(np.argsort(score, kind="stable")[:keep]),
+    "trunk": lambda score, keep: np.r_[np.arange(min(keep // 2 + 1, len(score))), np.arange(max(0, len(score) - keep // 2), len(score))],
+}
 
-    Lengths are found per id from its 256 counts at most; the windows are a join and a grouping.
+
+def randomness_profile(df: DataFrame, window: int = 32, skip: int = 32, keep: int = 50, pruning: str = "trunk", key: str = "doc_id") -> DataFrame:
+    """(key, place, window, score): window sums of Huffman code lengths, scaled by the largest, pruned to `keep`; place counts what stays from 0.
+
+    first: the first windows. trunk: the first keep / 2 + 1 and the last keep / 2, which overlap in a short profile. smallest: the smallest in ascending
+    order. ordered_smallest: the same in the order of the windows.
     """
-    counts = gram_counts(df, key=key)
+    prune = PRUNINGS[pruning]
+
+    def make(data: np.ndarray) -> dict:
+        sums = window_sums(data, window, skip)
+        score = sums / sums.max()
+        chosen = prune(score, keep)
+        return {"place": np.arange(len(chosen)), "window": chosen, "score": score[chosen]}
+
+    made = per_content(df, [key], make, {"place": pa.int64(), "window": pa.int64(), "score": pa.float64()}, "place long, window long, score double")
+    return made.withColumn("score", F.round("score", 6))
+
 
-    def lengths(part: pd.DataFrame) -> pd.DataFrame:
-        depth = huffman([(int(g, 16), int(n)) for g, n in zip(part["gram"], part["n"], strict=True)])
-        return pd.DataFrame({key: part[key], "gram": part["gram"], "bits": [depth[int(g, 16)] for g in part["gram"]]})
+def one_list(values: np.ndarray) -> np.ndarray:
+    """values as the one element of an array of lists."""
+    out = np.empty(1, object)
+    out[0] = values.tolist()
+    return out
 
-    kind = dict(df.dtypes)[key]
-    bits = counts.groupBy(key).applyInPandas(lengths, f"{key} {kind}, gram string, bits long")
-    sums = grams(df, key=key).join(bits, [key, "gram"]).groupBy(key, F.floor(F.col("pos") / window).alias("window")).agg(F.sum("bits").alias("s"))
-    return sums.withColumn("score", F.round(F.col("s") / F.max("s").over(Window.partitionBy(key)), 6)).where(F.col("window") < keep).select(key, "window", "score")
+
+def profile_vector(df: DataFrame, keep: int = 50, key: str = "doc_id") -> DataFrame:
+    """(key, profile): the trunk of the randomness profile as an array of keep + 1 values, zeros after a short one."""
+
+    def make(data: np.ndarray) -> dict:
+        score = (sums := window_sums(data)) / sums.max()
+        found = score[PRUNINGS["trunk"](score, keep)]
+        return {"profile": one_list(np.r_[found, np.zeros(keep + 1 - len(found))])}
+
+    return per_content(df, [key], make, {"profile": pa.list_(pa.float64())}, "profile array<double>")
+
+
+def bigram_bins(df: DataFrame, bins: int = 5000, key: str = "doc_id") -> DataFrame:
+    """(key, bins, shares): the bigram histogram in hashed bins, as sparse arrays."""
+
+    def make(data: np.ndarray) -> dict:
+        hashed = codes(data, 2) * 2_654_435_761 % (1 << 32) % bins
+        place, count = np.unique(hashed, return_counts=True)
+        return {"bins": one_list(place), "shares": one_list(count / max(1, len(hashed)))}
+
+    return per_content(df, [key], make, {"bins": pa.list_(pa.int32()), "shares": pa.list_(pa.float64())}, "bins array<int>, shares array<double>")
 
 
 def section_counts(sections: DataFrame, standard: list[str]) -> DataFrame:
@@ -195,18 +339,30 @@ def jumps(df: DataFrame, mnemonic: str, operand: str, names: list[str], key: str
     return df.groupBy(key).agg(F.count_if(jump).alias("n_jumps"), F.count_if(jump & ~F.startswith(F.col(operand), F.lit("0x"))).alias("n_indirect"))
 
 
-#: Fixed values of the ELF header: field, offset and size in the 64-bit layout.
-ELF64 = (("e_type", 16, 2), ("e_machine", 18, 2), ("e_version", 20, 4), ("e_entry", 24, 8), ("e_phoff", 32, 8), ("e_shoff", 40, 8), ("e_flags", 48, 4), ("e_ehsize", 52, 2), ("e_phentsize", 54, 2), ("e_phnum", 56, 2), ("e_shentsize", 58, 2), ("e_shnum", 60, 2), ("e_shstrndx", 62, 2))
+#: Fixed values of the ELF header after its 16 ident bytes: field, and its size in the 32-bit and the 64-bit layout.
+ELF = (("e_type", 2, 2), ("e_machine", 2, 2), ("e_version", 4, 4), ("e_entry", 4, 8), ("e_phoff", 4, 8), ("e_shoff", 4, 8), ("e_flags", 4, 4), ("e_ehsize", 2, 2), ("e_phentsize", 2, 2), ("e_phnum", 2, 2), ("e_shentsize", 2, 2), ("e_shnum", 2, 2), ("e_shstrndx", 2, 2))
 
 
 def elf_header(content: Column) -> list[Column]:
-    """The header's fields, little-endian, and the sum of its 16 ident bytes."""
-    def number(offset: int, size: int) -> Column:
-        parts = [F.hex(F.substring(content, offset + i + 1, 1)) for i in reversed(range(size))]
-        return F.conv(F.concat(*parts), 16, 10).cast("decimal(20,0)").cast("double")
+    """The ident bytes' class, byte order and version, their sum, and the header's fields, as doubles.
+
+    Byte 5 of a header says which layout it has (1: 32-bit, else 64-bit), byte 6 its byte order (2: the highest byte first, else the lowest).
+    """
+    byte = lambda i: F.conv(F.hex(F.substring(content, i, 1)), 16, 10).cast("int")
+
+    def number(offset: int, size: int, high_first: bool) -> Column:
+        raw = F.hex(F.substring(content, offset + 1, size))
+        if not high_first:
+            raw = F.concat(*(F.substring(raw, 2 * i + 1, 2) for i in reversed(range(size))))
+        return F.conv(raw, 16, 10).cast("decimal(20,0)").cast("double")
+
+    def field(place: int) -> Column:
+        narrow, wide = (16 + sum(f[k] for f in ELF[:place]) for k in (1, 2))
+        order = lambda offset, size: F.when(byte(6) == 2, number(offset, size, True)).otherwise(number(offset, size, False))
+        return F.when(byte(5) == 1, order(narrow, ELF[place][1])).otherwise(order(wide, ELF[place][2]))
 
     ident = F.aggregate(F.sequence(F.lit(1), F.lit(16)), F.lit(0), lambda a, i: a + F.conv(F.hex(F.substring(content, i, F.lit(1))), 16, 10).cast("int"))
-    return [ident.alias("e_ident"), *(number(o, s).alias(name) for name, o, s in ELF64)]
+    return [ident.alias("e_ident"), byte(5).alias("ei_class"), byte(6).alias("ei_data"), byte(7).alias("ei_version"), *(field(n).alias(f[0]) for n, f in enumerate(ELF))]
 
 
 def unpacked(vector: Column) -> Column:

@@ -7,8 +7,9 @@ distinct ones, P(word) = (c + v * P_lattice(word)) / (n + v). The model is a mix
 a document's probability is the sum over them: its language is not given to the model, it is summed out.
 
 Plan: (1) one pass over the texts makes chunks, rows of arrays: distinct words with counts, the texts as word numbers, piece
-counts; (2) words meet by one shuffle and get their counts over all chunks; (3) each chunk gets its words' counts back and
-scores its documents. Texts are read once and not shuffled; a chunk holds about a million tokens at any table size.
+counts; (2) counts are added up by word over all chunks; (3) the totals of words that stand in several chunks join back to the
+chunks, where a word of very many chunks may be split as any skewed join key is (a word of one chunk has its own counts there); (4) each
+chunk scores its documents. Texts are read once and not shuffled; a chunk holds about a million tokens at any table size.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.shared import new_folder, written
+from assaylake.llm.shared import blocks_for, new_folder, written
 
 #: Tokens and documents of a chunk, languages with counts of their own, added count of each piece.
 TOKENS, DOCS, LANGUAGES, ADDED = 1_000_000, 4000, 4, 0.01
+#: Chunks that a task scores.
+TOGETHER = 4
 #: Words of more characters, or of a smaller chance, are summed in logs; words and characters of a step there.
 LINEAR, SMALL, SIDE, SPAN = 96, 1e-290, 256, 256
 _SPACE = "▁"
@@ -222,7 +225,7 @@ _CHUNK = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("
 _CHUNK_TYPES = "chunk long, doc_ids array<long>, held array<boolean>, sizes array<long>, groups array<int>, tokens binary, words array<string>, counts array<array<long>>, pieces array<int>, piece_counts array<double>"
 
 
-def _chunks(docs: DataFrame, model, languages: list[str]) -> DataFrame:
+def _chunks(docs: DataFrame, model, languages: list[str], most: int = DOCS) -> DataFrame:
     """One row for each chunk of documents. Its number is drawn at random and committed with all that names it."""
     group = {lang: n for n, lang in enumerate(languages)}
     k = len(languages) + 1
@@ -250,7 +253,7 @@ def _chunks(docs: DataFrame, model, languages: list[str]) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows.append(row)
                 size += len(row[1] or "") // 6
-                if size >= TOKENS or len(rows) >= DOCS:
+                if size >= TOKENS or len(rows) >= most:
                     yield chunk(rows)
                     rows, size = [], 0
         if rows:
@@ -285,14 +288,15 @@ def lattice_scores(docs: DataFrame, path: str, languages: int = LANGUAGES) -> Da
     size = len(Pieces(model.value).names)
     piece_counts = np.zeros(k * size)
     piece_counts[counted["pieces"].to_numpy("i8")] = counted["n"].to_numpy("f8")
-    # Words: counts over all chunks. A word has one row for each chunk that holds it.
+    # Words: counts over all chunks. A word has one row for each chunk that holds it, and one in the totals.
     own = [F.col("w.counts")[g].alias(f"c{g}") for g in range(k)]
     zipped = F.arrays_zip("words", F.expr("transform(sequence(0, size(words) - 1), i -> transform(counts, c -> c[i]))").alias("counts"))
-    spread = chunks.where(F.size("words") > 0).select("chunk", F.posexplode(zipped).alias("place", "w")).select("chunk", "place", F.col("w.words").alias("word"), *own)
-    same = Window.partitionBy("word")
-    summed = spread.select("chunk", "place", *(F.sum(f"c{g}").over(same).alias(f"t{g}") for g in range(k)), (F.row_number().over(same.orderBy("chunk")) == 1).alias("first"))
-    totals = written(summed, "lm-words")
-    distinct = totals.where("first").agg(F.count(F.when(sum(F.col(f"t{g}") for g in range(k)) > 0, 1)).alias("v"), *(F.count(F.when(F.col(f"t{g}") > 0, 1)).alias(f"v{g}") for g in range(k))).collect()[0]
+    spread = chunks.where(F.size("words") > 0).select(F.explode(zipped).alias("w")).select(F.col("w.words").alias("word"), *own)
+    totals = written(spread.groupBy("word").agg(*(F.sum(f"c{g}").alias(f"t{g}") for g in range(k)), F.count("*").alias("n")), "lm-totals")
+    distinct = totals.agg(F.count(F.when(sum(F.col(f"t{g}") for g in range(k)) > 0, 1)).alias("v"), *(F.count(F.when(F.col(f"t{g}") > 0, 1)).alias(f"v{g}") for g in range(k))).collect()[0]
+    placed = spark.read.schema(_CHUNK_TYPES).parquet(folder).where(F.size("words") > 0).select("chunk", F.posexplode("words").alias("place", "word"))
+    # Spark's size of an exploded table is that before it: a merge join, which AQE splits at a word of very many chunks.
+    shared = placed.hint("merge").join(totals.where("n > 1").drop("n").hint("merge"), "word").drop("word")
     known = int(distinct["v"]) + int(trained[0].sum() > 0)  # and the end
     train_tokens = int(trained.sum())
     facts = spark.sparkContext.broadcast((piece_counts.reshape(k, size), trained, np.array([distinct[f"v{g}"] for g in range(k)], float) + 1))  # a number for each piece and language
@@ -302,10 +306,11 @@ def lattice_scores(docs: DataFrame, path: str, languages: int = LANGUAGES) -> Da
         pieces, (docs_in, words_in), variety = facts.value[0], facts.value[1], facts.value[2]
         lattice = _once(name, lambda: Lattice(Pieces(model.value), pieces, words_in + docs_in))
         out = []
-        for row in chunk.to_pylist():
-            place = words["place"].to_numpy()
+        for n, row in enumerate(chunk.drop_columns("counts").to_pylist()):
+            own, place = chunk.column("counts")[n].values, words["place"].to_numpy()
             count = np.zeros((len(row["words"]) + 1, k))  # the last row is the end
             for g in range(k):
+                count[:-1, g] = own[g].values.to_numpy(zero_copy_only=False)
                 count[place, g] = words[f"t{g}"].to_numpy()
             count[-1] = docs_in
             spelled = lattice.log_chance([*row["words"], ""])
@@ -331,5 +336,7 @@ def lattice_scores(docs: DataFrame, path: str, languages: int = LANGUAGES) -> Da
             out.append(pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(sizes + 1), "n_known": pa.array(np.add.reduceat((c[whole] > 0).astype(np.int64), starts)), "base_score": pa.array(np.add.reduceat(base[whole], starts)), "score": pa.array(score)}))
         return pa.concat_tables(out) if out else pa.table({c: pa.array([], t) for c, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
 
-    found = chunks.select("chunk", "doc_ids", "held", "sizes", "tokens", "words").groupBy("chunk").cogroup(totals.drop("first").groupBy("chunk")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    parts = blocks_for(chunks.count(), TOGETHER)
+    sides = chunks.select("chunk", "doc_ids", "held", "sizes", "tokens", "words", "counts").repartition(parts, "chunk"), shared.repartition(parts, "chunk")
+    found = sides[0].groupBy("chunk").cogroup(sides[1].groupBy("chunk")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

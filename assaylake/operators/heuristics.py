@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylake.functions.content import gram_counts, topk_part_entropy
+from assaylake.functions.content import topk_part_entropy
 
 
 def _sum(columns: list[Column]) -> Column:
@@ -70,10 +70,3 @@ def stump(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 
 def topk_feature(blobs: DataFrame, size: int = 512, k: int = 16, key: str = "doc_id") -> DataFrame:
     return topk_part_entropy(blobs, size, k, key)
-
-
-def bigram_bins(blobs: DataFrame, bins: int = 5000, key: str = "doc_id") -> DataFrame:
-    """(key, bins, shares): the bigram histogram in hashed bins as sparse arrays, for a linear model."""
-    counts = gram_counts(blobs, 2, key=key).groupBy(key, F.pmod(F.xxhash64("gram"), F.lit(bins)).cast("int").alias("bin")).agg(F.sum("n").alias("n"))
-    listed = F.array_sort(F.collect_list(F.struct("bin", "n")))
-    return counts.groupBy(key).agg(listed.alias("l"), F.sum("n").alias("all")).select(key, F.col("l.bin").alias("bins"), F.transform("l", lambda s: s["n"] / F.col("all")).alias("shares"))

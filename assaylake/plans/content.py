@@ -181,9 +181,28 @@ def block_size_histogram(spark, d):
     return sorted_histogram(views.blocks(spark, d).withColumn("size", F.coalesce("size", F.lit(0))), "size", "mnemonic")
 
 
-@register()
+def _elf_sql() -> str:
+    def number(offset: int, size: int) -> str:
+        low = " || ".join(f"substr(h, {2 * (offset + i) + 1}, 2)" for i in reversed(range(size)))
+        return f"CAST(CASE WHEN substr(h, 11, 2) = '02' THEN CAST('0x' || substr(h, {2 * offset + 1}, {2 * size}) AS UBIGINT) ELSE CAST('0x' || {low} AS UBIGINT) END AS DOUBLE)"
+
+    out, narrow, wide = [], 16, 16
+    for name, a, b in content.ELF:
+        out.append(f"CASE WHEN substr(h, 9, 2) = '01' THEN {number(narrow, a)} ELSE {number(wide, b)} END AS {name}")
+        narrow, wide = narrow + a, wide + b
+    byte = lambda i: f"CAST('0x' || substr(h, {2 * i - 1}, 2) AS INTEGER)"
+    return f"SELECT doc_id, {' + '.join(byte(i) for i in range(1, 17))} AS e_ident, {byte(5)} AS ei_class, {byte(6)} AS ei_data, {byte(7)} AS ei_version, {', '.join(out)} FROM headers"
+
+
+_HEADERS = """headers AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '7F454C4602' || '01' || substr(h, 13) WHEN 1 THEN '7F454C4601' || '01' || substr(h, 13) WHEN 2 THEN '7F454C4602' || '02' || substr(h, 13) ELSE '7F454C4601' || '02' || substr(h, 13) END AS h FROM blobs WHERE n >= 64)"""
+
+
+@register(sql(f"WITH {_HEADERS} {_elf_sql()}", "blobs"))
 def elf_header_fields(spark, d):
-    return blobs(spark, d).where("octet_length(content) >= 64").select("doc_id", *content.elf_header(F.col("content")))
+    """The texts' bytes behind an ELF ident of either class and byte order, by doc_id."""
+    ident = F.when(F.col("doc_id") % 4 == 0, "7F454C460201").when(F.col("doc_id") % 4 == 1, "7F454C460101").when(F.col("doc_id") % 4 == 2, "7F454C460202").otherwise("7F454C460102")
+    rows = blobs(spark, d).where("octet_length(content) >= 64")
+    return rows.select("doc_id", F.concat(F.unhex(ident), F.substring("content", F.lit(7), F.octet_length("content"))).alias("content")).select("doc_id", *content.elf_header(F.col("content")))
 
 
 @register("SELECT vec_id, CAST(CASE WHEN label % 3 = 0 THEN NULL ELSE embedding[1] END AS FLOAT) AS v0, embedding[64] AS v63 FROM embeddings")
@@ -250,10 +269,16 @@ def raw_alias_features(spark, d):
     return rows.select("vec_id", *(F.element_at("embedding", i + 1).alias(f"byte_{i}_after_ep") for i in range(64)))
 
 
-@register()
+@register(sql(f"""WITH {_grams(1)}, c AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY 1, 2), e AS (SELECT doc_id, {_ENTROPY} AS entropy FROM c GROUP BY 1),
+    k AS (SELECT doc_id, pos // 256 AS block, gram, count(*) AS n FROM g GROUP BY 1, 2, 3), l AS (SELECT doc_id, block, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS e, max(n) / sum(n) AS top FROM k GROUP BY 1, 2),
+    b AS (SELECT doc_id, count(*) AS blocks, round(avg(e), 6) AS avg_entropy, round(max(e), 6) AS max_entropy FROM l WHERE top < 0.5 GROUP BY 1)
+    SELECT doc_id, n AS size, CAST(len(regexp_extract_all(text, '[ -~]{{5,}}')) AS INTEGER) AS n_strings, text IS NULL AS failed, entropy, blocks, avg_entropy, max_entropy, entropy > 4.2 AS is_high,
+           CAST(len(regexp_extract_all(text, '[ -~]{{5,}}')) AS DOUBLE) / blocks AS per_block FROM blobs LEFT JOIN e USING (doc_id) LEFT JOIN b USING (doc_id)""", "blobs"))
 def compute_all_features(spark, d):
+    """All features of each document in one row; a document without content has failed set and nulls."""
     docs = blobs(spark, d)
-    parts = docs.select("doc_id", F.octet_length("content").alias("size"), F.size(content.strings(F.col("content"))).alias("n_strings"))
+    text = F.col("content")
+    parts = docs.select("doc_id", F.octet_length("content").alias("size").cast("long").alias("size"), F.when(text.isNotNull(), F.size(content.strings(text))).alias("n_strings"), text.isNull().alias("failed"))
     joined = parts.join(content.file_entropy(docs), "doc_id", "left").join(content.block_entropy(docs), "doc_id", "left")
     return derive.derive(joined, {"is_high": "entropy > 4.2", "per_block": "n_strings / blocks"})
 

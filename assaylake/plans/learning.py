@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from assaylake.functions import content
 from assaylake.operators import explain, heuristics, metrics, models, preprocess, selection
 from assaylake.plans.content import per_sample
 from assaylake.plans.quality import gaps
@@ -365,22 +366,21 @@ def burgess_topk(spark, d):
 @register()
 def nataraj_bigram(spark, d):
     from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    rows = heuristics.bigram_bins(blobs(spark, d), 256).join(_labelled(spark, d), "doc_id")
-    dense = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at(F.map_from_arrays("bins", "shares"), i.cast("int")), F.lit(0.0)))
-    vec = rows.select("doc_id", "y", array_to_vector(dense).alias("features"))
+    sparse = F.udf(lambda bins, shares: SparseVector(5000, bins, shares), VectorUDT())
+    vec = content.bigram_bins(blobs(spark, d)).join(_labelled(spark, d), "doc_id").select("doc_id", "y", sparse("bins", "shares").alias("features"))
+    vec = written(vec, "bigrams")  # the fit goes through it many times
     return LinearSVC(labelCol="y", maxIter=20, regParam=0.01).fit(vec).transform(vec).select("doc_id", F.col("prediction").cast("int").alias("prediction"))
 
 
 @register()
 def sun_profile(spark, d):
-    from assaylake.functions.content import randomness_profile
+    from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.functions import array_to_vector
 
-    profile = randomness_profile(blobs(spark, d), keep=8).groupBy("doc_id").pivot("window", list(range(8))).agg(F.first("score")).fillna(0.0)
-    names = [f"w{i}" for i in range(8)]
-    rows = profile.toDF("doc_id", *names).join(_labelled(spark, d), "doc_id")
-    return models.predict(models.train(rows, "nb", names, "y"), rows).select("doc_id", "prediction")
+    vec = written(content.profile_vector(blobs(spark, d)).join(_labelled(spark, d), "doc_id").select("doc_id", "y", array_to_vector("profile").alias("features")), "profiles")
+    return NaiveBayes(labelCol="y", modelType="gaussian").fit(vec).transform(vec).select("doc_id", F.col("prediction").cast("int").alias("prediction"))
 
 
 # ---------------------------------------------------------------- metrics
