@@ -25,7 +25,7 @@ from assaylake.llm.shared import cut, written
 WORD = re.compile(r"\w+")
 #: Hash rows, size of an embedding, filter widths, filters of each width.
 ROWS, SIZE, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 16
-#: Labelled documents drawn of either class, and the length in characters beyond which none is drawn for training.
+#: Labelled documents drawn of either class, and the characters of each that training reads at most (scores read whole texts).
 SAMPLE, SAMPLE_CHARS = 3000, 65_536
 #: The score from which a document counts as toxic where no threshold is calibrated, and the thresholds to choose from.
 THRESHOLD, STEPS = 0.3, tuple(k / 20 for k in range(1, 20))
@@ -220,22 +220,24 @@ def _known(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("toxic").isin(0, 1) & (_remainder("doc_id") != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Net:
     """Learns from labels (doc_id, toxic 0 or 1) of rows whose crc32(doc_id as text) mod 4 is not 2.
 
-    At most `sample` documents of either class, the first by a hash of the id, of at most SAMPLE_CHARS characters, come to
-    the driver; the class shares are counted over all labelled rows. A fifth of the sample is kept out for the thresholds (see calibrated()).
-    Rows with another label, a null one or a null id teach nothing; a document labelled both ways counts as toxic. Without
-    rows of both classes the score is the share of toxic ones, or 0.
+    At most `sample` documents of either class, the first by a hash of the id, come to the driver, one text for each id (the least, where an
+    id has several) and at most `chars` characters of it: these two parameters bound what is learned from. The class shares are counted over
+    all labelled rows. A fifth of the sample is kept out for the thresholds (see calibrated()). Rows with another label, a null one or
+    a null id teach nothing; a document labelled both ways counts as toxic. Without rows of both classes the score is
+    the share of toxic ones, or 0.
     """
     known = _known(labels)
     shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     drawn = None
     for label in (0, 1):
-        ids = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(sample)
+        ids = known.where(F.col("toxic") == label).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(sample)
         drawn = ids if drawn is None else drawn.unionByName(ids)
-    texts = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).select("doc_id", "text")
-    got = sorted(texts.join(F.broadcast(drawn), "doc_id").collect(), key=lambda r: (zlib.crc32(f"s{r['doc_id']}".encode()), r["doc_id"], r["text"] or ""))  # 2 * sample rows at most, and as many copies of an id as docs holds
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text")).join(F.broadcast(drawn), "doc_id")
+    once = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # copies of an id meet before they reach the driver
+    got = sorted(once.collect(), key=lambda r: (zlib.crc32(f"s{r['doc_id']}".encode()), r["doc_id"]))  # 2 * sample rows at most
     y = np.array([r["toxic"] for r in got], int)
     prior = (shares.get(1, 0) + 0.5) / (sum(shares.values()) + 1)
     if len(set(y.tolist())) < 2:
@@ -244,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net:
         net.shift = math.log(prior / (1 - prior)) if shares else -40.0
         return net
     part = len(got) // 5
-    net = train([r["text"] or "" for r in got[part:]], y[part:].tolist())
+    net = train([r["text"] for r in got[part:]], y[part:].tolist())
     seen = y[part:].mean()
     net.shift += math.log(prior / (1 - prior)) - math.log(seen / (1 - seen))
     net.taught = [int(r["doc_id"]) for r in got[part:]]
@@ -270,23 +272,23 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang).select("doc_id", "text", "lang").mapInArrow(each, "doc_id long, lang string, score double")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs.
 
     held_out: crc32(doc_id as text) mod 4 is 2 (a null id: false, and it is not learned from). score: 0 to 1, from the text alone; null and empty
     texts have a score like any other. predicted: 1 if score >= 0.3. Repeated rows stay; other columns, whatever their
     names, are not read; an empty table gives an empty one.
     """
-    scored = score(docs, fit(docs, labels, sample))
+    scored = score(docs, fit(docs, labels, sample, chars))
     return scored.select("doc_id", F.coalesce(_remainder("doc_id") == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
     """docs without the rows whose score reaches their language's threshold (see calibrated(); 0.3 where nothing is learned); columns as in docs.
 
     The rows are scored once and written with their scores: thresholds need the scores of all labelled rows first.
     """
-    net = fit(docs, labels, sample)
+    net = fit(docs, labels, sample, chars)
     columns = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(net)
     name = f"{docs.sparkSession.sparkContext.applicationId} {sent._jbroadcast.id()}"
