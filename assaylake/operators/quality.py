@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Weights of the overall score; margins of the balances; bounds of plausible files.
-WEIGHTS = {"completeness": 1.0, "consistency": 1.0, "file_balance": 1.0, "label_balance": 1.0, "outliers": 1.0, "uniqueness": 1.0}
+WEIGHTS = {"completeness": 1.0, "consistency": 1.0, "file_balance": 1.0, "label_balance": 1.0, "outliers": 1.0, "portability": 1.0, "similarity": 1.0, "uniqueness": 1.0}
 FILE_MARGIN, LABEL_MARGIN = 0.2, 0.1
 LEAST_SIZE, MOST_SIZE, FIRST_YEAR = 1 << 10, 100 << 20, 2000
 #: Shares of the deletions that a repair may make, in all at most BUDGET of the rows.
@@ -63,10 +63,46 @@ def uniqueness(df: DataFrame, columns: tuple[str, ...] = ("hash",)) -> DataFrame
     return counts.agg(F.round(F.count("*") / F.sum("n"), 6).alias("uniqueness"))
 
 
-def similarity_score(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Share of rows without an earlier row of the same key."""
-    first = df.groupBy(key).agg(F.count("*").alias("n"))
-    return first.agg(F.round(1 - F.sum(F.col("n") - 1) / F.sum("n"), 6).alias("similarity"))
+def similarity_score(df: DataFrame, classes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """1 - the share of rows with an earlier similar one (a smaller key).
+
+    classes: (key, first), the row that stands for rows of equal content; pairs: (a, b) of similar ones, a the smaller. Rows that classes does not hold are
+    similar to none.
+    """
+    copies = classes.where(F.col(key) != F.col("first")).agg(F.count("*").alias("c"))
+    later = pairs.select("b").distinct().agg(F.count("*").alias("l"))
+    row = df.agg(F.count("*").alias("n")).join(copies).join(later)  # one row each
+    return row.select(F.round(1 - (F.col("c") + F.col("l")) / F.col("n"), 6).alias("similarity"))
+
+
+def portability_score(df: DataFrame, portability: Column) -> DataFrame:
+    """Mean portability of the samples."""
+    return df.agg(F.round(F.avg(portability), 6).alias("portability"))
+
+
+def overall_scores(df: DataFrame, columns: list[str], formats: list[str], portability: Column, similarity: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """One row of all scores of a sample table and their weighted mean: completeness, consistency, file and label balance, outliers, portability, similarity, uniqueness.
+
+    Means come from one aggregate; balances and uniqueness from one grouping of (column, value), pre-aggregated before the shuffle.
+    """
+    size, date = plausible()
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
+    means = df.agg(
+        F.round(1 - F.avg(null_share(columns)), 6).alias("completeness"),
+        F.round((share(F.col("hash").isNotNull()) + share(F.col("format").isin(formats)) + share(F.col("label").isNotNull())) / 3, 6).alias("consistency"),
+        F.round((share(size) + share(date)) / 2, 6).alias("outliers"),
+        F.round(F.avg(portability), 6).alias("portability"),
+    )
+    counted = ("format", "signature", "size", "label", "hash")
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("f"), F.col(c).cast("string").alias("v")) for c in counted))).alias("p")).select("p.*")
+    spread = long.where("f <> 'label' or v <> '?'").groupBy("f", "v").agg(F.count("*").alias("n")).groupBy("f").agg((F.max("n") / F.sum("n") - F.min("n") / F.sum("n")).alias("gap"), (F.count("*") / F.sum("n")).alias("distinct"))
+    even = lambda margin: 1 - F.greatest(F.lit(0.0), F.col("gap") - 2 * margin)
+    others = spread.agg(
+        F.round(F.avg(F.when(F.col("f").isin("format", "signature", "size"), even(FILE_MARGIN))), 6).alias("file_balance"),
+        F.round(F.max(F.when(F.col("f") == "label", even(LABEL_MARGIN))), 6).alias("label_balance"),
+        F.round(F.max(F.when(F.col("f") == "hash", F.col("distinct"))), 6).alias("uniqueness"),
+    )
+    return overall([means, others, similarity], weights)
 
 
 def overall(scores: list[DataFrame], weights: dict[str, float] | None = None) -> DataFrame:

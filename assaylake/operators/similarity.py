@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import count, groupby
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from assaylake.sources.scratch import cut
 
 #: Words of a shingle, hash rows of a signature, rows of a band.
 WORDS, ROWS, BAND = 5, 64, 4
+#: Keys of a bucket that meet in one task.
+PART = 1024
 #: Rounds of greedy_keep between looks at what is open, and the similar pairs that the driver settles.
 EARLY, FEW = 8, 100_000
 
@@ -26,9 +30,37 @@ def shingles(text: Column, words: int = WORDS) -> Column:
     return bound(parts, lambda p: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(p) - (words - 1))), lambda i: F.array_join(F.slice(p, i, words), " "))))
 
 
+def hashes(text: Column) -> Column:
+    """The 64-bit hashes of the shingles of a text, sorted and distinct."""
+    return F.array_sort(F.array_distinct(F.transform(shingles(text), lambda x: F.xxhash64(x))))
+
+
+def _factors(rows: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(64)
+    return rng.integers(1, 1 << 63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, rows, dtype=np.uint64)
+
+
 def signature(items: Column, rows: int = ROWS) -> Column:
-    """MinHash signature: for each row the smallest seeded hash of the items."""
-    return bound(items, lambda s: F.array(*(F.array_min(F.transform(s, lambda x: F.xxhash64(x, F.lit(r)))) for r in range(rows))))
+    """MinHash signature of an array of hashes: for each row the smallest value of a seeded linear hash; null or empty: null."""
+
+    @F.pandas_udf("array<long>")
+    def signed(sets: pd.Series) -> pd.Series:
+        mult, add = _factors(rows)
+        out = []
+        for one in sets:
+            if one is None or not len(one):
+                out.append(None)
+                continue
+            one = np.asarray(one, np.int64).view(np.uint64)
+            low = np.full(rows, np.iinfo(np.uint64).max, np.uint64)
+            for start in range(0, len(one), 65_536):  # bounded memory for very long texts
+                part = one[start : start + 65_536]
+                mixed = part[None, :] * mult[:, None] + add[:, None]
+                low = np.minimum(low, (mixed ^ mixed >> np.uint64(29)).min(1))
+            out.append(low.view(np.int64))
+        return pd.Series(out)
+
+    return signed(items)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -49,24 +81,45 @@ def candidates(sets: DataFrame, key: str, rows: int = ROWS, band: int = BAND) ->
     return signed.select(key, F.explode(bands).alias("b")).select(key, "b.i", "b.h")
 
 
+def _met(banded: DataFrame, key: str, part: int = PART) -> DataFrame:
+    """(a, b): distinct pairs of keys that share a band. A bucket of more than part keys is split by a hash of the key, and its parts are met pair by pair."""
+    banded = cut(banded)
+    sizes = banded.groupBy("i", "h").count().where("count > 1").select("i", "h", F.ceil(F.col("count") / part).cast("int").alias("parts"))
+    own = banded.join(sizes, ["i", "h"]).withColumn("own", F.pmod(F.xxhash64(key), "parts").cast("int"))
+    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("i", "h", F.least("own", "other").alias("l"), F.greatest("own", "other").alias("r"), "own", key)
+    one, two = spread.withColumnRenamed(key, "a"), spread.withColumnsRenamed({key: "b", "own": "own_b"})
+    met = one.join(two, ["i", "h", "l", "r"]).where((F.col("a") < F.col("b")) & ((F.col("own") != F.col("own_b")) | (F.col("l") == F.col("r"))))
+    return met.select("a", "b").distinct()
+
+
+def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """((key, items) of one row for each distinct set of shingles, that of the smallest key; (key, first) for each row: the key that stands for it)."""
+    named = cut(docs.select(key, hashes(F.col(text)).alias("items")).withColumns({"h": F.xxhash64("items"), "g": F.xxhash64(F.lit(1), "items")}))
+    firsts = named.groupBy("h", "g").agg(F.min(key).alias("first"))
+    members = named.select(key, "h", "g").join(firsts, ["h", "g"]).select(key, "first")
+    own = firsts.select(F.col("first").alias(key), "h", "g")
+    return cut(named.join(own, [key, "h", "g"], "left_semi").select(key, "items").dropDuplicates([key])), members
+
+
 def similar_pairs(docs: DataFrame, key: str, text: str, threshold: float = 80.0) -> DataFrame:
     """(a, b, score): pairs of different texts with score >= threshold that share a band.
 
     Rows with equal shingles are one class first, named by its smallest key, so that a group of copies gives no pairs;
     exact_classes() says which row stands for which.
     """
-    classes = docs.select(key, shingles(F.col(text)).alias("items")).groupBy("items").agg(F.min(key).alias(key))
-    sets = cut(classes.select(key, "items"))
-    banded = candidates(sets, key)
-    pairs = banded.alias("x").join(banded.alias("y"), (F.col("x.i") == F.col("y.i")) & (F.col("x.h") == F.col("y.h")) & (F.col(f"x.{key}") < F.col(f"y.{key}"))).select(F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b")).distinct()
+    return pairs_of(classes(docs, key, text)[0], key, threshold)
+
+
+def pairs_of(sets: DataFrame, key: str, threshold: float = 80.0) -> DataFrame:
+    """As similar_pairs, of the classes (key, items)."""
+    pairs = _met(candidates(sets, key), key)
     scored = pairs.join(sets.select(F.col(key).alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col(key).alias("b"), F.col("items").alias("ib")), "b")
     return scored.select("a", "b", jaccard(F.col("ia"), F.col("ib")).alias("score")).where(F.col("score") >= threshold)
 
 
 def exact_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, first): the smallest key of the rows with the same set of shingles."""
-    named = docs.select(key, F.xxhash64(F.array_sort(shingles(F.col(text)))).alias("h"))
-    return named.join(named.groupBy("h").agg(F.min(key).alias("first")), "h").select(key, "first")
+    return classes(docs, key, text)[1]
 
 
 def greedy_keep(keys: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
@@ -97,12 +150,6 @@ def greedy_keep(keys: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     return state.where("kept").select(key)
 
 
-def similar_to(docs: DataFrame, key: str, text: str, reference: str, threshold: float) -> DataFrame:
-    """(key, score) of the rows at least threshold similar to one reference text, the most similar first."""
-    scored = docs.select(key, jaccard(shingles(F.col(text)), shingles(F.lit(reference))).alias("score"))
-    return scored.where(F.col("score") >= threshold).orderBy(F.col("score").desc(), key)
-
-
 def drop_most_similar(docs: DataFrame, pairs: DataFrame, key: str, n: int) -> DataFrame:
     """docs without the second members of the n most similar pairs."""
     gone = pairs.orderBy(F.col("score").desc(), "a", "b").limit(n).select(F.col("b").alias(key))

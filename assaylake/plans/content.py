@@ -8,6 +8,7 @@ from assaylake.functions import content
 from assaylake.operators import derive, similarity
 from assaylake.plans.registry import register
 from assaylake.sources import views
+from assaylake.sources.scratch import cut
 from assaylake.sources.views import blobs, samples, sections, sql, table
 
 
@@ -288,10 +289,12 @@ def compute_all_features(spark, d):
 
 @register()
 def fuzzy_signature(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.hex(F.xxhash64(similarity.signature(similarity.shingles(F.col("text")), 16))).alias("signature"))
+    """The MinHash signature of each text as 64 numbers: the share of equal places of two signatures estimates the texts' similarity."""
+    items = cut(table(spark, d, "documents").where("text is not null").select("doc_id", similarity.hashes(F.col("text")).alias("items")))
+    return items.select("doc_id", F.array_join(similarity.signature(F.col("items")).cast("array<string>"), ":").alias("signature"))
 
 
-_SHINGLES = """
+SHINGLES = """
     t AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
     s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS items FROM t),
     c AS (SELECT items, min(doc_id) AS doc_id FROM s GROUP BY 1), e AS (SELECT doc_id, len(items) AS n, unnest(items) AS item FROM c),
@@ -303,14 +306,14 @@ def _pairs(spark, d):
     return similarity.similar_pairs(table(spark, d, "documents").where("text is not null"), "doc_id", "text")
 
 
-@register(f"WITH {_SHINGLES} SELECT * FROM pairs")
+@register(f"WITH {SHINGLES} SELECT * FROM pairs")
 def similar_pairs(spark, d):
     return _pairs(spark, d)
 
 
-@register(f"WITH {_SHINGLES} SELECT s.doc_id, t.doc_id AS other, round(100 * len(list_intersect(s.items, t.items)) / len(list_distinct(list_concat(s.items, t.items))), 6) AS score FROM s JOIN s t ON t.doc_id = s.doc_id + 1")
+@register(f"WITH {SHINGLES} SELECT s.doc_id, t.doc_id AS other, round(100 * len(list_intersect(s.items, t.items)) / len(list_distinct(list_concat(s.items, t.items))), 6) AS score FROM s JOIN s t ON t.doc_id = s.doc_id + 1")
 def pair_similarity(spark, d):
-    sets = table(spark, d, "documents").where("text is not null").select("doc_id", similarity.shingles(F.col("text")).alias("items"))
+    sets = table(spark, d, "documents").where("text is not null").select("doc_id", similarity.hashes(F.col("text")).alias("items"))
     after = sets.select((F.col("doc_id") - 1).alias("doc_id"), F.col("items").alias("other_items"))
     return sets.join(after, "doc_id").select("doc_id", (F.col("doc_id") + 1).alias("other"), similarity.jaccard(F.col("items"), F.col("other_items")).alias("score"))
 
@@ -322,11 +325,13 @@ def digest_format(spark, d):
     return table(spark, d, "documents").select("doc_id", similarity.digest_kind(digest).alias("kind"))
 
 
-@register()
+@register(f"""WITH RECURSIVE {SHINGLES}, todo AS (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id FROM c),
+    kept AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS ids UNION ALL
+        SELECT t.k, CASE WHEN EXISTS (SELECT 1 FROM pairs p WHERE p.b = t.doc_id AND list_contains(kept.ids, p.a)) THEN kept.ids ELSE list_append(kept.ids, t.doc_id) END FROM kept JOIN todo t ON t.k = kept.k + 1)
+    SELECT unnest(ids) AS doc_id FROM (SELECT ids FROM kept ORDER BY k DESC LIMIT 1)""")
 def near_dedup(spark, d):
-    docs = table(spark, d, "documents").where("text is not null")
-    firsts = similarity.exact_classes(docs, "doc_id", "text").where("doc_id = first").select("doc_id")
-    return similarity.greedy_keep(firsts, _pairs(spark, d), "doc_id")
+    sets, _ = similarity.classes(table(spark, d, "documents").where("text is not null"), "doc_id", "text")
+    return similarity.greedy_keep(sets.select("doc_id"), similarity.pairs_of(sets, "doc_id"), "doc_id")
 
 
 @register("""
@@ -340,7 +345,7 @@ def similar_to_reference(spark, d):
     return scored.where("score >= 5").orderBy(F.col("score").desc(), "item_id")
 
 
-@register(f"WITH {_SHINGLES} SELECT doc_id FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT b FROM (SELECT * FROM pairs ORDER BY score DESC, a, b LIMIT 15))")
+@register(f"WITH {SHINGLES} SELECT doc_id FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT b FROM (SELECT * FROM pairs ORDER BY score DESC, a, b LIMIT 15))")
 def drop_most_similar(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
     return similarity.drop_most_similar(docs, _pairs(spark, d), "doc_id", 15).select("doc_id")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from assaylake.operators import aggregate, joins, quality, voting
+from assaylake.functions import content
+from assaylake.operators import aggregate, history, quality, similarity, voting
+from assaylake.plans.content import SHINGLES
 from assaylake.plans.registry import register
 from assaylake.plans.tables import _distinct_samples
 from assaylake.sources import views
-from assaylake.sources.scratch import new_folder
+from assaylake.sources.scratch import new_folder, written
 from assaylake.sources.views import samples, sql, table
 
 _GAPS = "gaps AS (SELECT hash, doc_id, CASE WHEN doc_id % 7 <> 0 THEN format END AS format, CASE WHEN doc_id % 11 <> 0 THEN size END AS size, CASE WHEN doc_id % 5 <> 0 THEN label END AS label FROM samples)"
@@ -52,9 +56,27 @@ def label_balance(spark, d):
     return quality.balance(samples(spark, d), "label", 0.1)
 
 
-@register(sql("SELECT round(1 - sum(n - 1) / sum(n), 6) AS similarity FROM (SELECT hash, count(*) AS n FROM samples GROUP BY 1)", "samples"))
+_EARLIER = "(SELECT count(*) FROM s) - (SELECT count(*) FROM c) + (SELECT count(DISTINCT b) FROM pairs)"
+
+
+def _similarity(spark, d):
+    sets, members = similarity.classes(table(spark, d, "documents").where("text is not null"), "doc_id", "text")
+    return quality.similarity_score(table(spark, d, "documents"), members, similarity.pairs_of(sets, "doc_id"), "doc_id")
+
+
+@register(f"WITH {SHINGLES} SELECT round(1 - ({_EARLIER}) / count(*), 6) AS similarity FROM documents")
 def similarity_score(spark, d):
-    return quality.similarity_score(samples(spark, d), "hash", "doc_id")
+    return _similarity(spark, d)
+
+
+#: What takes from a sample's portability, and how much.
+RULES = {"format = 'ELF32'": 0.25, "size > 5000": 0.125, "label like 'fam%'": 0.5, "signature like '%3 sections'": 0.25}
+_PORTABLE = "round(greatest(0, least(1, 1 - (" + " + ".join(f"CASE WHEN {rule} THEN {penalty} ELSE 0 END" for rule, penalty in RULES.items()) + "))), 3)"
+
+
+@register(sql(f"SELECT round(avg({_PORTABLE}), 6) AS portability FROM samples", "samples"))
+def portability(spark, d):
+    return quality.portability_score(samples(spark, d), content.portability(RULES))
 
 
 @register(sql("SELECT round((avg(CAST(size BETWEEN 1024 AND 104857600 AS INTEGER)) + avg(CAST(year(mtime) >= 2000 AS INTEGER))) / 2, 6) AS outliers FROM samples", "samples"))
@@ -67,17 +89,24 @@ def uniqueness(spark, d):
     return quality.uniqueness(samples(spark, d))
 
 
+_SCORED = "g AS (SELECT * REPLACE (CASE WHEN doc_id % 7 <> 0 THEN format END AS format, CASE WHEN doc_id % 5 <> 0 THEN label END AS label) FROM samples)"
+
+
 @register(sql(f"""
-    WITH {_GAPS}, s AS (SELECT
-        (SELECT round(1 - avg({_NULLS}), 6) FROM gaps) AS completeness,
-        (SELECT round(count(*) / sum(n), 6) FROM (SELECT hash, count(*) AS n FROM samples GROUP BY 1)) AS uniqueness,
-        (SELECT round((avg(CAST(size BETWEEN 1024 AND 104857600 AS INTEGER)) + avg(CAST(year(mtime) >= 2000 AS INTEGER))) / 2, 6) FROM samples) AS outliers,
-        ({_balance_sql("label", 0.1, "WHERE label <> '?'")}) AS label_balance)
-    SELECT *, round((completeness + uniqueness + outliers + label_balance) / 4, 6) AS overall FROM s""", "samples"))
+    WITH {SHINGLES}, {_SCORED}, l AS (SELECT 'format' AS f, format AS v FROM g UNION ALL SELECT 'signature', signature FROM g UNION ALL SELECT 'size', CAST(size AS VARCHAR) FROM g),
+    n AS (SELECT f, v, count(*) AS n FROM l GROUP BY 1, 2), b AS (SELECT f, 1 - greatest(0, max(n) / sum(n) - min(n) / sum(n) - 0.4) AS b FROM n GROUP BY 1), lb AS (SELECT label, count(*) AS n FROM g WHERE label <> '?' GROUP BY 1),
+    x AS (SELECT (SELECT round(1 - avg({_NULLS}), 6) FROM g) AS completeness,
+        (SELECT round((avg(CAST(hash IS NOT NULL AS INTEGER)) + avg(CAST(coalesce(format IN ('PE32', 'PE64', 'ELF64'), false) AS INTEGER)) + avg(CAST(label IS NOT NULL AS INTEGER))) / 3, 6) FROM g) AS consistency,
+        (SELECT round((avg(CAST(size BETWEEN 1024 AND 104857600 AS INTEGER)) + avg(CAST(year(mtime) >= 2000 AS INTEGER))) / 2, 6) FROM g) AS outliers,
+        (SELECT round(avg({_PORTABLE}), 6) FROM g) AS portability,
+        (SELECT round(avg(b), 6) FROM b) AS file_balance,
+        (SELECT round(1 - greatest(0, max(n) / sum(n) - min(n) / sum(n) - 0.2), 6) FROM lb) AS label_balance,
+        (SELECT round(count(*) / sum(n), 6) FROM (SELECT hash, count(*) AS n FROM g GROUP BY 1)) AS uniqueness,
+        (SELECT round(1 - ({_EARLIER}) / count(*), 6) FROM documents) AS similarity)
+    SELECT *, round((completeness + consistency + outliers + portability + file_balance + label_balance + uniqueness + similarity) / 8, 6) AS overall FROM x""", "samples"))
 def overall_quality(spark, d):
-    rows = samples(spark, d)
-    scores = [quality.completeness(gaps(spark, d), COLUMNS), quality.uniqueness(rows), quality.outlier_score(rows), quality.balance(rows, "label", 0.1).withColumnRenamed("balance", "label_balance")]
-    return quality.overall(scores)
+    rows = samples(spark, d).withColumns({"format": F.when(F.col("doc_id") % 7 != 0, F.col("format")), "label": F.when(F.col("doc_id") % 5 != 0, F.col("label"))})
+    return quality.overall_scores(written(rows, "scored"), COLUMNS, ["PE32", "PE64", "ELF64"], content.portability(RULES), _similarity(spark, d))
 
 
 @register(sql("WITH n AS (SELECT count(*) AS n FROM samples) SELECT repair, CAST(floor(round(n * 0.1 * share, 6)) AS BIGINT) AS budget FROM n, (VALUES ('similarity', 0.4), ('portability', 0.1), ('label_balance', 0.15), ('file_balance', 0.2), ('outliers', 0.05), ('completeness', 0.1)) s(repair, share)", "samples"))
@@ -139,12 +168,30 @@ def altered_share(spark, d):
     return quality.altered_share(samples(spark, d), samples(spark, d).where("doc_id % 6 = 0"))
 
 
-@register(sql("SELECT count(*) AS n, 0 AS only_left, 0 AS only_right FROM samples", "samples").replace("0 AS only_left, 0 AS only_right", "CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right"))
-def snapshot_revert(spark, d):
-    rows = samples(spark, d).select("hash", "doc_id", "label")
-    rows.write.parquet(path := new_folder(spark, "snapshot"))
-    back = spark.read.parquet(path)
-    return back.agg(F.count("*").alias("n")).join(joins.differing(rows, back))
+def _changed(spark, d):
+    """A table's history: a snapshot before each of five changes, each of which drops some rows; and one more that finds nothing changed. (folder, last table)."""
+    rows, folder = samples(spark, d).select("hash", "doc_id", "label"), new_folder(spark, "history")
+    rows = written(rows, "table")
+    for k in range(2, 7):
+        history.take(rows, folder)
+        rows = rows.where(F.col("doc_id") % 7 != k)
+    history.take(spark.read.parquet(f"{folder}/v4"), folder)
+    return folder, rows
+
+
+@register(sql(" UNION ALL ".join(f"SELECT {k} AS number, count(*) AS n FROM samples WHERE doc_id % 7 NOT BETWEEN 2 AND {k + 1}" for k in (0, 2, 3, 4)), "samples"))
+def snapshot(spark, d):
+    """The snapshots that are kept, with their rows: the first and the last three of five."""
+    folder, _ = _changed(spark, d)
+    kept = [spark.read.parquet(f"{folder}/v{n}").agg(F.lit(n).alias("number"), F.count("*").alias("n")) for n in history.numbers(spark, folder)]
+    return reduce(lambda a, b: a.unionByName(b), kept)
+
+
+@register(sql("SELECT 'initial' AS target, hash, doc_id, label FROM samples UNION ALL SELECT 'last', hash, doc_id, label FROM samples WHERE doc_id % 7 NOT BETWEEN 2 AND 5", "samples"))
+def revert(spark, d):
+    folder, _ = _changed(spark, d)
+    back = [history.revert(spark, folder, to).select(F.lit(to).alias("target"), "hash", "doc_id", "label") for to in ("initial", "last")]
+    return back[0].unionByName(back[1])
 
 
 # ---------------------------------------------------------------- votes
@@ -239,8 +286,9 @@ def prompt_render(spark, d):
     return voting.render_prompt(rows, {"quantity": "quantity of items", "part": "part number"}, "Is it packed?\n{features}")
 
 
-@register("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\b(not.packed|unpacked|benign|no)\\b') THEN 0 WHEN regexp_matches(lower(text), '\\b(packed|malicious|yes)\\b') THEN 1 ELSE -1 END AS answer FROM (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'It is NOT packed.' WHEN 1 THEN 'Packed, yes' WHEN 2 THEN 'cannot tell' ELSE 'unpacked' END || ' (' || role || ')' AS text FROM conversations)")
+@register("SELECT conv_id, turn, CASE WHEN regexp_matches(answer, '\\b(not.packed|unpacked|benign|no)\\b') THEN 0 WHEN regexp_matches(answer, '\\b(packed|malicious|yes)\\b') THEN 1 ELSE -1 END AS answer FROM (SELECT conv_id, turn, lower(CASE conv_id % 4 WHEN 0 THEN text || ' It is NOT packed.' WHEN 1 THEN 'Packed: ' || text ELSE text END) AS answer FROM conversations)")
 def response_parse(spark, d):
+    """The turns' texts as answers; some are given a verdict before or after what they say."""
     n = F.col("conv_id") % 4
-    text = F.concat(F.when(n == 0, "It is NOT packed.").when(n == 1, "Packed, yes").when(n == 2, "cannot tell").otherwise("unpacked"), F.lit(" ("), "role", F.lit(")"))
+    text = F.when(n == 0, F.concat("text", F.lit(" It is NOT packed."))).when(n == 1, F.concat(F.lit("Packed: "), "text")).otherwise(F.col("text"))
     return table(spark, d, "conversations").select("conv_id", "turn", voting.parse_response(text).alias("answer"))

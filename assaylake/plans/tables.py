@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.functions import content
 from assaylake.operators import aggregate, joins, project
 from assaylake.plans.registry import register
 from assaylake.sources import io, views
-from assaylake.sources.scratch import new_folder
+from assaylake.sources.scratch import new_folder, written
 from assaylake.sources.views import samples, sections, sql, table
 
 SAMPLE_SCHEMA = "hash string, realpath string, format string, signature string, size long, mtime date, doc_id long, label string"
@@ -31,8 +32,8 @@ def scan_files(spark, d):
 @register(sql("SELECT hash, realpath, format, signature, size, CAST(mtime AS VARCHAR) AS mtime, doc_id, label FROM samples", "samples"))
 def read_samples(spark, d):
     io.write_samples(samples(spark, d), path := new_folder(spark, "samples-csv"), "csv", sep=";", header=True, dateFormat="yyyy-MM-dd")
-    written = "hash string, realpath string, format string, signature string, size long, mtime date, doc_id long, label string"
-    return io.read_samples(spark, path, written).select("hash", "realpath", "format", "signature", "size", F.col("mtime").cast("string").alias("mtime"), "doc_id", "label")
+    schema = "hash string, realpath string, format string, signature string, size long, mtime date, doc_id long, label string"
+    return io.read_samples(spark, path, schema).select("hash", "realpath", "format", "signature", "size", F.col("mtime").cast("string").alias("mtime"), "doc_id", "label")
 
 
 @register(sql("SELECT hash, format, size, label, row_number() OVER (ORDER BY hash, doc_id) AS place FROM samples", "samples"))
@@ -46,10 +47,28 @@ def write_samples(spark, d):
     return back.withColumn("inside", inside).join(before, "range").select("hash", "format", "size", "label", (F.col("before") + F.col("inside")).alias("place"))
 
 
-@register()
+_ENTROPY = "e AS (SELECT doc_id, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM (SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS gram FROM (SELECT doc_id, h, unnest(range(0, n)) AS i FROM blobs)) GROUP BY 1, 2) GROUP BY 1)"
+
+
+def _featured(spark, d):
+    """samples with computed features, without contents."""
+    docs = views.blobs(spark, d)
+    return samples(spark, d).select("hash", "doc_id", "size", "label").join(content.file_entropy(docs), "doc_id", "left").join(docs.select("doc_id", F.size(content.strings(F.col("content"))).alias("n_strings")), "doc_id", "left")
+
+
+_FEATURED = f"{_ENTROPY}, t AS (SELECT s.hash, s.doc_id, s.size, s.label, entropy, CAST(len(regexp_extract_all(text, '[ -~]{{5,}}')) AS INTEGER) AS n_strings FROM samples s LEFT JOIN e USING (doc_id) JOIN blobs USING (doc_id))"
+
+
+@register(sql(f"WITH {_FEATURED} SELECT format, t.* FROM t, (VALUES ('csv'), ('json'), ('orc'), ('parquet')) f(format)", "samples", "blobs"))
 def export_features(spark, d):
-    samples(spark, d).select("hash", "size", "label").write.json(path := new_folder(spark, "export"))
-    return spark.read.schema("hash string, size long, label string").json(path)
+    """The featured table written in each format and read back."""
+    rows = written(_featured(spark, d), "featured").select("hash", "doc_id", "size", "label", "entropy", "n_strings")
+    folder, out = new_folder(spark, "export"), None
+    for kind, options in {"csv": {"header": True}, "json": {}, "orc": {}, "parquet": {}}.items():
+        rows.write.options(**options).format(kind).save(f"{folder}/{kind}")
+        back = spark.read.schema(rows.schema).options(**options).format(kind).load(f"{folder}/{kind}").select(F.lit(kind).alias("format"), *rows.columns)
+        out = back if out is None else out.unionByName(back)
+    return out
 
 
 @register(sql("WITH f AS (SELECT label || '_' || doc_id AS file, min(hash) AS hash FROM samples WHERE label NOT IN ('?', '-') GROUP BY 1) SELECT file, hash FROM f ORDER BY md5(hash || '42'), hash, file LIMIT 20", "samples"))
@@ -90,10 +109,12 @@ def catalog_summary(spark, d):
     return io.catalog(samples(spark, d), "format").withColumnRenamed("format", "dataset")
 
 
-@register(sql("SELECT count(*) AS n, round(sum(8 + 8) / sum(size), 6) AS ratio FROM samples", "samples"))
+@register(sql(f"WITH {_FEATURED} SELECT doc_id, hash, label, entropy, n_strings, round(sum(octet_length(encode(coalesce(hash, '') || coalesce(label, '')))) OVER () / sum(size) OVER (), 6) AS ratio FROM t", "samples", "blobs"))
 def convert_fileless(spark, d):
-    rows = samples(spark, d).withColumn("features", F.lit(16))
-    return rows.agg(F.count("*").alias("n"), F.round(F.sum("features") / F.sum("size"), 6).alias("ratio"))
+    """The featured table materialised without contents, with the ratio of its bytes of text to those of the contents."""
+    rows = written(_featured(spark, d), "fileless")
+    ratio = rows.agg(F.round(F.sum(F.octet_length(F.concat(F.coalesce("hash", F.lit("")), F.coalesce("label", F.lit(""))))) / F.sum("size"), 6).alias("ratio"))
+    return rows.select("doc_id", "hash", "label", "entropy", "n_strings").join(F.broadcast(ratio))  # one row
 
 
 # ---------------------------------------------------------------- projections and filters

@@ -47,7 +47,7 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("event_type") == "click", "-").when(F.col("event_type") == "error", "unknown").otherwise(F.col("event_type"))
-    return table(spark, sf_dir, "events").where("event_id % 7 = 0").select(F.col("user_id").alias("hash"), F.col("event_id").alias("detector_rank"), F.concat(F.lit("det"), (F.col("event_id") % 5).cast("string")).alias("detector"), label.alias("label"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("hash"), F.col("event_id").alias("detector_rank"), F.concat(F.lit("det"), (F.col("event_id") % 5).cast("string")).alias("detector"), label.alias("label"))
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,7 @@ SQL = {
         CASE WHEN l.doc_id IS NULL THEN '?' WHEN l.toxic = 0 THEN '-' ELSE 'fam' || l.quality END AS label
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "blobs": "SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n, text FROM documents",
-    "votes": "SELECT user_id AS hash, event_id AS detector_rank, 'det' || (event_id % 5) AS detector, CASE event_type WHEN 'click' THEN '-' WHEN 'error' THEN 'unknown' ELSE event_type END AS label FROM events WHERE event_id % 7 = 0",
+    "votes": "SELECT user_id AS hash, event_id AS detector_rank, 'det' || (event_id % 5) AS detector, CASE event_type WHEN 'click' THEN '-' WHEN 'error' THEN 'unknown' ELSE event_type END AS label FROM events",
     "sections": f"""SELECT l_orderkey AS hash, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS idx,
         '.' || {_sql_case("l_partkey % 5", {0: "text", 1: "data", 2: "rsrc", 3: "upx"}, "odd")} AS name,
         CAST(floor(l_quantity) AS BIGINT) AS raw_size, CAST(floor(l_extendedprice / 1000) AS BIGINT) AS virtual_size, l_returnflag = 'R' AS w, l_linestatus = 'O' AS x, l_tax AS entropy FROM lineitem""",
