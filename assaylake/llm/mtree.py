@@ -5,12 +5,18 @@ Euclidean distances: d^2 = |q|^2 + M^2 - 2 <q, x>. Rows are dealt into shards of
 pages: an entry holds a routing row, the covering radius of what lies below, and its distance to the routing row of its
 own page. A search takes the page with the smallest lower bound first; the stored distances rule out entries by the
 triangle inequality before their inner product is computed. Scores are exact integers; ties go to the smaller id.
+
+Shards are compact: rows near one pivot, in one ring about it (vectors.deal). No row x of a ring of greatest distance r about c scores more
+than <q, c> + |q| r, so a query goes first to the shard that promises most, and then, with the k-th score found there as a floor, to those shards alone
+whose bound reaches it.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylake.llm.shared import blocks_for, written
-from assaylake.llm.vectors import matrix, packed, sound
+from assaylake.llm.vectors import Groups, deal, matrix, packed, sound
 
 #: Rows in a shard, queries in a block, entries of an inner page and of a leaf.
 SHARD, QUERIES, PAGE, LEAF = 8192, 4096, 16, 512
@@ -86,15 +92,15 @@ class MTree:
         self.root_row = int(place[self.root_row])
         self.pages = [(place[routing], leaf, place[entries], *rest) for routing, leaf, entries, *rest in self.pages]
 
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[list[tuple[int, int]], int]:
-        """([(score, id)] of the k best rows but those whose id is own, best first; inner products computed)."""
+    def search(self, query: np.ndarray, own: int, k: int, floor: float = -np.inf) -> tuple[list[tuple[int, int]], int]:
+        """([(score, id)] of the k best rows but those whose id is own, best first; inner products computed). Scores below floor may be left out."""
         large = float(np.abs(query).max())
         if max(self.largest, large) >= MODEST or len(query) * self.largest * large > EXACT:
             return self._scan(query, own, k)
         base = float(query @ query) + self.top2
         slack = 1e-6 * (1 + np.sqrt(base))
         best: list[tuple[int, int]] = []  # (score, -id): the smallest is the worst
-        limit, computed = np.inf, 1
+        limit, computed = np.inf if floor == -np.inf else np.sqrt(max(base - 2 * floor, 0.0)), 1
         start = np.sqrt(max(base - 2 * float(self.rows[self.root_row] @ query), 0.0))
         heap = [(max(start - self.root_radius, 0.0), self.root, start)]
         while heap:
@@ -109,7 +115,7 @@ class MTree:
             whole = is_leaf and len(open_) == len(entries)
             inner = (self.rows[entries[0] : entries[0] + len(entries)] if whole else self.rows[rows]) @ query
             computed += len(rows)
-            if is_leaf and len(best) == k and inner.max() < best[0][0]:
+            if is_leaf and inner.max() < (best[0][0] if len(best) == k else floor):
                 continue
             if not is_leaf:
                 to = np.sqrt(np.maximum(base - 2 * inner, 0.0))
@@ -119,9 +125,8 @@ class MTree:
                 continue
             able = self.ids[rows] != own
             inner, names = inner[able], self.ids[rows[able]]
-            if len(best) == k:
-                good = inner >= best[0][0]
-                inner, names = inner[good], names[good]
+            good = inner >= (best[0][0] if len(best) == k else floor)
+            inner, names = inner[good], names[good]
             for n in np.lexsort((names, -inner))[:k]:
                 item = (int(inner[n]), -int(names[n]))
                 if len(best) < k:
@@ -157,18 +162,70 @@ def _queries(part: pd.DataFrame) -> dict:
     return {"ids": part["vec_id"].to_numpy("i8"), "rows": np.floor(256 * matrix(part["vector"], "f8"))}
 
 
-def _searched(k: int):
+def bounds(rows: np.ndarray, groups: Groups, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(groups, blocks in each, upper bounds of the scores of queries' rows with the rows of each group)."""
+    found = groups.of(size)
+    reach = np.where(found["cell"] < 0, np.inf, 256.0 * found["high"] + math.sqrt(size))  # floor(256 * x) is off by less than 1 in each component
+    with np.errstate(over="ignore", invalid="ignore"):
+        at = 256.0 * (rows @ groups.centres(found, size).T)
+        most = at + np.linalg.norm(rows, axis=1)[:, None] * reach
+        most += 1e-9 * (np.abs(at) + np.abs(most))  # rounding
+    return found["group"].to_numpy(), found["blocks"].to_numpy(), np.where(np.isnan(most), np.inf, most)
+
+
+def _first(n: int, most: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The group that promises each of n queries most, and the block of it: any will do, so they are taken in turn."""
+    home = most.argmax(1)
+    return home, np.arange(n) % blocks[home]
+
+
+def _routed(groups: Groups, second: bool):
+    """Of a block of queries: rows for each group that some of them visit, at first or (with floors) after that.
+
+    A row's parts are the queries' numbers, ids and rows, their floors, and the shard of the group that each has seen (or -1).
+    """
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for asked in batches:
+            for row in asked.itertuples(index=False):
+                held = pickle.loads(row.blob)
+                names, blocks, most = bounds(held["rows"], groups, row.size)
+                n = len(held["rows"])
+                if not len(names):
+                    continue
+                home, own = _first(n, most, blocks)
+                floor = np.full(n, -np.inf)
+                if second and row.floors is not None:
+                    for f in row.floors:
+                        floor[f["query"]] = f["floor"]
+                    floor[np.abs(floor) >= EXACT] = -np.inf  # float64 does not hold them
+                for g in range(len(names)) if second else np.unique(home):
+                    here = home == g
+                    some = np.flatnonzero(most[:, g] >= floor if second else here)
+                    if len(some):
+                        part = {"n": some, "ids": held["ids"][some], "rows": held["rows"][some], "floor": floor[some], "shard": np.where(here, own, -1)[some]}
+                        yield pd.DataFrame([(row.size, int(names[g]), row.block, int(blocks[g]), pickle.dumps(part, 5))], columns=["size", "group", "block", "shards", "blob"])
+
+    return route
+
+
+_ROUTED = "size int, group int, block int, shards int, blob binary"
+
+
+def _searched(k: int, second: bool):
     def search(pair: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"query": [], "query_id": [], "vec_id": [], "score": []}
         blobs = {kind: pickle.loads(blob) for kind, blob in zip(pair["kind"], pair["blob"], strict=True)}
+        shard = int(pair["shard"].iloc[0])
         if len(blobs) == 2:
             tree, asked = blobs["tree"]["tree"], blobs["queries"]
-            for n, (own, row) in enumerate(zip(asked["ids"].tolist(), asked["rows"], strict=True)):
-                for score, vec_id in tree.search(row, own, k)[0]:
+            for n in np.flatnonzero((asked["shard"] == shard) != second):
+                own = int(asked["ids"][n])
+                for score, vec_id in tree.search(asked["rows"][n], own, k, float(asked["floor"][n]))[0]:
                     if score >= 1 << 63:
                         raise OverflowError(f"the score of {own} and {vec_id} is beyond a long: {score}")
                     score = max(score, LEAST)  # an error only where no better ones are found
-                    for name, value in zip(out, (n, own, vec_id, score), strict=True):
+                    for name, value in zip(out, (int(asked["n"][n]), own, vec_id, score), strict=True):
                         out[name].append(value)
         frame = pd.DataFrame(out).astype("int64")
         frame.insert(0, "block", int(pair["block"].iloc[0]))
@@ -178,6 +235,14 @@ def _searched(k: int):
     return search
 
 
+def _visited(trees: DataFrame, routed: DataFrame, k: int, second: bool) -> DataFrame:
+    """What queries find in the trees of the shards that they are routed to."""
+    shard = ["size", "group", "shard"]
+    visits = routed.select("size", "group", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "block", F.lit("queries").alias("kind"), "blob")
+    met = trees.join(visits.select(*shard, "block"), shard).select(*shard, "block", F.lit("tree").alias("kind"), "blob")
+    return met.unionByName(visits).groupBy(*shard, "block").applyInPandas(_searched(k, second), "size long, block long, query long, query_id long, vec_id long, score long")
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest scores among rows, ties to the smaller vec_id.
 
@@ -189,12 +254,18 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     """
     able = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector")).where(F.col("vec_id").isNotNull() & sound(F.col("vector"))).withColumn("size", F.size("vector"))
     rows, queries = able(rows), able(queries)
-    shards, blocks = blocks_for(rows.count(), shard), blocks_for(queries.count(), QUERIES)
-    trees = packed(rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")), ["size", "shard"], _tree)
+    away = lambda points, pivots: np.sqrt(np.maximum((points**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * points @ pivots.T, 0)) * (1 + 1e-9) + 1e-6 * (1 + np.abs(points).max(1, initial=0))[:, None]
+    dealt, groups = deal(rows, "vec_id", lambda x: x, away, shard, "m-tree-rows")
+    trees = packed(dealt.withColumnRenamed("block", "shard"), ["size", "group", "shard"], _tree)
     trees = written(trees, "m-trees")
-    asked = packed(queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")), ["size", "block"], _queries)
-    one = trees.select("size", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit("tree").alias("kind"), "blob")
-    two = asked.select("size", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", F.lit("queries").alias("kind"), "blob")
-    found = one.unionByName(two).groupBy("size", "shard", "block").applyInPandas(_searched(k), "size long, block long, query long, query_id long, vec_id long, score long")
+    blocks = blocks_for(queries.count(), QUERIES)
+    asked = written(packed(queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")), ["size", "block"], _queries), "m-tree-queries")
+    routed = written(asked.groupBy("size", "block").applyInPandas(_routed(groups, False), _ROUTED), "m-tree-visits")
+    found = written(_visited(trees, routed, k, False), "m-tree-first")
+    full = found.groupBy("size", "block", "query").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
+    floors = full.groupBy(F.col("size").cast("int").alias("size"), F.col("block").cast("int").alias("block")).agg(F.collect_list(F.struct("query", "floor")).alias("floors"))  # one for each query of a block
+    again = asked.join(floors, ["size", "block"], "left").groupBy("size", "block").applyInPandas(_routed(groups, True), _ROUTED)
+    more = _visited(trees, written(again, "m-tree-visits"), k, True)
     order = Window.partitionBy("size", "block", "query", "query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.when(F.col("score") > LEAST, F.col("score")).otherwise(F.raise_error(F.lit("a score is beyond a long"))).alias("score"))
+    best = found.unionByName(more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.when(F.col("score") > LEAST, F.col("score")).otherwise(F.raise_error(F.lit("a score is beyond a long"))).alias("score"))
