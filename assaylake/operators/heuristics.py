@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.functions.content import topk_part_entropy
+from assaylake.operators import quantiles
 
 
 def _sum(columns: list[Column]) -> Column:
@@ -29,9 +30,8 @@ def by_quantile(df: DataFrame, score: Column, target: str, quantile: float | Non
     scored = df.withColumn("score", F.round(score + 1e-9, 6))
     limit = F.lit(threshold)
     if quantile is not None:
-        scored = scored.join(F.broadcast(scored.where(F.col(target) == 0).agg(F.percentile("score", quantile).alias("__t"))))  # one row
-        limit = F.col("__t")
-    return scored.withColumns({"prediction": (F.col("score") >= limit).cast("int"), "probability": F.round(1 / (1 + F.exp(-F.col("score"))), 6)}).drop("__t")
+        limit = F.lit(quantiles.exact(scored.where(F.col(target) == 0), ["score"], [quantile])["score"][0]).cast("double")
+    return scored.withColumns({"prediction": (F.col("score") >= limit).cast("int"), "probability": F.round(1 / (1 + F.exp(-F.col("score"))), 6)})
 
 
 def norm_distance(df: DataFrame, columns: list[str], target: str, confidence: float = 0.05) -> DataFrame:
@@ -59,8 +59,8 @@ def stump(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """(feature, threshold, gain): the best split x <= t of each column by Gini gain, from counts by value."""
     long = df.select(F.col(target).alias("y"), F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns))).alias("p")).select("y", "p.*")
     counts = long.groupBy("feature", "x").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
-    run, whole = Window.partitionBy("feature").orderBy("x"), Window.partitionBy("feature")
-    cum = counts.withColumns({"ln": F.sum("n").over(run), "lk": F.sum("k").over(run), "an": F.sum("n").over(whole), "ak": F.sum("k").over(whole)}).where("ln < an")
+    whole = counts.groupBy("feature").agg(F.sum("n").alias("an"), F.sum("k").alias("ak"))
+    cum = quantiles.running(counts, ["feature"], "x", {"ln": "n", "lk": "k"}).join(F.broadcast(whole), "feature").where("ln < an")  # a row for each feature
     gini = lambda k, n: 2 * (k / n) * (1 - k / n)
     rn, rk = F.col("an") - F.col("ln"), F.col("ak") - F.col("lk")
     gain = gini(F.col("ak"), F.col("an")) - F.col("ln") / F.col("an") * gini(F.col("lk"), F.col("ln")) - rn / F.col("an") * gini(rk, rn)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.operators import quantiles
+
 
 def confusion_table(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).groupBy(F.col(truth).cast("string").alias("t"), F.col(predicted).cast("string").alias("p")).agg(F.count("*").alias("n"))
@@ -35,7 +37,7 @@ def binary_metrics(df: DataFrame, truth: str, predicted: str, score: str | None
 def auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Area under the ROC curve: rank sum with half ranks for ties, over the table of distinct scores."""
     counts = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(truth).cast("long")).alias("pos"), F.sum(1 - F.col(truth).cast("long")).alias("neg"))
-    run = counts.withColumn("below", F.sum("neg").over(Window.orderBy("s")) - F.col("neg"))
+    run = quantiles.running(counts, [], "s", {"upto": "neg"}).withColumn("below", F.col("upto") - F.col("neg"))
     return run.agg(F.round(_ratio(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")), 6).alias("auc"))
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.operators import quantiles
+
 
 def _fitted(df: DataFrame, **aggregates: Column) -> DataFrame:
     """df with one-row aggregates beside it."""
@@ -36,7 +39,10 @@ def standard_scale(df: DataFrame, c: str | list[str]) -> DataFrame:
 
 
 def robust_scale(df: DataFrame, c: str | list[str]) -> DataFrame:
-    return _scaled(df, c, lambda x: {"q": F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))}, lambda x, a: F.try_divide(x - a["q"][1], a["q"][2] - a["q"][0]))
+    """(x - median) / (third quartile - first); null where the quartiles are equal."""
+    names = [c] if isinstance(c, str) else c
+    found = quantiles.exact(df, names, [0.25, 0.5, 0.75])
+    return df.withColumns({n: F.round(F.try_divide(F.col(n) - F.lit(q[1]), F.lit(q[2]) - F.lit(q[0])), 6) for n, q in found.items()}).select(*df.columns)
 
 
 def normalize_rows(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -81,21 +87,32 @@ def power_transform(df: DataFrame, c: str, kind: str = "yeojohnson") -> DataFram
 
 
 def quantile_uniform(df: DataFrame, c: str, knots: int = 100) -> DataFrame:
-    """c as its quantile rank in [0, 1]: exact percentiles at `knots` steps, one row, and linear interpolation between them."""
-    steps = F.array(*(F.lit(i / knots) for i in range(knots + 1)))
-    both = _fitted(df, __q=F.percentile(c, steps))
-    at = F.aggregate("__q", F.lit(0), lambda a, q: a + (q <= F.col(c)).cast("int"))
-    low, high = F.element_at("__q", F.greatest(F.col("__at"), F.lit(1))), F.element_at("__q", F.least(F.col("__at") + 1, F.lit(knots + 1)))
-    inside = F.coalesce(F.try_divide(F.col(c) - low, high - low), F.lit(0.0))
-    return both.withColumn("__at", at).withColumn(c, F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("__at") - 1 + inside) / knots)), 6)).drop("__q", "__at")
+    """c as its quantile rank in [0, 1]: exact quantiles at `knots` steps and linear interpolation between them."""
+    q = quantiles.exact(df, [c], [i / knots for i in range(knots + 1)])[c]
+    cuts = sorted({x for x in q if x is not None})
+    # For each distinct knot the last place that it has, and the knot after it.
+    last = [max(i for i, x in enumerate(q) if x == v) for v in cuts]
+    told = F.array(*(F.struct(F.lit(float(v)).alias("low"), F.lit(float(q[min(knots, i + 1)])).alias("high"), F.lit(i).alias("at")) for v, i in zip(cuts, last, strict=True)))
+    both = quantiles.placed(df, c, cuts, "__n").withColumn("__k", F.when(F.col("__n") > 0, F.try_element_at(told, F.col("__n"))))
+    inside = F.coalesce(F.try_divide(F.col(c) - F.col("__k.low"), F.col("__k.high") - F.col("__k.low")), F.lit(0.0))
+    rank = F.when(F.col("__n") == 0, 0.0).otherwise(F.least(F.lit(1.0), (F.col("__k.at") + inside) / knots))
+    return both.withColumn(c, F.round(rank, 6)).drop("__n", "__k")
+
+
+#: A rational approximation of the inverse normal distribution (relative error below 1.2e-9), for the middle and the tails.
+_MIDDLE = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_MIDDLE_BELOW = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+_TAIL = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_TAIL_BELOW = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
 
 
 def normal_quantile(p: Column) -> Column:
-    """Inverse of the normal distribution by a rational approximation (error below 5e-4)."""
-    q = F.greatest(F.lit(1e-7), F.least(p, 1 - p))
-    t = F.sqrt(-2 * F.log(q))
-    value = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
-    return F.when(p < 0.5, -value).otherwise(value)
+    """Inverse of the normal distribution, p held within 1e-7 and 1 - 1e-7."""
+    poly = lambda parts, x: reduce(lambda a, b: a * x + b, parts[1:], F.lit(parts[0]))
+    p = F.greatest(F.lit(1e-7), F.least(p, F.lit(1 - 1e-7)))
+    tail = lambda q: poly(_TAIL, t := F.sqrt(-2 * F.log(q))) / poly(_TAIL_BELOW, t)
+    q = p - 0.5
+    return F.when(p < 0.02425, tail(p)).when(p > 1 - 0.02425, -tail(1 - p)).otherwise(q * poly(_MIDDLE, q * q) / poly(_MIDDLE_BELOW, q * q))
 
 
 def impute(df: DataFrame, c: str | list[str], strategy: str = "mean", constant: float = 0.0) -> DataFrame:

@@ -59,7 +59,10 @@ def yeojohnson(spark, d):
     return preprocess.power_transform(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal")
 
 
-@register()
+_KNOTS = "k AS (SELECT quantile_cont(price, list_transform(range(101), lambda i: i / 100)) AS q FROM features), r AS (SELECT hash, price, q, len(list_filter(q, lambda x: x <= price)) AS place FROM features, k)"
+
+
+@register(sql(f"WITH {_KNOTS} SELECT hash, round(least(1, (place - 1 + coalesce((price - q[place]) / nullif(q[least(place + 1, 101)] - q[place], 0), 0)) / 100), 6) AS price FROM r", "features"))
 def quantile_uniform(spark, d):
     return preprocess.quantile_uniform(features(spark, d).select("hash", "price"), "price")
 
