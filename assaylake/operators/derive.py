@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import warnings
 from itertools import product
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +35,71 @@ def _typed(name: str, value: Column) -> Column:
     return value.cast("boolean") if name.startswith(("is_", "has_")) else value
 
 
-def derive(df: DataFrame, features: dict[str, str], keep: list[str] | None = None, only_boolean: bool = False) -> DataFrame:
+_PRIMARY = re.compile(r"\s*[-+]?\s*(?:\d+(?:\.\d*)?(?:[eE][-+]?\d+)?|(?:`[^`]+`|[A-Za-z_]\w*)(?:\.(?:`[^`]+`|\w+))*\s*)?")
+
+
+def _closing(text: str, at: int) -> int:
+    """The place after the bracket that closes the one at `at`; brackets inside strings do not count."""
+    depth, quote = 0, ""
+    for i in range(at, len(text)):
+        c = text[i]
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"":
+            quote = c
+        elif c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+            if not depth:
+                return i + 1
+    raise ValueError(f"a bracket is not closed: {text}")
+
+
+def safe_division(expression: str) -> str:
+    """expression with each divisor x of / and % as nullif(x, 0), so that a division by zero gives null. A divisor is what binds closest: a number, a name,
+    a call or a bracket, with its sign."""
+    out, i, quote = "", 0, ""
+    while i < len(expression):
+        c = expression[i]
+        i += 1
+        out += c
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"`":
+            quote = c
+        elif c in "/%":
+            end = _PRIMARY.match(expression, i).end()
+            while end < len(expression) and expression[end] in "([":
+                end = _closing(expression, end)
+            out += f" nullif({safe_division(expression[i:end].strip())}, 0)"
+            i = end
+            if i < len(expression) and not expression[i].isspace():
+                out += " "
+    return out
+
+
+def derive(df: DataFrame, features: dict[str, str], keep: list[str] | None = None, only_boolean: bool = False, fail: str = "error") -> DataFrame:
     """df with the features added, one projection for each level; a division by zero gives null. keep: the features to
-    return (helpers drop out); only_boolean: those named is_ or has_."""
+    return (helpers drop out); only_boolean: those named is_ or has_. fail: what a feature does that Spark cannot resolve: 'error' raises, 'warning'
+    warns and leaves it null, 'continue' leaves it out."""
+    if fail not in ("error", "warning", "continue"):
+        raise ValueError(fail)
     columns = df.columns
     for level in order_features(features, columns):
-        df = df.withColumns({n: _typed(n, F.expr(re.sub(r"(\S+)\s*/\s*(\S+)", r"try_divide(\1, \2)", features[n]))) for n in level})
+        made = {}
+        for n in level:
+            value = _typed(n, F.expr(safe_division(features[n])))
+            if fail != "error":
+                try:
+                    df.select(value)
+                except AnalysisException as e:
+                    if fail == "continue":
+                        continue
+                    warnings.warn(f"{n}: {e.getCondition()}", stacklevel=2)
+                    value = _typed(n, F.lit(None).cast("double"))
+            made[n] = value
+        df = df.withColumns(made) if made else df
     names = [n for n in df.columns if n not in columns and (keep is None or n in keep)]
     return df.select(*columns, *(n for n in names if not only_boolean or n.startswith(("is_", "has_"))))
 

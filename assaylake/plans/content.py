@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import functions as F
 
 from assaylake.functions import content
@@ -221,13 +223,15 @@ def per_sample(spark, d):
 
 
 _PER = "p AS (SELECT hash, count(*) AS n, CAST(sum(raw_size) AS BIGINT) AS raw, CAST(sum(virtual_size) AS BIGINT) AS virtual, round(avg(entropy), 6) AS entropy, count(*) FILTER (x) AS n_x, CASE hash % 3 WHEN 0 THEN 'PE32' WHEN 1 THEN 'PE64' ELSE 'ELF32' END AS format FROM sections GROUP BY 1)"
-FEATURES = {"is_dense": "ratio > 0.5", "ratio": "raw / virtual", "score": "ratio + share", "share": "n_x / n", "lost": "unknown_column + 1"}
+FEATURES = {"is_dense": "ratio > 0.5", "ratio": "raw / virtual", "score": "ratio + share", "share": "n_x / n", "mixed": "round((raw + virtual) / (n * (n_x - 1)), 6)", "lost": "unknown_column + 1"}
 
 
-@register(sql(f"WITH {_PER} SELECT hash, raw / nullif(virtual, 0) AS ratio, n_x / n AS share, raw / nullif(virtual, 0) > 0.5 AS is_dense, raw / nullif(virtual, 0) + n_x / n AS score FROM p", "sections"))
+@register(sql(f"WITH {_PER} SELECT hash, raw / nullif(virtual, 0) AS ratio, n_x / n AS share, raw / nullif(virtual, 0) > 0.5 AS is_dense, raw / nullif(virtual, 0) + n_x / n AS score, round((raw + virtual) / nullif(n * (n_x - 1), 0), 6) AS mixed, CAST(NULL AS DOUBLE) AS lost FROM p", "sections"))
 def derive_features(spark, d):
-    known = {k: v for k, v in FEATURES.items() if k != "lost"}
-    return derive.derive(per_sample(spark, d), known).select("hash", "ratio", "share", "is_dense", "score")
+    """Features of features, with divisions by zero and one that reads a column that is not there."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return derive.derive(per_sample(spark, d), FEATURES, fail="warning").select("hash", "ratio", "share", "is_dense", "score", "mixed", "lost")
 
 
 @register(sql(f"WITH {_PER} SELECT hash, 2 * n + 1 AS a, 2 * n + 1 + raw AS b, (2 * n + 1 + raw) * (2 * n + 1) AS c FROM p", "sections"))

@@ -533,10 +533,11 @@ def _event_stream(spark, d):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
 
 
-@register()
+@register("SELECT hash, event_id, label FROM (SELECT user_id AS hash, event_id, if(event_type = 'click', '?', event_type) AS label, row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'click', event_id) AS k FROM events) WHERE k = 1")
 def stream_update(spark, d):
-    rows = _event_stream(spark, d).select(F.col("user_id").alias("hash"), "event_id", F.col("event_type").alias("label"))
-    return updates.upsert_batches(spark, rows, ["hash", "event_id", "label"])
+    label = F.when(F.col("event_type") == "click", "?").otherwise(F.col("event_type"))
+    rows = _event_stream(spark, d).select(F.col("user_id").alias("hash"), "event_id", label.alias("label"))
+    return updates.upsert_batches(spark, rows, "event_id")
 
 
 @register()

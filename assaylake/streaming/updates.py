@@ -8,34 +8,28 @@ from pyspark.sql import functions as F
 from assaylake.sources.scratch import new_folder
 
 
-def _drain(stream: DataFrame, mode: str, folder: str) -> DataFrame:
-    """Runs a stream over what is there and returns its table."""
-    spark = stream.sparkSession
-    query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
-
-
-def first_seen(spark: SparkSession, source: DataFrame, key: str, time: str, late: str) -> DataFrame:
-    """The stream `source` with one row for each key within the watermark, as a table."""
-    kept = source.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
-    return _drain(kept, "append", new_folder(spark, "stream"))
+def upsert_batches(spark: SparkSession, source: DataFrame, order: str, folder: str | None = None) -> DataFrame:
+    """Upserts a stream of (hash, label, columns...) into a table, one row for each hash: a known label goes before '?' and null, then the smallest `order`.
 
+    Each micro-batch writes one row for each of its hashes to a folder of its own, which a batch run again writes anew, and the table is the best row of all
+    batches: nothing is kept in the driver, so a stream started again with the same folder goes on where it stopped. An empty stream gives the table
+    as it was.
+    """
+    folder = folder or new_folder(spark, "stream-upsert")
+    columns = [c for c in source.columns if c != "hash"]
+    unknown = F.coalesce(F.col("label") == "?", F.lit(True))
 
-def upsert_batches(spark: SparkSession, source: DataFrame, columns: list[str]) -> DataFrame:
-    """Upserts each micro-batch of a stream into a table, first row by hash wins; returns the table."""
-    folder = new_folder(spark, "stream-upsert")
-    state: dict[str, str] = {}
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("hash").agg(F.min_by(F.struct(*columns), F.struct(unknown, F.col(order), *(c for c in columns if c != order))).alias("r")).select("hash", *(F.col(f"r.{c}").alias(c) for c in columns))
 
     def upsert(batch: DataFrame, number: int) -> None:
-        one = batch.select(*columns).groupBy("hash").agg(*(F.min_by(c, F.struct(*[x for x in columns if x != "hash"])).alias(c) for c in columns if c != "hash"))
-        table = one if "path" not in state else spark.read.parquet(state["path"]).unionByName(one.join(spark.read.parquet(state["path"]).select("hash"), "hash", "left_anti"))
-        table.write.mode("overwrite").parquet(path := f"{folder}/table-{number}")
-        state["path"] = path
+        best(batch).write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
 
+    empty = spark.createDataFrame([], source.schema)
+    empty.write.mode("overwrite").parquet(f"{folder}/table/batch=-1")  # a stream without rows has no batch
     query = source.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(state["path"])
+    return best(spark.read.schema(source.schema).parquet(f"{folder}/table").select("hash", *columns))
 
 
 def windowed_votes(spark: SparkSession, source: DataFrame, time: str, width: str) -> DataFrame:
