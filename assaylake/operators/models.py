@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
@@ -12,7 +14,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylake.sources.scratch import cut
+from assaylake.sources.scratch import cut, written
 
 #: Named algorithms: an estimator for a number of features and classes.
 ALGORITHMS = {
@@ -41,15 +43,28 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.select(*df.columns, F.col("prediction").cast("int").alias("prediction"), *extra)
 
 
-def grid_search(df: DataFrame, columns: list[str], label: str, depths: list[int], folds: int = 3) -> tuple[DataFrame, PipelineModel]:
-    """((max_depth, accuracy) of each setting, the best model) by cross-validation on df alone."""
-    tree = DecisionTreeClassifier(labelCol=label, impurity="entropy", seed=42)
-    grid = ParamGridBuilder().addGrid(tree.maxDepth, depths).build()
-    vec = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip")
-    cv = CrossValidator(estimator=Pipeline(stages=[vec, tree]), estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"), numFolds=folds, seed=42, parallelism=4)
+#: What a grid search tries for each algorithm: parameters of its estimator and their values.
+GRIDS = {
+    "dt": {"maxDepth": [2, 4, 6, 8, 10, 12]},
+    "rf": {"maxDepth": [3, 5], "numTrees": [10, 20]},
+    "gb": {"maxDepth": [3, 5, 7]},
+    "lr": {"regParam": [0.0, 0.01, 0.1]},
+    "lsvc": {"regParam": [0.01, 0.1, 1.0]},
+}
+
+
+def grid_search(df: DataFrame, columns: list[str], label: str, algorithm: str = "dt", grid: dict[str, list] | None = None, folds: int = 3, classes: int = 2) -> tuple[DataFrame, PipelineModel]:
+    """((parameters, accuracy) of each setting, the pipeline of the best one fitted on df) by cross-validation on df alone."""
+    estimator = ALGORITHMS[algorithm](len(columns), classes).setFeaturesCol("features").setLabelCol(label)
+    builder = ParamGridBuilder()
+    for name, values in (grid or GRIDS[algorithm]).items():
+        builder = builder.addGrid(estimator.getParam(name), values)
+    tried = builder.build()
+    stages = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="__raw", handleInvalid="skip"), MinMaxScaler(inputCol="__raw", outputCol="features"), estimator])
+    cv = CrossValidator(estimator=stages, estimatorParamMaps=tried, evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"), numFolds=folds, seed=42, parallelism=4)
     model = cv.fit(df)
-    rows = [(int(list(p.values())[0]), round(float(a), 6)) for p, a in zip(grid, model.avgMetrics, strict=True)]
-    return df.sparkSession.createDataFrame(rows, "max_depth int, accuracy double"), model.bestModel
+    rows = [(", ".join(f"{p.name}={v}" for p, v in sorted(setting.items(), key=lambda x: x[0].name)), round(float(a), 6)) for setting, a in zip(tried, model.avgMetrics, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "parameters string, accuracy double"), model.bestModel
 
 
 def importances(model: PipelineModel, columns: list[str], spark) -> DataFrame:
@@ -59,18 +74,57 @@ def importances(model: PipelineModel, columns: list[str], spark) -> DataFrame:
     return spark.createDataFrame([(c, w, i + 1) for i, (c, w) in enumerate(rows)], "feature string, importance double, rank int")
 
 
-def knn(train_rows: DataFrame, queries: DataFrame, columns: list[str], label: str, k: int = 5, p: int = 2) -> DataFrame:
-    """(hash, prediction): each query's vote among its k nearest rows by Minkowski distance; ties to the smaller hash, then label.
+#: Rows, and queries, that meet in one task of knn.
+BLOCK = 4096
+
+
+def _blocks(df: DataFrame, key: str, columns: list[str], label: str | None, seed: int, name: str) -> tuple[DataFrame, int]:
+    """(blocks of rows as (block, keys, labels, vectors), their number)."""
+    n = max(1, -(-df.count() // BLOCK))
+    vector = F.array(*(F.col(c).cast("double") for c in columns)) if len(columns) > 1 or dict(df.dtypes)[columns[0]].startswith(("double", "float", "int", "bigint")) else F.col(columns[0]).cast("array<double>")
+    rows = df.select(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(n)).cast("int").alias("block"), F.col(key).alias("key"), (F.col(label) if label else F.lit(None)).cast("string").alias("label"), vector.alias("vector"))
+    listed = rows.groupBy("block").agg(F.collect_list("key").alias("keys"), F.collect_list(F.coalesce("label", F.lit(""))).alias("labels"), F.collect_list("vector").alias("vectors"))
+    return written(listed, name), n
+
 
-    Every query meets every row, query by query: for a stated query set against all rows.
+def _nearest(k: int, p: int):
+    """Of pairs of blocks: each query's k nearest rows in the block, ties to the smaller key."""
+
+    def search(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                vectors, asked = np.stack(row.vectors), np.stack(row.q_vectors)
+                keys, labels = np.asarray(row.keys), np.asarray(row.labels, object)
+                for q, vector in zip(row.q_keys, asked, strict=True):
+                    away = np.round((np.abs(vectors - vector) ** p).sum(1), 9)
+                    away[keys == q] = np.inf
+                    some = np.flatnonzero(away <= np.partition(away, min(k, len(away)) - 1)[min(k, len(away)) - 1])
+                    some = some[np.isfinite(away[some])]
+                    best = some[np.lexsort((labels[some], keys[some], away[some]))][:k]
+                    yield pd.DataFrame({"q": q, "key": keys[best], "label": labels[best], "d": away[best]})
+
+    return search
+
+
+def knn(train_rows: DataFrame, queries: DataFrame, columns: list[str], label: str, k: int = 5, p: int = 2, weights: str = "uniform") -> DataFrame:
+    """(hash, prediction): each query's vote among its k nearest rows by Minkowski distance; ties to the smaller hash, then to the greater label.
+
+    columns: numbers, or one array of them. A row with a query's own hash does not vote. weights: 'uniform', or 'distance' (votes count 1 / distance; a
+    distance of 0 outweighs all others). Queries meet rows in blocks of bounded size, and k rows for each query and block go on: for a stated query
+    set against all rows.
     """
-    q = queries.select(F.col("hash").alias("q"), *(F.col(c).alias(f"q_{c}") for c in columns))
-    dist = sum(F.pow(F.abs(F.col(c) - F.col(f"q_{c}")), F.lit(float(p))) for c in columns)
-    near = train_rows.join(F.broadcast(q), F.col("hash") != F.col("q")).select("q", "hash", label, F.round(dist, 9).alias("d"))
-    part = near.groupBy("q", F.pmod("hash", F.lit(64)).alias("part")).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "hash", label))), 1, k).alias("l"))
-    top = part.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("l"))), 1, k).alias("l"))
-    votes = top.select("q", F.explode(f"l.{label}").alias("v")).groupBy("q", "v").agg(F.count("*").alias("n"))
-    return votes.groupBy("q").agg(F.max_by("v", F.struct("n", F.col("v"))).alias("prediction")).withColumnRenamed("q", "hash")
+    rows, _ = _blocks(train_rows, "hash", columns, label, 1, "knn-rows")
+    asked, _ = _blocks(queries, "hash", columns, None, 2, "knn-queries")
+    asked = asked.select(F.col("block").alias("q_block"), F.col("keys").alias("q_keys"), F.col("vectors").alias("q_vectors"))
+    numbers = asked.select("q_block").join(rows.select("block"))  # a row for each pair of blocks
+    pairs = numbers.join(rows.hint("merge"), "block").join(asked.hint("merge"), "q_block").select("keys", "labels", "vectors", "q_keys", "q_vectors", "block", "q_block")
+    kind = dict(queries.dtypes)["hash"]
+    near = pairs.groupBy("block", "q_block").applyInPandas(lambda part: pd.concat(list(_nearest(k, p)([part]))), f"q {kind}, key {kind}, label string, d double")
+    top = near.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("d", "key", "label"))).where(F.col("place") <= k)
+    weight = F.lit(1.0) if weights == "uniform" else F.when(F.col("d") == 0, 1e300).otherwise(1 / F.pow("d", F.lit(1 / p)))
+    votes = top.groupBy("q", "label").agg(F.sum(weight).alias("n"))
+    value = F.col("label").cast(dict(train_rows.dtypes)[label])
+    return votes.select("q", value.alias("v"), "n").groupBy("q").agg(F.max_by("v", F.struct("n", "v")).alias("prediction")).withColumnRenamed("q", "hash")
 
 
 def cluster(df: DataFrame, columns: list[str], k: int, kind: str = "kmeans") -> DataFrame:
@@ -126,7 +180,3 @@ def label_requirement(df: DataFrame, label: str = "label") -> DataFrame:
 
 def box(df: DataFrame, x: str, y: str, bounds: tuple[float, float, float, float]) -> DataFrame:
     return df.where(F.col(x).between(*bounds[:2]) & F.col(y).between(*bounds[2:]))
-
-
-def rank_first(df: DataFrame, by: str, order: str) -> DataFrame:
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where("__n = 1").drop("__n")

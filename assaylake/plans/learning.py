@@ -199,17 +199,26 @@ train_mlp = _trained("train_mlp", "mlp", "cls", 3)
 train_j48 = _trained("train_j48", "j48", "cls", 3)
 
 
-_KNN_SQL = """
-    WITH v AS (SELECT vec_id AS hash, embedding[1] AS a, embedding[2] AS b, embedding[3] AS c, label FROM embeddings), q AS (SELECT * FROM v WHERE hash % 20 = 0),
-    n AS (SELECT q.hash AS q, v.hash, v.label, round(pow(abs(v.a::DOUBLE - q.a::DOUBLE), 2) + pow(abs(v.b::DOUBLE - q.b::DOUBLE), 2) + pow(abs(v.c::DOUBLE - q.c::DOUBLE), 2), 9) AS d FROM q JOIN v ON q.hash <> v.hash),
-    t AS (SELECT q, label, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, hash, label) AS k FROM n) WHERE k <= 5 GROUP BY 1, 2)
+def _knn_sql(p: int, weight: str) -> str:
+    return f"""
+    WITH v AS (SELECT vec_id AS hash, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), q AS (SELECT * FROM v WHERE hash % 100 = 0),
+    n AS (SELECT q.hash AS q, v.hash, v.label, round(list_sum(list_transform(range(1, 65), lambda i: pow(abs(v.e[i] - q.e[i]), {p}))), 9) AS d FROM q JOIN v ON q.hash <> v.hash),
+    t AS (SELECT q, label, sum({weight}) AS n FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, hash, label) AS k FROM n) WHERE k <= 5 GROUP BY 1, 2)
     SELECT q AS hash, CAST(label AS INTEGER) AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC, label DESC) AS k FROM t) WHERE k = 1"""
 
 
-@register(_KNN_SQL)
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("hash"), F.col("embedding").alias("e"), "label")
+
+
+@register(_knn_sql(2, "1"))
 def knn_predict(spark, d):
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("hash"), *(F.element_at("embedding", i + 1).cast("double").alias(c) for i, c in enumerate("abc")), "label")
-    return models.knn(rows, rows.where("hash % 20 = 0"), ["a", "b", "c"], "label")
+    return models.knn(_vectors(spark, d), _vectors(spark, d).where("hash % 100 = 0"), ["e"], "label")
+
+
+@register(_knn_sql(1, "CASE WHEN d = 0 THEN 1e300 ELSE 1 / d END"))
+def knn_weighted(spark, d):
+    return models.knn(_vectors(spark, d), _vectors(spark, d).where("hash % 100 = 0"), ["e"], "label", p=1, weights="distance")
 
 
 @register()
@@ -249,7 +258,13 @@ def auto_k(spark, d):
 @register()
 def grid_search(spark, d):
     rows = preprocess.stratified_split(features(spark, d))
-    return models.grid_search(rows.where("train"), COLUMNS, "y", [2, 4, 6])[0]
+    return models.grid_search(rows.where("train"), COLUMNS, "y")[0]
+
+
+@register()
+def grid_search_forest(spark, d):
+    rows = preprocess.stratified_split(features(spark, d))
+    return models.grid_search(rows.where("train"), COLUMNS, "y", "rf", {"maxDepth": [3, 5], "numTrees": [5]})[0]
 
 
 @register(sql("SELECT count(*) FILTER (label = '?') = 0 AS supervised, count(*) FILTER (label <> '?') > 0 AS semi_supervised FROM samples", "samples"))
@@ -293,16 +308,24 @@ def characteristic_points(spark, d):
 
 @register()
 def cluster_points(spark, d):
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("hash"), *(F.element_at("embedding", i + 1).cast("double").alias(f"e{i}") for i in range(6)))
-    points = written(preprocess.pca(rows, [f"e{i}" for i in range(6)]).select("hash", "pc1", "pc2"), "points")
+    names = [f"e{i}" for i in range(64)]
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("hash"), *(F.element_at("embedding", i + 1).cast("double").alias(n) for i, n in enumerate(names)))
+    points = written(preprocess.pca(rows, names).select("hash", "pc1", "pc2"), "points")
     return points.join(models.dbscan(points, "pc1", "pc2", 0.3, 6), "hash")
 
 
 @register()
 def knn_boundary(spark, d):
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("hash"), *(F.element_at("embedding", i + 1).cast("double").alias(c) for i, c in enumerate("xy")), "label")
-    cells = spark.range(11).select((F.col("id") / 10 - 0.5).alias("x")).crossJoin(spark.range(11).select((F.col("id") / 10 - 0.5).alias("y"))).select((-1 - F.row_number().over(Window.orderBy("x", "y"))).cast("long").alias("hash"), "x", "y")
-    return models.knn(rows, cells, ["x", "y"], "label").join(cells, "hash")
+    """The vote of the nearest rows at each point of a grid over two principal components of all dimensions."""
+    names = [f"e{i}" for i in range(64)]
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("hash"), *(F.element_at("embedding", i + 1).cast("double").alias(n) for i, n in enumerate(names)), "label")
+    points = written(preprocess.pca(rows, names).select("hash", "pc1", "pc2", "label"), "points")
+    ends = points.agg(*(f(c).alias(f"{n}_{c}") for c in ("pc1", "pc2") for n, f in (("a", F.min), ("b", F.max))))
+    steps = F.explode(F.sequence(F.lit(0), F.lit(10)))
+    cells = ends.select("*", steps.alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("j"))
+    cells = cells.select((-1 - F.col("i") * 11 - F.col("j")).cast("long").alias("hash"), *((F.col(f"a_{c}") + (F.col(f"b_{c}") - F.col(f"a_{c}")) * F.col(k) / 10).alias(c) for c, k in (("pc1", "i"), ("pc2", "j"))))
+    cells = written(cells, "grid")
+    return models.knn(points, cells, ["pc1", "pc2"], "label").join(cells, "hash")
 
 
 # ---------------------------------------------------------------- heuristic models
