@@ -24,7 +24,7 @@ from assaylake.llm.shared import cut, written
 #: Turns of a conversation that are numbered together.
 SPAN = 256
 #: Rounds of levels() between looks at what is open, and the needs that the driver settles.
-EARLY, FEW = 8, 100_000
+EARLY, FEW = 3, 100_000
 _KINDS = {"string": str, "integer": (int, float), "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 #: The words of JSON Schema that are checked, and those that say nothing about a value.
 _CHECKED = {"type", "enum", "const", "minLength", "maxLength", "pattern", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "items", "minItems", "maxItems", "uniqueItems", "properties", "required", "additionalProperties", "minProperties", "maxProperties", "anyOf", "oneOf", "allOf", "not"}
@@ -150,28 +150,30 @@ def _settled(needs: list) -> list[tuple]:
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 for a call that needs none, else 2 + the highest level of those it needs; null on a cycle.
 
-    A result's level is its call's plus 1, so that level order is a topological order. Identifiers that no call has do not count. Each
-    round settles the calls whose needs are settled; what is open after EARLY rounds is settled in one go once it is small.
+    A result's level is its call's plus 1, so that level order is a topological order. Identifiers that no call has do not count. Each round takes
+    the needs of calls just settled away, which settles those calls that have none left, all at the round's level. What is open after
+    EARLY rounds is settled in one go once it is small; without new calls in a round, what is open is on a cycle or behind one.
     """
-    known = calls.where("conv_id is not null and call_id is not null").select("conv_id", "call_id").distinct()
-    needs = calls.select("conv_id", "call_id", F.explode("after").alias("need")).where("need is not null").distinct()
-    needs = cut(needs.join(known.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_semi"))
-    waiting = needs.groupBy("conv_id", "call_id").agg(F.count("*").alias("needed"))
-    settled = cut(known.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    for turn in count():
-        if turn % EARLY == EARLY - 1:
-            open_ = needs.join(settled, ["conv_id", "call_id"], "left_anti").join(settled.withColumnsRenamed({"call_id": "need", "level": "below"}), ["conv_id", "need"], "left")
-            open_ = cut(open_.select("conv_id", "call_id", "need", "below"))
+    key = ["conv_id", "call_id"]
+    known = calls.where("conv_id is not null and call_id is not null").select(*key).distinct()
+    needs = calls.select(*key, F.explode("after").alias("need")).where("need is not null").distinct()
+    open_ = cut(needs.join(known.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_semi"))
+    new = cut(known.join(open_.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0)))
+    settled = new
+    for turn in count(1):
+        just = new.withColumnsRenamed({"call_id": "need", "level": "below"})
+        if turn % EARLY == 0:
+            settled = cut(settled)
             if open_.limit(FEW + 1).count() <= FEW:
-                settled = cut(settled.unionByName(settled.sparkSession.createDataFrame(_settled(open_.collect()), settled.schema)))  # FEW rows at most
+                left = open_.join(just, ["conv_id", "need"], "left").select(*key, "need", "below").collect()  # FEW rows at most
+                settled = settled.unionByName(settled.sparkSession.createDataFrame(_settled(left), settled.schema))
                 break
-        met = needs.join(settled.withColumnRenamed("call_id", "need"), ["conv_id", "need"]).groupBy("conv_id", "call_id").agg(F.count("*").alias("met"), F.max("level").alias("below"))
-        new = waiting.join(met, ["conv_id", "call_id"]).where("met = needed").join(settled, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", (F.col("below") + 2).alias("level"))
-        new = cut(new)
+        rest = cut(open_.join(just, ["conv_id", "need"], "left_anti"))
+        new = cut(open_.select(*key).distinct().join(rest.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(2 * turn)))
         if new.limit(1).count() == 0:
             break
-        settled = cut(settled.unionByName(new))
-    return known.join(settled, ["conv_id", "call_id"], "left")
+        settled, open_ = settled.unionByName(new), rest
+    return known.join(settled, key, "left")
 
 
 def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
