@@ -7,9 +7,8 @@ distinct ones, P(word) = (c + v * P_lattice(word)) / (n + v). The model is a mix
 a document's probability is the sum over them: its language is not given to the model, it is summed out.
 
 Plan: (1) one pass over the texts makes chunks, rows of arrays: distinct words with counts, the texts as word numbers, piece
-counts; (2) counts are added up by word over all chunks; (3) the totals of words that stand in several chunks join back to the
-chunks, where a word of very many chunks may be split as any skewed join key is (a word of one chunk has its own counts there); (4) each
-chunk scores its documents. Texts are read once and not shuffled; a chunk holds about a million tokens at any table size.
+counts; (2) counts are added up by word over all chunks; (3) the totals join back to the chunks, where a word of very many chunks
+may be split as any skewed join key is; (4) each chunk scores its documents. Texts are read once and not shuffled; a chunk holds about a million tokens at any table size.
 """
 
 from __future__ import annotations
@@ -221,8 +220,8 @@ def _once(key, make):
     return _READY[key]
 
 
-_CHUNK = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("groups", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.list_(pa.int64()))), ("pieces", pa.list_(pa.int32())), ("piece_counts", pa.list_(pa.float64()))])
-_CHUNK_TYPES = "chunk long, doc_ids array<long>, held array<boolean>, sizes array<long>, groups array<int>, tokens binary, words array<string>, counts array<array<long>>, pieces array<int>, piece_counts array<double>"
+_CHUNK = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("groups", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.string()), ("counts", pa.list_(pa.list_(pa.int64()))), ("pieces", pa.list_(pa.int32())), ("piece_counts", pa.list_(pa.float64()))])
+_CHUNK_TYPES = "chunk long, doc_ids array<long>, held array<boolean>, sizes array<long>, groups array<int>, tokens binary, words string, counts array<array<long>>, pieces array<int>, piece_counts array<double>"
 
 
 def _chunks(docs: DataFrame, model, languages: list[str], most: int = DOCS) -> DataFrame:
@@ -244,7 +243,7 @@ def _chunks(docs: DataFrame, model, languages: list[str], most: int = DOCS) -> D
         taught = np.flatnonzero(counts.any(0))
         found = pieces.counts([words[i] for i in taught], counts[:, taught]).ravel() if len(taught) else np.zeros(1)
         some = np.flatnonzero(found)
-        values = [secrets.randbits(62), [r[0] for r in rows], held, sizes, groups.astype(np.int32), zstandard.compress(tokens.tobytes(), 1), words, counts.tolist(), some.astype(np.int32), found[some]]
+        values = [secrets.randbits(62), [r[0] for r in rows], held, sizes, groups.astype(np.int32), zstandard.compress(tokens.tobytes(), 1), "\n".join(words), counts.tolist(), some.astype(np.int32), found[some]]
         return pa.RecordBatch.from_arrays([pa.array([v.tolist() if isinstance(v, np.ndarray) else v], t) for v, t in zip(values, _CHUNK.types, strict=True)], schema=_CHUNK)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,13 +289,14 @@ def lattice_scores(docs: DataFrame, path: str, languages: int = LANGUAGES) -> Da
     piece_counts[counted["pieces"].to_numpy("i8")] = counted["n"].to_numpy("f8")
     # Words: counts over all chunks. A word has one row for each chunk that holds it, and one in the totals.
     own = [F.col("w.counts")[g].alias(f"c{g}") for g in range(k)]
-    zipped = F.arrays_zip("words", F.expr("transform(sequence(0, size(words) - 1), i -> transform(counts, c -> c[i]))").alias("counts"))
-    spread = chunks.where(F.size("words") > 0).select(F.explode(zipped).alias("w")).select(F.col("w.words").alias("word"), *own)
-    totals = written(spread.groupBy("word").agg(*(F.sum(f"c{g}").alias(f"t{g}") for g in range(k)), F.count("*").alias("n")), "lm-totals")
+    listed = F.split("words", "\n")  # a word holds no white space
+    zipped = F.arrays_zip(listed.alias("words"), F.expr("transform(sequence(0, size(counts[0]) - 1), i -> transform(counts, c -> c[i]))").alias("counts"))
+    spread = chunks.where("words <> ''").select(F.explode(zipped).alias("w")).select(F.col("w.words").alias("word"), *own)
+    totals = written(spread.groupBy("word").agg(*(F.sum(f"c{g}").alias(f"t{g}") for g in range(k))), "lm-totals")
     distinct = totals.agg(F.count(F.when(sum(F.col(f"t{g}") for g in range(k)) > 0, 1)).alias("v"), *(F.count(F.when(F.col(f"t{g}") > 0, 1)).alias(f"v{g}") for g in range(k))).collect()[0]
-    placed = spark.read.schema(_CHUNK_TYPES).parquet(folder).where(F.size("words") > 0).select("chunk", F.posexplode("words").alias("place", "word"))
+    placed = spark.read.schema(_CHUNK_TYPES).parquet(folder).where("words <> ''").select("chunk", F.posexplode(listed).alias("place", "word"))
     # Spark's size of an exploded table is that before it: a merge join, which AQE splits at a word of very many chunks.
-    shared = placed.hint("merge").join(totals.where("n > 1").drop("n").hint("merge"), "word").drop("word")
+    shared = placed.hint("merge").join(totals.hint("merge"), "word").drop("word")
     known = int(distinct["v"]) + int(trained[0].sum() > 0)  # and the end
     train_tokens = int(trained.sum())
     facts = spark.sparkContext.broadcast((piece_counts.reshape(k, size), trained, np.array([distinct[f"v{g}"] for g in range(k)], float) + 1))  # a number for each piece and language
@@ -306,17 +306,16 @@ def lattice_scores(docs: DataFrame, path: str, languages: int = LANGUAGES) -> Da
         pieces, (docs_in, words_in), variety = facts.value[0], facts.value[1], facts.value[2]
         lattice = _once(name, lambda: Lattice(Pieces(model.value), pieces, words_in + docs_in))
         out = []
-        for n, row in enumerate(chunk.drop_columns("counts").to_pylist()):
-            own, place = chunk.column("counts")[n].values, words["place"].to_numpy()
-            count = np.zeros((len(row["words"]) + 1, k))  # the last row is the end
+        for row in chunk.to_pylist():
+            spelled, place = row["words"].split("\n") if row["words"] else [], words["place"].to_numpy()
+            count = np.zeros((len(spelled) + 1, k))  # the last row is the end
             for g in range(k):
-                count[:-1, g] = own[g].values.to_numpy(zero_copy_only=False)
                 count[place, g] = words[f"t{g}"].to_numpy()
             count[-1] = docs_in
-            spelled = lattice.log_chance([*row["words"], ""])
+            marginal = lattice.log_chance([*spelled, ""])
             tokens = docs_in + words_in
             with np.errstate(divide="ignore"):
-                ln = np.logaddexp(np.log(count), np.log(variety) + spelled) - np.log(tokens + variety)
+                ln = np.logaddexp(np.log(count), np.log(variety) + marginal) - np.log(tokens + variety)
             c = count.sum(1)
             base = np.log10((c + 0.1) / (train_tokens + 0.1 * (known + 1)))
             ids = np.frombuffer(zstandard.decompress(row["tokens"]), np.uint32).astype(np.int64)
@@ -324,7 +323,7 @@ def lattice_scores(docs: DataFrame, path: str, languages: int = LANGUAGES) -> Da
             cuts = np.cumsum(sizes)
             whole = np.empty((len(ids) + len(sizes), ), np.int64)  # each document's words, then the end
             ends = cuts + np.arange(len(sizes))
-            whole[ends] = len(row["words"])
+            whole[ends] = len(spelled)
             inside = np.ones(len(whole), bool)
             inside[ends] = False
             whole[inside] = ids
@@ -337,6 +336,6 @@ def lattice_scores(docs: DataFrame, path: str, languages: int = LANGUAGES) -> Da
         return pa.concat_tables(out) if out else pa.table({c: pa.array([], t) for c, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
 
     parts = blocks_for(chunks.count(), TOGETHER)
-    sides = chunks.select("chunk", "doc_ids", "held", "sizes", "tokens", "words", "counts").repartition(parts, "chunk"), shared.repartition(parts, "chunk")
+    sides = chunks.select("chunk", "doc_ids", "held", "sizes", "tokens", "words").repartition(parts, "chunk"), shared.repartition(parts, "chunk")
     found = sides[0].groupBy("chunk").cogroup(sides[1].groupBy("chunk")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
