@@ -6,10 +6,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting that removes a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, a new temporary folder in local mode, and an error on a cluster, whose machines share none."""
     context = spark.sparkContext
@@ -37,7 +43,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files go when the query has ended; what it has written is all that is left of it."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: computed once, read back by column, safe from lost executors."""
-    df.write.parquet(path := new_folder(df.sparkSession, name))
+    with tidy(df.sparkSession):
+        df.write.parquet(path := new_folder(df.sparkSession, name))
     return df.sparkSession.read.schema(df.schema).parquet(path)
