@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 Model = Callable[[dict[str, Column]], Column]
 
 
-def perturbed(value: Column, delta: float, up: bool, kind: str = "double", name: str = "") -> Column:
-    """value moved by delta of itself (integers by 1 at least, zero by delta); booleans flip; shares stay in [0, 1] and sizes at 0 or more."""
+def perturbed(value: Column, delta: float, up: bool, kind: str = "double", name: str = "", sigma: Column | None = None) -> Column:
+    """value moved by delta of itself (integers by 1 at least, zero by delta), or by delta times sigma where that is given; booleans flip; shares stay in
+    [0, 1] and sizes at 0 or more."""
     if kind == "boolean":
-        return (1 - value.cast("int")) if not up else F.lit(1) - value.cast("int")
-    step = F.abs(value) * delta
-    if kind in ("int", "bigint"):
-        step = F.greatest(F.lit(1.0), step)
-    step = F.when(value == 0, F.lit(delta)).otherwise(step)
+        return F.lit(1) - value.cast("int")
+    step = F.abs(value) * delta if sigma is None else sigma * delta
+    if sigma is None:
+        step = F.greatest(F.lit(1.0), step) if kind in ("int", "bigint") else step
+        step = F.when(value == 0, F.lit(delta)).otherwise(step)
     moved = value + step if up else value - step
     if name.endswith(("ratio", "share", "discount", "tax")):
         moved = F.greatest(F.lit(0.0), F.least(F.lit(1.0), moved))

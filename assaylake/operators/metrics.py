@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +29,26 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def binary_metrics(df: DataFrame, truth: str, predicted: str, score: str | None = None) -> DataFrame:
-    """One row: accuracy, precision, recall, f, mcc of class 1; auc of the score, by ranks of its distinct values."""
+def binary_metrics(df: DataFrame, truth: str, predicted: str, score: str | None = None, flip: bool = False) -> DataFrame:
+    """One row: accuracy, precision, recall, f, mcc of class 1; auc of the score, by ranks of its distinct values.
+
+    flip: where the predictions go against the truth (mcc below 0), the truth's classes change places before all but the sign of the
+    mcc is told, as for a clustering whose classes have no names.
+    """
     t, p = F.col(truth), F.col(predicted)
     c = df.agg(F.count_if((t == 1) & (p == 1)).alias("tp"), F.count_if((t == 0) & (p == 0)).alias("tn"), F.count_if((t == 0) & (p == 1)).alias("fp"), F.count_if((t == 1) & (p == 0)).alias("fn"))
+    against = F.lit(False)
+    if flip:
+        against = F.col("tp") * F.col("tn") < F.col("fp") * F.col("fn")
+        turned = {"tp": "fp", "fp": "tp", "tn": "fn", "fn": "tn"}
+        c = c.select(against.alias("__against"), *(F.when(against, F.col(o)).otherwise(F.col(n)).alias(n) for n, o in turned.items()))
+        against = F.col("__against")
     tp, tn, fp, fn = (F.col(x).cast("double") for x in ("tp", "tn", "fp", "fn"))
-    out = c.select(F.round(_ratio(tp + tn, tp + tn + fp + fn), 6).alias("accuracy"), F.round(_ratio(tp, tp + fp), 6).alias("precision"), F.round(_ratio(tp, tp + fn), 6).alias("recall"), F.round(_ratio(2 * tp, 2 * tp + fp + fn), 6).alias("f"), F.round(_ratio(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))), 6).alias("mcc"))
-    return out if score is None else out.join(auc(df, truth, score))  # one row each
+    out = c.select(against.alias("__against"), F.round(_ratio(tp + tn, tp + tn + fp + fn), 6).alias("accuracy"), F.round(_ratio(tp, tp + fp), 6).alias("precision"), F.round(_ratio(tp, tp + fn), 6).alias("recall"), F.round(_ratio(2 * tp, 2 * tp + fp + fn), 6).alias("f"), F.round(_ratio(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))), 6).alias("mcc"))
+    if score is not None:
+        out = out.join(auc(df, truth, score))  # one row each
+        out = out.withColumn("auc", F.when(F.col("__against"), F.round(1 - F.col("auc"), 6)).otherwise(F.col("auc")))
+    return out.drop("__against")
 
 
 def auc(df: DataFrame, truth: str, score: str) -> DataFrame:
@@ -68,8 +85,65 @@ def clustering_label_metrics(df: DataFrame, truth: str, cluster: str) -> DataFra
     return row.withColumn("v", _ratio(2 * F.col("homogeneity") * F.col("completeness"), F.col("homogeneity") + F.col("completeness"))).select(*(F.round(x, 6).alias(x) for x in ("rand", "homogeneity", "completeness", "v")))
 
 
+def expected_information(rows: list[int], columns: list[int]) -> float:
+    """Expected mutual information, in nats, of two partitions with these class sizes when members are dealt out by chance.
+
+    For each pair of classes the sum goes over the possible overlaps, by their hypergeometric chances; overlaps of more than 12 deviations
+    from the mean add nothing that a double holds, so a pair costs no more than some deviations of its overlap.
+    """
+    n, out = sum(rows), 0.0
+    log_factorial = lambda x: np.array([math.lgamma(v + 1) for v in np.atleast_1d(x)])
+    for a in rows:
+        for b in columns:
+            mean = a * b / n
+            wide = 12 * math.sqrt(mean * (1 - a / n) * (1 - b / n) * n / max(1, n - 1)) + 20
+            k = np.arange(max(1, a + b - n, int(mean - wide)), min(a, b, int(mean + wide) + 1) + 1, dtype=float)
+            if not len(k):
+                continue
+            chance = math.lgamma(a + 1) + math.lgamma(b + 1) + math.lgamma(n - a + 1) + math.lgamma(n - b + 1) - math.lgamma(n + 1) - log_factorial(k) - log_factorial(a - k) - log_factorial(b - k) - log_factorial(n - a - b + k)
+            out += float(np.sum(k / n * np.log(n * k / (a * b)) * np.exp(chance)))
+    return out
+
+
+def adjusted_information(df: DataFrame, truth: str, cluster: str) -> DataFrame:
+    """One row: mutual information in nats, what chance would give, and the information adjusted for it (1: equal partitions, about 0: chance).
+
+    The driver sees the sizes of classes and of clusters and of their overlaps, a row for each.
+    """
+    c = confusion_table(df, truth, cluster).collect()
+    t, p = Counter(), Counter()
+    for r in c:
+        t[r["t"]] += r["n"]
+        p[r["p"]] += r["n"]
+    n = sum(t.values())
+    spread = lambda sizes: -sum(m / n * math.log(m / n) for m in sizes.values())
+    information = sum(r["n"] / n * math.log(n * r["n"] / (t[r["t"]] * p[r["p"]])) for r in c) if n else 0.0
+    expected = expected_information(list(t.values()), list(p.values())) if n else 0.0
+    room = (spread(t) + spread(p)) / 2 - expected if n else 0.0
+    adjusted = 1.0 if len(t) == len(p) <= 1 or len(t) == len(p) == n else (information - expected) / (room if abs(room) > 1e-15 else math.copysign(1e-15, room))
+    return df.sparkSession.createDataFrame([(round(information, 6), round(expected, 6), round(adjusted, 6))], "information double, expected double, adjusted double")
+
+
+def silhouette(df: DataFrame, columns: list[str], cluster: str) -> DataFrame:
+    """One row: the mean silhouette by squared Euclidean distance.
+
+    The mean squared distance of a row to a cluster follows from the cluster's size, mean and mean square, so rows meet a few numbers for each cluster and
+    no other rows. A row alone in its cluster counts 0.
+    """
+    square = sum(F.col(x).cast("double") ** 2 for x in columns)
+    stats = df.groupBy(F.col(cluster).alias("c")).agg(F.count("*").alias("n"), F.avg(square).alias("s"), F.array(*(F.avg(F.col(x).cast("double")) for x in columns)).alias("m"))
+    listed = F.broadcast(stats.agg(F.collect_list(F.struct("c", "n", "s", "m")).alias("__all")))  # a row of some numbers for each cluster
+    own, point = F.col(cluster), F.array(*(F.col(x).cast("double") for x in columns))
+    away = lambda k: F.greatest(F.lit(0.0), square + k["s"] - 2 * F.aggregate(F.zip_with(point, k["m"], lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
+    met = df.join(listed).select(F.transform("__all", lambda k: F.struct((k["c"] == own).alias("own"), k["n"].alias("n"), away(k).alias("d"))).alias("k"))
+    mine = F.filter("k", lambda k: k["own"])[0]
+    other = F.array_min(F.transform(F.filter("k", lambda k: ~k["own"]), lambda k: k["d"]))
+    placed = met.select(mine["n"].alias("n"), (mine["d"] * mine["n"] / F.greatest(mine["n"] - 1, F.lit(1))).alias("a"), other.alias("b"))
+    return placed.agg(F.round(F.avg(F.when(F.col("n") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))), 6).alias("silhouette"))
+
+
 def clustering_internal_metrics(df: DataFrame, columns: list[str], cluster: str) -> DataFrame:
-    """One row: Calinski-Harabasz and Davies-Bouldin indices from the clusters' centroids."""
+    """One row: Calinski-Harabasz and Davies-Bouldin indices from the clusters' centroids, and the silhouette."""
     means = df.groupBy(F.col(cluster).alias("c")).agg(F.count("*").alias("n"), *(F.avg(x).alias(f"m_{x}") for x in columns))
     whole = df.agg(*(F.avg(x).alias(f"g_{x}") for x in columns))
     square = lambda a, b: sum((F.col(f"{a}_{x}" if a else x) - F.col(f"{b}_{x}")) ** 2 for x in columns)
@@ -78,7 +152,7 @@ def clustering_internal_metrics(df: DataFrame, columns: list[str], cluster: str)
     ch = table.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("b").alias("b")).select(F.round((F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k"))), 4).alias("calinski_harabasz"))
     other = table.select(F.col("c").alias("oc"), F.col("s").alias("os"), *(F.col(f"m_{x}").alias(f"o_{x}") for x in columns))
     worst = table.join(other, F.col("c") != F.col("oc")).withColumn("r", (F.col("s") + F.col("os")) / F.sqrt(square("m", "o"))).groupBy("c").agg(F.max("r").alias("r"))  # k * k rows
-    return ch.join(worst.agg(F.round(F.avg("r"), 6).alias("davies_bouldin")))
+    return ch.join(worst.agg(F.round(F.avg("r"), 6).alias("davies_bouldin"))).join(silhouette(df, columns, cluster))
 
 
 def regression_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:

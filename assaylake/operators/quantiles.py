@@ -88,7 +88,8 @@ def running(df: DataFrame, by: list[str], order: str, sums: dict[str, str]) -> D
     parts = ranges(df, order, by)
     totals = parts.groupBy(*by, "__range").agg(*(F.sum(c).alias(f"__t_{n}") for n, c in sums.items()))
     over = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "__range", *(F.coalesce(F.sum(f"__t_{n}").over(over), F.lit(0)).alias(f"__b_{n}") for n in sums))
+    totals = totals.select(*(F.col(c).alias(f"__g_{c}") for c in by), F.col("__range").alias("__r"), *(F.coalesce(F.sum(f"__t_{n}").over(over), F.lit(0)).alias(f"__b_{n}") for n in sums))
     inside = Window.partitionBy(*by, "__range").orderBy(order)
-    joined = parts.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(totals, [*by, "__range"])
-    return joined.withColumns({n: F.col(n) + F.col(f"__b_{n}") for n in sums}).drop("__range", *(f"__b_{n}" for n in sums))
+    same = [F.col("__range") == F.col("__r"), *(F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in by)]
+    joined = parts.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(totals, same)
+    return joined.withColumns({n: F.col(n) + F.col(f"__b_{n}") for n in sums}).drop("__range", "__r", *(f"__g_{c}" for c in by), *(f"__b_{n}" for n in sums))

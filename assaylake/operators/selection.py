@@ -7,6 +7,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.operators import quantiles
+from assaylake.operators.metrics import binary_metrics
+from assaylake.sources.scratch import cut
+
 
 def variances(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, variance): population variances, in one pass."""
@@ -18,12 +22,18 @@ def variance_filter(df: DataFrame, columns: list[str], threshold: float) -> Data
     return variances(df, columns).withColumn("kept", F.col("variance") > threshold)
 
 
+def _bins(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
+    """df with __bin_c for each column c: its bin among `bins` of about equal numbers of rows, cut at exact quantiles."""
+    cuts = quantiles.exact(df, columns, [i / bins for i in range(1, bins)])
+    for c in columns:
+        df = quantiles.placed(df, c, sorted({x for x in cuts[c] if x is not None}), f"__bin_{c}")
+    return df
+
+
 def binned(df: DataFrame, columns: list[str], label: str, bins: int = 10, extra: list[str] | None = None) -> DataFrame:
-    """(feature, bin, label, extra...): equal-width bins of each column, one row for each feature and row."""
-    lows = df.agg(*(F.min(c).alias(f"a_{c}") for c in columns), *(F.max(c).alias(f"b_{c}") for c in columns))
-    both = df.join(F.broadcast(lows))  # one row
-    place = lambda c: F.least(F.lit(bins - 1), F.floor(F.coalesce(F.try_divide((F.col(c) - F.col(f"a_{c}")) * bins, F.col(f"b_{c}") - F.col(f"a_{c}")), F.lit(0.0)))).cast("int")
-    return both.select(F.col(label).alias("label"), *(extra or []), F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), place(c).alias("bin")) for c in columns))).alias("p")).select("label", *(extra or []), "p.*")
+    """(feature, bin, label, extra...): quantile bins of each column, one row for each feature and row."""
+    cells = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"__bin_{c}").alias("bin")) for c in columns))
+    return _bins(df, columns, bins).select(F.col(label).alias("label"), *(extra or []), F.explode(cells).alias("p")).select("label", *(extra or []), "p.*")
 
 
 def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int = 10, by: str | None = None) -> DataFrame:
@@ -43,11 +53,8 @@ def best(mi: DataFrame, k: float) -> DataFrame:
 
 def pairwise_mi(df: DataFrame, columns: list[str], bins: int = 10) -> dict[tuple[str, str], float]:
     """Binned mutual information of each pair of columns: k * k numbers, all counted in one job."""
-    lows = df.agg(*(F.min(c).alias(f"a_{c}") for c in columns), *(F.max(c).alias(f"b_{c}") for c in columns))
-    both = df.join(F.broadcast(lows))
-    place = {c: F.least(F.lit(bins - 1), F.floor(F.coalesce(F.try_divide((F.col(c) - F.col(f"a_{c}")) * bins, F.col(f"b_{c}") - F.col(f"a_{c}")), F.lit(0.0)))).cast("int") for c in columns}
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    long = both.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), place[a].alias("x"), place[b].alias("y")) for a, b in pairs))).alias("p")).select("p.*")
+    long = _bins(df, columns, bins).select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"__bin_{a}").alias("x"), F.col(f"__bin_{b}").alias("y")) for a, b in pairs))).alias("p")).select("p.*")
     joint = long.groupBy("a", "b", "x", "y").agg(F.count("*").alias("n"))
     w = Window.partitionBy("a", "b")
     sums = joint.withColumns({"all": F.sum("n").over(w), "nx": F.sum("n").over(Window.partitionBy("a", "b", "x")), "ny": F.sum("n").over(Window.partitionBy("a", "b", "y"))})
@@ -75,22 +82,54 @@ def forest_importances(df: DataFrame, columns: list[str], label: str, trees: int
     return dict(zip(columns, model.featureImportances.toArray().tolist(), strict=True))
 
 
-def rfe(df: DataFrame, columns: list[str], label: str, least: int = 1) -> DataFrame:
-    """(feature, rank): features by the order in which recursive elimination drops them, the last to stay first."""
-    left, out = list(columns), []
-    while len(left) > least:
+def folded(df: DataFrame, folds: int, seed: int = 42, key: str = "hash") -> DataFrame:
+    """df with __fold, drawn by a hash of the key."""
+    return df.withColumn("__fold", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)))
+
+
+def cross_validated(df: DataFrame, columns: list[str], label: str, folds: int, trees: int = 10) -> float:
+    """Mean Matthews correlation of a forest over the folds, each predicted by a forest that was fitted on the others."""
+    scores = []
+    vec = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(df).select("features", F.col(label).cast("int").alias("y"), "__fold")
+    for fold in range(folds):
+        model = RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=5, seed=42).fit(vec.where(F.col("__fold") != fold))
+        found = model.transform(vec.where(F.col("__fold") == fold))
+        scores.append(binary_metrics(found.withColumn("p", F.col("prediction").cast("int")), "y", "p").first()["mcc"])
+    return sum(scores) / len(scores)
+
+
+def rfecv(df: DataFrame, columns: list[str], label: str, least: int = 1, folds: int = 3, key: str = "hash") -> DataFrame:
+    """(feature, rank, score): recursive elimination with cross-validation for a 0/1 label.
+
+    The least important feature of a forest goes at each step, down to `least`; the set of the best mean score over the folds wins, the
+    smaller one of equals. Its features have rank 1, those eliminated later than others the lower ranks; score is the mean score of the
+    set that a feature was last in.
+    """
+    df = cut(folded(df.select(key, *columns, label), folds, key=key))  # fitted and scored many times
+    left, gone, scores = list(columns), [], {}
+    while True:
+        scores[len(left)] = round(cross_validated(df, left, label, folds), 6)
+        if len(left) <= max(1, least):
+            break
         weights = forest_importances(df, left, label)
         worst = min(left, key=lambda c: (weights[c], c))
-        out.append((worst, len(left)))
+        gone.append(worst)
         left.remove(worst)
-    return df.sparkSession.createDataFrame(out + [(c, 1) for c in left], "feature string, rank int")
+    size = max(scores, key=lambda k: (scores[k], -k))
+    inside = {c: len(columns) - i for i, c in enumerate(gone)} | dict.fromkeys(left, len(left))  # the size of the last set that holds the feature
+    rows = [(c, max(1, k - size + 1), scores[k]) for c, k in inside.items()]
+    rows = [(c, 1, scores[size]) if k <= size else (c, r, s) for (c, r, s), k in zip(rows, inside.values(), strict=True)]
+    return df.sparkSession.createDataFrame(rows, "feature string, rank int, score double")
 
 
-def filter_pipeline(df: DataFrame, columns: list[str], label: str, threshold: float, k: int) -> DataFrame:
-    """Variance filter, best by mutual information, then forest importance: (feature, mi, importance, rank)."""
+def filter_pipeline(df: DataFrame, columns: list[str], label: str, threshold: float, k: int, chosen: int | None = None) -> DataFrame:
+    """(feature, mi, importance, rank): variance filter, the k best by mutual information, the `chosen` best of those by relevance less redundancy, the set that
+    elimination with cross-validation keeps, ranked by forest importance."""
     kept = [r["feature"] for r in variance_filter(df, columns, threshold).where("kept").collect()]
     ranked = best(mutual_information(df, kept, label), k)
     names = [r["feature"] for r in ranked.orderBy("rank").collect()]
+    names = [r["feature"] for r in mrmr(df, names, label, chosen or len(names)).orderBy("rank").collect()]
+    names = [r["feature"] for r in rfecv(df, names, label).where("rank = 1").orderBy("feature").collect()]
     weights = forest_importances(df, names, label)
     table = df.sparkSession.createDataFrame([(n, round(float(w), 6)) for n, w in weights.items()], "feature string, importance double")
     return ranked.select("feature", "mi").join(table, "feature").withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")))

@@ -123,7 +123,8 @@ def variance_filter(spark, d):
     return selection.variance_filter(features(spark, d), COLUMNS, 0.001)
 
 
-_BINNED = "b AS (" + _each("label, y, dataset, CAST(least(9, floor(({c} - (SELECT min({c}) FROM features)) * 10 / ((SELECT max({c}) FROM features) - (SELECT min({c}) FROM features)))) AS INTEGER) AS bin FROM features") + ")"
+_DECILES = "[" + ", ".join(f"{i / 10}" for i in range(1, 10)) + "]"
+_BINNED = "b AS (" + _each("label, y, dataset, CAST(len(list_filter((SELECT quantile_cont({c}, " + _DECILES + ") FROM features), lambda x: x <= {c})) AS INTEGER) AS bin FROM features") + ")"
 _MI = f"{_BINNED}, j AS (SELECT feature, bin, label, count(*) AS n FROM b GROUP BY 1, 2, 3), s AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS a, sum(n) OVER (PARTITION BY feature, bin) AS x, sum(n) OVER (PARTITION BY feature, label) AS l FROM j), mi AS (SELECT feature, round(sum(n / a * ln(n * a / (x * l))), 6) AS mi FROM s GROUP BY 1)"
 
 
@@ -144,7 +145,7 @@ def mrmr(spark, d):
 
 @register()
 def rfecv(spark, d):
-    return selection.rfe(features(spark, d), COLUMNS, "y", 2)
+    return selection.rfecv(features(spark, d), COLUMNS, "y", 1)
 
 
 @register()
@@ -193,6 +194,7 @@ train_dt = _trained("train_dt", "dt", "cls", 3)
 train_rf = _trained("train_rf", "rf", "cls", 3)
 train_gb = _trained("train_gb", "gb")
 train_nb = _trained("train_nb", "nb", "cls", 3)
+train_mnb = _trained("train_mnb", "bnb", "cls", 3)
 train_lr = _trained("train_lr", "lr", "cls", 3)
 train_lsvc = _trained("train_lsvc", "lsvc")
 train_mlp = _trained("train_mlp", "mlp", "cls", 3)
@@ -423,6 +425,33 @@ def classification_metrics(spark, d):
     return metrics.binary_metrics(preds(spark, d), "y_true", "y_pred", "y_pred")
 
 
+@register(sql(f"""
+    WITH o AS (SELECT count(*) FILTER (y_true = 1 AND y_pred = 1)::DOUBLE AS a, count(*) FILTER (y_true = 0 AND y_pred = 0)::DOUBLE AS b, count(*) FILTER (y_true = 0 AND y_pred = 1)::DOUBLE AS c, count(*) FILTER (y_true = 1 AND y_pred = 0)::DOUBLE AS d FROM preds),
+    c AS (SELECT if(a * b < c * d, c, a) AS tp, if(a * b < c * d, d, b) AS tn, if(a * b < c * d, a, c) AS fp, if(a * b < c * d, b, d) AS fn FROM o)
+    SELECT {_R.format(a="tp + tn", b="tp + tn + fp + fn")} AS accuracy, {_R.format(a="tp", b="tp + fp")} AS precision, {_R.format(a="tp", b="tp + fn")} AS recall, {_R.format(a="2 * tp", b="2 * tp + fp + fn")} AS f,
+           {_R.format(a="tp * tn - fp * fn", b="sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))")} AS mcc FROM c""", "preds"))
+def classification_flipped(spark, d):
+    return metrics.binary_metrics(preds(spark, d), "y_true", "y_pred", flip=True)
+
+
+_GUESS = "CASE WHEN quantity > 30 THEN 'N' WHEN tax > 0.04 THEN 'A' ELSE 'R' END"
+
+
+@register(sql(f"""
+    WITH p AS (SELECT label AS t, {_GUESS} AS p FROM features), l AS (SELECT t AS label FROM p UNION SELECT p FROM p),
+    e AS (SELECT label, count(*) FILTER (t = label AND p = label)::DOUBLE AS tp, count(*) FILTER (t <> label AND p = label)::DOUBLE AS fp, count(*) FILTER (t = label AND p <> label)::DOUBLE AS fn FROM p, l GROUP BY 1)
+    SELECT round(sum(tp) / sum(tp + fn), 6) AS accuracy, round(sum(coalesce(tp / nullif(tp + fp, 0), 0) * (tp + fn)) / sum(tp + fn), 6) AS precision, round(sum(coalesce(tp / nullif(tp + fn, 0), 0) * (tp + fn)) / sum(tp + fn), 6) AS recall,
+           round(sum(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) * (tp + fn)) / sum(tp + fn), 6) AS f FROM e""", "features"))
+def classification_weighted(spark, d):
+    guess = F.when(F.col("quantity") > 30, "N").when(F.col("tax") > 0.04, "A").otherwise("R")
+    return metrics.weighted_metrics(features(spark, d).withColumn("guess", guess), "label", "guess")
+
+
+@register()
+def adjusted_mutual_information(spark, d):
+    return metrics.adjusted_information(features(spark, d), "label", "dataset")
+
+
 @register(sql("""
     WITH l AS (SELECT label FROM features UNION SELECT CASE WHEN quantity > 30 THEN 'N' WHEN tax > 0.04 THEN 'A' ELSE 'R' END FROM features), p AS (SELECT label AS t, CASE WHEN quantity > 30 THEN 'N' WHEN tax > 0.04 THEN 'A' ELSE 'R' END AS p FROM features)
     SELECT label, count(*) FILTER (t <> label AND p <> label) AS tn, count(*) FILTER (t <> label AND p = label) AS fp, count(*) FILTER (t = label AND p <> label) AS fn, count(*) FILTER (t = label AND p = label) AS tp FROM p, l GROUP BY 1""", "features"))
@@ -450,8 +479,12 @@ def clustering_label_metrics(spark, d):
     WITH m AS (SELECT label, count(*) AS n, avg(quantity) AS q, avg(tax) AS t FROM features GROUP BY 1), g AS (SELECT avg(quantity) AS q, avg(tax) AS t FROM features),
     i AS (SELECT f.label, sum(pow(quantity - m.q, 2) + pow(tax - m.t, 2)) AS w, avg(sqrt(pow(quantity - m.q, 2) + pow(tax - m.t, 2))) AS s FROM features f JOIN m ON f.label = m.label GROUP BY 1),
     x AS (SELECT m.*, w, s, n * (pow(m.q - g.q, 2) + pow(m.t - g.t, 2)) AS b FROM m JOIN i USING (label), g),
-    r AS (SELECT a.label, max((a.s + b.s) / sqrt(pow(a.q - b.q, 2) + pow(a.t - b.t, 2))) AS r FROM x a JOIN x b ON a.label <> b.label GROUP BY 1)
-    SELECT round((sum(b) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))), 4) AS calinski_harabasz, (SELECT round(avg(r), 6) FROM r) AS davies_bouldin FROM x""", "features"))
+    r AS (SELECT a.label, max((a.s + b.s) / sqrt(pow(a.q - b.q, 2) + pow(a.t - b.t, 2))) AS r FROM x a JOIN x b ON a.label <> b.label GROUP BY 1),
+    k AS (SELECT label, count(*) AS n, avg(quantity * quantity + tax * tax) AS s, avg(quantity) AS q, avg(tax) AS t FROM features GROUP BY 1),
+    d AS (SELECT f.rid, f.label = k.label AS own, k.n, greatest(0, quantity * quantity + tax * tax + k.s - 2 * (quantity * k.q + tax * k.t)) AS d FROM (SELECT *, row_number() OVER () AS rid FROM features) f, k),
+    ab AS (SELECT rid, max(n) FILTER (own) AS n, max(d * n / greatest(n - 1, 1)) FILTER (own) AS a, min(d) FILTER (NOT own) AS b FROM d GROUP BY 1),
+    sil AS (SELECT CASE WHEN n = 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END AS s FROM ab)
+    SELECT round((sum(b) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))), 4) AS calinski_harabasz, (SELECT round(avg(r), 6) FROM r) AS davies_bouldin, (SELECT round(avg(s), 6) FROM sil) AS silhouette FROM x""", "features"))
 def clustering_internal_metrics(spark, d):
     return metrics.clustering_internal_metrics(features(spark, d), ["quantity", "tax"], "label")
 
@@ -522,6 +555,15 @@ def perturb_feature(spark, d):
     return rows.select("hash", F.round(explain.perturbed(F.col("quantity"), 0.1, True, name="quantity"), 6).alias("quantity"), F.round(explain.perturbed(F.col("discount"), 0.1, False, name="discount"), 6).alias("discount"), explain.perturbed(F.col("part"), 0.1, True, "bigint").alias("part"))
 
 
+@register(sql("WITH s AS (SELECT stddev_pop(quantity) AS q, stddev_pop(discount) AS d FROM features) SELECT hash, round(greatest(0, quantity - 2 * q), 6) AS quantity, round(greatest(0, least(1, discount + 2 * d)), 6) AS discount FROM features, s", "features"))
+def perturb_sigma(spark, d):
+    """Moves by two standard deviations."""
+    rows = features(spark, d)
+    spread = rows.agg(F.stddev_pop("quantity").alias("q"), F.stddev_pop("discount").alias("d"))
+    moved = rows.join(F.broadcast(spread))  # one row
+    return moved.select("hash", F.round(explain.perturbed(F.col("quantity"), 2, False, name="quantity", sigma=F.col("q")), 6).alias("quantity"), F.round(explain.perturbed(F.col("discount"), 2, True, name="discount", sigma=F.col("d")), 6).alias("discount"))
+
+
 @register(sql(_fuzz_sql(), "features"))
 def fuzz_features(spark, d):
     return explain.fuzz(features(spark, d), risk, X)

@@ -42,3 +42,37 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+#: Queries without SQL: the columns that each gives.
+WITHOUT_SQL = sorted(set(registry.queries()) - set(registry.oracle_sql()))
+
+
+@pytest.mark.parametrize("name", WITHOUT_SQL)
+def test_query_without_sql_runs(spark, sf, name):
+    got = registry.queries()[name](spark, sf)
+    found = got.toPandas()
+    assert len(found) and list(found.columns) == got.columns and len(set(got.columns)) == len(got.columns)
+    sizes = {table: spark.read.parquet(f"{sf}/{table}.parquet").count() for table in ("lineitem", "embeddings", "documents", "labels")}
+    whole = {"boxcox": "lineitem", "yeojohnson": "customer", "quantile_normal": "lineitem", "pca2": "lineitem", "reduce_data": "lineitem", "kmeans": "lineitem", "hierarchical": "lineitem", "characteristic_points": "lineitem", "predict_table": "lineitem", "cluster_points": "embeddings", "fuzzy_signature": "documents", "burgess_topk": "labels", "nataraj_bigram": "labels", "sun_profile": "labels", "perdisci_mlp": "lineitem"}
+    if name in whole and whole[name] in sizes:
+        assert len(found) == sizes[whole[name]]
+    for column in ("prediction", "cluster", "core"):
+        if column in found:
+            assert found[column].notna().all()
+    for column in ("probability", "accuracy", "precision", "recall", "f"):
+        if column in found:
+            assert found[column].between(0, 1).all()
+    for column in ("accuracy", "importance"):
+        if column in found:
+            assert found[column].max() > 0
+
+
+def test_scaled_columns_without_sql(spark, sf):
+    for name, column in (("boxcox", "price"), ("yeojohnson", "c_acctbal")):
+        value = registry.queries()[name](spark, sf).toPandas()[column]
+        assert abs(value.mean()) < 1e-3 and abs(value.std() - 1) < 1e-2
+    normal = registry.queries()["quantile_normal"](spark, sf).toPandas().price
+    assert abs(normal.median()) < 0.05 and 0.7 < normal.clip(-3, 3).std() < 1.3
+    parts = registry.queries()["pca2"](spark, sf).toPandas()
+    assert abs(parts.pc1.corr(parts.pc2)) < 1e-3 and parts.pc1.var() >= parts.pc2.var()
