@@ -62,6 +62,14 @@ def section_lists(sections: DataFrame, standard: list[str], packer: list[str]) -
     return joined.groupBy("hash").agg(F.count_if("standard").alias("n_standard"), F.count_if("packer").alias("n_packer"), F.count_if(F.col("standard").isNull()).alias("n_unknown"))
 
 
+def api_lists(df: DataFrame, used: str, lists: dict[str, list[str]]) -> DataFrame:
+    """(hash, n_<list>..., unknown): how many of a sample's distinct names each list holds, and those that none does."""
+    names = F.array_distinct(F.coalesce(F.col(used), F.array().cast("array<string>")))
+    known = F.array(*map(F.lit, sorted({n for v in lists.values() for n in v}))).cast("array<string>")
+    counts = [F.size(F.array_intersect(names, F.array(*map(F.lit, v)).cast("array<string>"))).cast("long").alias(f"n_{k}") for k, v in lists.items()]
+    return df.select("hash", *counts, F.array_join(F.array_sort(F.array_except(names, known)), ",").alias("unknown"))
+
+
 def diff_from(df: DataFrame, reference: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Per key, the difference of each column from the reference's."""
     ref = reference.select(key, *(F.col(c).alias(f"__{c}") for c in columns))

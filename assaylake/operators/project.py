@@ -144,4 +144,4 @@ def variants(df: DataFrame, labels: list[str], missing: int = 0) -> DataFrame:
     own = df.where(F.col("label").isin(labels)).withColumn("prefix", F.regexp_extract("name", "^[^_]*_", 0))
     common = own.groupBy("label", "prefix").agg(F.count("*").alias("c")).groupBy("label").agg(F.max_by("prefix", F.struct("c", "prefix")).alias("top"))
     stem = F.when(F.startswith("name", "top"), F.expr("substring(name, length(top) + 1)")).otherwise(F.col("name"))
-    return own.join(F.broadcast(common), "label").groupBy(stem.alias("stem")).agg(F.count_distinct("label").alias("n")).where(F.col("n") >= len(labels) - missing)
+    return own.join(common, "label").groupBy(stem.alias("stem")).agg(F.count_distinct("label").alias("n")).where(F.col("n") >= len(labels) - missing)

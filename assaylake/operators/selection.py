@@ -144,9 +144,19 @@ def compared(df: DataFrame, columns: list[str], label: str, dataset: str, refere
     return grouped.join(ref, "grp").select("dataset", "grp", F.round(F.col("mi") + 1e-9, 6).alias("mi"), F.round(F.abs(F.col("mi") - F.col("ref")) + 1e-9, 6).alias("diff"))
 
 
-def mean_differences(a: DataFrame, reference: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(feature, diff, standardised): mean difference of each column from the reference's, raw and over the reference's spread."""
+def mean_differences(a: DataFrame, reference: DataFrame, key: str, columns: list[str], groups: dict[str, str] | None = None, top: int | None = None) -> DataFrame:
+    """(feature, diff, standardised): mean difference of each column from the reference's, raw and over the reference's spread.
+
+    groups: columns that a regex fits are one feature, with the means of their numbers; the first regex that fits counts. top: only the features of
+    the largest differences, standardised ones first.
+    """
     ref = reference.select(key, *(F.col(c).alias(f"r_{c}") for c in columns))
     spread = reference.agg(*(F.stddev_pop(c).alias(f"s_{c}") for c in columns))
     row = a.join(ref, key).agg(*(F.avg(F.col(c) - F.col(f"r_{c}")).alias(c) for c in columns)).join(spread)  # one row each
-    return row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.round(c, 6).alias("diff"), F.round(F.try_divide(F.col(c), F.col(f"s_{c}")), 6).alias("standardised")) for c in columns))).alias("p")).select("p.*")
+    cells = row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("diff"), F.try_divide(F.col(c), F.col(f"s_{c}")).alias("standardised")) for c in columns))).alias("p")).select("p.*")
+    if groups:
+        named = F.coalesce(*(F.when(F.col("feature").rlike(p), g) for p, g in groups.items()), F.col("feature"))
+        cells = cells.groupBy(named.alias("feature")).agg(F.avg("diff").alias("diff"), F.avg("standardised").alias("standardised"))
+    if top is not None:
+        cells = cells.orderBy(F.abs("standardised").desc_nulls_last(), F.abs("diff").desc(), "feature").limit(top)
+    return cells.select("feature", F.round("diff", 6).alias("diff"), F.round("standardised", 6).alias("standardised"))

@@ -34,7 +34,7 @@ def applicable(votes: DataFrame, detectors: DataFrame, fmt: str, multiclass: boo
     fits = F.array_contains("formats", F.col(fmt)) & F.col("vote")
     if multiclass is not None:
         fits = fits & (F.col("multiclass") == multiclass)
-    return votes.join(F.broadcast(detectors), "detector").where(fits).select(*votes.columns)
+    return votes.join(detectors, "detector").where(fits).select(*votes.columns)
 
 
 def vote_counts(votes: DataFrame, multiclass: bool = True) -> DataFrame:

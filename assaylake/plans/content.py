@@ -315,11 +315,12 @@ def similar_pairs(spark, d):
     return _pairs(spark, d)
 
 
-@register(f"WITH {SHINGLES} SELECT s.doc_id, t.doc_id AS other, round(100 * len(list_intersect(s.items, t.items)) / len(list_distinct(list_concat(s.items, t.items))), 6) AS score FROM s JOIN s t ON t.doc_id = s.doc_id + 1")
+@register(f"WITH {SHINGLES} SELECT s.doc_id, t.doc_id AS other, round(100 * len(list_intersect(s.items, t.items)) / len(list_distinct(list_concat(s.items, t.items))), 6) AS score FROM s JOIN s t ON t.doc_id = s.doc_id + 1 JOIN documents x ON x.doc_id = s.doc_id JOIN documents y ON y.doc_id = t.doc_id AND y.lang = x.lang")
 def pair_similarity(spark, d):
-    sets = table(spark, d, "documents").where("text is not null").select("doc_id", similarity.hashes(F.col("text")).alias("items"))
-    after = sets.select((F.col("doc_id") - 1).alias("doc_id"), F.col("items").alias("other_items"))
-    return sets.join(after, "doc_id").select("doc_id", (F.col("doc_id") + 1).alias("other"), similarity.jaccard(F.col("items"), F.col("other_items")).alias("score"))
+    """Each document and the next one, where both are of one language, as only samples of one format are compared."""
+    sets = table(spark, d, "documents").where("text is not null").select("doc_id", "lang", similarity.hashes(F.col("text")).alias("items"))
+    after = sets.select((F.col("doc_id") - 1).alias("doc_id"), "lang", F.col("items").alias("other_items"))
+    return sets.join(after, ["doc_id", "lang"]).select("doc_id", (F.col("doc_id") + 1).alias("other"), similarity.jaccard(F.col("items"), F.col("other_items")).alias("score"))
 
 
 @register("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'md5' WHEN 1 THEN 'sha256' ELSE '?' END AS kind FROM documents")

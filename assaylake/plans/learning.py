@@ -10,7 +10,6 @@ from assaylake.operators import explain, heuristics, metrics, models, preprocess
 from assaylake.plans.content import per_sample
 from assaylake.plans.quality import gaps
 from assaylake.plans.registry import register
-from assaylake.plans.tables import paired
 from assaylake.sources import views
 from assaylake.sources.scratch import written
 from assaylake.sources.views import FEATURES, blobs, features, preds, samples, sql, table
@@ -169,12 +168,15 @@ def infogain_comparison(spark, d):
 
 
 @register(sql("""
-    WITH m AS (SELECT dataset, part, avg(quantity) AS quantity, avg(price) AS price FROM features GROUP BY 1, 2), r AS (SELECT * FROM m WHERE dataset = 'O'), f AS (SELECT * FROM m WHERE dataset = 'F')
-    SELECT 'quantity' AS feature, round(avg(f.quantity - r.quantity), 6) AS diff, round(avg(f.quantity - r.quantity) / (SELECT stddev_pop(quantity) FROM r), 6) AS standardised FROM f JOIN r USING (part)
-    UNION ALL SELECT 'price', round(avg(f.price - r.price), 6), round(avg(f.price - r.price) / (SELECT stddev_pop(price) FROM r), 6) FROM f JOIN r USING (part)""", "features"))
+    WITH m AS (SELECT dataset, part, avg(quantity) AS quantity, avg(price) AS price, avg(discount) AS discount, avg(tax) AS tax FROM features GROUP BY 1, 2), r AS (SELECT * FROM m WHERE dataset = 'O'), f AS (SELECT * FROM m WHERE dataset = 'F'),
+    c AS (SELECT 'quantity' AS c, avg(f.quantity - r.quantity) AS diff, avg(f.quantity - r.quantity) / (SELECT stddev_pop(quantity) FROM r) AS z FROM f JOIN r USING (part)
+    UNION ALL SELECT 'price', avg(f.price - r.price), avg(f.price - r.price) / (SELECT stddev_pop(price) FROM r) FROM f JOIN r USING (part)
+    UNION ALL SELECT 'rates', avg(f.discount - r.discount), avg(f.discount - r.discount) / (SELECT stddev_pop(discount) FROM r) FROM f JOIN r USING (part)
+    UNION ALL SELECT 'rates', avg(f.tax - r.tax), avg(f.tax - r.tax) / (SELECT stddev_pop(tax) FROM r) FROM f JOIN r USING (part)), g AS (SELECT c AS feature, avg(diff) AS diff, avg(z) AS z FROM c GROUP BY 1)
+    SELECT feature, round(diff, 6) AS diff, round(z, 6) AS standardised FROM g ORDER BY abs(z) DESC LIMIT 2""", "features"))
 def feature_diff_heatmap(spark, d):
-    a, b = paired(spark, d)
-    return selection.mean_differences(a, b, "part", ["quantity", "price"])
+    means = features(spark, d).groupBy("dataset", "part").agg(*(F.avg(c).alias(c) for c in COLUMNS))
+    return selection.mean_differences(means.where("dataset = 'F'"), means.where("dataset = 'O'"), "part", COLUMNS, {"discount|tax": "rates"}, 2)
 
 
 # ---------------------------------------------------------------- trained models

@@ -26,7 +26,8 @@ _ONE = "one AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITIO
 
 @register()
 def scan_files(spark, d):
-    return io.scan_files(spark, d, "*.parquet", {"parquet": "table"}).select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("path"), "size", "hash", "format")
+    """The table files as samples: those of the scope, with their hashes."""
+    return io.scan_files(spark, d, "*.parquet", {"parquet": "PE32"}, ["PE"]).select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("path"), "size", "hash", "format")
 
 
 @register(sql("SELECT hash, realpath, format, signature, size, CAST(mtime AS VARCHAR) AS mtime, doc_id, label FROM samples", "samples"))
@@ -300,11 +301,12 @@ def dataset_equal(spark, d):
     return joins.differing(rows.select("hash", "label"), rows.where("doc_id % 9 <> 0").select("hash", "label"))
 
 
-@register(sql("SELECT 'in' AS part, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM samples WHERE label = 'fam1' UNION ALL SELECT 'out', count(*), CAST(sum(size) AS BIGINT) FROM samples WHERE label <> 'fam1'", "samples"))
+@register(sql("SELECT if(label = 'fam1', 'in', 'out') AS part, count(*) AS n, CAST(sum(size) AS BIGINT) AS size, array_to_string(list_sort(list(DISTINCT regexp_extract(realpath, '^/([^/]+)/', 1))), ',') AS sources FROM samples GROUP BY 1", "samples"))
 def select_split(spark, d):
     a, b = joins.split(samples(spark, d), "label = 'fam1'")
     both = a.withColumn("part", F.lit("in")).unionByName(b.withColumn("part", F.lit("out")))
-    return both.groupBy("part").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    source = F.regexp_extract("realpath", "^/([^/]+)/", 1)
+    return both.groupBy("part").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.array_join(F.array_sort(F.collect_set(source)), ",").alias("sources"))
 
 
 @register(sql("SELECT hash, count(*) FILTER (name IN ('.text', '.data', '.rsrc')) AS n_standard, count(*) FILTER (name = '.upx') AS n_packer, count(*) FILTER (name = '.odd') AS n_unknown FROM sections GROUP BY 1", "sections"))
@@ -312,6 +314,12 @@ def ref_membership(spark, d):
     return joins.section_lists(sections(spark, d), [".text", ".data", ".rsrc"], [".upx"])
 
 
+@register("WITH u AS (SELECT user_id AS hash, list(DISTINCT event_type) AS used FROM events GROUP BY 1) SELECT hash, len(list_intersect(used, ['click', 'signup', 'view'])) AS n_common, len(list_intersect(used, ['error', 'purchase'])) AS n_malicious, array_to_string(list_sort(list_filter(used, lambda x: x NOT IN ('click', 'signup', 'view', 'error', 'purchase'))), ',') AS unknown FROM u")
+def ref_api_membership(spark, d):
+    used = table(spark, d, "events").groupBy(F.col("user_id").alias("hash")).agg(F.collect_set("event_type").alias("used"))
+    return joins.api_lists(used, "used", {"common": ["click", "signup", "view"], "malicious": ["error", "purchase"]})
+
+
 _PAIRED = "m AS (SELECT dataset, part, avg(quantity) AS quantity, avg(price) AS price FROM features GROUP BY 1, 2), df AS (SELECT m.part, m.quantity - r.quantity AS quantity, m.price - r.price AS price FROM m JOIN m r ON m.part = r.part WHERE m.dataset = 'F' AND r.dataset = 'O')"
 
 
