@@ -25,34 +25,14 @@ def linear_risk(weights: dict[str, tuple[float, float]]) -> Column:
     return _sum([F.col(f).cast("double") * w * c for f, (w, c) in weights.items()]) / sum(w for w, _ in weights.values())
 
 
-def by_quantile(df: DataFrame, score: Column, target: str, quantile: float | None = 0.99, threshold: float = 3.0) -> DataFrame:
-    """df with score, prediction and probability; the threshold is the quantile of class 0's scores, or as given."""
-    scored = df.withColumn("score", F.round(score + 1e-9, 6))
-    limit = F.lit(threshold)
-    if quantile is not None:
-        limit = F.lit(quantiles.exact(scored.where(F.col(target) == 0), ["score"], [quantile])["score"][0]).cast("double")
-    return scored.withColumns({"prediction": (F.col("score") >= limit).cast("int"), "probability": F.round(1 / (1 + F.exp(-F.col("score"))), 6)})
-
-
 def norm_distance(df: DataFrame, columns: list[str], target: str, confidence: float = 0.05) -> DataFrame:
     """One row (threshold, below): the norm at place floor(confidence * n) among class 1's, and class 0's share below it."""
     normed = df.withColumn("norm", F.round(F.sqrt(_sum([F.col(c).cast("double") * F.col(c) for c in columns])), 6))
-    count = df.where(F.col(target) == 1).count()
-    ranked = normed.where(F.col(target) == 1).orderBy("norm").limit(max(1, int(confidence * count))).agg(F.max("norm").alias("threshold"))
-    below = normed.where(F.col(target) == 0).join(F.broadcast(ranked)).agg(F.max("threshold").alias("threshold"), F.round(F.avg((F.col("norm") < F.col("threshold")).cast("int")), 6).alias("below"))
-    return below
-
-
-def entropy_rule(df: DataFrame, mean: str, top: str, target: str, z: float = 2.576) -> DataFrame:
-    """df with prediction: mean and highest entropy at or over class 1's mean - z * deviation of each."""
-    fit = df.where(F.col(target) == 1).agg((F.avg(mean) - z * F.stddev_pop(mean)).alias("__a"), (F.avg(top) - z * F.stddev_pop(top)).alias("__b"))
-    return df.join(F.broadcast(fit)).withColumn("prediction", ((F.col(mean) >= F.col("__a")) & (F.col(top) >= F.col("__b"))).cast("int")).drop("__a", "__b")
-
-
-def flag_rule(df: DataFrame, flag: str, value: str, target: str, z: float = 1.0) -> DataFrame:
-    """df with prediction: the flag holds and the value is at or over that of flagged class 1 rows, mean - z * deviation."""
-    fit = df.where((F.col(target) == 1) & F.col(flag)).agg((F.avg(value) - z * F.stddev_pop(value)).alias("__a"))
-    return df.join(F.broadcast(fit)).withColumn("prediction", (F.col(flag) & (F.col(value) >= F.col("__a"))).cast("int")).drop("__a")
+    known = normed.where(F.col(target) == 1)
+    count = known.count()
+    share = (max(1, int(confidence * count)) - 0.5) / max(1, count - 1)  # half way to the next place
+    limit = F.lit(quantiles.exact(known, ["norm"], [min(1.0, share)], interpolate=False)["norm"][0]).cast("double")
+    return normed.where(F.col(target) == 0).agg(F.first(limit).alias("threshold"), F.round(F.avg((F.col("norm") < limit).cast("int")), 6).alias("below"))
 
 
 def stump(df: DataFrame, columns: list[str], target: str) -> DataFrame:

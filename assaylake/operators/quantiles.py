@@ -21,12 +21,12 @@ def placed(df: DataFrame, column: str, cuts: list[float], name: str) -> DataFram
     return out.withColumn(name, F.when(F.col(column).isNotNull(), F.col(name).cast("int"))).drop(f"__{name}")
 
 
-def exact(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
-    """For each column its quantiles at the shares, by linear interpolation between neighbours; None for a column without values."""
-    return {c: _exact(df.select(F.col(c).cast("double").alias("x")).where("x is not null"), shares) for c in columns}
+def exact(df: DataFrame, columns: list[str], shares: list[float], interpolate: bool = True) -> dict[str, list[float | None]]:
+    """For each column its quantiles at the shares, by linear interpolation between neighbours (or the lower neighbour); None for a column without values."""
+    return {c: _exact(df.select(F.col(c).cast("double").alias("x")).where("x is not null"), shares, interpolate) for c in columns}
 
 
-def _exact(df: DataFrame, shares: list[float]) -> list[float | None]:
+def _exact(df: DataFrame, shares: list[float], interpolate: bool) -> list[float | None]:
     """A sketch gives cuts about the values at the ranks wanted, counts by segment between the cuts say which segments hold the ranks, and those
     few are counted value by value. A segment that holds many values is cut again."""
     step = 1 / ACCURACY
@@ -66,7 +66,7 @@ def _exact(df: DataFrame, shares: list[float]) -> list[float | None]:
     for p in shares:
         place = p * (n - 1)
         low, high = value[math.floor(place)], value[math.ceil(place)]
-        out.append(low if low == high else (math.ceil(place) - place) * low + (place - math.floor(place)) * high)
+        out.append(low if low == high or not interpolate else (math.ceil(place) - place) * low + (place - math.floor(place)) * high)
     return out
 
 

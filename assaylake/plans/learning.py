@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from assaylake.functions import content
-from assaylake.operators import explain, heuristics, metrics, models, preprocess, selection
+from assaylake.operators import estimators, explain, heuristics, metrics, models, preprocess, selection
 from assaylake.plans.content import per_sample
 from assaylake.plans.quality import gaps
 from assaylake.plans.registry import register
@@ -340,13 +340,15 @@ _PER = "p AS (SELECT hash, count(*) AS n, CAST(sum(raw_size) AS BIGINT) AS raw,
 @register(sql(f"WITH {_PER}, s AS (SELECT hash, CAST(n_x > 2 AS INTEGER) AS y, round(sqrt(pow(n * 0.5, 2.0) + pow(entropy * 20, 1.0)) + 1e-9, 6) AS score FROM p) SELECT hash, score, CAST(score >= (SELECT quantile_cont(score, 0.99) FROM s WHERE y = 0) AS INTEGER) AS prediction, round(1 / (1 + exp(-score)), 6) AS probability FROM s", "sections"))
 def arora_risk(spark, d):
     rows = per_sample(spark, d).withColumn("y", (F.col("n_x") > 2).cast("int"))
-    return heuristics.by_quantile(rows, heuristics.power_risk({"n": (0.5, 2.0), "entropy": (20.0, 1.0)}), "y").select("hash", "score", "prediction", "probability")
+    estimator = estimators.RiskEstimator(heuristics.power_risk({"n": (0.5, 2.0), "entropy": (20.0, 1.0)}), "y")
+    return Pipeline(stages=[estimator]).fit(rows).transform(rows).select("hash", "score", "prediction", "probability")
 
 
 @register(sql(f"WITH {_PER}, s AS (SELECT hash, round((n * 2 * 0.5 + entropy * 1 * 10 + n_x * 1 * 2) / 4 + 1e-9, 6) AS score FROM p) SELECT hash, score, CAST(score >= 3 AS INTEGER) AS prediction, round(1 / (1 + exp(-score)), 6) AS probability FROM s", "sections"))
 def treadwell_risk(spark, d):
     score = heuristics.linear_risk({"n": (2.0, 0.5), "entropy": (1.0, 10.0), "n_x": (1.0, 2.0)})
-    return heuristics.by_quantile(per_sample(spark, d), score, "n", None).select("hash", "score", "prediction", "probability")
+    rows = per_sample(spark, d)
+    return estimators.RiskEstimator(score, threshold=3.0).fit(rows).transform(rows).select("hash", "score", "prediction", "probability")
 
 
 @register(sql("WITH s AS (SELECT y, round(sqrt(tax * tax + discount * discount), 6) AS norm FROM features), t AS (SELECT norm AS t FROM (SELECT norm, row_number() OVER (ORDER BY norm) AS k, count(*) OVER () AS c FROM s WHERE y = 1) WHERE k = greatest(1, CAST(floor(0.05 * c) AS BIGINT))) SELECT any_value(t) AS threshold, round(avg(CAST(norm < t AS INTEGER)), 6) AS below FROM s, t WHERE y = 0", "features"))
@@ -356,12 +358,14 @@ def phad_distance(spark, d):
 
 @register(sql("WITH f AS (SELECT avg(quantity) - 0.5 * stddev_pop(quantity) AS a, avg(tax) - 0.5 * stddev_pop(tax) AS b FROM features WHERE y = 1) SELECT hash, CAST(quantity >= a AND tax >= b AS INTEGER) AS prediction FROM features, f", "features"))
 def bintropy_rule(spark, d):
-    return heuristics.entropy_rule(features(spark, d), "quantity", "tax", "y", 0.5).select("hash", "prediction")
+    rows = features(spark, d)
+    return estimators.MarginEstimator(["quantity", "tax"], "y", 0.5).fit(rows).transform(rows).select("hash", "prediction")
 
 
 @register(sql("WITH f AS (SELECT avg(quantity) - stddev_pop(quantity) AS a FROM features WHERE y = 1 AND dataset = 'F') SELECT hash, CAST(dataset = 'F' AND quantity >= a AS INTEGER) AS prediction FROM features, f", "features"))
 def reminder_rule(spark, d):
-    return heuristics.flag_rule(features(spark, d).withColumn("flag", F.col("dataset") == "F"), "flag", "quantity", "y").select("hash", "prediction")
+    rows = features(spark, d).withColumn("flag", F.col("dataset") == "F")
+    return estimators.MarginEstimator(["quantity"], "y", 1.0, "flag").fit(rows).transform(rows).select("hash", "prediction")
 
 
 @register(sql("""
