@@ -100,19 +100,19 @@ def quantile_uniform(df: DataFrame, c: str, knots: int = 100) -> DataFrame:
 
 
 #: A rational approximation of the inverse normal distribution (relative error below 1.2e-9), for the middle and the tails.
-_MIDDLE = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
-_MIDDLE_BELOW = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
-_TAIL = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
-_TAIL_BELOW = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+MIDDLE = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+MIDDLE_BELOW = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+TAIL = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+TAIL_BELOW = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
 
 
 def normal_quantile(p: Column) -> Column:
     """Inverse of the normal distribution, p held within 1e-7 and 1 - 1e-7."""
     poly = lambda parts, x: reduce(lambda a, b: a * x + b, parts[1:], F.lit(parts[0]))
     p = F.greatest(F.lit(1e-7), F.least(p, F.lit(1 - 1e-7)))
-    tail = lambda q: poly(_TAIL, t := F.sqrt(-2 * F.log(q))) / poly(_TAIL_BELOW, t)
+    tail = lambda q: poly(TAIL, t := F.sqrt(-2 * F.log(q))) / poly(TAIL_BELOW, t)
     q = p - 0.5
-    return F.when(p < 0.02425, tail(p)).when(p > 1 - 0.02425, -tail(1 - p)).otherwise(q * poly(_MIDDLE, q * q) / poly(_MIDDLE_BELOW, q * q))
+    return F.when(p < 0.02425, tail(p)).when(p > 1 - 0.02425, -tail(1 - p)).otherwise(q * poly(MIDDLE, q * q) / poly(MIDDLE_BELOW, q * q))
 
 
 def impute(df: DataFrame, c: str | list[str], strategy: str = "mean", constant: float = 0.0) -> DataFrame:

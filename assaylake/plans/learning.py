@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
@@ -48,12 +50,29 @@ def ordinal(spark, d):
     return preprocess.ordinal(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment")
 
 
-@register()
+def _power_sql(key: str, column: str, of: str, value: str, slope: str) -> str:
+    """The likeliest lambda of the grid, and the column transformed with it and standardised."""
+    return f"""WITH l AS (SELECT round(-2 + 0.1 * i, 1)::DOUBLE AS lam FROM range(41) r(i)), src AS (SELECT {key}, CAST({column} AS DOUBLE) AS x FROM {of}),
+        y AS (SELECT lam, {value} AS y, {slope} AS s FROM src, l), ll AS (SELECT lam, -count(y) / 2 * ln(greatest(var_pop(y), 1e-300)) + sum(s) AS l FROM y GROUP BY 1), b AS (SELECT arg_max(lam, l) AS lam FROM ll), t AS (SELECT {key}, {value} AS y FROM src, b)
+        SELECT {key}, round((y - avg(y) OVER ()) / stddev_pop(y) OVER (), 6) AS {column} FROM t"""
+
+
+_BOXCOX = _power_sql("hash", "price", "features", "CASE WHEN abs(lam) < 1e-9 THEN ln(x) ELSE (pow(x, lam) - 1) / lam END", "(lam - 1) * ln(x)")
+_YEOJOHNSON = _power_sql(
+    "c_custkey",
+    "c_acctbal",
+    "customer",
+    "CASE WHEN x >= 0 THEN CASE WHEN abs(lam) < 1e-9 THEN ln(1 + x) ELSE (pow(x + 1, lam) - 1) / lam END ELSE CASE WHEN abs(lam - 2) < 1e-9 THEN -ln(1 - x) ELSE -(pow(1 - x, 2 - lam) - 1) / (2 - lam) END END",
+    "(lam - 1) * sign(x) * ln(1 + abs(x))",
+)
+
+
+@register(sql(_BOXCOX, "features"))
 def boxcox(spark, d):
     return preprocess.power_transform(features(spark, d).select("hash", "price"), "price", "boxcox")
 
 
-@register()
+@register(_YEOJOHNSON)
 def yeojohnson(spark, d):
     return preprocess.power_transform(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal")
 
@@ -66,7 +85,14 @@ def quantile_uniform(spark, d):
     return preprocess.quantile_uniform(features(spark, d).select("hash", "price"), "price")
 
 
-@register()
+def _normal_sql(p: str) -> str:
+    poly = lambda parts, x: reduce(lambda a, b: f"({a} * {x} + {b!r})", parts[1:], repr(parts[0]))
+    tail = lambda q: f"{poly(preprocess.TAIL, f'sqrt(-2 * ln({q}))')} / {poly(preprocess.TAIL_BELOW, f'sqrt(-2 * ln({q}))')}"
+    r = f"(({p} - 0.5) * ({p} - 0.5))"
+    return f"CASE WHEN {p} < 0.02425 THEN {tail(p)} WHEN {p} > 1 - 0.02425 THEN -({tail(f'(1 - {p})')}) ELSE ({p} - 0.5) * {poly(preprocess.MIDDLE, r)} / {poly(preprocess.MIDDLE_BELOW, r)} END"
+
+
+@register(sql(f"WITH {_KNOTS}, u AS (SELECT hash, greatest(1e-7, least(1 - 1e-7, round(least(1, (place - 1 + coalesce((price - q[place]) / nullif(q[least(place + 1, 101)] - q[place], 0), 0)) / 100), 6)))::DOUBLE AS p FROM r) SELECT hash, round({_normal_sql('p')}, 6) AS price FROM u", "features"))
 def quantile_normal(spark, d):
     ranks = preprocess.quantile_uniform(features(spark, d).select("hash", "price"), "price")
     return ranks.select("hash", F.round(preprocess.normal_quantile(F.col("price")), 6).alias("price"))
@@ -453,7 +479,12 @@ def classification_weighted(spark, d):
     return metrics.weighted_metrics(features(spark, d).withColumn("guess", guess), "label", "guess")
 
 
-@register()
+@register(sql("""
+    WITH c AS (SELECT label AS t, dataset AS p, count(*)::DOUBLE AS m FROM features GROUP BY 1, 2), w AS (SELECT *, sum(m) OVER (PARTITION BY t) AS a, sum(m) OVER (PARTITION BY p) AS b, sum(m) OVER () AS n FROM c),
+    t AS (SELECT DISTINCT t, a, n FROM w), p AS (SELECT DISTINCT p, b FROM w), k AS (SELECT a, b, n, unnest(range(CAST(greatest(1, a + b - n) AS BIGINT), CAST(least(a, b) AS BIGINT) + 1))::DOUBLE AS k FROM t, p),
+    e AS (SELECT sum(k / n * ln(n * k / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(n - a + 1) + lgamma(n - b + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(n - a - b + k + 1))) AS e FROM k),
+    i AS (SELECT sum(m / n * ln(n * m / (a * b))) AS i FROM w), h AS (SELECT (SELECT -sum(a / n * ln(a / n)) FROM t) AS ht, (SELECT -sum(b / n * ln(b / n)) FROM p, (SELECT max(n) AS n FROM t)) AS hp)
+    SELECT round(i, 6) AS information, round(e, 6) AS expected, round((i - e) / ((ht + hp) / 2 - e), 6) AS adjusted FROM i, e, h""", "features"))
 def adjusted_mutual_information(spark, d):
     return metrics.adjusted_information(features(spark, d), "label", "dataset")
 
