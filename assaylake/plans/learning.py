@@ -222,7 +222,6 @@ train_dt = _trained("train_dt", "dt", "cls", 3)
 train_rf = _trained("train_rf", "rf", "cls", 3)
 train_gb = _trained("train_gb", "gb")
 train_nb = _trained("train_nb", "nb", "cls", 3)
-train_mnb = _trained("train_mnb", "bnb", "cls", 3)
 train_lr = _trained("train_lr", "lr", "cls", 3)
 train_lsvc = _trained("train_lsvc", "lsvc")
 train_mlp = _trained("train_mlp", "mlp", "cls", 3)
