@@ -131,7 +131,8 @@ def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int
     all_slots = int(wanted.agg(F.sum("slots")).first()[0] or 0)
     shards = blocks_for(all_slots, shard)
     bins = shards  # both sides of a draw meet in bins; there are as many as shards, so a bin holds about a shard's draws
-    ranged = before(wanted, [], "sid", "slots", "low")
+    ahead = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each source
+    ranged = wanted.withColumn("low", F.coalesce(F.sum("slots").over(ahead), F.lit(0)))
     bin_of = lambda lot: F.floor(lot * F.lit(bins) / F.lit(max(1, all_slots)))
     shares = ranged.select("sid", "low", (F.col("low") + F.col("slots")).alias("high"), F.explode(F.sequence(bin_of(F.col("low")), bin_of(F.col("low") + F.col("slots") - 1))).alias("bin"))
     slot = F.explode(F.sequence(F.col("shard") * shard, F.least((F.col("shard") + 1) * shard, F.lit(all_slots)) - 1))
@@ -148,7 +149,7 @@ def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int
     kept = written(kept, "kept")
     taken = kept.groupBy("sid").agg(F.sum("kept").alias("had"))
     lacking = wanted.join(taken, "sid", "left").withColumn("had", F.coalesce("had", F.lit(0))).withColumn("lack", F.col("slots") - F.col("had")).where("lack > 0")
-    lacking = before(lacking, [], "sid", "lack", "low").select("sid", "had", "low", F.explode(F.sequence(F.col("low"), F.col("low") + F.col("lack") - 1)).alias("x"))
+    lacking = lacking.withColumn("low", F.coalesce(F.sum("lack").over(ahead), F.lit(0))).select("sid", "had", "low", F.explode(F.sequence(F.col("low"), F.col("low") + F.col("lack") - 1)).alias("x"))
     free = kept.where("n > kept").groupBy("shard").agg(F.sum(F.col("n") - F.col("kept")).alias("free"))
     free = before(free, [], "shard", "free", "low").select("shard", F.explode(F.sequence(F.col("low"), F.col("low") + F.col("free") - 1)).alias("x"))
     dealt = free.join(lacking, "x").select("shard", "sid", (F.col("had") + F.col("x") - F.col("low")).alias("k"))

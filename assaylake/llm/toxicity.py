@@ -111,7 +111,7 @@ def train(texts: list[str], labels: list[int], seed: int = 9, shown: int = 24_00
     """A net for the texts; about `shown` texts are shown in all. A word's own row is left out of a text with
     probability 1 - kept, so that its first letters must tell as well."""
     rng, net = np.random.default_rng(seed), Net.new(seed)
-    coded = [np.array([word_rows(w) for w in (words(t) or [""])], np.int64) for t in texts]
+    coded = [np.array([word_rows(w) for w in (words(t) or [""])], np.int32) for t in texts]  # the driver's largest part
     y = np.asarray(labels, np.float64)
     squares = {"rows": np.full(ROWS, 1e-3, np.float32), "out": np.full(len(net.out), 1e-3, np.float32), "shift": 1e-3} | {w: np.full(net.filters[w].shape, 1e-3, np.float32) for w in WIDTHS} | {-w: np.full(FILTERS, 1e-3, np.float32) for w in WIDTHS}
 
@@ -130,7 +130,7 @@ def train(texts: list[str], labels: list[int], seed: int = 9, shown: int = 24_00
             for n in chosen:
                 rows = coded[n].copy()
                 rows[rng.random(len(rows)) > kept, 0] = 0
-                rows = np.concatenate([rows, np.zeros((max(WIDTHS) - 1, PARTS), np.int64)])
+                rows = np.concatenate([rows, np.zeros((max(WIDTHS) - 1, PARTS), np.int32)])
                 x = net.rows[rows].sum(1)
                 length, maxima, at = len(coded[n]), [], []
                 for w in WIDTHS:
