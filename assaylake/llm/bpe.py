@@ -34,7 +34,7 @@ UNSURE_ASCII = [c + " " for c in "\t\n\x0b\x0c\r "]
 UNSURE = [c + " " for c in map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
 STOPS = ".,"
 #: Segments a worker keeps, twice over at most.
-KEPT = 250_000
+KEPT = 200_000
 #: Parts a worker keeps with their ids in bytes, some 200 bytes each.
 KEPT_BINARY = 1_600_000
 

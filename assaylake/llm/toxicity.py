@@ -68,7 +68,7 @@ class Net:
 class Scorer:
     """Scores texts with a net; the hash rows are multiplied by the filters once, a text then costs look-ups and sums."""
 
-    def __init__(self, net: Net, most: int = 200_000):
+    def __init__(self, net: Net, most: int = 100_000):
         self.net, self.most, self.table = net, most, net.projected()
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
