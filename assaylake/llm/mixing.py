@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylake.llm.shared import blocks_for, written
+from assaylake.llm.shared import blocks_for, unused, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a block, slots in an output shard, seed of the draws, rounds of the permutation.
@@ -216,15 +216,16 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, see
     """
     _, _, placed, taken = _plan(docs, block, shard, seed, **rule)
     parts = taken.hint("merge").join(pieces(placed, block).hint("merge"), ["sid", "number"]).withColumn("words", _within(F.col("limit"))).where("words > 0")
-    parts = parts.groupBy("key", "rep", "turn").agg(F.sum("words").alias("__words"), F.array_sort(F.collect_list(F.struct("skip", "words"))).alias("__parts"))
-    parts = parts.join(placed.select("key", "rep", "size"), ["key", "rep"]).select(F.col("key").alias("__key"), F.col("rep").alias("__rep"), "__words", F.when(F.col("__words") < F.col("size"), F.col("__parts")).alias("__parts"))
+    key_, two_, rep_, words_, parts_ = unused(docs, "__key", "__two", "__rep", "__words", "__parts")
+    parts = parts.groupBy("key", "rep", "turn").agg(F.sum("words").alias(words_), F.array_sort(F.collect_list(F.struct("skip", "words"))).alias(parts_))
+    parts = parts.join(placed.select("key", "rep", "size"), ["key", "rep"]).select(F.col("key").alias(key_), F.col("rep").alias(rep_), words_, F.when(F.col(words_) < F.col("size"), F.col(parts_)).alias(parts_))
     key, two = _keys(F.col("doc_id"), F.col("source"), F.col("text"))
-    named = _numbered(docs.withColumns({"__key": key, "__two": two}).where(F.col("text").rlike(WORD)), "__key", "__two", "__rep")
+    named = _numbered(docs.withColumns({key_: key, two_: two}).where(F.col("text").rlike(WORD)), key_, two_, rep_)
     # The words are bound once for each text: inside the lambda over parts Spark would find them anew for each part.
     spelled = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    cut_text = F.transform(F.array(spelled), lambda s: F.array_join(F.transform("__parts", lambda p: F.array_join(F.slice(s, (p["skip"] + 1).cast("int"), p["words"].cast("int")), "")), ""))[0]
-    joined = named.join(parts, ["__key", "__rep"])
-    out = joined.withColumn("text", F.when(F.col("__parts").isNull(), F.col("text")).otherwise(cut_text))
+    cut_text = F.transform(F.array(spelled), lambda s: F.array_join(F.transform(parts_, lambda p: F.array_join(F.slice(s, (p["skip"] + 1).cast("int"), p["words"].cast("int")), "")), ""))[0]
+    joined = named.join(parts, [key_, rep_])
+    out = joined.withColumn("text", F.when(F.col(parts_).isNull(), F.col("text")).otherwise(cut_text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from assaylake.llm.components import connected_components
-from assaylake.llm.shared import written
+from assaylake.llm.shared import unused, written
 
 #: (first bit, bits) of the bands.
 BANDS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
@@ -209,7 +209,8 @@ def keep_first(docs: DataFrame, radius: int = 4) -> DataFrame:
     that different texts stay whatever their ids. Of rows equal in all columns one stays.
     """
     told = [x for f in docs.schema.fields if not isinstance(f.dataType, MapType) for x in (F.col(f.name), F.col(f.name).isNull())]  # a null alone does not change a hash
-    keys = {"__one": F.xxhash64(F.lit(1), *told), "__two": F.xxhash64(F.lit(2), *told)}
+    one, two = unused(docs, "__one", "__two")
+    keys = {one: F.xxhash64(F.lit(1), *told), two: F.xxhash64(F.lit(2), *told)}
     own = F.col("doc_id").cast("long")
     also = {"none": own.isNull().cast("long"), "id": F.coalesce(own, F.lit(0)), **keys}
     fps = written(fingerprints(docs, also=also).drop("doc_id"), "fingerprints")

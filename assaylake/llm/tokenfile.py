@@ -26,6 +26,8 @@ from assaylake.llm.zframes import DICTIONARY, FILE_BYTES, FILE_ROWS, INDEX, SEPA
 #: One entry of the index; a null id is written as the smallest long.
 ENTRY = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("n_tokens", "<u8"), ("offset", "<u8"), ("length", "<u8")])
 NULL_ID = -(1 << 63)
+#: A file's name: its range's place, the job's name, and the number of the file within the range, which comes last: the job's name may hold "-c1" too.
+FILE_NAME = r"(?:^|/)part-(\d+)-[^/]*-c(\d+)(?:\.[^/]*)?$"
 #: Documents and bytes of each that the dictionary is trained on.
 SAMPLE, SAMPLE_BYTES = 400, 4096
 #: Bytes of text that a range may hold at most, on average; where that takes more ranges than shuffle partitions, their number is set by it.
@@ -111,7 +113,10 @@ class TokenFile:
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document in the files; start counts the ids of all documents before it."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document in the files; start counts the ids of all documents before it.
+
+    A folder without such files gives no rows; a missing folder is Spark's PATH_NOT_FOUND error.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +131,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     found = written(read_files(spark, folder).mapInArrow(each, "path string, doc_id long, start long, n_tokens long, ids_crc32 long"), "token-rows")
     # A part's number is its range's place, and the number at the end tells its files apart; the totals are one row for each file.
-    file = F.struct(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("part"), F.regexp_extract("path", r"-c(\d+)[^/]*$", 1).cast("long").alias("nth"))
+    number = lambda group: F.regexp_extract("path", FILE_NAME, group).cast("long")
+    file = F.struct(number(1).alias("part"), number(2).alias("nth"))
     totals = found.groupBy(file.alias("file")).agg(F.sum("n_tokens").alias("total"))
     before = totals.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
     return found.withColumn("file", file).join(before, "file").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.shared import cut, written
+from assaylake.llm.shared import cut, unused, written
 
 WORD = re.compile(r"\w+")
 #: Hash rows, size of an embedding, filter widths, filters of each width.
@@ -302,9 +302,10 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, char
             _READY[name] = Scorer(sent.value)
         return pd.Series(_READY[name].scores(texts.tolist()))
 
-    rows = written(docs.withColumn("__score", scored("text")), "toxicity")
+    (own,) = unused(docs, "__score")
+    rows = written(docs.withColumn(own, scored("text")), "toxicity")
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in columns else F.lit("")
-    levels = calibrated(rows.select("doc_id", lang.alias("lang"), F.col("__score").alias("score")), labels, net)
-    pooled, own = levels.pop(None), levels
-    limit = F.coalesce(F.create_map(*(F.lit(x) for pair in own.items() for x in pair))[lang], F.lit(pooled)) if own else F.lit(pooled)
-    return rows.where(F.col("__score") < limit).select(*columns)
+    levels = calibrated(rows.select("doc_id", lang.alias("lang"), F.col(own).alias("score")), labels, net)
+    pooled = levels.pop(None)
+    limit = F.coalesce(F.create_map(*(F.lit(x) for pair in levels.items() for x in pair))[lang], F.lit(pooled)) if levels else F.lit(pooled)
+    return rows.where(F.col(own) < limit).select(*columns)

@@ -74,6 +74,21 @@ def test_files_are_ordered_by_number(spark, monkeypatch):
     assert {r["doc_id"]: r["start"] for r in tokenfile.read_token_files(spark, "").collect()} == {n: n for n in range(5)}
 
 
+@pytest.mark.parametrize("job", ["a1b2-c1d2-e3f4", "c001", "x-c7-c12", "part-9-c3"])
+def test_a_job_name_is_no_file_number(spark, monkeypatch, job):
+    paths = [f"file:/x/part-77-c5/part-{part:05d}-{job}-c{nth:03d}.txt" for part in range(3) for nth in (0, 1, 2, 10)]
+    df = spark.createDataFrame([(p, n, 0, 1, 0) for n, p in enumerate(paths)], "path string, doc_id long, start long, n_tokens long, ids_crc32 long")
+    monkeypatch.setattr(tokenfile, "written", lambda *_: df)
+    monkeypatch.setattr(tokenfile, "read_files", lambda *_: df.select("path", F.lit(b"").alias("content")))
+    assert {r["doc_id"]: r["start"] for r in tokenfile.read_token_files(spark, "").collect()} == {n: n for n in range(12)}
+
+
+def test_an_empty_folder_gives_no_documents(spark):
+    folder = shared.new_folder(spark, "tokens")
+    tokenfile.write_token_files(spark.createDataFrame([], "doc_id long, text string"), PATH, folder)
+    assert tokenfile.read_token_files(spark, folder).count() == 0
+
+
 def test_a_sample_is_bounded_and_whole_where_small(spark):
     df = spark.range(50_000, numPartitions=16).select(F.repeat(F.lit("x"), 100).alias("t"))
     some, n, mean = zframes.sampled(df, F.col("t"), 100, 10, 1)

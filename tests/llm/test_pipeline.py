@@ -111,3 +111,14 @@ def test_stages_of_an_empty_table(spark, tables):
     for name, stage in corpus_pipeline.STAGES:
         got = stage(spark, docs, tables)
         assert got.count() == 0 and (name == "bpe" or got.columns == docs.columns)
+
+
+def test_columns_with_the_names_of_helpers_stay(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    names = ["__score", "__one", "__two", "__key", "__REP", "__words", "__parts", "key", "rep", "score", "first", "none"]
+    docs = docs.selectExpr("*", *(f"doc_id * {n + 2} AS {c}" for n, c in enumerate(names)))
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    for got in (toxicity.without_toxic(docs, labels), simhash.keep_first(docs), mixing.mixed_documents(docs)):
+        assert got.columns == docs.columns
+        found = got.collect()
+        assert found and all(r[c] == r["doc_id"] * (n + 2) for r in found for n, c in enumerate(names))
