@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaylake.llm import bpe, lattice, mixing, mtree, rabitq, tokenfile, toolcalls, toxicity, warc
+from assaylake.llm import bpe, lattice, mixing, mtree, rabitq, tokencounts, tokenfile, toolcalls, toxicity, warc
 from assaylake.llm.simhash import simhash_components
 
 #: The tokenizer file of the queries; a parameter of the operators.
@@ -62,6 +62,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer(PIECES))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
