@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assaylake.llm import bpe, lattice, mixing, mtree, rabitq, tokencounts, tokenfile, toolcalls, toxicity, warc
+from assaylake.llm import bpe, hardneg, lattice, mixing, mtree, ptolemy, rabitq, tokencounts, tokenfile, toolcalls, toxicity, warc
 from assaylake.llm.simhash import simhash_components
 
 #: The tokenizer file of the queries; a parameter of the operators.
@@ -62,6 +63,16 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_ptolemaic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ptolemy.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer(PIECES))
 
@@ -70,7 +81,47 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+def _clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    """The rounds written out one after another; a vector's distance and cluster travel as one number, distance * k + cluster."""
+    near = """near{r} AS MATERIALIZED (
+            SELECT n, min(list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) * {k} + c) AS best FROM v, c{r} c GROUP BY n
+        )"""
+    moved = """sums{r} AS (
+            SELECT best % {k} AS c, j, sum(e[j]) AS s, count(*) AS m FROM near{r} JOIN v USING (n), range(1, 65) t(j) GROUP BY ALL
+        ), means{r} AS (SELECT c, list(CAST((s - ((s % m) + m) % m) / m AS BIGINT) ORDER BY j) AS e FROM sums{r} GROUP BY c
+        ), c{next} AS MATERIALIZED (SELECT old.c, coalesce(new.e, old.e) AS e FROM c{r} old LEFT JOIN means{r} new USING (c))"""
+    steps = ", ".join(part.format(r=r, next=r + 1, k=k) for r in range(rounds) for part in (near, moved))
+    return f"""
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), starts AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), e) - 1 AS c, e FROM v WHERE vec_id IS NOT NULL
+        ), c0 AS MATERIALIZED (SELECT c, e FROM starts WHERE c < {k}
+        ), {steps}, {near.format(r=rounds, k=k)},
+        found AS (SELECT vec_id, best % {k} AS cluster, best // {k} AS distance FROM near{rounds} JOIN v USING (n))
+        SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+        FROM found JOIN c{rounds} c ON c.c = found.cluster
+    """
+
+
 SQL = {
+    "op12_ptolemaic_clusters": _clusters_sql(),
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, if(vec_id % 7 = 0, (label + 1) % 10, label) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS MATERIALIZED (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+        ), p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        QUALIFY rank <= 5
+    """,
     "op2_tool_calls": """
         WITH RECURSIVE calls AS (
             SELECT conv_id, 'call_' || conv_id || '_' || turn AS call_id, turn, text, if(role = 'system', 'configure', 'ask') AS name, (conv_id + turn) % 11 AS fault,
