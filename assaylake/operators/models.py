@@ -6,14 +6,15 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
-from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
+from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import MinMaxScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.operators import metric
 from assaylake.sources.scratch import cut, written
 
 #: Named algorithms: an estimator for a number of features and classes.
@@ -134,37 +135,56 @@ def cluster(df: DataFrame, columns: list[str], k: int, kind: str = "kmeans") ->
     return Pipeline(stages=stages).fit(df).transform(df).select(*df.columns, "cluster")
 
 
-def spectral(edges: DataFrame, k: int) -> DataFrame:
-    """(id, cluster) by power iteration on affinities (src, dst, weight)."""
-    return PowerIterationClustering(k=k, maxIter=15, weightCol="weight").assignClusters(edges)
-
-
-def neighbours(df: DataFrame, x: str, y: str, eps: float, key: str) -> DataFrame:
-    """(a, b) of points within eps of each other, met through grid cells of side eps."""
-    cell = df.select(key, x, y, F.floor(F.col(x) / eps).alias("cx"), F.floor(F.col(y) / eps).alias("cy"))
-    shifts = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    spread = cell.select(F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"), "cx", "cy", shifts.alias("s")).select("b", "bx", "by", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
-    near = cell.join(spread, ["cx", "cy"])
-    return near.where((F.col(x) - F.col("bx")) ** 2 + (F.col(y) - F.col("by")) ** 2 <= eps * eps).select(F.col(key).alias("a"), "b")
-
-
-def dbscan(df: DataFrame, x: str, y: str, eps: float, least: int, key: str = "hash") -> DataFrame:
-    """(key, core, cluster): DBSCAN on two columns; cluster is the smallest core key reachable, -1 for noise; a border point joins its smallest cluster."""
-    near = cut(neighbours(df, x, y, eps, key))
-    core = cut(near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a"))
-    links = cut(near.join(core, "a").join(core.withColumnRenamed("a", "b"), "b"))
-    label = cut(core.select("a", F.col("a").alias("c")))
-    while True:  # labels only fall
-        low = links.join(label.withColumnsRenamed({"a": "b", "c": "m"}), "b").groupBy("a").agg(F.min("m").alias("m"))
-        new = label.join(low, "a", "left").select("a", F.least("c", F.coalesce("m", "c")).alias("c"))
-        jump = new.withColumnsRenamed({"a": "k", "c": "j"})
-        new = cut(new.join(jump, F.col("c") == F.col("k"), "left").select("a", F.least("c", F.coalesce("j", "c")).alias("c")))
-        if new.exceptAll(label).limit(1).count() == 0:
-            break
-        label = new
-    border = near.join(label.withColumnsRenamed({"a": "b"}), "b").groupBy("a").agg(F.min("c").alias("border"))
-    out = df.select(F.col(key).alias("a")).join(label.withColumn("core", F.lit(True)), "a", "left").join(border, "a", "left")
-    return out.select(F.col("a").alias(key), F.coalesce("core", F.lit(False)).alias("core"), F.coalesce("c", "border", F.lit(-1)).alias("cluster"))
+def _times(edges: DataFrame, state: DataFrame, names: list[str]) -> DataFrame:
+    """The normalised affinities times the state's columns."""
+    return edges.join(state.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(*(F.sum(F.col("weight") * F.col(c)).alias(c) for c in names))
+
+
+def spectral_embedding(edges: DataFrame, k: int, rounds: int = 15, spare: int = 6, every: int = 3) -> DataFrame:
+    """(id, features): the k leading eigenvectors of the normalised affinities (src, dst, weight, each pair once), rows at length one.
+
+    k + spare random columns are multiplied by (affinities + 1) / 2, one join and one grouping a round; what they span then holds the leading eigenvectors up to the share of
+    eigenvalue k + spare + 1 in eigenvalue k to the power of rounds, and a small eigenproblem on the driver (k + spare numbers a side) finds them in it.
+    """
+    names = [f"x{i}" for i in range(k + spare)]
+    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    degree = cut(both.groupBy("src").agg(F.sum("weight").alias("degree")))
+    scaled = both.join(degree, "src").join(degree.withColumnsRenamed({"src": "dst", "degree": "other"}), "dst")
+    scaled = written(scaled.select("src", "dst", (F.col("weight") / F.sqrt(F.col("degree") * F.col("other"))).alias("weight")), "affinities")
+    state = degree.select(F.col("src").alias("id"), *(((F.xxhash64("src", F.lit(i)) / float(1 << 63))).alias(c) for i, c in enumerate(names)))
+    for turn in range(rounds):
+        more = _times(scaled, state, names).withColumnsRenamed({c: f"{c}_" for c in names})
+        state = state.join(more, "id").select("id", *(((F.col(c) + F.col(f"{c}_")) / 2).alias(c) for c in names))
+        if turn % every == every - 1:
+            state = cut(state)
+    state = cut(state)
+    met = state.join(_times(scaled, state, names).withColumnsRenamed({c: f"{c}_" for c in names}), "id")
+    sums = met.agg(*(F.sum(F.col(a) * F.col(b + tail)).alias(f"{a}{tail}{b}") for tail in ("", "_") for a in names for b in names)).first()
+    if sums[0] is None:
+        return state.select("id", array_to_vector(F.array(*(F.col(c) for c in names[:k]))).alias("features"))
+    inner, image = (np.array([[sums[f"{a}{tail}{b}"] for b in names] for a in names]) for tail in ("", "_"))
+    size, turned = np.linalg.eigh(inner)
+    some = size > size[-1] * 1e-12
+    basis = turned[:, some] / np.sqrt(size[some])
+    image = basis.T @ image @ basis
+    leading = basis @ np.linalg.eigh((image + image.T) / 2)[1][:, ::-1][:, :k]
+    parts = [sum(F.col(c) * F.lit(float(x)) for c, x in zip(names, column, strict=True)) for column in leading.T]
+    raw = state.select("id", F.array(*parts).alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    return raw.withColumn("length", length).select("id", array_to_vector(F.transform("v", lambda x: F.when(F.col("length") > 0, x / F.col("length")).otherwise(0.0))).alias("features"))
+
+
+def spectral(df: DataFrame, key: str, columns: list[str], k: int, neighbours: int = 10, rounds: int = 15) -> DataFrame:
+    """(id, cluster): k-means of the spectral embedding of each row's nearest neighbours over all columns.
+
+    Rows without neighbours (null or non-finite components, or a table of one row) are in no cluster. One vector, as power iteration clustering has it, does not tell
+    rings apart before some hundred rounds; several do.
+    """
+    edges = written(metric.affinity(metric.knn_graph(df, key, columns, neighbours)), "affinity")
+    embedded = written(spectral_embedding(edges, k, rounds), "spectral")
+    if embedded.isEmpty():
+        return embedded.select("id", F.lit(None).cast("int").alias("cluster"))
+    return KMeans(k=k, seed=42, featuresCol="features", predictionCol="cluster").fit(embedded).transform(embedded).select("id", "cluster")
 
 
 def auto_k(df: DataFrame, label: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from assaylake.functions import content
-from assaylake.operators import estimators, explain, heuristics, metrics, models, preprocess, selection
+from assaylake.operators import estimators, explain, heuristics, metric, metrics, models, preprocess, selection
 from assaylake.plans.content import per_sample
 from assaylake.plans.quality import gaps
 from assaylake.plans.registry import register
@@ -270,13 +270,30 @@ def _points(spark, d):
     l AS (SELECT a, min(b) AS c FROM r GROUP BY 1), o AS (SELECT n.a, min(l.c) AS c FROM n JOIN l ON n.b = l.a GROUP BY 1)
     SELECT hash, l.a IS NOT NULL AS core, coalesce(l.c, o.c, -1) AS cluster FROM p LEFT JOIN l ON hash = l.a LEFT JOIN o ON hash = o.a""")
 def dbscan(spark, d):
-    return models.dbscan(_points(spark, d), "x", "y", 0.05, 8)
+    return metric.dbscan(_points(spark, d), ["x", "y"], 0.05, 8)
+
+
+@register("""
+    WITH RECURSIVE p AS (SELECT vec_id AS hash, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    n AS (SELECT a.hash AS a, b.hash AS b FROM p a JOIN p b ON list_sum(list_transform(range(1, 65), lambda i: pow(a.e[i] - b.e[i], 2))) <= 1.16 * 1.16),
+    core AS (SELECT a FROM n GROUP BY 1 HAVING count(*) >= 5), e AS (SELECT n.a, n.b FROM n JOIN core c ON n.a = c.a JOIN core k ON n.b = k.a), r AS (SELECT a, a AS b FROM core UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+    l AS (SELECT a, min(b) AS c FROM r GROUP BY 1), o AS (SELECT n.a, min(l.c) AS c FROM n JOIN l ON n.b = l.a GROUP BY 1)
+    SELECT hash, l.a IS NOT NULL AS core, coalesce(l.c, o.c, -1) AS cluster FROM p LEFT JOIN l ON hash = l.a LEFT JOIN o ON hash = o.a""")
+def dbscan_all_dimensions(spark, d):
+    return metric.dbscan(_vectors(spark, d), ["e"], 1.16, 5)
+
+
+@register("""
+    WITH v AS (SELECT vec_id AS hash, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    n AS (SELECT a.hash AS src, b.hash AS dst, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(a.e[i] - b.e[i], 2)))), 9) AS distance FROM v a JOIN v b ON a.hash <> b.hash)
+    SELECT src, dst, CAST(rank AS INTEGER) AS rank, distance FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS rank FROM n) WHERE rank <= 10""")
+def knn_graph(spark, d):
+    return metric.knn_graph(_vectors(spark, d), "hash", ["e"], 10)
 
 
 @register()
 def spectral(spark, d):
-    links = models.neighbours(_points(spark, d), "x", "y", 0.2, "hash").where("a < b").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("weight"))
-    return models.spectral(links, 3)
+    return models.spectral(_vectors(spark, d), "hash", ["e"], 3)
 
 
 @register(sql("SELECT CAST(greatest(2, count(DISTINCT label) FILTER (label <> '?')) AS BIGINT) AS k FROM samples", "samples"))
@@ -340,7 +357,7 @@ def cluster_points(spark, d):
     names = [f"e{i}" for i in range(64)]
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("hash"), *(F.element_at("embedding", i + 1).cast("double").alias(n) for i, n in enumerate(names)))
     points = written(preprocess.pca(rows, names).select("hash", "pc1", "pc2"), "points")
-    return points.join(models.dbscan(points, "pc1", "pc2", 0.3, 6), "hash")
+    return points.join(metric.dbscan(points, ["pc1", "pc2"], 0.3, 6), "hash")
 
 
 @register()

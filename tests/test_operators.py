@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from assaylake.functions import content
-from assaylake.operators import derive, joins, models, project, similarity, voting
+from assaylake.operators import derive, joins, metric, project, similarity, voting
 from assaylake.plans import learning
 
 
@@ -58,7 +58,7 @@ def test_shingles_of_short_and_empty_texts(spark):
 def test_dbscan_on_two_groups(spark):
     points = [(i, 0.01 * i, 0.0) for i in range(5)] + [(10 + i, 5 + 0.01 * i, 0.0) for i in range(5)] + [(99, 50.0, 50.0)]
     df = spark.createDataFrame(points, "hash long, x double, y double")
-    got = {r["hash"]: r["cluster"] for r in models.dbscan(df, "x", "y", 0.05, 3).collect()}
+    got = {r["hash"]: r["cluster"] for r in metric.dbscan(df, ["x", "y"], 0.05, 3).collect()}
     assert got[99] == -1 and {got[i] for i in range(5)} == {0} and {got[10 + i] for i in range(5)} == {10}
 
 
