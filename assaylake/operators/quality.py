@@ -63,15 +63,15 @@ def uniqueness(df: DataFrame, columns: tuple[str, ...] = ("hash",)) -> DataFrame
     return counts.agg(F.round(F.count("*") / F.sum("n"), 6).alias("uniqueness"))
 
 
-def similarity_score(df: DataFrame, classes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+def similarity_score(df: DataFrame, classes: DataFrame, later: DataFrame, key: str) -> DataFrame:
     """1 - the share of rows with an earlier similar one (a smaller key).
 
-    classes: (key, first), the row that stands for rows of equal content; pairs: (a, b) of similar ones, a the smaller. Rows that classes does not hold are
+    classes: (key, first), the row that stands for rows of equal content; later: (key) of those that are similar to an earlier one. Rows that classes does not hold are
     similar to none.
     """
     copies = classes.where(F.col(key) != F.col("first")).agg(F.count("*").alias("c"))
-    later = pairs.select("b").distinct().agg(F.count("*").alias("l"))
-    row = df.agg(F.count("*").alias("n")).join(copies).join(later)  # one row each
+    similar = later.agg(F.count("*").alias("l"))
+    row = df.agg(F.count("*").alias("n")).join(copies).join(similar)  # one row each
     return row.select(F.round(1 - (F.col("c") + F.col("l")) / F.col("n"), 6).alias("similarity"))
 
 

@@ -6,14 +6,14 @@ from itertools import count, groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylake.sources.scratch import cut
 
-#: Words of a shingle, hash rows of a signature, rows of a band.
-WORDS, ROWS, BAND = 5, 64, 4
-#: Keys of a bucket that meet in one task.
+#: Words of a shingle, hash rows of a signature, rounding that bounds allow for.
+WORDS, ROWS, SLACK = 5, 64, 1e-6
+#: Keys of an item that meet in one task.
 PART = 1024
 #: Rounds of greedy_keep between looks at what is open, and the similar pairs that the driver settles.
 EARLY, FEW = 8, 100_000
@@ -32,7 +32,10 @@ def shingles(text: Column, words: int = WORDS) -> Column:
 
 def hashes(text: Column) -> Column:
     """The 64-bit hashes of the shingles of a text, sorted and distinct."""
-    return F.array_sort(F.array_distinct(F.transform(shingles(text), lambda x: F.xxhash64(x))))
+    parts = F.split(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), " ")
+    # Words are hashed one after another, without joining them; a missing word of a short text changes nothing.
+    run = lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(p) - WORDS)), lambda i: F.xxhash64(*(F.get(p, i + n) for n in range(WORDS))))
+    return F.sort_array(F.array_distinct(bound(parts, run)))
 
 
 def _factors(rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,24 +77,50 @@ def digest_kind(digest: Column) -> Column:
     return F.when(digest.rlike(r"^\d+:[A-Za-z0-9+/]+:[A-Za-z0-9+/]+$"), "ssdeep").when(digest.rlike("^(T1)?[0-9A-Fa-f]{70}$"), "tlsh").when(digest.rlike("^[0-9a-f]{64}$"), "sha256").when(digest.rlike("^[0-9a-f]{32}$"), "md5").otherwise("?")
 
 
-def candidates(sets: DataFrame, key: str, rows: int = ROWS, band: int = BAND) -> DataFrame:
-    """(key, i, h): the value h that each band i of a key's signature has; keys that agree in one are candidates."""
-    signed = sets.select(key, signature(F.col("items"), rows).alias("sig"))
-    bands = F.array(*(F.struct(F.lit(i).alias("i"), F.xxhash64(F.slice("sig", i * band + 1, band)).alias("h")) for i in range(rows // band)))
-    return signed.select(key, F.explode(bands).alias("b")).select(key, "b.i", "b.h")
+def _needed(n: Column, threshold: float) -> Column:
+    """The least number of items that a set of n shares with any set of that similarity or more."""
+    return F.greatest(F.lit(1), F.ceil(n * (threshold / 100) - SLACK))
+
 
+def rare_items(sets: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(key, item, place, n): the items under which a set is looked up, so that sets of that similarity share one at least.
 
-def _met(banded: DataFrame, key: str, part: int = PART) -> DataFrame:
-    """(a, b): distinct pairs of keys that share a band. A bucket of more than part keys is split by a hash of the key, and its parts are met pair by pair."""
-    banded = cut(banded)
-    sizes = banded.groupBy("i", "h").count().where("count > 1").select("i", "h", F.ceil(F.col("count") / part).cast("int").alias("parts"))
-    own = banded.join(sizes, ["i", "h"]).withColumn("own", F.pmod(F.xxhash64(key), "parts").cast("int"))
-    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("i", "h", F.least("own", "other").alias("l"), F.greatest("own", "other").alias("r"), "own", key)
-    one, two = spread.withColumnRenamed(key, "a"), spread.withColumnsRenamed({key: "b", "own": "own_b"})
-    met = one.join(two, ["i", "h", "l", "r"]).where((F.col("a") < F.col("b")) & ((F.col("own") != F.col("own_b")) | (F.col("l") == F.col("r"))))
+    Items are ordered from rare to common. Two sets that share o items share one of the first n - o + 1 of either, and o is at least threshold * n. Items of one set only
+    stand first and meet nothing: they are counted and not listed, and a set of which they leave too little has no partner. Items are counted before
+    the shuffle.
+    """
+    every = sets.select(key, F.size("items").alias("n"), F.explode("items").alias("item"))
+    common = every.groupBy("item").agg(F.count("*").alias("held")).where("held > 1")
+    shared = every.join(common, "item")
+    over = Window.partitionBy(key)
+    placed = shared.withColumn("left", F.count("*").over(over)).where(F.col("left") >= _needed(F.col("n"), threshold))
+    placed = placed.withColumn("place", F.row_number().over(over.orderBy("held", "item")) + F.col("n") - F.col("left"))
+    return placed.where(F.col("place") <= F.col("n") - _needed(F.col("n"), threshold) + 1).select(key, "item", "place", "n")
+
+
+def _may_meet(threshold: float) -> Column:
+    """Of two index rows of one item (n, place and m, other): whether sizes and what follows in either set leave room for the similarity."""
+    n, m, share = F.col("n"), F.col("m"), threshold / 100
+    room = 1 + F.least(n - F.col("place"), m - F.col("other"))
+    return (F.least(n, m) >= share * F.greatest(n, m) - SLACK) & (room >= share / (1 + share) * (n + m) - SLACK)
+
+
+def candidates(index: DataFrame, key: str, threshold: float, part: int = PART) -> DataFrame:
+    """(a, b), a < b: distinct pairs of keys that share an indexed item and may be similar. An item of more than part keys is split by a hash of the key, and its parts are met pair by pair."""
+    sizes = index.groupBy("item").count().where("count > 1").select("item", F.ceil(F.col("count") / part).cast("int").alias("parts"))
+    own = index.join(sizes, "item").withColumn("own", F.pmod(F.xxhash64(key), "parts").cast("int"))
+    spread = own.withColumn("side", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("item", F.least("own", "side").alias("l"), F.greatest("own", "side").alias("r"), "own", key, "place", "n")
+    one, two = spread.withColumnRenamed(key, "a"), spread.withColumnsRenamed({key: "b", "own": "own_b", "place": "other", "n": "m"})
+    met = one.join(two, ["item", "l", "r"]).where((F.col("a") < F.col("b")) & ((F.col("own") != F.col("own_b")) | (F.col("l") == F.col("r"))) & _may_meet(threshold))
     return met.select("a", "b").distinct()
 
 
+def scored(pairs: DataFrame, sets: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(a, b, score) of the pairs (a, b) with score >= threshold."""
+    both = pairs.join(sets.select(F.col(key).alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col(key).alias("b"), F.col("items").alias("ib")), "b")
+    return both.select("a", "b", jaccard(F.col("ia"), F.col("ib")).alias("score")).where(F.col("score") >= threshold)
+
+
 def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """((key, items) of one row for each distinct set of shingles, that of the smallest key; (key, first) for each row: the key that stands for it)."""
     named = cut(docs.select(key, hashes(F.col(text)).alias("items")).withColumns({"h": F.xxhash64("items"), "g": F.xxhash64(F.lit(1), "items")}))
@@ -102,7 +131,7 @@ def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
 
 
 def similar_pairs(docs: DataFrame, key: str, text: str, threshold: float = 80.0) -> DataFrame:
-    """(a, b, score): pairs of different texts with score >= threshold that share a band.
+    """(a, b, score): all pairs of different texts with score >= threshold.
 
     Rows with equal shingles are one class first, named by its smallest key, so that a group of copies gives no pairs;
     exact_classes() says which row stands for which.
@@ -112,9 +141,45 @@ def similar_pairs(docs: DataFrame, key: str, text: str, threshold: float = 80.0)
 
 def pairs_of(sets: DataFrame, key: str, threshold: float = 80.0) -> DataFrame:
     """As similar_pairs, of the classes (key, items)."""
-    pairs = _met(candidates(sets, key), key)
-    scored = pairs.join(sets.select(F.col(key).alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col(key).alias("b"), F.col("items").alias("ib")), "b")
-    return scored.select("a", "b", jaccard(F.col("ia"), F.col("ib")).alias("score")).where(F.col("score") >= threshold)
+    return scored(candidates(cut(rare_items(sets, key, threshold)), key, threshold), sets, key, threshold)
+
+
+def with_earlier(sets: DataFrame, key: str, threshold: float = 80.0) -> DataFrame:
+    """(key) of the sets that are similar to one with a smaller key, found without all pairs.
+
+    A set first meets the smallest key alone of each item that it is indexed by: of a template's near copies nearly all are settled there, by one pair for
+    each set and item. Only sets that find nothing so meet all smaller keys of their items.
+    """
+    index = cut(rare_items(sets, key, threshold))
+    firsts = index.groupBy("item").agg(F.min(F.struct(F.col(key).alias("a"), "place", "n")).alias("f")).select("item", "f.a", F.col("f.place").alias("other"), F.col("f.n").alias("m"))
+    tried = index.withColumnRenamed(key, "b").join(firsts, "item").where((F.col("a") < F.col("b")) & _may_meet(threshold)).select("a", "b").distinct()
+    tried = cut(tried)
+    settled = cut(scored(tried, sets, key, threshold).select(F.col("b").alias(key)).distinct())
+    open_ = index.join(settled, key, "left_anti").select(F.col(key).alias("b"), "item", F.col("place").alias("other"), F.col("n").alias("m"))
+    more = open_.join(index.withColumnRenamed(key, "a"), "item").where((F.col("a") < F.col("b")) & _may_meet(threshold)).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    return settled.unionByName(scored(more, sets, key, threshold).select(F.col("b").alias(key)).distinct())
+
+
+def keep_greedily(sets: DataFrame, key: str, threshold: float = 80.0, rounds: int = 2) -> DataFrame:
+    """(key) of the sets kept when each, in ascending order of keys, stays unless an earlier kept one is similar.
+
+    A set without an earlier similar one is kept, and what is similar to it and later goes: a round of that settles whole groups around a template without
+    their pairs. What is open after the rounds is settled by its own pairs, see greedy_keep().
+    """
+    open_, kept = sets, None
+    for _ in range(rounds):
+        later = cut(with_earlier(open_, key, threshold))
+        first = open_.join(later, key, "left_anti")
+        kept = first.select(key) if kept is None else kept.unionByName(first.select(key))
+        rest = cut(open_.join(later, key, "left_semi"))
+        if rest.limit(1).count() == 0:
+            return kept
+        index = cut(rare_items(cut(first.unionByName(rest)), key, threshold))
+        mine = index.join(later, key, "left_semi").select(F.col(key).alias("b"), "item", F.col("place").alias("other"), F.col("n").alias("m"))
+        met = mine.join(index.join(later, key, "left_anti").withColumnRenamed(key, "a"), "item").where((F.col("a") < F.col("b")) & _may_meet(threshold)).select("a", "b").distinct()
+        gone = scored(met, open_, key, threshold).select(F.col("b").alias(key)).distinct()
+        open_ = cut(rest.join(gone, key, "left_anti"))
+    return kept.unionByName(greedy_keep(open_.select(key), pairs_of(open_, key, threshold), key))
 
 
 def exact_classes(docs: DataFrame, key: str, text: str) -> DataFrame:

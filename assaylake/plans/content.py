@@ -336,7 +336,7 @@ def digest_format(spark, d):
     SELECT unnest(ids) AS doc_id FROM (SELECT ids FROM kept ORDER BY k DESC LIMIT 1)""")
 def near_dedup(spark, d):
     sets, _ = similarity.classes(table(spark, d, "documents").where("text is not null"), "doc_id", "text")
-    return similarity.greedy_keep(sets.select("doc_id"), similarity.pairs_of(sets, "doc_id"), "doc_id")
+    return similarity.keep_greedily(sets, "doc_id")
 
 
 @register("""

@@ -61,7 +61,7 @@ _EARLIER = "(SELECT count(*) FROM s) - (SELECT count(*) FROM c) + (SELECT count(
 
 def _similarity(spark, d):
     sets, members = similarity.classes(table(spark, d, "documents").where("text is not null"), "doc_id", "text")
-    return quality.similarity_score(table(spark, d, "documents"), members, similarity.pairs_of(sets, "doc_id"), "doc_id")
+    return quality.similarity_score(table(spark, d, "documents"), members, similarity.with_earlier(sets, "doc_id"), "doc_id")
 
 
 @register(f"WITH {SHINGLES} SELECT round(1 - ({_EARLIER}) / count(*), 6) AS similarity FROM documents")

@@ -82,8 +82,9 @@ def test_similar_pairs_of_a_hot_bucket(spark, monkeypatch):
     base = [f"w{k}" for k in rng.integers(0, 1000, 120)]
     texts = [" ".join(base[:i] + ["odd"] + base[i:]) for i in range(0, 120, 3)] + [" ".join(base)] * 3 + [" ".join(f"v{k}" for k in rng.integers(0, 1000, 120)) for _ in range(10)] + ["", "a b"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    met = similarity._met(similarity.candidates(similarity.classes(df, "doc_id", "text")[0], "doc_id"), "doc_id", part=8)
-    whole = similarity._met(similarity.candidates(similarity.classes(df, "doc_id", "text")[0], "doc_id"), "doc_id", part=10_000)
+    index = similarity.rare_items(similarity.classes(df, "doc_id", "text")[0], "doc_id", 80.0)
+    met = similarity.candidates(index, "doc_id", 80.0, part=8)
+    whole = similarity.candidates(index, "doc_id", 80.0, part=10_000)
     assert sorted(map(tuple, met.collect())) == sorted(map(tuple, whole.collect()))
     sets = {}
     for i, t in enumerate(texts):
@@ -92,11 +93,46 @@ def test_similar_pairs_of_a_hot_bucket(spark, monkeypatch):
     keys = sorted((i, s) for s, i in sets.items())
     want = {(a, b) for a, s in keys for b, t in keys if a < b and len(s & t) / len(s | t) >= 0.8}
     assert {(r["a"], r["b"]) for r in similarity.similar_pairs(df, "doc_id", "text").collect()} == want
-    members, pairs = similarity.exact_classes(df, "doc_id", "text"), similarity.similar_pairs(df, "doc_id", "text")
-    share = quality.similarity_score(df, members, pairs, "doc_id").first()["similarity"]
+    sets, members = similarity.classes(df, "doc_id", "text")
+    later = similarity.with_earlier(sets, "doc_id")
+    assert sorted(r["doc_id"] for r in later.collect()) == sorted({b for _, b in want})
+    share = quality.similarity_score(df, members, later, "doc_id").first()["similarity"]
     assert share == round(1 - (2 + len({b for _, b in want})) / len(texts), 6)
 
 
+@pytest.mark.parametrize("threshold", [30.0, 50.0, 80.0, 100.0])
+def test_set_joins_are_exact_at_any_threshold(spark, threshold):
+    rng = np.random.default_rng(17)
+    base = [sorted(set(rng.integers(0, 500, n).tolist())) for n in (1, 2, 5, 10, 40, 120)]
+    sets = [[]]
+    for one in base:  # drifting copies: each a little further from the first
+        for k in range(12):
+            sets.append(sorted({*one[k // 2 :], *rng.integers(0, 5000, k // 3).tolist()}))
+    sets = [list(x) for x in sorted({tuple(x) for x in sets}, key=lambda x: rng.random())]
+    df = spark.createDataFrame(list(enumerate(sets)), "k long, items array<long>").checkpoint()
+    score = {(i, j): len(set(a) & set(b)) / len(set(a) | set(b)) for j, b in enumerate(sets) for i, a in enumerate(sets) if i < j and (a or b)}
+    want = {p for p, x in score.items() if x >= threshold / 100 - 1e-12}
+    assert {(r["a"], r["b"]) for r in similarity.pairs_of(df, "k", threshold).collect()} == want and (len(want) > 20 or threshold == 100)
+    assert sorted(r["k"] for r in similarity.with_earlier(df, "k", threshold).collect()) == sorted({b for _, b in want})
+    kept = []
+    for j in range(len(sets)):
+        if not any((i, j) in want for i in kept):
+            kept.append(j)
+    assert sorted(r["k"] for r in similarity.keep_greedily(df, "k", threshold).collect()) == kept
+
+
+def test_near_copies_of_a_template_need_few_pairs(spark, monkeypatch):
+    tried = []
+    one = similarity.scored
+    monkeypatch.setattr(similarity, "scored", lambda pairs, *rest: tried.append(pairs.count()) or one(pairs, *rest))
+    items = list(range(100))
+    sets = [[*items, 1000 + i] for i in range(300)] + [[5000 + 50 * i + k for k in range(50)] for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(sets)), "k long, items array<long>").checkpoint()
+    assert similarity.with_earlier(df, "k").count() == 299 and sum(tried) < 2 * 300
+    tried.clear()
+    assert sorted(r["k"] for r in similarity.keep_greedily(df, "k").collect()) == [0, *range(300, 320)] and sum(tried) < 4 * 300
+
+
 def test_divisors(spark):
     df = spark.createDataFrame([(6.0, 2.0, 0.0)], "a double, b double, c double")
     made = {"x": "(a + b) / c", "y": "a / (b - 2) + 1", "z": "a / b / 3", "q": "a / -greatest(b, c) * 2", "t": "length('a/b')", "m": "a % c", "is_on": "a / b > 2"}
