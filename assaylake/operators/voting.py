@@ -57,17 +57,23 @@ def decide(votes: DataFrame, threshold: float | str = "majority", tie: str = "un
 
     One shuffle gathers the few counts of a sample; the tie rule is an expression on that short array.
     """
-    counts = vote_counts(votes)
-    listed = counts.groupBy("hash").agg(F.array_sort(F.collect_list(F.struct("first_rank", "label", "n"))).alias("c"), F.max("n").alias("best"), F.sum(F.abs("n")).alias("__n"))
-    voters = votes.groupBy("hash").agg(F.count("*").alias("voters"))
-    joined = listed.join(voters, "hash")
+    return decide_counts(votes.groupBy("hash", "label").agg(F.count("*").alias("n"), F.min("detector_rank").alias("first_rank")), ["hash"], threshold, tie)
+
+
+def decide_counts(counts: DataFrame, by: list[str], threshold: float | str = "majority", tie: str = "undecided") -> DataFrame:
+    """(by..., label, best): as decide(), of counts (by..., label, n, first_rank); the voters of a group are its counts' sum."""
+    order = F.array_sort(F.collect_list(F.struct("first_rank", "label", "n")))
+    listed = counts.groupBy(*by).agg(order.alias("c"), F.sum("n").alias("voters"))
+    # 'unknown' starts at minus the sample's votes.
+    joined = listed.withColumn("c", F.transform("c", lambda s: s.withField("n", F.when(s["label"] == "unknown", s["n"] - F.col("voters")).otherwise(s["n"]))))
+    joined = joined.withColumn("best", F.array_max(F.transform("c", lambda s: s["n"])))
     least = majority(F.col("voters")) if threshold == "majority" else F.lit(threshold)
     top = joined.withColumn("top", F.transform(F.filter("c", lambda s: s["n"] == F.col("best")), lambda s: s["label"]))
     longest = F.aggregate("top", F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
     top = top.withColumn("long", longest)
     nested = F.forall("top", lambda f: F.contains(F.col("long"), f))
     label = F.when(F.col("best") < least, "-").when(F.size("top") == 1, F.element_at("top", 1)).when(nested, F.col("long")).otherwise(F.lit("?") if tie == "undecided" else F.element_at("top", 1))
-    return top.select("hash", label.alias("label"), "best")
+    return top.select(*by, label.alias("label"), "best")
 
 
 def binary(label: Column) -> Column:

@@ -658,7 +658,24 @@ def stream_update(spark, d):
     return updates.upsert_batches(spark, rows, "event_id")
 
 
-@register()
+def _vote_stream(spark, d):
+    return _event_stream(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("hash"), F.col("event_type").alias("label"), "event_id")
+
+
+_STREAM_COUNTS = "SELECT date_trunc('day', ts) AS start, user_id AS hash, event_type AS label, count(*) AS n, min(event_id) AS first_rank FROM events WHERE ts IS NOT NULL GROUP BY ALL"
+
+
+@register(f"SELECT CAST(start AS VARCHAR) AS start, hash, label, n FROM ({_STREAM_COUNTS})")
 def stream_votes(spark, d):
-    rows = _event_stream(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("hash"), F.col("event_type").alias("label"))
-    return updates.windowed_votes(spark, rows, "ts", "1 day")
+    counts, _ = updates.windowed_votes(spark, _vote_stream(spark, d), "ts", "1 day", "event_id")
+    return counts.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "hash", "label", "n")
+
+
+@register(f"""
+    WITH c AS ({_STREAM_COUNTS}), k AS (SELECT *, sum(n) OVER (PARTITION BY start, hash) AS voters FROM c), b AS (SELECT *, max(n) OVER (PARTITION BY start, hash) AS best FROM k),
+    g AS (SELECT start, hash, any_value(best) AS best, any_value(voters) AS voters, list(label ORDER BY first_rank) FILTER (n = best) AS fs FROM b GROUP BY 1, 2),
+    l AS (SELECT *, list_filter(fs, lambda x: length(x) = list_max(list_transform(fs, lambda y: length(y))))[1] AS long FROM g)
+    SELECT CAST(start AS VARCHAR) AS start, hash, CASE WHEN best < voters // 2 + 1 THEN '-' WHEN len(fs) = 1 THEN fs[1] WHEN len(list_filter(fs, lambda x: NOT contains(long, x))) = 0 THEN long ELSE '?' END AS label, CAST(best AS BIGINT) AS best FROM l""")
+def stream_decisions(spark, d):
+    _, decided = updates.windowed_votes(spark, _vote_stream(spark, d), "ts", "1 day", "event_id")
+    return decided.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "hash", "label", "best")

@@ -64,14 +64,15 @@ def test_dbscan_on_two_groups(spark):
 
 def test_stream_votes_count_every_event(spark, sf, tmp_path):
     events = learning.table(spark, sf, "events")
-    votes = [F.date_trunc("day", F.col("ts").cast("timestamp")).alias("start"), F.col("user_id").alias("hash"), F.col("event_type").alias("label")]
-    want = sorted(tuple(r) for r in events.select(*votes).groupBy("start", "hash", "label").count().collect())
+    day = F.date_format(F.date_trunc("day", F.col("ts").cast("timestamp")), "yyyy-MM-dd HH:mm:ss")
+    want = sorted(tuple(r) for r in events.select(day.alias("start"), F.col("user_id").alias("hash"), F.col("event_type").alias("label")).groupBy("start", "hash", "label").count().collect())
     late_first = events.repartitionByRange(9, F.col("ts").desc())
     for n in range(9):  # more files than a micro-batch takes, the latest events first
         late_first.where(F.spark_partition_id() == n).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
     for folder in (sf, str(tmp_path)):
         got = learning.stream_votes(spark, folder)
         assert got.columns == ["start", "hash", "label", "n"] and sorted(tuple(r) for r in got.collect()) == want
+    assert sorted(map(tuple, learning.stream_decisions(spark, str(tmp_path)).collect())) == sorted(map(tuple, learning.stream_decisions(spark, sf).collect()))
 
 
 def test_greedy_keep_of_a_long_chain(spark, monkeypatch):
