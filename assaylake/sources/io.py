@@ -6,22 +6,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.operators.project import FORMATS
+from assaylake.sources import ranges
 
 METADATA = ("realpath", "format", "signature", "size", "ctime", "mtime")
 
 
+#: Bytes of a file that Spark reads as one row.
+LARGEST = (1 << 31) - 1024
+
+
 def scan_files(spark: SparkSession, folder: str, glob: str = "*", formats: dict[str, str] | None = None, scope: list[str] | None = None, hashed: bool = True, limit: int = 0, seed: int = 42) -> DataFrame:
     """(path, size, modified, hash, format) of the files below folder.
 
     formats maps file extensions to formats ('?' for others). scope: formats, groups of formats or 'All'; only files of those stay. hashed=False leaves hash
-    null and reads no contents, as does a query that does not use it. limit: so many files in an order drawn by seed, 0 for all. A file
-    over 2 GB is listed, but cannot be hashed.
+    null and reads no contents, as does a query that does not use it. limit: so many files in an order drawn by seed, 0 for all. Files that
+    no row can hold (over LARGEST) are read by parts, see ranges.digests().
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     kind: Column = F.lit("?") if not formats else F.coalesce(F.create_map(*(F.lit(x) for kv in formats.items() for x in kv))[ext], F.lit("?"))
-    hash_of = F.sha2("content", 256) if hashed else F.lit(None).cast("string")
-    rows = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), hash_of.alias("hash"), kind.alias("format"))
+    listed = ["path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")]
+    if hashed:
+        rows = files.where(F.col("length") <= LARGEST).select(*listed, F.sha2("content", 256).alias("hash"))
+        large = files.where(F.col("length") > LARGEST).select(*listed)
+        rows = rows.unionByName(large.join(ranges.digests(large), "path"))
+    else:
+        rows = files.select(*listed, F.lit(None).cast("string").alias("hash"))
+    rows = rows.withColumn("format", kind)
     if scope is not None and "All" not in scope:
         rows = rows.where(F.col("format").isin([leaf for name in scope for leaf in FORMATS.get(name, [name])]))
     return rows if limit <= 0 else rows.orderBy(F.md5(F.concat("path", F.lit(str(seed)))), "path").limit(limit)
