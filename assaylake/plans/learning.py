@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from assaylake.functions import content
-from assaylake.operators import estimators, explain, heuristics, metric, metrics, models, preprocess, selection
+from assaylake.operators import estimators, explain, heuristics, metric, metrics, models, preprocess, selection, shapley
 from assaylake.plans.content import per_sample
 from assaylake.plans.quality import gaps
 from assaylake.plans.registry import register
@@ -642,6 +642,18 @@ def no_impact_share(spark, d):
     return explain.no_impact_share(explain.fuzz(features(spark, d), risk, X))
 
 
+@register()
+def shapley_trees(spark, d):
+    rows = features(spark, d)
+    return shapley.tree_values(models.train(rows, "rf", COLUMNS, "y"), rows, COLUMNS)
+
+
+@register()
+def shapley_linear(spark, d):
+    rows = features(spark, d)
+    return shapley.linear_values(models.train(rows, "lr", COLUMNS, "y"), rows, COLUMNS)
+
+
 # ---------------------------------------------------------------- streams
 
 
