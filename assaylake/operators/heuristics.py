@@ -15,23 +15,41 @@ def _sum(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
-def power_risk(weights: dict[str, tuple[float, float]]) -> Column:
-    """sqrt of the sum of (x * w) ^ c."""
-    return F.sqrt(_sum([F.pow(F.col(c).cast("double") * w, F.lit(float(p))) for c, (w, p) in weights.items()]))
+def _term(name: str) -> str:
+    return f"CAST(`{name.replace('`', '``')}` AS DOUBLE)"
 
 
-def linear_risk(weights: dict[str, tuple[float, float]]) -> Column:
-    """The sum of x * w * c over the sum of w."""
-    return _sum([F.col(f).cast("double") * w * c for f, (w, c) in weights.items()]) / sum(w for w, _ in weights.values())
+def power_risk(weights: dict[str, tuple[float, float]]) -> str:
+    """sqrt of the sum of (x * w) ^ c, as an expression."""
+    if not weights:
+        raise ValueError("a power risk needs a feature")
+    return "sqrt(" + " + ".join(f"power({_term(c)} * {float(w)!r}D, {float(p)!r}D)" for c, (w, p) in weights.items()) + ")"
 
 
-def norm_distance(df: DataFrame, columns: list[str], target: str, confidence: float = 0.05) -> DataFrame:
-    """One row (threshold, below): the norm at place floor(confidence * n) among class 1's, and class 0's share below it."""
-    normed = df.withColumn("norm", F.round(F.sqrt(_sum([F.col(c).cast("double") * F.col(c) for c in columns])), 6))
-    known = normed.where(F.col(target) == 1)
+def linear_risk(weights: dict[str, tuple[float, float]]) -> str:
+    """The sum of x * w * c over the sum of w, as an expression."""
+    if not weights:
+        raise ValueError("a linear risk needs a feature")
+    return "(" + " + ".join(f"{_term(f)} * {float(w)!r}D * {float(c)!r}D" for f, (w, c) in weights.items()) + f") / {float(sum(w for w, _ in weights.values()))!r}D"
+
+
+def norm(columns: list[str]) -> Column:
+    """The Euclidean norm of the columns, to six places."""
+    return F.round(F.sqrt(_sum([F.col(c).cast("double") * F.col(c) for c in columns])), 6)
+
+
+def norm_limit(df: DataFrame, columns: list[str], target: str, confidence: float) -> float | None:
+    """The norm at place floor(confidence * n), the first at least, among the n rows of class 1; None without any."""
+    known = df.where(F.col(target) == 1).select(norm(columns).alias("norm"))
     count = known.count()
     share = (max(1, int(confidence * count)) - 0.5) / max(1, count - 1)  # half way to the next place
-    limit = F.lit(quantiles.exact(known, ["norm"], [min(1.0, share)], interpolate=False)["norm"][0]).cast("double")
+    return quantiles.exact(known, ["norm"], [min(1.0, share)], interpolate=False)["norm"][0]
+
+
+def norm_distance(df: DataFrame, columns: list[str], target: str, confidence: float = 0.05) -> DataFrame:
+    """One row (threshold, below): the norm at place floor(confidence * n) among class 1's, and class 0's share below it."""
+    normed = df.withColumn("norm", norm(columns))
+    limit = F.lit(norm_limit(df, columns, target, confidence)).cast("double")
     return normed.where(F.col(target) == 0).agg(F.first(limit).alias("threshold"), F.round(F.avg((F.col("norm") < limit).cast("int")), 6).alias("below"))
 
 

@@ -4,37 +4,61 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
+from pyspark import keyword_only
+from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import MinMaxScaler, VectorAssembler
+from pyspark.ml.feature import Binarizer, MinMaxScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylake.operators import metric
 from assaylake.sources.scratch import cut, written
 
+class UnitRange(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """A vector with its components brought into 0 to 1: values beyond those of the training go to the nearer end."""
+
+    @keyword_only
+    def __init__(self, inputCol: str | None = None, outputCol: str | None = None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        held = F.transform(vector_to_array(self.getInputCol()), lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(held))
+
+
 #: Named algorithms: an estimator for a number of features and classes.
 ALGORITHMS = {
     "dt": lambda d, c: DecisionTreeClassifier(impurity="entropy", maxDepth=5, seed=42),
     "rf": lambda d, c: RandomForestClassifier(numTrees=20, maxDepth=5, seed=42),
     "gb": lambda d, c: GBTClassifier(maxIter=30, maxDepth=3, seed=42),
     "nb": lambda d, c: NaiveBayes(modelType="gaussian"),
-    "bnb": lambda d, c: NaiveBayes(modelType="multinomial"),
+    "bnb": lambda d, c: NaiveBayes(modelType="bernoulli"),
+    "mnb": lambda d, c: NaiveBayes(modelType="multinomial"),
     "lr": lambda d, c: LogisticRegression(maxIter=50),
-    "lsvc": lambda d, c: LinearSVC(maxIter=50, regParam=0.1),
+    "lsvc": lambda d, c: LinearSVC(maxIter=50, regParam=0.1) if c < 3 else OneVsRest(classifier=LinearSVC(maxIter=50, regParam=0.1)),
     "mlp": lambda d, c: MultilayerPerceptronClassifier(layers=[d, 10, 2, c], seed=42, maxIter=50),
     "j48": lambda d, c: DecisionTreeClassifier(impurity="entropy", minInstancesPerNode=2, seed=42),
 }
+#: What stands between scaling and an algorithm: flags of what is over the least value, and values that stay in range.
+BETWEEN = {
+    "bnb": lambda: Binarizer(threshold=0.0, inputCol="__scaled", outputCol="features"),
+    "mnb": lambda: UnitRange(inputCol="__scaled", outputCol="features"),
+}
 
 
 def train(df: DataFrame, algorithm: str, columns: list[str], label: str, classes: int = 2) -> PipelineModel:
-    """A pipeline of assembling, min-max scaling and the named algorithm, fitted on df."""
+    """A pipeline of assembling, min-max scaling and the named algorithm, fitted on df. More than two classes of a linear SVC are one model for each class against the rest."""
     estimator = ALGORITHMS[algorithm](len(columns), classes).setFeaturesCol("features").setLabelCol(label)
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="__raw", handleInvalid="skip"), MinMaxScaler(inputCol="__raw", outputCol="features"), estimator]).fit(df)
+    between = [BETWEEN[algorithm]()] if algorithm in BETWEEN else []
+    scaled = "__scaled" if between else "features"
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="__raw", handleInvalid="skip"), MinMaxScaler(inputCol="__raw", outputCol=scaled), *between, estimator]).fit(df)
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -224,6 +224,9 @@ train_gb = _trained("train_gb", "gb")
 train_nb = _trained("train_nb", "nb", "cls", 3)
 train_lr = _trained("train_lr", "lr", "cls", 3)
 train_lsvc = _trained("train_lsvc", "lsvc")
+train_bnb = _trained("train_bnb", "bnb")
+train_mnb = _trained("train_mnb", "mnb", "cls", 3)
+train_lsvc_multiclass = _trained("train_lsvc_multiclass", "lsvc", "cls", 3)
 train_mlp = _trained("train_mlp", "mlp", "cls", 3)
 train_j48 = _trained("train_j48", "j48", "cls", 3)
 

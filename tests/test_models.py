@@ -6,10 +6,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from assaylake.operators import models, shapley
+from assaylake.operators import estimators, heuristics, models, shapley
 
 NAMES = [f"f{i}" for i in range(6)]
 
@@ -19,7 +20,7 @@ def table(spark):
     rng = np.random.default_rng(31)
     x = rng.standard_normal((400, 6))
     y = ((x[:, 0] > 0) ^ (x[:, 1] * x[:, 2] > 0.1) | (x[:, 3] > 1.2)).astype(int)
-    third = np.digitize(x[:, 0] + 0.4 * x[:, 4], [-0.6, 0.6])
+    third = np.stack([x[:, 0], 0.9 * x[:, 4] - 0.5 * x[:, 0], -0.9 * x[:, 4] - 0.5 * x[:, 0]]).argmax(0)
     return spark.createDataFrame(pd.DataFrame(x, columns=NAMES).assign(hash=np.arange(400), y=y, cls=third)).repartition(3).cache()
 
 
@@ -85,7 +86,7 @@ def test_margins_of_three_classes(spark, table):
     found = models.predict(model, table)
     assert found.columns == [*table.columns, "prediction"]
     assert {r["prediction"] for r in found.select("prediction").distinct().collect()} == {0, 1, 2}
-    assert found.agg(F.avg((F.col("prediction") == F.col("cls")).cast("int"))).first()[0] > 0.75
+    assert found.agg(F.avg((F.col("prediction") == F.col("cls")).cast("int"))).first()[0] > 0.85
 
 
 @pytest.mark.parametrize("algorithm", ["bnb", "mnb"])
@@ -95,3 +96,30 @@ def test_naive_bayes_of_counts_and_flags(spark, table, algorithm):
     wild = rows.withColumn("f0", F.lit(-50.0)).withColumn("f1", F.lit(1e6))  # beyond what it was trained on
     assert models.predict(model, wild).count() == 400 and models.predict(model, wild.limit(0)).count() == 0
     assert models.predict(model, rows).agg(F.avg((F.col("prediction") == F.col("y")).cast("int"))).first()[0] > 0.5
+
+
+def test_estimators_are_saved_and_loaded(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame(pd.DataFrame({"hash": np.arange(200), "a": rng.exponential(size=200), "b": rng.integers(0, 5, 200).astype(float), "y": rng.integers(0, 2, 200)})).withColumn("flag", F.col("b") > 1)
+    score = heuristics.power_risk({"a": (0.5, 2.0), "b": (20.0, 1.0)})
+    made = {
+        "risk": estimators.RiskEstimator(score, "y"),
+        "given": estimators.RiskEstimator(heuristics.linear_risk({"a": (2.0, 0.5), "b": (1.0, 10.0)}), threshold=3.0),
+        "margin": estimators.MarginEstimator(["a", "b"], "y", 0.5),
+        "flagged": estimators.MarginEstimator(["a"], "y", 1.0, "flag"),
+        "norm": estimators.NormEstimator(["a", "b"], "y", 0.05),
+        "stump": estimators.StumpEstimator(["a", "b"], "y"),
+    }
+    for name, estimator in made.items():
+        kept = "prediction"
+        want = Pipeline(stages=[estimator]).fit(df)
+        rows = sorted(tuple(r) for r in want.transform(df).select("hash", kept).collect())
+        want.write().overwrite().save(f"{tmp_path}/{name}-model")
+        Pipeline(stages=[estimator]).write().overwrite().save(f"{tmp_path}/{name}")
+        again = PipelineModel.load(f"{tmp_path}/{name}-model")
+        fitted = Pipeline.load(f"{tmp_path}/{name}").fit(df)
+        for model in (again, fitted):
+            assert sorted(tuple(r) for r in model.transform(df).select("hash", kept).collect()) == rows
+        assert {p for _, p in rows} == {0, 1}, name
+    with pytest.raises(ValueError, match="power"):
+        heuristics.power_risk({})
