@@ -42,7 +42,7 @@ ALGORITHMS = {
     "bnb": lambda d, c: NaiveBayes(modelType="bernoulli"),
     "mnb": lambda d, c: NaiveBayes(modelType="multinomial"),
     "lr": lambda d, c: LogisticRegression(maxIter=50),
-    "lsvc": lambda d, c: LinearSVC(maxIter=50, regParam=0.1) if c < 3 else OneVsRest(classifier=LinearSVC(maxIter=50, regParam=0.1)),
+    "lsvc": lambda d, c: LinearSVC(maxIter=50, regParam=0.1) if c < 3 else OneVsRest(classifier=LinearSVC(maxIter=50, regParam=0.1), parallelism=c),
     "mlp": lambda d, c: MultilayerPerceptronClassifier(layers=[d, 10, 2, c], seed=42, maxIter=50),
     "j48": lambda d, c: DecisionTreeClassifier(impurity="entropy", minInstancesPerNode=2, seed=42),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -22,51 +23,63 @@ def placed(df: DataFrame, column: str, cuts: list[float], name: str) -> DataFram
 
 
 def exact(df: DataFrame, columns: list[str], shares: list[float], interpolate: bool = True) -> dict[str, list[float | None]]:
-    """For each column its quantiles at the shares, by linear interpolation between neighbours (or the lower neighbour); None for a column without values."""
-    return {c: _exact(df.select(F.col(c).cast("double").alias("x")).where("x is not null"), shares, interpolate) for c in columns}
+    """For each column its quantiles at the shares, by linear interpolation between neighbours (or the lower neighbour); None for a column without values.
 
-
-def _exact(df: DataFrame, shares: list[float], interpolate: bool) -> list[float | None]:
-    """A sketch gives cuts about the values at the ranks wanted, counts by segment between the cuts say which segments hold the ranks, and those
-    few are counted value by value. A segment that holds many values is cut again."""
+    Three passes for all columns together: sketches give cuts about the values at the ranks wanted; counts by segment between the cuts say which segments hold the ranks; those
+    few are counted value by value. Segments that hold many values are cut again, which takes two passes more.
+    """
     step = 1 / ACCURACY
-    first = df.agg(F.count("*").alias("n"), F.percentile_approx("x", sorted({min(1.0, max(0.0, p + k * step)) for p in shares for k in (-1.5, 1.5)}), ACCURACY).alias("q")).first()
-    n = first["n"]
-    if not n:
-        return [None] * len(shares)
-    ranks = sorted({r for p in shares for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
-    cuts = _cut_at(first["q"])
+    points = sorted({min(1.0, max(0.0, p + k * step)) for p in shares for k in (-1.5, 1.5)})
+    base = df.select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)))
+    first = base.agg(*(f for i in range(len(columns)) for f in (F.count(f"x{i}").alias(f"n{i}"), F.percentile_approx(f"x{i}", points, ACCURACY).alias(f"q{i}")))).first()
+    count = [first[f"n{i}"] for i in range(len(columns))]
+    live = [i for i, n in enumerate(count) if n]
+    if not live:
+        return {c: [None] * len(shares) for c in columns}
+    ranks = {i: sorted({r for p in shares for r in (math.floor(p * (count[i] - 1)), math.ceil(p * (count[i] - 1)))}) for i in live}
+    cuts = {i: _cut_at(first[f"q{i}"]) for i in live}
     while True:
-        marked = placed(df, "x", cuts, "segment")
-        told = sorted(marked.groupBy("segment").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect())
-        ends = np.cumsum([r["n"] for r in told])
-        held = {int(np.searchsorted(ends, r, "right")) for r in ranks}
-        wide = [told[i] for i in sorted(held) if told[i]["n"] > FEW and told[i]["low"] < told[i]["high"]]
+        marked = base
+        for i in live:
+            marked = placed(marked, f"x{i}", cuts[i], f"s{i}")
+        cells = F.array(*(F.struct(F.lit(i).alias("c"), F.col(f"s{i}").alias("segment"), F.col(f"x{i}").alias("x")) for i in live))
+        long = marked.select(F.explode(cells).alias("r")).select("r.*").where("x is not null")
+        told: dict[int, list] = {i: [] for i in live}
+        for r in sorted(long.groupBy("c", "segment").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()):
+            told[r["c"]].append(r)
+        ends = {i: np.cumsum([r["n"] for r in told[i]]) for i in live}
+        held = {i: {int(np.searchsorted(ends[i], r, "right")) for r in ranks[i]} for i in live}
+        wide = [(i, told[i][k]) for i in live for k in sorted(held[i]) if told[i][k]["n"] > FEW and told[i][k]["low"] < told[i][k]["high"]]
         if not wide:
             break
-        sketches = [F.percentile_approx(F.when(F.col("segment") == r["segment"], F.col("x")), [i / 256 for i in range(1, 256)], ACCURACY) for r in wide]
-        cuts = sorted({*cuts, *(c for found in marked.agg(*sketches).first() for c in _cut_at(found))})
-    single = {i: told[i]["low"] for i in held if told[i]["low"] == told[i]["high"]}
-    wanted = [told[i]["segment"] for i in held if i not in single]
-    counts = sorted(marked.where(F.col("segment").isin(wanted)).groupBy("segment", "x").count().collect()) if wanted else []
-    value = {}
-    for r in ranks:
-        i = int(np.searchsorted(ends, r, "right"))
-        if i in single:
-            value[r] = single[i]
-            continue
-        at = int(ends[i] - told[i]["n"])
-        for segment, x, m in counts:
-            if segment == told[i]["segment"]:
-                at += m
-                if r < at:
-                    value[r] = x
-                    break
-    out: list[float | None] = []
-    for p in shares:
-        place = p * (n - 1)
-        low, high = value[math.floor(place)], value[math.ceil(place)]
-        out.append(low if low == high or not interpolate else (math.ceil(place) - place) * low + (place - math.floor(place)) * high)
+        sketches = [F.percentile_approx(F.when(F.col(f"s{i}") == r["segment"], F.col(f"x{i}")), [k / 256 for k in range(1, 256)], ACCURACY) for i, r in wide]
+        for (i, _), found in zip(wide, marked.agg(*sketches).first(), strict=True):
+            cuts[i] = sorted({*cuts[i], *_cut_at(found)})
+    wanted = {i: [told[i][k]["segment"] for k in held[i] if told[i][k]["low"] < told[i][k]["high"]] for i in live}
+    some = [(F.col("c") == i) & F.col("segment").isin(segments) for i, segments in wanted.items() if segments]
+    counts: dict[tuple[int, int], list] = {}
+    if some:
+        for r in sorted(long.where(reduce(lambda a, b: a | b, some)).groupBy("c", "segment", "x").count().collect()):  # FEW values of each segment at most
+            counts.setdefault((r["c"], r["segment"]), []).append((r["x"], r["count"]))
+
+    def value(i: int, rank: int) -> float:
+        k = int(np.searchsorted(ends[i], rank, "right"))
+        one = told[i][k]
+        if one["low"] == one["high"]:
+            return one["low"]
+        listed = counts[i, one["segment"]]
+        return listed[int(np.searchsorted(ends[i][k] - one["n"] + np.cumsum([m for _, m in listed]), rank, "right"))][0]
+
+    out: dict[str, list[float | None]] = {}
+    for i, c in enumerate(columns):
+        out[c] = []
+        for p in shares:
+            if not count[i]:
+                out[c].append(None)
+                continue
+            at = p * (count[i] - 1)
+            low, high = value(i, math.floor(at)), value(i, math.ceil(at))
+            out[c].append(low if low == high or not interpolate else (math.ceil(at) - at) * low + (at - math.floor(at)) * high)
     return out
 
 
