@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
+from itertools import count
 from functools import reduce
 
 import numpy as np
@@ -221,43 +222,59 @@ PATH = r"/(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+"
 
 
 def huffman(pairs: list[tuple[int, int]]) -> dict[int, int]:
-    """Code lengths of symbols by their counts; ties go to the smaller symbol."""
-    heap = [(n, s, (s,)) for s, n in sorted(pairs)]
+    """Code lengths of symbols by their counts. pairs: (symbol, count) in the order of first appearance, which breaks ties; what has been joined comes after all symbols, the
+    earlier joined first. A symbol alone has length 1."""
+    heap = [(n, place, (s,)) for place, (s, n) in enumerate(pairs)]
     depth = dict.fromkeys((s for s, _ in pairs), int(len(pairs) == 1))
     heapq.heapify(heap)
-    while len(heap) > 1:
+    for place in count(len(pairs)):
+        if len(heap) < 2:
+            return depth
         a, b = heapq.heappop(heap), heapq.heappop(heap)
         for s in (*a[2], *b[2]):
             depth[s] += 1
-        heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), (*a[2], *b[2])))
+        heapq.heappush(heap, (a[0] + b[0], place, (*a[2], *b[2])))
     return depth
 
 
+def by_appearance(data: np.ndarray) -> list[tuple[int, int]]:
+    """(byte, count) of the bytes, in the order in which they first stand in data."""
+    first = np.full(256, len(data), np.int64)
+    first[data[::-1]] = np.arange(len(data) - 1, -1, -1)  # the last one written is the first place
+    found = np.bincount(data, minlength=256)
+    return [(int(b), int(found[b])) for b in np.argsort(first, kind="stable") if found[b]]
+
+
 def window_sums(data: np.ndarray, window: int = 32, skip: int = 32) -> np.ndarray:
     """Sums of the Huffman code lengths of bytes over whole windows, one from every skip-th byte on; one sum where there is no whole window."""
-    symbol, count = tallied(data.astype(np.int64), 1)
     bits = np.zeros(256, np.int64)
-    for s, depth in huffman(list(zip(symbol.tolist(), count.tolist(), strict=True))).items():
+    for s, depth in huffman(by_appearance(data)).items():
         bits[s] = depth
     run = np.r_[0, np.cumsum(bits[data])]
     start = np.arange(0, len(data) - window + 1, skip)
     return run[start + window] - run[start] if len(start) else run[-1:]
 
 
+def _trunk(score: np.ndarray, keep: int) -> np.ndarray:
+    """The first and the last values, halves of keep; an odd half goes to the nearest even number."""
+    head, tail = round(keep / 2 + 0.5), round(keep / 2)
+    return np.r_[np.arange(min(head, len(score))), np.arange(max(0, len(score) - tail) if tail else 0, len(score))]
+
+
 #: How a profile is pruned to `keep` values: which places of the scaled sums stay, in which order.
 PRUNINGS: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {
     "first": lambda score, keep: np.arange(min(keep, len(score))),
     "smallest": lambda score, keep: np.argsort(score, kind="stable")[:keep],
-    "ordered_smallest": lambda score, keep: np.sort(np.argsort(score, kind="stable")[:keep]),
-    "trunk": lambda score, keep: np.r_[np.arange(min(keep // 2 + 1, len(score))), np.arange(max(0, len(score) - keep // 2), len(score))],
+    "ordered_smallest": lambda score, keep: np.lexsort((np.arange(len(score)), score))[:keep],
+    "trunk": _trunk,
 }
 
 
 def randomness_profile(df: DataFrame, window: int = 32, skip: int = 32, keep: int = 50, pruning: str = "trunk", key: str = "doc_id") -> DataFrame:
     """(key, place, window, score): window sums of Huffman code lengths, scaled by the largest, pruned to `keep`; place counts what stays from 0.
 
-    first: the first windows. trunk: the first keep / 2 + 1 and the last keep / 2, which overlap in a short profile. smallest: the smallest in ascending
-    order. ordered_smallest: the same in the order of the windows.
+    first: the first windows. trunk: about keep / 2 of the first and of the last, which overlap in a short profile. smallest: the smallest values in ascending
+    order. ordered_smallest: the same, those of one value in the order of the windows.
     """
     prune = PRUNINGS[pruning]
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylake.operators import quantiles
+from assaylake.sources.scratch import cut
 
 
 def confusion_table(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -85,42 +86,61 @@ def clustering_label_metrics(df: DataFrame, truth: str, cluster: str) -> DataFra
     return row.withColumn("v", _ratio(2 * F.col("homogeneity") * F.col("completeness"), F.col("homogeneity") + F.col("completeness"))).select(*(F.round(x, 6).alias(x) for x in ("rand", "homogeneity", "completeness", "v")))
 
 
-def expected_information(rows: list[int], columns: list[int]) -> float:
-    """Expected mutual information, in nats, of two partitions with these class sizes when members are dealt out by chance.
+def overlap_information(a: int, b: int, n: int) -> float:
+    """What two classes of a and b of n members, dealt out by chance, add to the expected mutual information in nats.
 
-    For each pair of classes the sum goes over the possible overlaps, by their hypergeometric chances; overlaps of more than 12 deviations
+    The sum goes over the possible overlaps, by their hypergeometric chances; overlaps of more than 12 deviations
     from the mean add nothing that a double holds, so a pair costs no more than some deviations of its overlap.
     """
-    n, out = sum(rows), 0.0
-    log_factorial = lambda x: np.array([math.lgamma(v + 1) for v in np.atleast_1d(x)])
-    for a in rows:
-        for b in columns:
-            mean = a * b / n
-            wide = 12 * math.sqrt(mean * (1 - a / n) * (1 - b / n) * n / max(1, n - 1)) + 20
-            k = np.arange(max(1, a + b - n, int(mean - wide)), min(a, b, int(mean + wide) + 1) + 1, dtype=float)
-            if not len(k):
-                continue
-            chance = math.lgamma(a + 1) + math.lgamma(b + 1) + math.lgamma(n - a + 1) + math.lgamma(n - b + 1) - math.lgamma(n + 1) - log_factorial(k) - log_factorial(a - k) - log_factorial(b - k) - log_factorial(n - a - b + k)
-            out += float(np.sum(k / n * np.log(n * k / (a * b)) * np.exp(chance)))
-    return out
+    log_factorial = lambda x: np.array([math.lgamma(v + 1) for v in x])
+    mean = a * b / n
+    wide = 12 * math.sqrt(mean * (1 - a / n) * (1 - b / n) * n / max(1, n - 1)) + 20
+    k = np.arange(max(1, a + b - n, int(mean - wide)), min(a, b, int(mean + wide) + 1) + 1, dtype=float)
+    if not len(k):
+        return 0.0
+    chance = math.lgamma(a + 1) + math.lgamma(b + 1) + math.lgamma(n - a + 1) + math.lgamma(n - b + 1) - math.lgamma(n + 1) - log_factorial(k) - log_factorial(a - k) - log_factorial(b - k) - log_factorial(n - a - b + k)
+    return float(np.sum(k / n * np.log(n * k / (a * b)) * np.exp(chance)))
+
+
+def expected_information(rows: list[int], columns: list[int]) -> float:
+    """Expected mutual information, in nats, of two partitions with these class sizes."""
+    return sum(overlap_information(a, b, sum(rows)) for a in rows for b in columns)
+
+
+def expected_by_chance(cells: DataFrame, n: int) -> float:
+    """Expected mutual information, in nats, of two partitions of n members (cells: t, p, n) when members are dealt out by chance.
+
+    Pairs of classes of equal sizes add the same, so pairs of sizes are summed, each counted as often as it comes: a partition has less than sqrt(2 n) different sizes.
+    """
+
+    def sizes(side: str, name: str) -> DataFrame:
+        return cells.groupBy(side).agg(F.sum("n").alias(name)).groupBy(name).agg(F.count("*").alias(f"k{name}"))
+
+    def terms(batches):
+        for batch in batches:
+            yield pd.DataFrame({"x": [times * overlap_information(a, b, n) for a, b, times in zip(batch["a"].tolist(), batch["b"].tolist(), batch["times"].tolist(), strict=True)]}, dtype=float)
+
+    met = sizes("t", "a").join(sizes("p", "b"), F.lit(True)).select("a", "b", (F.col("ka") * F.col("kb")).alias("times"))
+    return met.repartition("a", "b").mapInPandas(terms, "x double").agg(F.sum("x")).first()[0] or 0.0
 
 
 def adjusted_information(df: DataFrame, truth: str, cluster: str) -> DataFrame:
     """One row: mutual information in nats, what chance would give, and the information adjusted for it (1: equal partitions, about 0: chance).
 
-    The driver sees the sizes of classes and of clusters and of their overlaps, a row for each.
+    Sizes and overlaps are summed by Spark; the driver sees a few sums.
     """
-    c = confusion_table(df, truth, cluster).collect()
-    t, p = Counter(), Counter()
-    for r in c:
-        t[r["t"]] += r["n"]
-        p[r["p"]] += r["n"]
-    n = sum(t.values())
-    spread = lambda sizes: -sum(m / n * math.log(m / n) for m in sizes.values())
-    information = sum(r["n"] / n * math.log(n * r["n"] / (t[r["t"]] * p[r["p"]])) for r in c) if n else 0.0
-    expected = expected_information(list(t.values()), list(p.values())) if n else 0.0
-    room = (spread(t) + spread(p)) / 2 - expected if n else 0.0
-    adjusted = 1.0 if len(t) == len(p) <= 1 or len(t) == len(p) == n else (information - expected) / (room if abs(room) > 1e-15 else math.copysign(1e-15, room))
+    cells = cut(confusion_table(df, truth, cluster))
+    n = cells.agg(F.sum("n")).first()[0]
+    if not n:
+        return df.sparkSession.createDataFrame([(0.0, 0.0, 1.0)], "information double, expected double, adjusted double")
+    sides = {side: cells.groupBy(side).agg(F.sum("n").alias(f"n_{side}")) for side in ("t", "p")}
+    spread = lambda side: sides[side].agg(F.sum(-F.col(f"n_{side}") / n * F.log(F.col(f"n_{side}") / n)).alias("h"), F.count("*").alias("k")).first()
+    (h_t, k_t), (h_p, k_p) = spread("t"), spread("p")
+    met = cells.join(sides["t"], cells["t"].eqNullSafe(sides["t"]["t"])).join(sides["p"], cells["p"].eqNullSafe(sides["p"]["p"]))
+    information = met.agg(F.sum(F.col("n") / n * F.log(F.lit(float(n)) * F.col("n") / (F.col("n_t") * F.col("n_p"))))).first()[0]
+    expected = expected_by_chance(cells, n)
+    room = (h_t + h_p) / 2 - expected
+    adjusted = 1.0 if k_t == k_p <= 1 or k_t == k_p == n else (information - expected) / (room if abs(room) > 1e-15 else math.copysign(1e-15, room))
     return df.sparkSession.createDataFrame([(round(information, 6), round(expected, 6), round(adjusted, 6))], "information double, expected double, adjusted double")
 
 

@@ -453,13 +453,35 @@ def nataraj_bigram(spark, d):
     return LinearSVC(labelCol="y", maxIter=20, regParam=0.01).fit(vec).transform(vec).select("doc_id", F.col("prediction").cast("int").alias("prediction"))
 
 
-@register()
-def sun_profile(spark, d):
-    from pyspark.ml.classification import NaiveBayes
-    from pyspark.ml.functions import array_to_vector
+def _profiles(spark, d):
+    """(doc_id, y, p0 to p49): the values of the randomness profile of each labelled text."""
+    rows = content.profile_vector(blobs(spark, d)).join(_labelled(spark, d), "doc_id")
+    return written(rows.select("doc_id", "y", *(F.col("profile")[i].alias(f"p{i}") for i in range(50))), "profiles")
+
+
+_PLACES = [f"p{i}" for i in range(50)]
+
 
-    vec = written(content.profile_vector(blobs(spark, d)).join(_labelled(spark, d), "doc_id").select("doc_id", "y", array_to_vector("profile").alias("features")), "profiles")
-    return NaiveBayes(labelCol="y", modelType="gaussian").fit(vec).transform(vec).select("doc_id", F.col("prediction").cast("int").alias("prediction"))
+def _on_profile(name: str, algorithm: str):
+    def query(spark, d):
+        rows = _profiles(spark, d)
+        return models.predict(models.train(rows, algorithm, _PLACES, "y"), rows).select("doc_id", "prediction")
+
+    query.__name__ = name
+    return register()(query)
+
+
+sun_profile = _on_profile("sun_profile", "nb")
+sun_profile_margin = _on_profile("sun_profile_margin", "lsvc")
+sun_profile_tree = _on_profile("sun_profile_tree", "j48")
+
+
+@register()
+def sun_profile_nearest(spark, d):
+    """The class of the nearest other profile."""
+    rows = _profiles(spark, d)
+    near = metric.knn_graph(rows, "doc_id", _PLACES, 1).select(F.col("src").alias("doc_id"), "dst")
+    return near.join(rows.select(F.col("doc_id").alias("dst"), F.col("y").alias("prediction")), "dst").select("doc_id", "prediction")
 
 
 # ---------------------------------------------------------------- metrics
@@ -627,7 +649,7 @@ def fuzz_features(spark, d):
 
 @register()
 def bootstrap_ci(spark, d):
-    return explain.bootstrap(features(spark, d), risk, X)
+    return explain.bootstrap(features(spark, d), risk, X, runs=50)
 
 
 @register(sql("WITH m AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({dl} AS DOUBLE) AS delta, round(greatest(abs(avg({_changed(**{c: _moved(c, -1, dl)})} - {_BASE})), abs(avg({_changed(**{c: _moved(c, 1, dl)})} - {_BASE}))), 6) AS impact FROM features" for c in X for dl in (0.1, 0.25, 0.5, 1.0)) + ") SELECT *, CAST(row_number() OVER (PARTITION BY delta ORDER BY impact DESC, feature) AS INTEGER) AS rank FROM m", "features"))

@@ -42,6 +42,59 @@ def test_feature_levels_leave_cycles_out():
 
 def test_huffman_lengths():
     assert content.huffman([(1, 8), (2, 1), (3, 1)]) == {1: 1, 2: 2, 3: 2}
+    # Ties by appearance, joined ones last: 1 and 2 are joined (2), then 3 and the next single one, not the pair.
+    assert content.huffman([(9, 1), (4, 1), (7, 1), (1, 2)]) == {9: 2, 4: 2, 7: 2, 1: 2}
+    assert content.huffman([(5, 3)]) == {5: 1} and content.huffman([]) == {}
+
+
+def walked_profile(data, window, skip, keep, pruning):
+    """The profile by a walk over a tree of nodes, written apart from the library's."""
+    order = []
+    for b in data:
+        if b not in order:
+            order.append(b)
+    nodes = [[data.count(b), place, b] for place, b in enumerate(order)]
+    depth = {}
+    if len(nodes) == 1:
+        depth[order[0]] = 1
+    else:
+        born = len(nodes)
+        while len(nodes) > 1:
+            nodes.sort(key=lambda n: (n[0], n[1]))
+            one, two = nodes[:2]
+            nodes = [*nodes[2:], [one[0] + two[0], born, (one, two)]]
+            born += 1
+
+        def walk(node, level):
+            if isinstance(node[2], tuple):
+                for side in node[2]:
+                    walk(side, level + 1)
+            else:
+                depth[node[2]] = level
+
+        walk(nodes[0], 0)
+    sums = [sum(depth[b] for b in data[i : i + window]) for i in range(0, len(data) - window + 1, skip)] or [sum(depth[b] for b in data)]
+    profile = [x / max(sums) for x in sums]
+    if pruning == "first":
+        return profile[:keep]
+    if pruning in ("smallest", "ordered_smallest"):
+        return sorted(profile)[:keep]
+    return profile[: round(keep / 2 + 0.5)] + profile[-round(keep / 2) :]
+
+
+def test_profiles_equal_a_walk(spark, sf):
+    texts = [r["text"].encode() for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(40).collect() if r["text"]]
+    blobs = [*texts, b"a", b"zzzz", b"abcabd" * 9, bytes(range(256)) * 2, bytes(range(255, -1, -1)) * 2, b"\x00\xff" * 40]
+    df = spark.createDataFrame(list(enumerate(blobs)), "doc_id long, content binary")
+    for pruning, keep in (("trunk", 50), ("trunk", 7), ("trunk", 48), ("first", 50), ("smallest", 9), ("ordered_smallest", 9)):
+        got = {}
+        for r in content.randomness_profile(df, keep=keep, pruning=pruning).orderBy("doc_id", "place").collect():
+            got.setdefault(r["doc_id"], []).append((r["window"], r["score"]))
+        for i, b in enumerate(blobs):
+            want = walked_profile(b, 32, 32, keep, pruning)
+            assert [s for _, s in got[i]] == [round(x, 6) for x in want]
+            if pruning == "ordered_smallest":
+                assert got[i] == sorted(got[i], key=lambda x: (x[1], x[0]))
 
 
 def test_greedy_keep_follows_the_order(spark):
