@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.operators import patterns
+
+
+#: Aliases from which on an automaton looks for all of them at once.
+MANY = 32
+
 
 def normalise_output(lines: DataFrame, aliases: dict[str, str], column: str = "line") -> DataFrame:
     """(hash, label): the family whose pattern fits most of a sample's lines; ties: the longest where it contains the others, else
-    '?'; no fit: 'unknown'; no lines with text: '-'. aliases maps patterns (lower case, no white space) to families.
+    '?'; no fit: 'unknown'; no lines with text: '-'. aliases maps patterns (lower case, no white space) to families; a few are tried one after
+    another, many at once (see patterns.names()).
     """
     text = F.regexp_replace(F.lower(F.col(column)), r"\s+", "")
-    hits = F.array_compact(F.array(*(F.when(text.rlike(p), family) for p, family in aliases.items())))
+    if len(aliases) > MANY:
+        hits = patterns.names(text, aliases)
+    else:
+        hits = F.array_compact(F.array(*(F.when(text.rlike(p), family) for p, family in aliases.items())))
     found = lines.select("hash", (text != "").alias("some"), F.array_distinct(hits).alias("hits"))
     seen = found.groupBy("hash").agg(F.max("some").alias("some"))
     counts = found.select("hash", F.explode("hits").alias("family")).groupBy("hash", "family").agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ import warnings
 
 from pyspark.sql import functions as F
 
-from assaylake.functions import content
+from assaylake.functions import content, generators
 from assaylake.operators import derive, similarity
 from assaylake.plans.registry import register
 from assaylake.sources import views
@@ -165,6 +165,19 @@ def opcode_ngram_histogram(spark, d):
     return content.sequence_grams(ordered.select("hash", F.col("e.event_type").alias("ops")), "ops", 2, "hash")
 
 
+@register(sql("SELECT doc_id, CAST(i AS INTEGER) AS place, substr(h, CAST(2 * (16 + i * 32) + 1 AS BIGINT), 64) AS fragment FROM blobs, range(4) r(i) WHERE h IS NOT NULL", "blobs"))
+def fragments_from_sql(spark, d):
+    generators.register(spark)
+    return spark.sql("SELECT * FROM fragments(TABLE(SELECT doc_id, content FROM {blobs}), 4, 32, 16)", blobs=blobs(spark, d))
+
+
+@register(f"WITH {_OPS}, g AS (SELECT hash, array_to_string(ops[i:i + 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(ops))) AS i FROM ops)) SELECT hash, gram, count(*) AS n FROM g GROUP BY 1, 2")
+def opcode_grams_from_sql(spark, d):
+    generators.register(spark)
+    events = table(spark, d, "events").select(F.col("user_id").alias("hash"), "event_id", F.col("event_type").alias("token"))
+    return spark.sql("SELECT hash, gram, count(*) AS n FROM token_grams(TABLE(SELECT * FROM {events}) PARTITION BY hash ORDER BY (event_id), 2) GROUP BY hash, gram", events=events)
+
+
 @register("WITH t AS (SELECT p_size AS hash, unnest(string_split_regex(p_name || ' ' || p_type, '[,+*\\[\\]\\- ]+')) AS t FROM part) SELECT hash, count(*) FILTER (t IN ('small', 'red', 'blue', 'hot')) AS adjectives, count(*) FILTER (t IN ('ring', 'widget', 'bolt', 'gear')) AS nouns FROM t GROUP BY 1")
 def token_group_counts(spark, d):
     rows = table(spark, d, "part").select(F.col("p_size").alias("hash"), F.concat_ws(" ", "p_name", "p_type").alias("operands"))

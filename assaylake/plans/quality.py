@@ -211,6 +211,23 @@ def normalize_output(spark, d):
     return voting.normalise_output(lines, ALIASES)
 
 
+#: As many aliases as an automaton takes: every brand, and finishes of every metal.
+MANY = {f"brand#{i}(?![0-9])": f"brand{i}" for i in range(1, 100)} | {f"(anodized|burnished|plated|polished|brushed){m}": m for m in ("brass", "copper", "nickel", "steel", "tin")} | {"small": "small", "^brand#5": "fifth"}
+_MANY = ", ".join(f"('{p.replace('(?![0-9])', '([^0-9]|$)')}', '{f}')" for p, f in MANY.items())
+
+
+@register(f"""
+    WITH a(p, f) AS (VALUES {_MANY}),
+    lines AS (SELECT p_size AS hash, regexp_replace(lower(p_brand || ' ' || p_type), '\\s+', '', 'g') AS line, p_partkey FROM part),
+    c AS (SELECT hash, f, count(*) AS n FROM lines JOIN a ON regexp_matches(line, p) GROUP BY 1, 2), t AS (SELECT hash, f FROM (SELECT *, max(n) OVER (PARTITION BY hash) AS m FROM c) WHERE n = m),
+    g AS (SELECT hash, (list(f ORDER BY length(f) DESC, f))[1] AS long, list(f) AS fs FROM t GROUP BY 1)
+    SELECT h.hash, coalesce(CASE WHEN long IS NULL THEN NULL WHEN len(list_filter(fs, lambda x: NOT contains(long, x))) = 0 THEN long ELSE '?' END, 'unknown') AS label
+    FROM (SELECT DISTINCT hash FROM lines) h LEFT JOIN g USING (hash)""")
+def normalize_output_many(spark, d):
+    lines = table(spark, d, "part").select(F.col("p_size").alias("hash"), F.concat_ws(" ", "p_brand", "p_type").alias("line"))
+    return voting.normalise_output(lines, MANY)
+
+
 @register("SELECT DISTINCT p_partkey AS hash, unnest([p_type, p_brand]) AS detection, regexp_matches(p_type, '^(SMALL|PROMO)') AS weak FROM part")
 def extract_detections(spark, d):
     lines = table(spark, d, "part").select(F.col("p_partkey").alias("hash"), F.concat("p_type", F.lit(" ["), "p_type", F.lit(" or "), "p_brand", F.lit("]")).alias("line"))
