@@ -210,15 +210,16 @@ def _elf_sql() -> str:
     return f"SELECT doc_id, {' + '.join(byte(i) for i in range(1, 17))} AS e_ident, {byte(5)} AS ei_class, {byte(6)} AS ei_data, {byte(7)} AS ei_version, {', '.join(out)} FROM headers"
 
 
-_HEADERS = """headers AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '7F454C4602' || '01' || substr(h, 13) WHEN 1 THEN '7F454C4601' || '01' || substr(h, 13) WHEN 2 THEN '7F454C4602' || '02' || substr(h, 13) ELSE '7F454C4601' || '02' || substr(h, 13) END AS h FROM blobs WHERE n >= 64)"""
+_HEADERS = """headers AS (SELECT doc_id, rpad(CASE doc_id % 4 WHEN 0 THEN '7F454C4602' || '01' || substr(h, 13) WHEN 1 THEN '7F454C4601' || '01' || substr(h, 13) WHEN 2 THEN '7F454C4602' || '02' || substr(h, 13) ELSE '7F454C4601' || '02' || substr(h, 13) END, CAST(greatest(128, 2 * n) AS INTEGER), '0') AS h FROM blobs)"""
 
 
 @register(sql(f"WITH {_HEADERS} {_elf_sql()}", "blobs"))
 def elf_header_fields(spark, d):
-    """The texts' bytes behind an ELF ident of either class and byte order, by doc_id."""
+    """The texts' bytes behind an ELF ident of either class and byte order, by doc_id; a content shorter than a header goes on with zeros, a null one has null fields."""
     ident = F.when(F.col("doc_id") % 4 == 0, "7F454C460201").when(F.col("doc_id") % 4 == 1, "7F454C460101").when(F.col("doc_id") % 4 == 2, "7F454C460202").otherwise("7F454C460102")
-    rows = blobs(spark, d).where("octet_length(content) >= 64")
-    return rows.select("doc_id", F.concat(F.unhex(ident), F.substring("content", F.lit(7), F.octet_length("content"))).alias("content")).select("doc_id", *content.elf_header(F.col("content")))
+    behind = F.concat(F.unhex(ident), F.substring("content", F.lit(7), F.octet_length("content")))
+    whole = F.when(F.octet_length(behind) < 64, F.rpad(behind, 64, F.lit(b"\0"))).otherwise(behind)
+    return blobs(spark, d).select("doc_id", whole.alias("content")).select("doc_id", *content.elf_header(F.col("content")))
 
 
 @register("SELECT vec_id, CAST(CASE WHEN label % 3 = 0 THEN NULL ELSE embedding[1] END AS FLOAT) AS v0, embedding[64] AS v63 FROM embeddings")

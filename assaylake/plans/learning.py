@@ -12,8 +12,8 @@ from assaylake.operators import estimators, explain, heuristics, metric, metrics
 from assaylake.plans.content import per_sample
 from assaylake.plans.quality import gaps
 from assaylake.plans.registry import register
-from assaylake.sources import views
-from assaylake.sources.scratch import written
+from assaylake.sources import io, views
+from assaylake.sources.scratch import new_folder, written
 from assaylake.sources.views import FEATURES, blobs, features, preds, samples, sql, table
 from assaylake.streaming import updates
 
@@ -329,13 +329,12 @@ def predict_table(spark, d):
 
 @register()
 def performance_log(spark, d):
-    rows = preprocess.stratified_split(features(spark, d))
-    out = None
+    """Each model's scores are appended to a table as they come."""
+    rows, folder = preprocess.stratified_split(features(spark, d)), new_folder(spark, "performance")
     for name in ("dt", "lr"):
         scored = models.predict(models.train(rows.where("train"), name, COLUMNS, "y"), rows.where("not train"))
-        one = metrics.binary_metrics(scored, "y", "prediction").withColumn("model", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+        log = io.append_log(metrics.binary_metrics(scored, "y", "prediction").withColumn("model", F.lit(name)), folder)
+    return log
 
 
 @register()

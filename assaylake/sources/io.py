@@ -54,6 +54,12 @@ def read_samples(spark: SparkSession, path: str, schema: str, sep: str = ";") ->
     return spark.read.schema(schema).option("sep", sep).option("header", True).option("dateFormat", "yyyy-MM-dd").csv(path)
 
 
+def append_log(rows: DataFrame, folder: str) -> DataFrame:
+    """Appends rows to the table in folder, and the table as it then is. Columns that earlier rows, or these, do not have are null in them."""
+    rows.coalesce(1).write.mode("append").parquet(folder)
+    return rows.sparkSession.read.option("mergeSchema", True).parquet(folder)
+
+
 def split_label(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(data without label, hash and label)."""
     return df.drop("label"), df.select("hash", "label")

@@ -51,3 +51,11 @@ def test_scan_hashes_files_that_no_row_holds(spark, tmp_path, monkeypatch):
     assert len(listed) == 2 and {r["hash"] for r in listed} == {None}
     monkeypatch.setattr(io, "LARGEST", 2)
     assert {r["hash"] for r in io.scan_files(spark, str(tmp_path), glob="small*").collect()} == {hashlib.sha256(b"small").hexdigest()}
+
+
+def test_a_log_grows_and_takes_new_columns(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    assert io.append_log(spark.createDataFrame([("a", 1.0)], "model string, f double"), folder).count() == 1
+    io.append_log(spark.createDataFrame([("b", 2)], "model string, n int"), folder)
+    got = io.append_log(spark.createDataFrame([], "model string, f double"), folder)
+    assert sorted(map(tuple, got.select("model", "f", "n").collect())) == [("a", 1.0, None), ("b", None, 2)]
