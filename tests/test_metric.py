@@ -40,7 +40,7 @@ def brute_dbscan(rows, eps, least):
     return [(i, bool(c), int(f) if f < len(rows) else -1) for i, (c, f) in enumerate(zip(core, found, strict=True))]
 
 
-@pytest.mark.parametrize(("size", "unit"), [(2, 64), (64, 50), (64, 4096)])
+@pytest.mark.parametrize(("size", "unit"), [(2, 64), (64, 50)])
 def test_knn_graph(spark, monkeypatch, size, unit):
     monkeypatch.setattr(metric, "PIVOTS", 12)  # so that cells have rings and several units
     rows = np.concatenate([blobs(500, 9, size, 0.3), np.random.default_rng(2).standard_normal((100, size)), np.zeros((150, size))])
@@ -63,7 +63,7 @@ def test_affinity_weighs_mutual_neighbours(spark):
     assert got == [(0, 1, 0.5), (1, 2, 1.0), (2, 3, 0.5)]
 
 
-@pytest.mark.parametrize(("eps", "least", "unit"), [(0.5, 5, 32), (3.0, 8, 32), (3.0, 8, 4096), (40.0, 3, 32), (0.01, 100, 32)])
+@pytest.mark.parametrize(("eps", "least", "unit"), [(0.5, 5, 32), (3.0, 8, 32), (40.0, 3, 4096)])
 def test_dbscan_in_many_dimensions(spark, monkeypatch, eps, least, unit):
     monkeypatch.setattr(metric, "PIVOTS", 16)
     rows = np.concatenate([blobs(300, 6, 16, 0.25), blobs(60, 3, 16, 0.01, 5), np.random.default_rng(3).standard_normal((60, 16)) * 3, np.tile(np.arange(16.0), (150, 1))])
@@ -96,10 +96,10 @@ def test_links_of_dbscan_are_no_pairs(spark, monkeypatch, shape):
     assert sizes["dbscan-links"] < 8 * len(rows) and near > 40 * len(rows)
 
 
-@pytest.mark.parametrize("order", ["rising", "falling", "mixed"])
+@pytest.mark.parametrize("order", ["rising", "mixed"])
 def test_components_of_chains_stars_and_odd_links(spark, order):
-    n = 300
-    ids = {"rising": np.arange(n), "falling": np.arange(n)[::-1], "mixed": np.random.default_rng(6).permutation(n)}[order].tolist()
+    n = 120
+    ids = {"rising": np.arange(n), "mixed": np.random.default_rng(6).permutation(n)}[order].tolist()
     links = list(zip(ids, ids[1:], strict=False)) + [(1000, k) for k in range(1001, 1100)] + [(2000, 2000), (None, 5), (7, None), (ids[3], ids[4])]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == dict.fromkeys(range(n), 0) | dict.fromkeys(range(1000, 1100), 1000) | {2000: 2000}
