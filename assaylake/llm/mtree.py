@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from assaylake.llm.shared import blocks_for, written
 from assaylake.llm.vectors import Groups, deal, matrix, packed, sound
 
-#: Rows in a shard, queries in a block, entries of an inner page and of a leaf.
-SHARD, QUERIES, PAGE, LEAF = 8192, 4096, 16, 512
+#: Rows in a shard, queries in a block, entries of an inner page and of a leaf, blocks of queries that share one sending of a tree.
+SHARD, QUERIES, PAGE, LEAF, TOGETHER = 8192, 4096, 16, 512, 16
 #: Components below which a tree is searched, and the sum of products up to which float64 is exact.
 MODEST, EXACT = float(1 << 40), float(1 << 53)
 #: Stands for scores that are too low for a long.
@@ -213,34 +213,35 @@ _ROUTED = "size int, group int, block int, shards int, blob binary"
 
 
 def _searched(k: int, second: bool):
-    def search(pair: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"query": [], "query_id": [], "vec_id": [], "score": []}
-        blobs = {kind: pickle.loads(blob) for kind, blob in zip(pair["kind"], pair["blob"], strict=True)}
-        shard = int(pair["shard"].iloc[0])
-        if len(blobs) == 2:
-            tree, asked = blobs["tree"]["tree"], blobs["queries"]
-            for n in np.flatnonzero((asked["shard"] == shard) != second):
-                own = int(asked["ids"][n])
-                for score, vec_id in tree.search(asked["rows"][n], own, k, float(asked["floor"][n]))[0]:
-                    if score >= 1 << 63:
-                        raise OverflowError(f"the score of {own} and {vec_id} is beyond a long: {score}")
-                    score = max(score, LEAST)  # an error only where no better ones are found
-                    for name, value in zip(out, (int(asked["n"][n]), own, vec_id, score), strict=True):
-                        out[name].append(value)
+    def search(unit: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {"block": [], "query": [], "query_id": [], "vec_id": [], "score": []}
+        shard, is_tree = int(unit["shard"].iloc[0]), unit["kind"] == "tree"
+        if is_tree.any():  # a shard's number may name no rows
+            tree = pickle.loads(unit["blob"][is_tree].iloc[0])["tree"]
+            for block, blob in unit.loc[~is_tree, ["block", "blob"]].itertuples(index=False):
+                asked = pickle.loads(blob)
+                for n in np.flatnonzero((asked["shard"] == shard) != second):
+                    own = int(asked["ids"][n])
+                    for score, vec_id in tree.search(asked["rows"][n], own, k, float(asked["floor"][n]))[0]:
+                        if score >= 1 << 63:
+                            raise OverflowError(f"the score of {own} and {vec_id} is beyond a long: {score}")
+                        score = max(score, LEAST)  # an error only where no better ones are found
+                        for name, value in zip(out, (int(block), int(asked["n"][n]), own, vec_id, score), strict=True):
+                            out[name].append(value)
         frame = pd.DataFrame(out).astype("int64")
-        frame.insert(0, "block", int(pair["block"].iloc[0]))
-        frame.insert(0, "size", int(pair["size"].iloc[0]))
+        frame.insert(0, "size", int(unit["size"].iloc[0]))
         return frame
 
     return search
 
 
 def _visited(trees: DataFrame, routed: DataFrame, k: int, second: bool) -> DataFrame:
-    """What queries find in the trees of the shards that they are routed to."""
-    shard = ["size", "group", "shard"]
-    visits = routed.select("size", "group", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "block", F.lit("queries").alias("kind"), "blob")
-    met = trees.join(visits.select(*shard, "block"), shard).select(*shard, "block", F.lit("tree").alias("kind"), "blob")
-    return met.unionByName(visits).groupBy(*shard, "block").applyInPandas(_searched(k, second), "size long, block long, query long, query_id long, vec_id long, score long")
+    """What queries find in the trees of the shards that they are routed to. A tree is sent once for TOGETHER blocks of queries that visit it."""
+    unit = ["size", "group", "shard", "part"]
+    visits = routed.select("size", "group", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.floor(F.col("block") / TOGETHER).alias("part"), "block", F.lit("queries").alias("kind"), "blob")
+    units = visits.select(*unit).distinct()
+    met = trees.join(units, ["size", "group", "shard"]).select(*unit, F.lit(None).cast("int").alias("block"), F.lit("tree").alias("kind"), "blob")
+    return met.unionByName(visits).groupBy(*unit).applyInPandas(_searched(k, second), "size long, block long, query long, query_id long, vec_id long, score long")
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD) -> DataFrame:
