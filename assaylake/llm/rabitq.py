@@ -18,7 +18,7 @@ import pickle
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylake.llm.components import connected_components
@@ -26,8 +26,8 @@ from assaylake.llm.shared import written
 from assaylake.llm.simhash import spanning
 from assaylake.llm.vectors import Groups, deal, matrix, packed, sound
 
-#: Vectors in a block; seed of the rotation; float32 rounding that the bounds allow for, and float64 rounding of angles.
-BLOCK, SEED, SLACK, ANGLE = 4096, 4, 1e-4, 1e-6
+#: Vectors in a block; partners of a block that share one sending of it; seed of the rotation; float32 rounding that the bounds allow for, and float64 rounding of angles.
+BLOCK, TOGETHER, SEED, SLACK, ANGLE = 4096, 16, 4, 1e-4, 1e-6
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -111,36 +111,55 @@ def _block(part: pd.DataFrame) -> dict:
     if part["vector"].iloc[0].dtype == np.float32:
         vector = vector.astype(np.float32)  # exact, as the scale is a power of two
     norm = np.sqrt(np.einsum("ij,ij->i", vector.astype(np.float64), vector.astype(np.float64)))
-    bits, factor, turned = coded(vector.astype(np.float64) / norm[:, None], rotation(vector.shape[1]))
-    return {"cid": part["cid"].to_numpy("i8"), "n": part["n"].to_numpy("i8"), "vector": vector, "norm": norm, "bits": bits, "factor": factor, "turned": turned}
+    bits, factor, _ = coded(vector.astype(np.float64) / norm[:, None], rotation(vector.shape[1]))
+    return {"cid": part["cid"].to_numpy("i8"), "n": part["n"].to_numpy("i8"), "vector": vector, "norm": norm, "bits": bits, "factor": factor}
+
+
+def _opened(blob: bytes, turn: np.ndarray | None = None) -> tuple[dict, np.ndarray]:
+    """(a block with its turned vectors, the rotation): they are not sent, as turning a block costs little beside a meeting of two."""
+    block = pickle.loads(blob)
+    turn = rotation(block["vector"].shape[1]) if turn is None else turn
+    return block | {"turned": ((block["vector"].astype(np.float64) / block["norm"][:, None]) @ turn.T).astype(np.float32)}, turn
 
 
 def _meet(threshold: float):
-    def meet(pair: pd.DataFrame) -> pd.DataFrame:
-        same = bool((pair["g"] == pair["h"]).iloc[0] and (pair["p"] == pair["q"]).iloc[0])
-        if len(pair) != 2 - same:
-            return pd.DataFrame({"count": [], "a": [], "b": []}, dtype="int64")
-        blobs = [pickle.loads(b) for b in pair.sort_values(["group", "block"])["blob"]]
-        one, two = blobs[0], blobs[-1]
-        first, second = len(one["cid"]), 0 if same else len(two["cid"])
-        count, label = np.zeros(first + second, np.int64), np.arange(first + second)
-        for i, j in near_pairs(one, two, threshold, same):
-            np.add.at(count, i, two["n"][j])
-            other = j if same else j + first
-            np.add.at(count, other, one["n"][i])
-            spanning(i, other, label)
-        cid = one["cid"] if same else np.concatenate([one["cid"], two["cid"]])
-        counted, joined = np.flatnonzero(count), np.flatnonzero(label != np.arange(len(label)))
-        return pd.DataFrame({"count": np.r_[count[counted], np.zeros(len(joined), np.int64)], "a": np.r_[cid[counted], cid[joined]], "b": np.r_[cid[counted], cid[label[joined]]]})
+    """Of a unit, one block and its partners: link counts and a spanning forest of the links of each pair of blocks."""
+
+    def meet(unit: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"count": [], "a": [], "b": []}, dtype="int64")
+        own = unit["q"].isna()
+        if not own.any():  # a block's number may name no rows
+            return none
+        one, turn = _opened(unit["blob"][own].iloc[0])
+        out = [none]
+        if unit["alone"].any():
+            out.append(_links(one, one, threshold))
+        for blob in unit["blob"][~own]:
+            out.append(_links(one, _opened(blob, turn)[0], threshold))
+        return pd.concat(out, ignore_index=True)
 
     return meet
 
 
+def _links(one: dict, two: dict, threshold: float) -> pd.DataFrame:
+    same = one is two
+    first, second = len(one["cid"]), 0 if same else len(two["cid"])
+    count, label = np.zeros(first + second, np.int64), np.arange(first + second)
+    for i, j in near_pairs(one, two, threshold, same):
+        np.add.at(count, i, two["n"][j])
+        other = j if same else j + first
+        np.add.at(count, other, one["n"][i])
+        spanning(i, other, label)
+    cid = one["cid"] if same else np.concatenate([one["cid"], two["cid"]])
+    counted, joined = np.flatnonzero(count), np.flatnonzero(label != np.arange(len(label)))
+    return pd.DataFrame({"count": np.r_[count[counted], np.zeros(len(joined), np.int64)], "a": np.r_[cid[counted], cid[joined]], "b": np.r_[cid[counted], cid[label[joined]]]})
+
+
 def meeting(groups: Groups, threshold: float) -> list[tuple[int, int, int, int]]:
     """(group, its blocks, another or the same group, its blocks) of the groups that may hold a link, each pair once.
 
     By the triangle inequality on angles: with pivots at an angle t, and angles of at most s and at least r to the pivots, the angle between members
-    is at least t - s1 - s2, r1 - (t + s2) and r2 - (t + s1). There are PIVOTS * RINGS groups at most, and some for vector lengths without pivots.
+    is at least t - s1 - s2, r1 - (t + s2) and r2 - (t + s1). There are GROUPS at most, and some for vector lengths without pivots.
     """
     out, most = [], math.acos(threshold) + ANGLE
     for size in sorted(set(groups.table["size"])):
@@ -175,10 +194,18 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
     blobs = written(packed(dealt, ["group", "block"], _block), "vector-blocks")
     up = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     pairs = spark.createDataFrame(meeting(groups, threshold), "g int, ps int, h int, qs int").select("g", "h", F.explode(up("ps")).alias("p"), "qs").select("g", "h", "p", F.explode(up("qs")).alias("q")).where("g <> h or p <= q")
-    pairs = written(pairs, "vector-pairs")
-    side = lambda g, p, of: of.join(blobs.withColumnsRenamed({"group": "b_group", "block": "b_block"}), (F.col(g) == F.col("b_group")) & (F.col(p) == F.col("b_block"))).select("g", "p", "h", "q", F.col(g).alias("group"), F.col(p).alias("block"), "blob")
-    both = side("g", "p", pairs).unionByName(side("h", "q", pairs.where("g <> h or p <> q")))
-    found = written(both.groupBy("g", "p", "h", "q").applyInPandas(_meet(threshold), "count long, a long, b long"), "vector-links")
+    # A block is sent once for TOGETHER of its partners, and each of those to it; which of two blocks is the partner is told by a hash, so that no block has them all.
+    turned = F.xxhash64("g", "p", "h", "q") % 2 == 0
+    swapped = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x)
+    pairs = pairs.select(swapped("g", "h"), swapped("p", "q"), swapped("h", "g"), swapped("q", "p"))
+    number = F.row_number().over(Window.partitionBy("g", "p").orderBy("h", "q")) - 1  # of blocks, not of rows
+    pairs = written(pairs.withColumn("part", F.floor(number / TOGETHER)), "vector-pairs")
+    mine, others = blobs.withColumnsRenamed({"group": "g", "block": "p"}), blobs.withColumnsRenamed({"group": "h", "block": "q"})
+    itself = (F.col("g") == F.col("h")) & (F.col("p") == F.col("q"))
+    units = pairs.groupBy("g", "p", "part").agg(F.bool_or(itself).alias("alone"))
+    own = units.join(mine, ["g", "p"]).select("g", "p", "part", "alone", F.lit(None).cast("int").alias("q"), "blob")
+    met = pairs.where(~itself).join(others, ["h", "q"]).select("g", "p", "part", F.lit(False).alias("alone"), "q", "blob")
+    found = written(own.unionByName(met).groupBy("g", "p", "part").applyInPandas(_meet(threshold), "count long, a long, b long"), "vector-links")
     linked = found.where("count > 0").groupBy(F.col("a").alias("cid")).agg(F.sum("count").alias("links"))
     tied = connected_components(found.where("count = 0").select("a", "b")).withColumnRenamed("node", "cid")
     known = classes.join(linked, "cid", "left").join(tied, "cid", "left").withColumn("component", F.coalesce("component", "cid"))

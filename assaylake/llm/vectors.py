@@ -2,7 +2,8 @@
 
 Rows go to the nearest of a few pivots and, where a pivot has many, to rings about it by their distance from it. A group, one ring of one
 pivot, is described by its pivot and the least and greatest distance in it, so that whole groups can be ruled out by the triangle inequality.
-Groups are cut into blocks of bounded size. The groups are few at any table size: PIVOTS * RINGS at most, and one for each vector length without a pivot.
+Groups are cut into blocks of bounded size. Pivots grow with the table, up to PIVOTS, and where they are many their rings are fewer. The groups are few at any
+table size: GROUPS at most, and one for each vector length without a pivot.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from assaylake.llm.shared import blocks_for, written
 
-#: Pivots, drawn from all rows by chance, and rings about each: bounds of the sample and of the table of groups.
-PIVOTS, RINGS = 64, 16
+#: Pivots, drawn from all rows by chance, rings about each, and groups in all: bounds of the sample and of the table of groups.
+PIVOTS, RINGS, GROUPS = 512, 16, 1024
 #: Components from which a row is dealt to no pivot: distances would be lost in rounding.
 WILD = float(1 << 40)
 
@@ -73,6 +74,7 @@ def deal(rows: DataFrame, key: str, prepare: Callable[[np.ndarray], np.ndarray],
         point = prepare(np.array([r["vector"]], float))[0]
         if np.abs(point).max() < WILD:
             pivots.setdefault(len(point), []).append(point)
+    most = max(1, min(RINGS, GROUPS // max(1, sum(map(len, pivots.values())))))
     fixed = {size: np.unique(np.stack(points), axis=0) for size, points in pivots.items()}
     sent = spark.sparkContext.broadcast(fixed)  # PIVOTS vectors at most
 
@@ -98,7 +100,7 @@ def deal(rows: DataFrame, key: str, prepare: Callable[[np.ndarray], np.ndarray],
     cells = rows.groupBy("size", "cell").agg(F.count("*").alias("n"), F.percentile_approx("away", cuts, 1000).alias("cuts")).toPandas()
     listed, base = [], 0
     for size, cell, count, found in cells[["size", "cell", "n", "cuts"]].itertuples(index=False):
-        rings = min(RINGS, blocks_for(int(count), per)) if cell >= 0 else 1
+        rings = min(most, blocks_for(int(count), per)) if cell >= 0 else 1
         bounds = sorted({float(found[i * RINGS // rings - 1]) for i in range(1, rings)})
         listed.append((int(size), int(cell), base, bounds))
         base += len(bounds) + 1

@@ -118,3 +118,27 @@ def test_rings_that_hold_no_link_do_not_meet(spark):
     points = rabitq.unit(rows)
     assert all((placed[a], placed[b]) in pairs for a, b in np.argwhere(points @ points.T >= 0.95).tolist())
     assert len(pairs) < 0.3 * len(groups.table) ** 2
+
+
+@pytest.mark.parametrize("together", [1, 3])
+def test_a_tree_or_block_sent_once_for_several_partners(spark, monkeypatch, together):
+    monkeypatch.setattr(mtree, "QUERIES", 20)
+    monkeypatch.setattr(mtree, "TOGETHER", together)
+    monkeypatch.setattr(rabitq, "TOGETHER", together)
+    rows = np.concatenate([clustered(300, 4), np.random.default_rng(3).standard_normal((60, 24))])
+    df = frame(spark, rows)
+    assert sorted(tuple(r) for r in mtree.top_k(df, df.where("vec_id % 4 = 0"), shard=64).collect()) == brute(rows, range(0, len(rows), 4))
+    points = rabitq.unit(rows)
+    near = points @ points.T >= 0.95
+    links = {r.vec_id: r.n_links for r in rabitq.near_duplicates(df, block=32).collect()}
+    assert links == {i: int(near[i].sum()) - 1 for i in range(len(rows))}
+
+
+def test_pivots_grow_and_groups_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PIVOTS", 24)
+    monkeypatch.setattr(vectors, "GROUPS", 48)
+    df = frame(spark, clustered(1200, 10, 16, 0.3)).selectExpr("vec_id AS cid", "embedding AS vector", "size(embedding) AS size", "1L AS n")
+    away = lambda points, pivots: np.arccos(np.clip(points @ pivots.T, -1, 1))
+    dealt, groups = vectors.deal(df, "cid", rabitq.unit, away, 16, "test-bounds")
+    assert dealt.count() == 1200 and 8 < len(groups.table) <= 48 + 1
+    assert len(groups.pivots[16]) > 8
