@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylake.sources.scratch import cut
+from assaylake.sources.scratch import cut, written
 
 #: Words of a shingle, hash rows of a signature, rounding that bounds allow for.
 WORDS, ROWS, SLACK = 5, 64, 1e-6
@@ -123,11 +123,14 @@ def scored(pairs: DataFrame, sets: DataFrame, key: str, threshold: float) -> Dat
 
 def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """((key, items) of one row for each distinct set of shingles, that of the smallest key; (key, first) for each row: the key that stands for it)."""
-    named = cut(docs.select(key, hashes(F.col(text)).alias("items")).withColumns({"h": F.xxhash64("items"), "g": F.xxhash64(F.lit(1), "items")}))
-    firsts = named.groupBy("h", "g").agg(F.min(key).alias("first"))
-    members = named.select(key, "h", "g").join(firsts, ["h", "g"]).select(key, "first")
-    own = firsts.select(F.col("first").alias(key), "h", "g")
-    return cut(named.join(own, [key, "h", "g"], "left_semi").select(key, "items").dropDuplicates([key])), members
+    # Numbered as written, so that what stands for a set is chosen by small columns and a set itself moves once at most.
+    given = docs.select(key, hashes(F.col(text)).alias("items")).withColumns({"h": F.xxhash64("items"), "g": F.xxhash64(F.lit(1), "items"), "row": F.monotonically_increasing_id()})
+    named = written(given, "sets")
+    least = F.min(F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("first"), "row")))
+    firsts = written(named.groupBy("h", "g").agg(least.alias("f")).select("h", "g", "f.first", "f.row"), "set-firsts")
+    members = named.select(key, "h", "g").join(firsts.select("h", "g", "first"), ["h", "g"])
+    chosen = firsts.where(F.col("first").isNotNull()).groupBy("first").agg(F.min("row").alias("row"))
+    return written(named.join(chosen, "row", "left_semi").select(key, "items"), "distinct-sets"), members.select(key, "first")
 
 
 def similar_pairs(docs: DataFrame, key: str, text: str, threshold: float = 80.0) -> DataFrame:
@@ -141,7 +144,7 @@ def similar_pairs(docs: DataFrame, key: str, text: str, threshold: float = 80.0)
 
 def pairs_of(sets: DataFrame, key: str, threshold: float = 80.0) -> DataFrame:
     """As similar_pairs, of the classes (key, items)."""
-    return scored(candidates(cut(rare_items(sets, key, threshold)), key, threshold), sets, key, threshold)
+    return scored(candidates(written(rare_items(sets, key, threshold), "rare-items"), key, threshold), sets, key, threshold)
 
 
 def with_earlier(sets: DataFrame, key: str, threshold: float = 80.0) -> DataFrame:
@@ -150,7 +153,7 @@ def with_earlier(sets: DataFrame, key: str, threshold: float = 80.0) -> DataFram
     A set first meets the smallest key alone of each item that it is indexed by: of a template's near copies nearly all are settled there, by one pair for
     each set and item. Only sets that find nothing so meet all smaller keys of their items.
     """
-    index = cut(rare_items(sets, key, threshold))
+    index = written(rare_items(sets, key, threshold), "rare-items")
     firsts = index.groupBy("item").agg(F.min(F.struct(F.col(key).alias("a"), "place", "n")).alias("f")).select("item", "f.a", F.col("f.place").alias("other"), F.col("f.n").alias("m"))
     tried = index.withColumnRenamed(key, "b").join(firsts, "item").where((F.col("a") < F.col("b")) & _may_meet(threshold)).select("a", "b").distinct()
     tried = cut(tried)
@@ -174,7 +177,7 @@ def keep_greedily(sets: DataFrame, key: str, threshold: float = 80.0, rounds: in
         rest = cut(open_.join(later, key, "left_semi"))
         if rest.limit(1).count() == 0:
             return kept
-        index = cut(rare_items(cut(first.unionByName(rest)), key, threshold))
+        index = written(rare_items(cut(first.unionByName(rest)), key, threshold), "rare-items")
         mine = index.join(later, key, "left_semi").select(F.col(key).alias("b"), "item", F.col("place").alias("other"), F.col("n").alias("m"))
         met = mine.join(index.join(later, key, "left_anti").withColumnRenamed(key, "a"), "item").where((F.col("a") < F.col("b")) & _may_meet(threshold)).select("a", "b").distinct()
         gone = scored(met, open_, key, threshold).select(F.col("b").alias(key)).distinct()
