@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count, groupby
 
 import numpy as np
@@ -9,12 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylake.sources.scratch import cut, written
+from assaylake.sources.scratch import cut, passing, written
 
 #: Words of a shingle, hash rows of a signature, rounding that bounds allow for.
 WORDS, ROWS, SLACK = 5, 64, 1e-6
 #: Keys of an item that meet in one task.
 PART = 1024
+#: Parts of the items, by remainder, that are counted one after another.
+PARTS = 4
 #: Rounds of greedy_keep between looks at what is open, and the similar pairs that the driver settles.
 EARLY, FEW = 8, 100_000
 
@@ -82,16 +85,28 @@ def _needed(n: Column, threshold: float) -> Column:
     return F.greatest(F.lit(1), F.ceil(n * (threshold / 100) - SLACK))
 
 
+def shared_items(sets: DataFrame, key: str) -> DataFrame:
+    """(key, n, item, held): the items that several sets hold, n being the size of the set and held the sets of the item.
+
+    The items of one remainder are counted and looked up before those of the next, and a part's shuffle files go when it is done. So the disk holds a
+    PARTS-th of all items at once, and items of one set alone, which most are, are never written.
+    """
+    every = sets.select(key, F.size("items").alias("n"), F.explode("items").alias("item"))
+    found = []
+    for part in range(PARTS):
+        mine = every.where(F.pmod("item", F.lit(PARTS)) == part)
+        with passing(mine.groupBy("item").agg(F.count("*").alias("held")).where("held > 1"), "common-items") as common:
+            found.append(written(mine.join(common, "item"), "shared-items"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def rare_items(sets: DataFrame, key: str, threshold: float) -> DataFrame:
     """(key, item, place, n): the items under which a set is looked up, so that sets of that similarity share one at least.
 
     Items are ordered from rare to common. Two sets that share o items share one of the first n - o + 1 of either, and o is at least threshold * n. Items of one set only
-    stand first and meet nothing: they are counted and not listed, and a set of which they leave too little has no partner. Items are counted before
-    the shuffle.
+    stand first and meet nothing: they are counted and not listed, and a set of which they leave too little has no partner.
     """
-    every = sets.select(key, F.size("items").alias("n"), F.explode("items").alias("item"))
-    common = every.groupBy("item").agg(F.count("*").alias("held")).where("held > 1")
-    shared = every.join(common, "item")
+    shared = shared_items(sets, key)
     over = Window.partitionBy(key)
     placed = shared.withColumn("left", F.count("*").over(over)).where(F.col("left") >= _needed(F.col("n"), threshold))
     placed = placed.withColumn("place", F.row_number().over(over.orderBy("held", "item")) + F.col("n") - F.col("left"))
@@ -125,12 +140,13 @@ def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
     """((key, items) of one row for each distinct set of shingles, that of the smallest key; (key, first) for each row: the key that stands for it)."""
     # Numbered as written, so that what stands for a set is chosen by small columns and a set itself moves once at most.
     given = docs.select(key, hashes(F.col(text)).alias("items")).withColumns({"h": F.xxhash64("items"), "g": F.xxhash64(F.lit(1), "items"), "row": F.monotonically_increasing_id()})
-    named = written(given, "sets")
-    least = F.min(F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("first"), "row")))
-    firsts = written(named.groupBy("h", "g").agg(least.alias("f")).select("h", "g", "f.first", "f.row"), "set-firsts")
-    members = named.select(key, "h", "g").join(firsts.select("h", "g", "first"), ["h", "g"])
-    chosen = firsts.where(F.col("first").isNotNull()).groupBy("first").agg(F.min("row").alias("row"))
-    return written(named.join(chosen, "row", "left_semi").select(key, "items"), "distinct-sets"), members.select(key, "first")
+    with passing(given, "sets") as named:
+        keys = written(named.select(key, "h", "g", "row"), "set-keys")
+        least = F.min(F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("first"), "row")))
+        firsts = written(keys.groupBy("h", "g").agg(least.alias("f")).select("h", "g", "f.first", "f.row"), "set-firsts")
+        chosen = firsts.where(F.col("first").isNotNull()).groupBy("first").agg(F.min("row").alias("row"))
+        distinct = written(named.join(chosen, "row", "left_semi").select(key, "items"), "distinct-sets")
+    return distinct, keys.select(key, "h", "g").join(firsts.select("h", "g", "first"), ["h", "g"])
 
 
 def similar_pairs(docs: DataFrame, key: str, text: str, threshold: float = 80.0) -> DataFrame:

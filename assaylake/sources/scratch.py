@@ -56,6 +56,22 @@ def tidy(spark: SparkSession) -> Iterator[None]:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: computed once, read back by column, safe from lost executors."""
+    return _at(df, new_folder(df.sparkSession, name))
+
+
+def _at(df: DataFrame, path: str) -> DataFrame:
     with tidy(df.sparkSession):
-        df.write.parquet(path := new_folder(df.sparkSession, name))
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """As written(), for the time of the block: the files go at its end, so what outlives it must be written itself."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    try:
+        yield _at(df, path)
+    finally:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # the store's own client, whatever store it is
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
