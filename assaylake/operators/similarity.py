@@ -10,13 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylake.sources.scratch import cut, passing, written
+from assaylake.sources.scratch import cut, new_folder, passing, remove, written, written_at
 
 #: Words of a shingle, hash rows of a signature, rounding that bounds allow for.
 WORDS, ROWS, SLACK = 5, 64, 1e-6
 #: Keys of an item that meet in one task.
 PART = 1024
-#: Parts of the items, by remainder, that are counted one after another.
+#: Parts of the sets, and of the items, by remainder, that are handled one after another.
 PARTS = 4
 #: Rounds of greedy_keep between looks at what is open, and the similar pairs that the driver settles.
 EARLY, FEW = 8, 100_000
@@ -138,14 +138,19 @@ def scored(pairs: DataFrame, sets: DataFrame, key: str, threshold: float) -> Dat
 
 def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """((key, items) of one row for each distinct set of shingles, that of the smallest key; (key, first) for each row: the key that stands for it)."""
-    # Numbered as written, so that what stands for a set is chosen by small columns and a set itself moves once at most.
+    # Numbered as written, so that what stands for a set is chosen by small columns, and sets move a part at a time, if at all: a part goes when its distinct sets are written.
     given = docs.select(key, hashes(F.col(text)).alias("items")).withColumns({"h": F.xxhash64("items"), "g": F.xxhash64(F.lit(1), "items"), "row": F.monotonically_increasing_id()})
-    with passing(given, "sets") as named:
-        keys = written(named.select(key, "h", "g", "row"), "set-keys")
-        least = F.min(F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("first"), "row")))
-        firsts = written(keys.groupBy("h", "g").agg(least.alias("f")).select("h", "g", "f.first", "f.row"), "set-firsts")
-        chosen = firsts.where(F.col("first").isNotNull()).groupBy("first").agg(F.min("row").alias("row"))
-        distinct = written(named.join(chosen, "row", "left_semi").select(key, "items"), "distinct-sets")
+    path = new_folder(docs.sparkSession, "sets")
+    named = written_at(given.withColumn("part", F.pmod("h", F.lit(PARTS)).cast("int")), path, "part")
+    keys = written(named.select(key, "h", "g", "row"), "set-keys")
+    least = F.min(F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("first"), "row")))
+    firsts = written(keys.groupBy("h", "g").agg(least.alias("f")).select("h", "g", "f.first", "f.row"), "set-firsts")
+    chosen = written(firsts.where(F.col("first").isNotNull()).groupBy("first").agg(F.min("row").alias("row")).select("row"), "chosen-rows")
+    found = []
+    for part in range(PARTS):
+        found.append(written(named.where(F.col("part") == part).join(chosen, "row", "left_semi").select(key, "items"), "distinct-sets"))
+        remove(docs.sparkSession, f"{path}/part={part}")
+    distinct = reduce(DataFrame.unionByName, found)
     return distinct, keys.select(key, "h", "g").join(firsts.select("h", "g", "first"), ["h", "g"])
 
 

@@ -56,22 +56,27 @@ def tidy(spark: SparkSession) -> Iterator[None]:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: computed once, read back by column, safe from lost executors."""
-    return _at(df, new_folder(df.sparkSession, name))
+    return written_at(df, new_folder(df.sparkSession, name))
 
 
-def _at(df: DataFrame, path: str) -> DataFrame:
+def written_at(df: DataFrame, path: str, *by: str) -> DataFrame:
+    """df as a table at path, with a folder for each value of the columns `by`."""
     with tidy(df.sparkSession):
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder by the store's own client; nothing read later may rest on it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextmanager
 def passing(df: DataFrame, name: str) -> Iterator[DataFrame]:
     """As written(), for the time of the block: the files go at its end, so what outlives it must be written itself."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
+    path = new_folder(df.sparkSession, name)
     try:
-        yield _at(df, path)
+        yield written_at(df, path)
     finally:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # the store's own client, whatever store it is
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        remove(df.sparkSession, path)
