@@ -131,7 +131,10 @@ def candidates(index: DataFrame, key: str, threshold: float, part: int = PART) -
 
 
 def scored(pairs: DataFrame, sets: DataFrame, key: str, threshold: float) -> DataFrame:
-    """(a, b, score) of the pairs (a, b) with score >= threshold."""
+    """(a, b, score) of the pairs (a, b) with score >= threshold. Only the sets that pairs name move."""
+    pairs = written(pairs, "candidates")
+    keys = written(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct(), "keys-in-pairs")
+    sets = written(sets.join(keys, key, "left_semi").select(key, "items"), "sets-in-pairs")
     both = pairs.join(sets.select(F.col(key).alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col(key).alias("b"), F.col("items").alias("ib")), "b")
     return both.select("a", "b", jaccard(F.col("ia"), F.col("ib")).alias("score")).where(F.col("score") >= threshold)
 
