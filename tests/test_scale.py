@@ -121,6 +121,25 @@ def test_set_joins_are_exact_at_any_threshold(spark, threshold):
     assert sorted(r["k"] for r in similarity.keep_greedily(df, "k", threshold).collect()) == kept
 
 
+def test_items_are_counted_in_parts(spark, monkeypatch):
+    removed = []
+    one = similarity.remove
+    monkeypatch.setattr(similarity, "remove", lambda s, path: removed.append(path) or one(s, path))
+    rng = np.random.default_rng(23)
+    sets = [sorted(set(rng.integers(-200, 200, n).tolist())) for n in (0, 1, 3, 30, 60, 60)] + [[-7, 7]] * 2
+    df = spark.createDataFrame(list(enumerate(sets)), "k long, items array<long>")
+    held = {}
+    for one_set in sets:
+        for item in one_set:
+            held[item] = held.get(item, 0) + 1
+    want = sorted((k, len(s), i, held[i]) for k, s in enumerate(sets) for i in s if held[i] > 1)
+    assert sorted((r["k"], r["n"], r["item"], r["held"]) for r in similarity.shared_items(df, "k").collect()) == want
+    texts = ["a b c d e f", "A  b c d e f", None, "", "x", "a b c d e g"]
+    distinct, members = similarity.classes(spark.createDataFrame(list(enumerate(texts)), "k long, text string").where("text is not null"), "k", "text")
+    assert len(removed) == similarity.PARTS
+    assert sorted(r["k"] for r in distinct.collect()) == [0, 3, 4, 5] and {r["k"]: r["first"] for r in members.collect()} == {0: 0, 1: 0, 3: 3, 4: 4, 5: 5}
+
+
 def test_near_copies_of_a_template_need_few_pairs(spark, monkeypatch):
     tried = []
     one = similarity.scored
