@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from assaylake.operators.graph import components
 from assaylake.sources.scratch import written
 
-#: Pivots and rings about each at most, points of a unit, numbers in a matrix of distances, rounding that bounds allow for.
-PIVOTS, RINGS, UNIT, CELLS, SLACK = 1024, 8, 4096, 1 << 21, 1e-9
+#: Pivots and rings about each at most, points of a unit, numbers in a matrix of distances, numbers of visitors that a task sends at a time, rounding that bounds allow for.
+PIVOTS, RINGS, UNIT, CELLS, SENT, SLACK = 1024, 8, 4096, 1 << 21, 1 << 19, 1e-9
 
 
 def vector_of(df: DataFrame, columns: list[str]) -> Column:
@@ -83,6 +83,13 @@ class Space:
         return np.repeat(row, count), at
 
 
+def _sent(batch: pd.DataFrame, row: np.ndarray, unit: np.ndarray, **more) -> Iterator[pd.DataFrame]:
+    """The visitors (rows of the batch, units), some at a time: each carries a copy of its vector, and a row may visit every unit."""
+    step = max(1, SENT // max(1, len(batch["vector"].iloc[0]))) if len(batch) else 1
+    for at in range(0, len(row), step):
+        yield batch.iloc[row[at : at + step]][["key", "vector"]].assign(unit=unit[at : at + step].astype("i4"), **more)
+
+
 def deal(rows: DataFrame, name: str, unit: int = UNIT) -> tuple[DataFrame, Space]:
     """(rows with bundle and unit, their space) of (key, vector, ...); vectors are of one length. Which points are pivots changes nothing but speed."""
     spark = rows.sparkSession
@@ -184,12 +191,12 @@ def knn_graph(df: DataFrame, key: str, columns: list[str], k: int = 10, unit: in
         for batch in batches:
             limit = np.array([near[-1]["distance"] if len(near) == k else np.inf for near in batch["near"]])
             at = 0
-            for part in _parts(np.stack(batch["vector"]), len(space.groups)):
+            for part in _parts(np.stack(batch["vector"]), max(len(space.groups), int(space.units.sum()))):
                 low, _ = space.reach(part)
                 row, bundle = np.nonzero(low <= limit[at : at + len(part), None] + SLACK)
                 row, units = space.visits(row + at, bundle)
                 other = units != batch["unit"].to_numpy()[row]
-                yield batch.iloc[row[other]][["key", "vector"]].assign(unit=units[other].astype("i4"))
+                yield from _sent(batch, row[other], units[other])
                 at += len(part)
 
     def visit(held: pd.DataFrame, asked: pd.DataFrame, keeps: dict) -> pd.DataFrame:
@@ -257,10 +264,10 @@ def dbscan(df: DataFrame, columns: list[str], eps: float, least: int, key: str =
         def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 keys, at = batch["key"].to_numpy(), 0
-                for part in _parts(np.stack(batch["vector"]), len(space.groups)):
+                for part in _parts(np.stack(batch["vector"]), max(len(space.groups), int(space.units.sum()))):
                     low, high = space.reach(part)
                     row, units = space.visits(*np.nonzero((low <= eps) & (high > eps)))
-                    yield batch.iloc[row + at][["key", "vector"]].assign(unit=units.astype("i4"), made=None)
+                    yield from _sent(batch, row + at, units, made=None)
                     some, value = whole(keys[at : at + len(part)], *np.nonzero(high <= eps))
                     yield pd.DataFrame({"key": keys[at : at + len(part)][some], "vector": None, "unit": -1, "made": value})
                     at += len(part)

@@ -1,6 +1,7 @@
 """Nearest-neighbour tables, DBSCAN and components against brute force, over many units, rings and whole bundles."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,13 @@ def test_spectral_embedding_equals_the_eigenvectors(spark):
     got = np.array([r["features"].toArray() for r in models.spectral_embedding(edges, 3, rounds=40).orderBy("id").collect()])
     want = vector[:, -3:] / np.linalg.norm(vector[:, -3:], axis=1)[:, None]
     assert np.allclose(got @ got.T, want @ want.T, atol=1e-3)
+
+
+def test_visitors_are_sent_some_at_a_time(monkeypatch):
+    monkeypatch.setattr(metric, "SENT", 64)
+    batch = pd.DataFrame({"key": np.arange(5), "vector": list(np.ones((5, 16)))})
+    row, unit = np.repeat(np.arange(5), 20), np.tile(np.arange(20), 5)  # each visits every unit
+    sent = list(metric._sent(batch, row, unit, made=None))
+    assert max(map(len, sent)) == 4 and sum(map(len, sent)) == 100
+    whole = pd.concat(sent)
+    assert list(zip(whole.key, whole.unit, strict=True)) == list(zip(row, unit, strict=True)) and list(whole.columns) == ["key", "vector", "unit", "made"]
