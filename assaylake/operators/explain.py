@@ -53,13 +53,21 @@ def stability(df: DataFrame, model: Model, columns: list[str], deltas: tuple[flo
 
 
 def bootstrap(df: DataFrame, model: Model, columns: list[str], runs: int = 20, delta: float = 0.1, level: float = 0.95, key: str = "hash") -> DataFrame:
-    """(feature, mean, low, high): mean change and its percentile interval over resamples; a row's weight in a run is Poisson(1), drawn by hash."""
-    rows = _impacts(df, model, columns, delta).where("sign > 0").select(key, "feature", "impact")
-    u = (F.pmod(F.xxhash64(key, "run"), F.lit(1_000_003)) + 0.5) / 1_000_003
+    """(feature, mean, low, high): mean change and its percentile interval over resamples; a row's weight in a run is Poisson(1), drawn by hash.
+
+    The impacts are computed once for each row, and a row's run meets the sums of all features at once.
+    """
+    own = {c: F.col(c) for c in columns}
+    base = model(own)
+    names = [f"__i{n}" for n in range(len(columns))]
+    rows = df.select(key, *((model(own | {c: perturbed(F.col(c), delta, True, "double", c)}) - base).alias(n) for n, c in zip(names, columns, strict=True)))
     steps = [0.367879, 0.735759, 0.919699, 0.981012, 0.99634]
-    weight = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda a, s: a + (F.col("u") > s).cast("int"))
-    spread = rows.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs)))).withColumn("u", u).withColumn("w", weight)
-    means = spread.groupBy("feature", "run").agg((F.sum(F.col("w") * F.col("impact")) / F.sum("w")).alias("m"))
+    spread = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"))
+    spread = spread.withColumn("u", (F.pmod(F.xxhash64(key, "run"), F.lit(1_000_003)) + 0.5) / 1_000_003)
+    spread = spread.withColumn("w", sum((F.col("u") > s).cast("int") for s in steps))
+    means = spread.groupBy("run").agg(F.sum("w").alias("w"), *(F.sum(F.col("w") * F.col(n)).alias(n) for n in names))
+    cells = F.array(*(F.struct(F.lit(c).alias("feature"), (F.col(n) / F.col("w")).alias("m")) for n, c in zip(names, columns, strict=True)))
+    means = means.select(F.explode(cells).alias("c")).select("c.*")
     side = (1 - level) / 2
     return means.groupBy("feature").agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.percentile("m", side), 6).alias("low"), F.round(F.percentile("m", 1 - side), 6).alias("high"))
 

@@ -10,7 +10,8 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from assaylake.operators import estimators, heuristics, models, shapley
+from assaylake.operators import estimators, explain, heuristics, models, shapley
+from assaylake.plans import learning
 
 NAMES = [f"f{i}" for i in range(6)]
 
@@ -123,3 +124,38 @@ def test_estimators_are_saved_and_loaded(spark, tmp_path):
         assert {p for _, p in rows} == {0, 1}, name
     with pytest.raises(ValueError, match="power"):
         heuristics.power_risk({})
+
+
+def test_fits_read_a_split_that_is_written(spark, sf, monkeypatch):
+    """A fit goes through its rows many times; the shuffle and sort of the split are not among what it repeats."""
+    seen = []
+    plan = lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+    real = models.train
+    monkeypatch.setattr(models, "train", lambda df, *more: plan(df) or real(df, *more))
+    monkeypatch.setattr(models, "grid_search", lambda df, *more: plan(df) or (df, None))
+    for query in (learning.train_dt, learning.performance_log, learning.grid_search, learning.grid_search_forest):
+        query(spark, sf)
+    assert len(seen) == 5 and not any("Window" in p for p in seen)
+
+
+def test_folds_hold_the_columns_of_a_search_alone(spark, table, monkeypatch):
+    seen = []
+    monkeypatch.setattr(models.CrossValidator, "fit", lambda self, df: seen.append(df.columns) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        models.grid_search(table, NAMES[:2], "y")
+    assert seen == [["f0", "f1", "y"]]
+
+
+def test_resamples_repeat_a_row_once_for_each_run(spark, table):
+    got = explain.bootstrap(table, lambda x: x["f0"] * x["f1"], ["f0", "f1"], runs=7)
+    made = got._jdf.queryExecution().analyzed().toString()
+    assert made.count("Generate explode(sequence(1, 7") == 1 and "Generate explode(array(struct(feature, f0, sign" not in made
+    x = table.select("hash", "f0", "f1").toPandas()
+    weights = table.crossJoin(spark.range(1, 8).select(F.col("id").cast("int").alias("run"))).select("hash", "run", ((F.pmod(F.xxhash64("hash", "run"), F.lit(1_000_003)) + 0.5) / 1_000_003).alias("u")).toPandas()
+    weights["w"] = sum((weights.u > s).astype(int) for s in (0.367879, 0.735759, 0.919699, 0.981012, 0.99634))
+    rows = weights.merge(x, on="hash")
+    for name, other in (("f0", "f1"), ("f1", "f0")):
+        rows["i"] = (rows[name].abs() * 0.1) * rows[other]
+        means = rows.groupby("run").apply(lambda r: (r.w * r.i).sum() / r.w.sum(), include_groups=False)
+        found = got.where(F.col("feature") == name).first()
+        assert abs(found["mean"] - means.mean()) < 2e-6 and abs(found["low"] - means.quantile(0.025)) < 2e-6 and abs(found["high"] - means.quantile(0.975)) < 2e-6
