@@ -7,10 +7,11 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from assaylake.operators import estimators, explain, heuristics, models, shapley
+from assaylake.operators import estimators, explain, heuristics, margins, models, shapley
 from assaylake.plans import learning
 
 NAMES = [f"f{i}" for i in range(6)]
@@ -159,3 +160,24 @@ def test_resamples_repeat_a_row_once_for_each_run(spark, table):
         means = rows.groupby("run").apply(lambda r: (r.w * r.i).sum() / r.w.sum(), include_groups=False)
         found = got.where(F.col("feature") == name).first()
         assert abs(found["mean"] - means.mean()) < 2e-6 and abs(found["low"] - means.quantile(0.025)) < 2e-6 and abs(found["high"] - means.quantile(0.975)) < 2e-6
+
+
+def test_machines_of_all_classes_share_few_passes(spark, table, tmp_path, monkeypatch):
+    """The losses are no greater than those of LinearSVC for each class, and passes do not grow with the classes or with a line search."""
+    passes, real = [], margins._losses
+    monkeypatch.setattr(margins, "_losses", lambda *a: passes.append(1) or real(*a))
+    model = models.train(table, "lsvc", NAMES, "cls", 3)
+    assert len(passes) <= 52
+    rows = model.transform(table).select("hash", "cls", vector_to_array("features").alias("v"), F.col("features").alias("f"), "prediction").collect()
+    x, cls = np.array([r["v"] for r in rows]), np.array([r["cls"] for r in rows])
+    spread = x.std(0, ddof=1)
+    fitted = spark.createDataFrame([(r["f"], int(r["cls"])) for r in rows], ["features", "cls"]).cache()
+    for c, plane in enumerate(model.stages[-1].planes()):
+        sign = np.where(cls == c, 1, -1)
+        loss = lambda w, b: np.maximum(0, 1 - sign * (x @ w + b)).mean() + 0.05 * ((w * spread) ** 2).sum()
+        theirs = LinearSVC(maxIter=50, regParam=0.1).fit(fitted.select("features", (F.col("cls") == c).cast("int").alias("label")))
+        assert loss(plane[:-1], plane[-1]) <= loss(theirs.coefficients.toArray(), theirs.intercept) + 2e-6
+    assert [r["prediction"] for r in rows] == (x @ model.stages[-1].planes()[:, :-1].T + model.stages[-1].planes()[:, -1]).argmax(1).tolist()
+    model.write().save(f"{tmp_path}/machines")
+    again = PipelineModel.load(f"{tmp_path}/machines")
+    assert again.transform(table).select("hash", "prediction").collect() == model.transform(table).select("hash", "prediction").collect()
