@@ -109,14 +109,17 @@ def shapley(df: DataFrame, model: Model, columns: list[str], background: dict[st
     """(key, feature, value): sampled-permutation Shapley values against a background row; for each row they sum to its change from it."""
     rng = random.Random(seed)
     terms: dict[str, list[Column]] = {c: [] for c in columns}
+    sets: dict[frozenset, Column] = {}  # what the model says of each set of known features that is met, once for a row
+
+    def value(known: frozenset) -> Column:
+        sets.setdefault(known, model({c: F.col(c) if c in known else F.lit(background[c]) for c in columns}).alias(f"__m{len(sets)}"))
+        return F.col(f"__m{list(sets).index(known)}")
+
     for _ in range(permutations):
-        order = rng.sample(columns, len(columns))
-        now = {c: F.lit(background[c]) for c in columns}
-        last = model(now)
-        for c in order:
-            now = now | {c: F.col(c)}
-            new = model(now)
-            terms[c].append(new - last)
-            last = new
-    cells = [F.struct(F.lit(c).alias("feature"), F.round(sum(t) / permutations, 6).alias("value")) for c, t in terms.items()]
-    return df.select(key, F.explode(F.array(*cells)).alias("s")).select(key, "s.*")
+        known = frozenset()
+        for c in rng.sample(columns, len(columns)):
+            terms[c].append(value(known | {c}) - value(known))
+            known |= {c}
+    said = df.select(key, *sets.values()).select(key, *(F.round(sum(t) / permutations, 6).alias(c) for c, t in terms.items()))
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns]
+    return said.select(key, F.explode(F.array(*cells)).alias("s")).select(key, "s.*")

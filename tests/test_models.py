@@ -181,3 +181,15 @@ def test_machines_of_all_classes_share_few_passes(spark, table, tmp_path, monkey
     model.write().save(f"{tmp_path}/machines")
     again = PipelineModel.load(f"{tmp_path}/machines")
     assert again.transform(table).select("hash", "prediction").collect() == model.transform(table).select("hash", "prediction").collect()
+
+
+def test_sampled_values_ask_the_model_once_for_each_set(spark, table):
+    asked = []
+    model = lambda x: asked.append(1) or x["f0"] * x["f1"] + x["f2"]
+    rows = explain.shapley(table, model, ["f0", "f1", "f2"], {"f0": 0.5, "f1": -1.0, "f2": 2.0})
+    assert len(asked) <= 8  # sets of three features
+    got = {}
+    for r in rows.collect():
+        got[r["hash"]] = got.get(r["hash"], 0.0) + r["value"]
+    for r in table.collect():
+        assert abs(got[r["hash"]] - (r["f0"] * r["f1"] + r["f2"] - 1.5)) < 3e-6
