@@ -112,7 +112,8 @@ def shapley(df: DataFrame, model: Model, columns: list[str], background: dict[st
     sets: dict[frozenset, Column] = {}  # what the model says of each set of known features that is met, once for a row
 
     def value(known: frozenset) -> Column:
-        sets.setdefault(known, model({c: F.col(c) if c in known else F.lit(background[c]) for c in columns}).alias(f"__m{len(sets)}"))
+        if known not in sets:
+            sets[known] = model({c: F.col(c) if c in known else F.lit(background[c]) for c in columns}).alias(f"__m{len(sets)}")
         return F.col(f"__m{list(sets).index(known)}")
 
     for _ in range(permutations):
