@@ -85,28 +85,44 @@ def _needed(n: Column, threshold: float) -> Column:
     return F.greatest(F.lit(1), F.ceil(n * (threshold / 100) - SLACK))
 
 
-def shared_items(sets: DataFrame, key: str) -> DataFrame:
+def shared_items(sets: DataFrame, key: str, threshold: float | None = None) -> DataFrame:
     """(key, n, item, held): the items that several sets hold, n being the size of the set and held the sets of the item.
 
     The items of one remainder are counted and looked up before those of the next, and a part's shuffle files go when it is done. So the disk holds a
-    PARTS-th of all items at once, and items of one set alone, which most are, are never written.
+    PARTS-th of all items at once, and items of one set alone, which most are, are never written. With a threshold, a set goes as soon as the parts done hold more of
+    its own items than any similar set leaves it: it has no partner, so that most sets move a PARTS-th of their items. What is told of sets that went is not whole.
     """
-    every = sets.select(key, F.size("items").alias("n"), F.explode("items").alias("item"))
-    found = []
+    found, left, folder = [], sets, None
     for part in range(PARTS):
-        mine = every.where(F.pmod("item", F.lit(PARTS)) == part)
+        mine = left.select(key, F.size("items").alias("n"), F.explode("items").alias("item")).where(F.pmod("item", F.lit(PARTS)) == part)
         with passing(mine.groupBy("item").agg(F.count("*").alias("held")).where("held > 1"), "common-items") as common:
             found.append(written(mine.join(common, "item"), "shared-items"))
+        if threshold is not None and part < PARTS - 1:
+            keys = written(_with_room(left, reduce(DataFrame.unionByName, found), key, threshold, part), "sets-with-room")
+            if 2 * keys.count() < left.count():  # else they are not worth writing
+                before, folder = folder, new_folder(sets.sparkSession, "open-sets")
+                left = written_at(left.join(keys, key, "left_semi").select(key, "items"), folder)
+                if before is not None:
+                    remove(sets.sparkSession, before)
+    if folder is not None:
+        remove(sets.sparkSession, folder)
     return reduce(DataFrame.unionByName, found)
 
 
+def _with_room(sets: DataFrame, shared: DataFrame, key: str, threshold: float, part: int) -> DataFrame:
+    """(key) of the sets that may have a similar one, by what of their items of the parts up to `part` others hold."""
+    sizes = sets.select(key, F.size("items").alias("n"), F.size(F.filter("items", lambda i: F.pmod(i, F.lit(PARTS)) <= part)).alias("seen"))
+    met = shared.groupBy(key).agg(F.count("*").alias("met"))
+    return sizes.join(met, key, "left").where(F.col("n") - F.col("seen") + F.coalesce("met", F.lit(0)) >= _needed(F.col("n"), threshold)).select(key)
+
+
 def rare_items(sets: DataFrame, key: str, threshold: float) -> DataFrame:
     """(key, item, place, n): the items under which a set is looked up, so that sets of that similarity share one at least.
 
     Items are ordered from rare to common. Two sets that share o items share one of the first n - o + 1 of either, and o is at least threshold * n. Items of one set only
     stand first and meet nothing: they are counted and not listed, and a set of which they leave too little has no partner.
     """
-    shared = shared_items(sets, key)
+    shared = shared_items(sets, key, threshold)
     over = Window.partitionBy(key)
     placed = shared.withColumn("left", F.count("*").over(over)).where(F.col("left") >= _needed(F.col("n"), threshold))
     placed = placed.withColumn("place", F.row_number().over(over.orderBy("held", "item")) + F.col("n") - F.col("left"))
@@ -132,7 +148,11 @@ def candidates(index: DataFrame, key: str, threshold: float, part: int = PART) -
 
 def scored(pairs: DataFrame, sets: DataFrame, key: str, threshold: float) -> DataFrame:
     """(a, b, score) of the pairs (a, b) with score >= threshold. Only the sets that pairs name move."""
-    pairs = written(pairs, "candidates")
+    return _scored(written(pairs, "candidates"), sets, key, threshold)
+
+
+def _scored(pairs: DataFrame, sets: DataFrame, key: str, threshold: float) -> DataFrame:
+    """As scored(), of pairs that are written."""
     keys = written(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct(), "keys-in-pairs")
     sets = written(sets.join(keys, key, "left_semi").select(key, "items"), "sets-in-pairs")
     both = pairs.join(sets.select(F.col(key).alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col(key).alias("b"), F.col("items").alias("ib")), "b")
@@ -177,11 +197,15 @@ def with_earlier(sets: DataFrame, key: str, threshold: float = 80.0) -> DataFram
     A set first meets the smallest key alone of each item that it is indexed by: of a template's near copies nearly all are settled there, by one pair for
     each set and item. Only sets that find nothing so meet all smaller keys of their items.
     """
-    index = written(rare_items(sets, key, threshold), "rare-items")
+    return _earlier(written(rare_items(sets, key, threshold), "rare-items"), sets, key, threshold)
+
+
+def _earlier(index: DataFrame, sets: DataFrame, key: str, threshold: float) -> DataFrame:
+    """As with_earlier(), of the sets that index, which is written, lists."""
     firsts = index.groupBy("item").agg(F.min(F.struct(F.col(key).alias("a"), "place", "n")).alias("f")).select("item", "f.a", F.col("f.place").alias("other"), F.col("f.n").alias("m"))
     tried = index.withColumnRenamed(key, "b").join(firsts, "item").where((F.col("a") < F.col("b")) & _may_meet(threshold)).select("a", "b").distinct()
-    tried = cut(tried)
-    settled = cut(scored(tried, sets, key, threshold).select(F.col("b").alias(key)).distinct())
+    tried = written(tried, "first-pairs")
+    settled = written(_scored(tried, sets, key, threshold).select(F.col("b").alias(key)).distinct(), "settled")
     open_ = index.join(settled, key, "left_anti").select(F.col(key).alias("b"), "item", F.col("place").alias("other"), F.col("n").alias("m"))
     more = open_.join(index.withColumnRenamed(key, "a"), "item").where((F.col("a") < F.col("b")) & _may_meet(threshold)).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     return settled.unionByName(scored(more, sets, key, threshold).select(F.col("b").alias(key)).distinct())
@@ -191,22 +215,22 @@ def keep_greedily(sets: DataFrame, key: str, threshold: float = 80.0, rounds: in
     """(key) of the sets kept when each, in ascending order of keys, stays unless an earlier kept one is similar.
 
     A set without an earlier similar one is kept, and what is similar to it and later goes: a round of that settles whole groups around a template without
-    their pairs. What is open after the rounds is settled by its own pairs, see greedy_keep().
+    their pairs. What is open after the rounds is settled by its own pairs, see greedy_keep(). The sets are indexed once: the order of items that the index rests on
+    serves any choice of its sets.
     """
-    open_, kept = sets, None
+    index, kept, open_ = written(rare_items(sets, key, threshold), "rare-items"), None, sets.select(key)
     for _ in range(rounds):
-        later = cut(with_earlier(open_, key, threshold))
+        later = written(_earlier(index, sets, key, threshold), "later")
         first = open_.join(later, key, "left_anti")
-        kept = first.select(key) if kept is None else kept.unionByName(first.select(key))
-        rest = cut(open_.join(later, key, "left_semi"))
-        if rest.limit(1).count() == 0:
+        kept = first if kept is None else kept.unionByName(first)
+        if later.isEmpty():
             return kept
-        index = written(rare_items(cut(first.unionByName(rest)), key, threshold), "rare-items")
         mine = index.join(later, key, "left_semi").select(F.col(key).alias("b"), "item", F.col("place").alias("other"), F.col("n").alias("m"))
         met = mine.join(index.join(later, key, "left_anti").withColumnRenamed(key, "a"), "item").where((F.col("a") < F.col("b")) & _may_meet(threshold)).select("a", "b").distinct()
-        gone = scored(met, open_, key, threshold).select(F.col("b").alias(key)).distinct()
-        open_ = cut(rest.join(gone, key, "left_anti"))
-    return kept.unionByName(greedy_keep(open_.select(key), pairs_of(open_, key, threshold), key))
+        gone = scored(met, sets, key, threshold).select(F.col("b").alias(key)).distinct()
+        open_ = written(later.join(gone, key, "left_anti"), "open")
+        index = written(index.join(open_, key, "left_semi"), "open-items")
+    return kept.unionByName(greedy_keep(open_, scored(candidates(index, key, threshold), sets, key, threshold), key))
 
 
 def exact_classes(docs: DataFrame, key: str, text: str) -> DataFrame:

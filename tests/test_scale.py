@@ -121,6 +121,19 @@ def test_set_joins_are_exact_at_any_threshold(spark, threshold):
     assert sorted(r["k"] for r in similarity.keep_greedily(df, "k", threshold).collect()) == kept
 
 
+def test_sets_without_room_leave_early_and_one_index_serves_all_rounds(spark, monkeypatch):
+    base = list(range(100))
+    sets = [base, base[:95] + [200], base[:90] + [300, 301]] + [[4003, *range(1000 * k, 1000 * k + 100)] for k in range(10, 50)] + [[], [4003], [4003, 4007]]
+    df = spark.createDataFrame(list(enumerate(sets)), "k long, items array<long>").checkpoint()
+    listed = [(r["k"], r["item"]) for r in similarity.shared_items(df, "k", 80.0).collect()]
+    assert {k for k, _ in listed} == {0, 1, 2, 44, 45} and {i for k, i in listed if k > 2} == {4003}  # the lone sets were gone before their last part
+    calls = []
+    one = similarity.rare_items
+    monkeypatch.setattr(similarity, "rare_items", lambda *a: calls.append(1) or one(*a))
+    assert sorted(r["k"] for r in similarity.keep_greedily(df, "k").collect()) == [0, *range(3, len(sets))] and len(calls) == 1
+    assert [r["k"] for r in similarity.with_earlier(df, "k", 50.0).orderBy("k").collect()] == [1, 2, 45]
+
+
 def test_items_are_counted_in_parts(spark, monkeypatch):
     removed = []
     one = similarity.remove
