@@ -1,10 +1,11 @@
 """Small hand-made tables."""
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from assaylake.functions import content
-from assaylake.operators import derive, joins, metric, project, similarity, voting
+from assaylake.operators import derive, joins, metric, preprocess, project, similarity, voting
 from assaylake.plans import learning, registry
 
 
@@ -147,3 +148,23 @@ def test_greedy_keep_of_a_long_chain(spark, monkeypatch):
     assert sorted(r[0] for r in similarity.greedy_keep(keys, pairs, "k").collect()) == list(range(0, n, 2))
     monkeypatch.setattr(similarity, "FEW", n - 12)  # the rounds go on until few are open
     assert sorted(r[0] for r in similarity.greedy_keep(keys, pairs, "k").collect()) == list(range(0, n, 2))
+
+
+def test_rounding_without_decimals_is_rounding_to_the_bit(spark):
+    rng = np.random.default_rng(18)
+    ties = (rng.integers(-(10**9), 10**9, 3000) * 2 + 1) / 2e6
+    values = [*ties, *np.nextafter(ties, 0), *rng.normal(size=3000), *rng.normal(size=3000) * 1e4, *rng.normal(size=300) * 1e12, *rng.normal(size=300) * 1e-7, 0.0, -0.0, 1e300, float("inf"), float("-inf"), 99999.9999995, -1e-9]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").withColumn("y", F.when(F.col("x") > -1e9, F.lit(float("nan"))))
+    for c in ("x", "y"):
+        bits = df.select(preprocess.rounded(F.col(c)).alias("a"), F.round(c, 6).alias("b")).where("hex(cast(a as string)) <> hex(cast(b as string)) or (a is null) <> (b is null)")
+        assert bits.count() == 0
+    assert preprocess.impute(spark.createDataFrame([(1,), (1,), (None,)], "n int"), "n", "mode").dtypes == [("n", "int")]
+
+
+def test_pca_standardises_once(spark, monkeypatch):
+    tables = []
+    one = preprocess.written
+    monkeypatch.setattr(preprocess, "written", lambda df, name: tables.append(name) or one(df, name))
+    df = spark.createDataFrame([(k, float(k), float(k % 3)) for k in range(20)], "hash long, a double, b double")
+    out = preprocess.pca(df, ["a", "b"])
+    assert tables == ["standardised"] and out.columns == ["hash", "a", "b", "pc1", "pc2"] and out.count() == 20
