@@ -74,6 +74,22 @@ def tree_leaves(model, kind: int = 1) -> list[Leaf]:
     return list(_leaves(java.rootNode(), None if "Regress" in type(model).__name__ else kind, 1.0))
 
 
+def _added(leaf: Leaf, known: np.ndarray) -> np.ndarray:
+    """(features of the leaf, rows): what the leaf adds to its features' Shapley values, known telling for each of them whether a row goes that way."""
+    d = len(leaf.features)
+    weights = np.array([math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)])
+    out = np.empty(known.shape)
+    for n in range(d):
+        product = np.zeros(known.shape)
+        product[0] = 1
+        for m in range(d):
+            if m != n:
+                product[1:] = product[1:] * leaf.shares[m] + product[:-1] * known[m]
+                product[0] *= leaf.shares[m]
+        out[n] = leaf.value * (known[n] - leaf.shares[n]) * (weights @ product)
+    return out
+
+
 def values(leaves: list[Leaf], rows: np.ndarray) -> tuple[float, np.ndarray]:
     """(the value without any known feature, (rows, features) Shapley values)."""
     out, base = np.zeros(rows.shape), 0.0
@@ -82,22 +98,46 @@ def values(leaves: list[Leaf], rows: np.ndarray) -> tuple[float, np.ndarray]:
         base += leaf.value * math.prod(leaf.shares)
         if not d or leaf.value == 0:
             continue
-        known = np.empty((d, len(rows)))
+        known = np.empty((d, len(rows)), bool)
         for n, f in enumerate(leaf.features):
             inside = (rows[:, f] > leaf.low[n]) & (rows[:, f] <= leaf.high[n])
             known[n] = inside if leaf.allowed[n] is None else inside & np.isin(rows[:, f], list(leaf.allowed[n]))
-        weights = [math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)]
-        for n, f in enumerate(leaf.features):
-            product = np.zeros((d, len(rows)))
-            product[0] = 1
-            for m in range(d):
-                if m != n:
-                    product[1:] = product[1:] * leaf.shares[m] + product[:-1] * known[m]
-                    product[0] *= leaf.shares[m]
-            out[:, f] += leaf.value * (known[n] - leaf.shares[n]) * (np.array(weights) @ product)
+        if 1 << d < len(rows):  # rows that go the same ways share what is added
+            ways = np.arange(1 << d)
+            told = _added(leaf, (ways[None, :] >> np.arange(d)[:, None] & 1).astype(float))
+            out[:, leaf.features] += told.T[(known * (1 << np.arange(d))[:, None]).sum(0)]
+        else:
+            out[:, leaf.features] += _added(leaf, known.astype(float)).T
     return base, out
 
 
+class Explained:
+    """Shapley values of rows, each cell of the leaves' bounds computed once as long as the cells met are few: rows of one cell go the same ways at all splits."""
+
+    def __init__(self, leaves: list[Leaf], features: int, most: int = 1 << 18):
+        self.leaves, self.most, self.width = leaves, most, features
+        self.cuts = [np.array(sorted({x for leaf in leaves for n, f in enumerate(leaf.features) if f == k for x in (leaf.low[n], leaf.high[n]) if math.isfinite(x)})) for k in range(features)]
+        plain = all(allowed is None for leaf in leaves for allowed in leaf.allowed)
+        self.numbered = plain and math.prod(len(c) + 1 for c in self.cuts) < 1 << 62
+        self.cells, self.found, self.base = np.empty(0, np.int64), np.empty((0, features)), sum(leaf.value * math.prod(leaf.shares) for leaf in leaves)
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        if not self.numbered or np.isnan(rows).any():
+            return values(self.leaves, rows)[1]
+        number = np.zeros(len(rows), np.int64)
+        for k, cuts in enumerate(self.cuts):  # a value at a bound is below it, as it is for the leaves
+            number = number * (len(cuts) + 1) + np.searchsorted(cuts, rows[:, k], "left")
+        cells, first, of = np.unique(number, return_index=True, return_inverse=True)
+        new = ~np.isin(cells, self.cells, assume_unique=True)
+        if len(self.cells) + new.sum() > self.most:
+            self.cells, self.found, new = self.cells[:0], self.found[:0], np.ones(len(cells), bool)
+        if new.any():
+            every = np.concatenate([self.cells, cells[new]])
+            order = np.argsort(every)
+            self.cells, self.found = every[order], np.concatenate([self.found, values(self.leaves, rows[first[new]])[1]])[order]
+        return self.found[np.searchsorted(self.cells, cells)][of]
+
+
 def tree_values(model: PipelineModel, df: DataFrame, columns: list[str], key: str = "hash", kind: int = 1) -> DataFrame:
     """(key, feature, value, base): what each feature adds, beside the base, to what the pipeline's trees say of a row; values and base sum up to that.
 
@@ -107,13 +147,16 @@ def tree_values(model: PipelineModel, df: DataFrame, columns: list[str], key: st
     rows = model.transform(df).select(F.col(key).alias("key"), vector_to_array("features").alias("v"))
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told = Explained(leaves.value, len(columns))
         for batch in batches:
             if len(batch):
-                base, found = values(leaves.value, np.stack(batch["v"]))
-                yield pd.DataFrame({"key": batch["key"], "values": list(found), "base": base})
+                found = told(np.stack(batch["v"]))  # a column for each feature: an array for each row would be built one by one
+                yield pd.DataFrame({"key": batch["key"], **{f"v{n}": found[:, n] for n in range(len(columns))}, "base": told.base})
 
     kind_of = rows.schema["key"].dataType.simpleString()
-    return _listed(rows.mapInPandas(explain, f"key {kind_of}, values array<double>, base double"), columns, key)
+    parts = [f"v{n}" for n in range(len(columns))]
+    found = rows.mapInPandas(explain, ", ".join([f"key {kind_of}", *(f"{p} double" for p in parts), "base double"]))
+    return _listed(found.select("key", F.array(*parts).alias("values"), "base"), columns, key)
 
 
 def linear_values(model: PipelineModel, df: DataFrame, columns: list[str], background: DataFrame | None = None, key: str = "hash") -> DataFrame:

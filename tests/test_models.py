@@ -71,6 +71,33 @@ def test_tree_values_equal_all_subsets(spark, table, monkeypatch, algorithm):
         assert abs(sum(got[k].values()) - said) < 1e-6
 
 
+def test_rows_of_one_cell_are_explained_once(monkeypatch):
+    rng = np.random.default_rng(21)
+    leaves = []
+    for _ in range(30):
+        used = sorted(rng.choice(4, rng.integers(1, 5), replace=False).tolist())
+        low = rng.integers(0, 5, len(used)) / 2.0
+        leaves.append(shapley.Leaf(float(rng.normal()), used, rng.random(len(used)).tolist(), low.tolist(), (low + 1).tolist(), [None] * len(used)))
+    rows = rng.integers(0, 9, (500, 4)) / 2.0  # on the bounds, and between them
+    base, one_by_one = 0.0, []
+    for row in rows:  # a row alone takes no table of ways
+        base, found = shapley.values(leaves, row[None, :])
+        one_by_one.append(found[0])
+    assert np.allclose(shapley.values(leaves, rows)[1], one_by_one, atol=1e-12)
+    asked = []
+    one = shapley.values
+    monkeypatch.setattr(shapley, "values", lambda some, x: asked.append(len(x)) or one(some, x))
+    told = shapley.Explained(leaves, 4)
+    assert np.allclose(told(rows[:300]), one_by_one[:300], atol=1e-12) and np.allclose(told(rows[100:]), one_by_one[100:], atol=1e-12)
+    assert np.allclose(told(rows), one_by_one, atol=1e-12) and abs(told.base - base) < 1e-12 and len(asked) == 2 and sum(asked) <= 500
+    few = shapley.Explained(leaves, 4, most=10)
+    assert np.allclose(np.concatenate([few(rows[k : k + 8]) for k in range(0, 500, 8)]), one_by_one, atol=1e-12) and len(few.cells) <= 10
+    odd = np.array([[np.nan, 1.0, 0.5, 2.0], [np.inf, -np.inf, 1.0, 1.0]])
+    assert np.allclose(shapley.Explained(leaves, 4)(odd), one(leaves, odd)[1], atol=1e-12)
+    leaves[0].allowed[0] = {0.5, 1.0}
+    assert not shapley.Explained(leaves, 4).numbered
+
+
 def test_linear_values(spark, table):
     model = models.train(table, "lr", NAMES, "y")
     got = {}
