@@ -30,14 +30,15 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def binary_metrics(df: DataFrame, truth: str, predicted: str, score: str | None = None, flip: bool = False) -> DataFrame:
-    """One row: accuracy, precision, recall, f, mcc of class 1; auc of the score, by ranks of its distinct values.
+def binary_metrics(df: DataFrame, truth: str, predicted: str, score: str | None = None, flip: bool = False, weight: str | None = None) -> DataFrame:
+    """One row: accuracy, precision, recall, f, mcc of class 1; auc of the score, by ranks of its distinct values. weight: how many rows a row stands for (not for auc).
 
     flip: where the predictions go against the truth (mcc below 0), the truth's classes change places before all but the sign of the
     mcc is told, as for a clustering whose classes have no names.
     """
     t, p = F.col(truth), F.col(predicted)
-    c = df.agg(F.count_if((t == 1) & (p == 1)).alias("tp"), F.count_if((t == 0) & (p == 0)).alias("tn"), F.count_if((t == 0) & (p == 1)).alias("fp"), F.count_if((t == 1) & (p == 0)).alias("fn"))
+    counted = F.count_if if weight is None else lambda met: F.coalesce(F.sum(F.when(met, F.col(weight))), F.lit(0))
+    c = df.agg(counted((t == 1) & (p == 1)).alias("tp"), counted((t == 0) & (p == 0)).alias("tn"), counted((t == 0) & (p == 1)).alias("fp"), counted((t == 1) & (p == 0)).alias("fn"))
     against = F.lit(False)
     if flip:
         against = F.col("tp") * F.col("tn") < F.col("fp") * F.col("fn")

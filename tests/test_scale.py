@@ -263,3 +263,19 @@ def test_elimination_finds_the_useful_features(spark):
     assert max(r["score"] for r in got.values()) > 0.6
     kept = selection.filter_pipeline(df, ["f0", "f1", "f2", "f3"], "y", 0.001, 3).orderBy("rank").collect()
     assert {kept[0]["feature"], kept[1]["feature"]} == {"f0", "f2"}
+
+
+def test_forests_on_cells_are_forests_on_their_rows(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 6, (600, 2))
+    df = spark.createDataFrame(pd.DataFrame({"hash": range(600), "f0": x[:, 0] * 1.0, "f1": x[:, 1] * 1.0, "y": (x[:, 0] > 2).astype(int) ^ (rng.random(600) < 0.1)}).astype({"y": int}))
+    rows = selection.folded(df, 2)
+    found = selection.cells(rows, ["f0", "f1"], "y").collect()
+    assert sum(r["n"] for r in found) == 600 and len(found) <= 6 * 6 * 2 * 2
+    assert selection._dense(rows, ["f0", "f1"], "y") is None  # too few rows a cell
+    plain = selection.cross_validated(rows, ["f0", "f1"], "y", 2)
+    monkeypatch.setattr(selection, "DENSE", 2)
+    dense = selection._dense(rows, ["f0", "f1"], "y")
+    assert abs(selection._validated(dense, ["f0", "f1"], "y", 2) - plain) < 0.05 and plain > 0.6
+    got = {r["feature"]: (r["rank"], r["score"]) for r in selection.rfecv(df, ["f0", "f1"], "y", folds=2).collect()}
+    assert got["f0"][0] == 1 and got["f0"][1] > 0.6 and set(got) == {"f0", "f1"}
