@@ -11,25 +11,27 @@ from assaylake.sources import ranges
 METADATA = ("realpath", "format", "signature", "size", "ctime", "mtime")
 
 
-#: Bytes of a file that Spark reads as one row.
-LARGEST = (1 << 31) - 1024
+#: Bytes of a file that Spark reads as one row, and that a row can hold, for stores that only Spark reads.
+LARGEST, ROW = 1 << 27, (1 << 31) - 1024
 
 
 def scan_files(spark: SparkSession, folder: str, glob: str = "*", formats: dict[str, str] | None = None, scope: list[str] | None = None, hashed: bool = True, limit: int = 0, seed: int = 42) -> DataFrame:
     """(path, size, modified, hash, format) of the files below folder.
 
     formats maps file extensions to formats ('?' for others). scope: formats, groups of formats or 'All'; only files of those stay. hashed=False leaves hash
-    null and reads no contents, as does a query that does not use it. limit: so many files in an order drawn by seed, 0 for all. Files that
-    no row can hold (over LARGEST) are read by parts, see ranges.digests().
+    null and reads no contents, as does a query that does not use it, but for files over LARGEST. limit: so many files in an order drawn by seed, 0 for all.
+    Files over LARGEST are read by ranges, each in a task of its own, see ranges.digests(); in a store that pyarrow does not open, only those over ROW.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     kind: Column = F.lit("?") if not formats else F.coalesce(F.create_map(*(F.lit(x) for kv in formats.items() for x in kv))[ext], F.lit("?"))
     listed = ["path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")]
     if hashed:
-        rows = files.where(F.col("length") <= LARGEST).select(*listed, F.sha2("content", 256).alias("hash"))
-        large = files.where(F.col("length") > LARGEST).select(*listed)
-        rows = rows.unionByName(large.join(ranges.digests(large), "path"))
+        one = files.where(F.col("length") > LARGEST).agg(F.min("path")).head()[0]
+        most = LARGEST if one is None or ranges.reachable(one) else max(LARGEST, ROW)
+        rows = files.where(F.col("length") <= most).select(*listed, F.sha2("content", 256).alias("hash"))
+        if one is not None:
+            rows = rows.unionByName(ranges.digests(files.where(F.col("length") > most).select(*listed)))
     else:
         rows = files.select(*listed, F.lit(None).cast("string").alias("hash"))
     rows = rows.withColumn("format", kind)

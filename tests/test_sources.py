@@ -1,8 +1,11 @@
 """Files of any size: ranges, digests, and scans."""
 
 import hashlib
+from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from assaylake.sources import io, ranges
@@ -53,6 +56,80 @@ def test_scan_hashes_files_that_no_row_holds(spark, tmp_path, monkeypatch):
     assert {r["hash"] for r in io.scan_files(spark, str(tmp_path), glob="small*").collect()} == {hashlib.sha256(b"small").hexdigest()}
 
 
+SIZES = (0, 1, 99, 100, 101, 640, 640, 1700, 1801)
+
+
+def _files(folder):
+    """Files of SIZES, and (path, size, hash) of each."""
+    out = []
+    for i, n in enumerate(SIZES):
+        data = bytes((i + 7 * k * k) % 251 for k in range(n))
+        (folder / f"{i}.bin").write_bytes(data)
+        out.append((f"{folder}/{i}.bin", n, hashlib.sha256(data).hexdigest()))
+    return out
+
+
+def test_a_task_hashes_one_range_of_one_file(spark, tmp_path, monkeypatch):
+    (folder := tmp_path / "files").mkdir()
+    log, real = str(tmp_path), ranges._step
+
+    def logged(algorithm, start, step):
+        step_of = real(algorithm, start, step)
+
+        def run(batches):
+            for batch in batches:
+                with open(f"{log}/read-{start}-{TaskContext.get().taskAttemptId()}", "a") as out:
+                    out.writelines(f"{min(step, n - start)}\n" for n in batch["size"].to_pylist() if n is not None and n > start)
+                yield from step_of(iter([batch]))
+
+        return run
+
+    monkeypatch.setattr(ranges, "_step", logged)
+    files = _files(folder)
+    got = ranges.digests(spark.createDataFrame([f[:2] for f in files] + [(None, None)], "path string, size long"), step=100).collect()
+    assert sorted(tuple(r) for r in got if r["path"]) == sorted(files) and [r["hash"] for r in got if not r["path"]] == [None]
+    reads = [[int(n) for n in one.read_text().split()] for one in tmp_path.glob("read-*")]
+    assert max(map(len, reads)) == 1 and max(map(sum, reads)) == 100 and sum(map(sum, reads)) == sum(SIZES)
+    other = ranges.digests(spark.createDataFrame([f[:2] for f in files], "path string, size long"), "md5", step=1000).collect()
+    assert all(r["hash"] == hashlib.md5(open(r["path"], "rb").read()).hexdigest() for r in other)
+
+
+@pytest.mark.parametrize("lacking", [(), range(19), (0,), (3,), (18,)])
+def test_ranges_are_read_once_or_by_the_last_task_where_openssl_lacks(tmp_path, monkeypatch, lacking):
+    library, reads, parts = ranges.openssl(), Counter(), ranges.parts
+
+    def counted(path, start=0, length=None, size=ranges.PART):
+        for part in parts(path, start, length, size):
+            reads[path, r] += len(part)
+            yield part
+
+    monkeypatch.setattr(ranges, "parts", counted)
+    monkeypatch.setattr(ranges, "openssl", lambda: None if r in lacking else library)
+    files = _files(tmp_path)
+    batch = pa.RecordBatch.from_arrays([pa.array([f[0] for f in files]), pa.array([f[1] for f in files]), pa.nulls(len(files), pa.string()), pa.nulls(len(files), pa.binary())], names=["path", "size", "hash", "__state"])
+    for r in range(19):
+        (batch,) = ranges._step("sha256", r * 100, 100)(iter([batch]))
+    assert batch["hash"].to_pylist() == [f[2] for f in files] and batch["__state"].null_count == len(files)
+    if not lacking:
+        assert max(reads.values()) == 100 and sum(reads.values()) == sum(SIZES)
+
+
+def test_a_file_that_becomes_shorter_is_an_error(tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"short")
+    assert b"".join(ranges.whole(f"{tmp_path}/a.bin", 1, 4)) == b"hort"
+    with pytest.raises(OSError, match="shorter"):
+        list(ranges.whole(f"{tmp_path}/a.bin", 0, 6))
+
+
+def test_scan_reads_whole_files_where_only_spark_reaches_the_store(spark, tmp_path, monkeypatch):
+    files = _files(tmp_path)
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.scans.link./in", f"file://{tmp_path}")
+    monkeypatch.setattr(io, "LARGEST", 100)
+    for folder in (str(tmp_path), "viewfs://scans/in"):
+        got = {r["path"].rsplit("/", 1)[1]: (r["size"], r["hash"]) for r in io.scan_files(spark, folder, glob="*.bin").collect()}
+        assert got == {path.rsplit("/", 1)[1]: (n, h) for path, n, h in files if n}  # Spark lists no empty files
+
+
 def test_a_log_grows_and_takes_new_columns(spark, tmp_path):
     folder = str(tmp_path / "log")
     assert io.append_log(spark.createDataFrame([("a", 1.0)], "model string, f double"), folder).count() == 1
