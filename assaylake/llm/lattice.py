@@ -6,8 +6,8 @@ words. A word seen in training has one more path, the word as a whole: with coun
 distinct ones, P(word) = (c + v * P_lattice(word)) / (n + v). The model is a mixture over languages, each with its own counts, and
 a document's probability is the sum over them: its language is not given to the model, it is summed out.
 
-Plan: (1) one pass over the texts makes chunks, rows of arrays: distinct words with counts, the texts as word numbers, piece
-counts; (2) counts are added up by word over all chunks; (3) the totals join back to the chunks, where a word of very many chunks
+Plan: (1) one pass over the texts makes chunks: a row for each distinct word with its counts, and a row with the texts as word
+numbers and the piece counts; a reader holds thousands of rows at a time, so words are no arrays; (2) counts are added up by word over all chunks; (3) the totals join back to the chunks, where a word of very many chunks
 may be split as any skewed join key is; (4) each chunk scores its documents. Texts are read once and not shuffled; a chunk holds about a million tokens at any table size.
 """
 
@@ -30,8 +30,8 @@ from assaylake.llm.shared import blocks_for, new_folder, written
 
 #: Tokens and documents of a chunk, languages with counts of their own, added count of each piece.
 TOKENS, DOCS, LANGUAGES, ADDED = 1_000_000, 4000, 4, 0.01
-#: Chunks that a task scores.
-TOGETHER = 4
+#: Chunks that a task scores; words of a chunk that are sent at a time.
+TOGETHER, SENT = 4, 1 << 14
 #: Words of more characters, or of a smaller chance, are summed in logs; words and characters of a step there.
 LINEAR, SMALL, SIDE, SPAN = 96, 1e-290, 256, 256
 _SPACE = "▁"
@@ -220,31 +220,48 @@ def _once(key, make):
     return _READY[key]
 
 
-_CHUNK = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("groups", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.string()), ("counts", pa.list_(pa.list_(pa.int64()))), ("pieces", pa.list_(pa.int32())), ("piece_counts", pa.list_(pa.float64()))])
-_CHUNK_TYPES = "chunk long, doc_ids array<long>, held array<boolean>, sizes array<long>, groups array<int>, tokens binary, words string, counts array<array<long>>, pieces array<int>, piece_counts array<double>"
+_TEXTS = pa.schema([("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("groups", pa.list_(pa.int32())), ("tokens", pa.binary()), ("pieces", pa.list_(pa.int32())), ("piece_counts", pa.list_(pa.float64()))])
+_TEXT_TYPES = "doc_ids array<long>, held array<boolean>, sizes array<long>, groups array<int>, tokens binary, pieces array<int>, piece_counts array<double>"
+
+
+def _chunk_types(k: int) -> str:
+    return ", ".join(["chunk long, word string", *(f"c{g} int" for g in range(k)), _TEXT_TYPES])
 
 
 def _chunks(docs: DataFrame, model, languages: list[str], most: int = DOCS) -> DataFrame:
-    """One row for each chunk of documents. Its number is drawn at random and committed with all that names it."""
+    """For each chunk of documents a row for each of its words (word and counts c0, c1, ...) and one with its texts (word null), where a word's number is its place among the sorted words. The chunk's number is drawn at random and committed with all that names it."""
     group = {lang: n for n, lang in enumerate(languages)}
     k = len(languages) + 1
+    schema = pa.schema([("chunk", pa.int64()), ("word", pa.string()), *((f"c{g}", pa.int32()) for g in range(k)), *_TEXTS])
+
+    def batch(n: int, **columns) -> pa.RecordBatch:
+        """n rows of the schema; columns that are not given are null."""
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-    def chunk(rows: list[tuple]) -> pa.RecordBatch:
+    def chunk(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         pieces = _once("pieces", lambda: Pieces(model.value))
         known: dict[bytes, int] = {}
         coded = [[known.setdefault(w, len(known)) for w in words_of(text)] for _, text, _, _ in rows]
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         tokens = np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes.sum()))
+        words = sorted(known)
+        place = np.empty(len(words), np.uint32)
+        place[np.fromiter(map(known.__getitem__, words), np.int64, len(words))] = np.arange(len(words))
+        tokens = place[tokens]
         groups = np.array([group.get(lang, k - 1) for _, _, lang, _ in rows])
         held = np.array([h for *_, h in rows], bool)
         owner = np.repeat(np.where(held, k, groups), sizes)
         counts = np.stack([np.bincount(tokens[owner == g], minlength=len(known)) for g in range(k)])
-        words = [w.decode() for w in known]
+        words = [w.decode() for w in words]
         taught = np.flatnonzero(counts.any(0))
         found = pieces.counts([words[i] for i in taught], counts[:, taught]).ravel() if len(taught) else np.zeros(1)
         some = np.flatnonzero(found)
-        values = [secrets.randbits(62), [r[0] for r in rows], held, sizes, groups.astype(np.int32), zstandard.compress(tokens.tobytes(), 1), "\n".join(words), counts.tolist(), some.astype(np.int32), found[some]]
-        return pa.RecordBatch.from_arrays([pa.array([v.tolist() if isinstance(v, np.ndarray) else v], t) for v, t in zip(values, _CHUNK.types, strict=True)], schema=_CHUNK)
+        number = secrets.randbits(62)
+        for at in range(0, len(words), SENT):
+            part = words[at : at + SENT]
+            yield batch(len(part), chunk=np.full(len(part), number), word=part, **{f"c{g}": counts[g, at : at + SENT].astype(np.int32) for g in range(k)})
+        texts = {"doc_ids": [r[0] for r in rows], "held": held, "sizes": sizes, "groups": groups.astype(np.int32), "tokens": zstandard.compress(tokens.tobytes(), 1), "pieces": some.astype(np.int32), "piece_counts": found[some]}
+        yield batch(1, chunk=[number], **{c: [v] for c, v in texts.items()})
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -253,14 +270,14 @@ def _chunks(docs: DataFrame, model, languages: list[str], most: int = DOCS) -> D
                 rows.append(row)
                 size += len(row[1] or "") // 6
                 if size >= TOKENS or len(rows) >= most:
-                    yield chunk(rows)
+                    yield from chunk(rows)
                     rows, size = [], 0
         if rows:
-            yield chunk(rows)
+            yield from chunk(rows)
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(True))
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.alias("lang"), held.alias("held")).mapInArrow(each, _CHUNK_TYPES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.alias("lang"), held.alias("held")).mapInArrow(each, _chunk_types(k))
 
 
 def lattice_scores(docs: DataFrame, path: str, languages: int = LANGUAGES) -> DataFrame:
@@ -277,7 +294,7 @@ def lattice_scores(docs: DataFrame, path: str, languages: int = LANGUAGES) -> Da
     frequent = [r["lang"] for r in docs.where("lang is not null").groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.col("count").desc(), "lang").limit(languages).collect()] if "lang" in docs.columns else []
     k = len(frequent) + 1
     _chunks(docs, model, frequent).write.option("compression", "zstd").parquet(folder := new_folder(spark, "lm-chunks"))
-    chunks = spark.read.schema(_CHUNK_TYPES).parquet(folder)
+    chunks, spread, again = (spark.read.schema(_chunk_types(k)).parquet(folder).where(f"word IS {some}") for some in ("NULL", "NOT NULL", "NOT NULL"))  # tables of their own, to be joined
     # What training holds as a whole: documents and tokens of each language, piece counts (a number for each piece and language).
     taught = chunks.select(F.explode(F.arrays_zip("held", "sizes", "groups")).alias("d")).select("d.*").where("not held").groupBy("groups").agg(F.count("*").alias("docs"), F.sum("sizes").alias("words")).collect()
     trained = np.zeros((2, k))
@@ -288,15 +305,11 @@ def lattice_scores(docs: DataFrame, path: str, languages: int = LANGUAGES) -> Da
     piece_counts = np.zeros(k * size)
     piece_counts[counted["pieces"].to_numpy("i8")] = counted["n"].to_numpy("f8")
     # Words: counts over all chunks. A word has one row for each chunk that holds it, and one in the totals.
-    own = [F.col("w.counts")[g].alias(f"c{g}") for g in range(k)]
-    listed = F.split("words", "\n")  # a word holds no white space
-    zipped = F.arrays_zip(listed.alias("words"), F.expr("transform(sequence(0, size(counts[0]) - 1), i -> transform(counts, c -> c[i]))").alias("counts"))
-    spread = chunks.where("words <> ''").select(F.explode(zipped).alias("w")).select(F.col("w.words").alias("word"), *own)
     totals = written(spread.groupBy("word").agg(*(F.sum(f"c{g}").alias(f"t{g}") for g in range(k))), "lm-totals")
     distinct = totals.agg(F.count(F.when(sum(F.col(f"t{g}") for g in range(k)) > 0, 1)).alias("v"), *(F.count(F.when(F.col(f"t{g}") > 0, 1)).alias(f"v{g}") for g in range(k))).collect()[0]
-    placed = spark.read.schema(_CHUNK_TYPES).parquet(folder).where("words <> ''").select("chunk", F.posexplode(listed).alias("place", "word"))
-    # Spark's size of an exploded table is that before it: a merge join, which AQE splits at a word of very many chunks.
-    shared = placed.hint("merge").join(totals.hint("merge"), "word").drop("word")
+    # A merge join, which AQE splits at a word of very many chunks.
+    placed = again.select("chunk", "word")
+    shared = placed.hint("merge").join(totals.hint("merge"), "word")
     known = int(distinct["v"]) + int(trained[0].sum() > 0)  # and the end
     train_tokens = int(trained.sum())
     facts = spark.sparkContext.broadcast((piece_counts.reshape(k, size), trained, np.array([distinct[f"v{g}"] for g in range(k)], float) + 1))  # a number for each piece and language
@@ -307,10 +320,11 @@ def lattice_scores(docs: DataFrame, path: str, languages: int = LANGUAGES) -> Da
         lattice = _once(name, lambda: Lattice(Pieces(model.value), pieces, words_in + docs_in))
         out = []
         for row in chunk.to_pylist():
-            spelled, place = row["words"].split("\n") if row["words"] else [], words["place"].to_numpy()
+            words = words.sort_by("word")  # by bytes, as they are numbered
+            spelled = words["word"].to_pylist()
             count = np.zeros((len(spelled) + 1, k))  # the last row is the end
             for g in range(k):
-                count[place, g] = words[f"t{g}"].to_numpy()
+                count[:-1, g] = words[f"t{g}"].to_numpy()
             count[-1] = docs_in
             marginal = lattice.log_chance([*spelled, ""])
             tokens = docs_in + words_in
@@ -329,13 +343,13 @@ def lattice_scores(docs: DataFrame, path: str, languages: int = LANGUAGES) -> Da
             whole[inside] = ids
             starts = np.r_[0, ends[:-1] + 1]
             share = np.log((docs_in + 1e-9) / (docs_in.sum() + k * 1e-9))
-            each = np.add.reduceat(ln[whole], starts, axis=0) + share
+            each = np.stack([np.add.reduceat(ln[whole, g], starts) for g in range(k)], axis=1) + share
             top = each.max(1)
             score = (top + np.log(np.exp(each - top[:, None]).sum(1))) / math.log(10)
             out.append(pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(sizes + 1), "n_known": pa.array(np.add.reduceat((c[whole] > 0).astype(np.int64), starts)), "base_score": pa.array(np.add.reduceat(base[whole], starts)), "score": pa.array(score)}))
         return pa.concat_tables(out) if out else pa.table({c: pa.array([], t) for c, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
 
     parts = blocks_for(chunks.count(), TOGETHER)
-    sides = chunks.select("chunk", "doc_ids", "held", "sizes", "tokens", "words").repartition(parts, "chunk"), shared.repartition(parts, "chunk")
+    sides = chunks.select("chunk", "doc_ids", "held", "sizes", "tokens").repartition(parts, "chunk"), shared.repartition(parts, "chunk")
     found = sides[0].groupBy("chunk").cogroup(sides[1].groupBy("chunk")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -78,3 +78,14 @@ def test_no_rows_and_no_training_rows(spark):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
     got = lattice.lattice_scores(spark.createDataFrame([(i, "some words") for i in held], schema), PATH).collect()
     assert len(got) == 3 and all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in got)
+
+
+def test_no_row_holds_the_words_of_a_chunk(spark):
+    """A reader of the chunks holds thousands of rows at a time."""
+    text = " ".join(f"word{k % 3000}" for k in range(4000))
+    df = spark.createDataFrame([(1, text, "en"), (2, "word7 other", "xx")], "doc_id long, text string, lang string").coalesce(1)
+    got = lattice._chunks(df, spark.sparkContext.broadcast(open(PATH, "rb").read()), ["en"]).collect()
+    words, texts = [r for r in got if r["word"] is not None], [r for r in got if r["word"] is None]
+    assert len(words) == 3001 and [r["word"] for r in words] == sorted(r["word"] for r in words) and len(texts) == 1 and texts[0]["sizes"] == [4000, 2]
+    assert {r["word"]: (r["c0"], r["c1"]) for r in words if r["word"] in ("word7", "word2999", "other")} == {"word7": (2, 1), "word2999": (1, 0), "other": (0, 1)}
+    assert max(len(v) for r in got for v in r if isinstance(v, list)) < 10_000
