@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from assaylake.operators.graph import components
 from assaylake.sources.scratch import written
 
+#: Pairs whose distances are computed in double precision at a time.
+SOME = 1 << 16
 #: Pivots and rings about each at most, points of a unit, numbers in a matrix of distances, numbers of visitors that a task sends at a time, rounding that bounds allow for.
-PIVOTS, RINGS, UNIT, CELLS, SENT, SLACK = 1024, 8, 4096, 1 << 21, 1 << 19, 1e-9
+PIVOTS, RINGS, UNIT, CELLS, SENT, SLACK = 1024, 8, 16384, 1 << 21, 1 << 19, 1e-9
 
 
 def vector_of(df: DataFrame, columns: list[str]) -> Column:
@@ -49,6 +51,32 @@ def rounding(a: np.ndarray, b: np.ndarray) -> float:
     return 1e-12 * (1 + float(np.abs(a).max(initial=0)) + float(np.abs(b).max(initial=0))) ** 2 * a.shape[1]
 
 
+def _longest(rows: np.ndarray) -> float:
+    return math.sqrt(float((rows * rows).sum(1).max(initial=0)))
+
+
+class Held:
+    """Rows that many others are held against: single precision says which distances need double precision."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows, self.longest = rows, _longest(rows)
+        with np.errstate(over="ignore"):  # then they are not used
+            self.short = rows.astype("f4")
+            self.squares = (self.short * self.short).sum(1)
+
+    def near(self, part: np.ndarray) -> tuple[np.ndarray, float]:
+        """(rows of part, rows held): squared distances, and more than they are off."""
+        norm = self.longest + _longest(part)
+        if not 1e-15 < norm < 1e15:  # beyond single precision
+            return squares(part, self.rows), rounding(part, self.rows)
+        short = part.astype("f4")
+        out = short @ self.short.T
+        out *= -2
+        out += (short * short).sum(1)[:, None]
+        out += self.squares
+        return out, (part.shape[1] + 8) * 2.0**-22 * norm * norm
+
+
 class Space:
     """Pivots, and for each bundle its groups (pivot, least and greatest distance), its first unit and their number, and its points."""
 
@@ -83,11 +111,11 @@ class Space:
         return np.repeat(row, count), at
 
 
-def _sent(batch: pd.DataFrame, row: np.ndarray, unit: np.ndarray, **more) -> Iterator[pd.DataFrame]:
-    """The visitors (rows of the batch, units), some at a time: each carries a copy of its vector, and a row may visit every unit."""
+def _sent(batch: pd.DataFrame, row: np.ndarray, unit: np.ndarray, also: tuple[str, ...] = (), **more) -> Iterator[pd.DataFrame]:
+    """The visitors (rows of the batch, with the columns `also`, and units), some at a time: each carries a copy of its vector, and a row may visit every unit."""
     step = max(1, SENT // max(1, len(batch["vector"].iloc[0]))) if len(batch) else 1
     for at in range(0, len(row), step):
-        yield batch.iloc[row[at : at + step]][["key", "vector"]].assign(unit=unit[at : at + step].astype("i4"), **more)
+        yield batch.iloc[row[at : at + step]][["key", "vector", *also]].assign(unit=unit[at : at + step].astype("i4"), **more)
 
 
 def deal(rows: DataFrame, name: str, unit: int = UNIT) -> tuple[DataFrame, Space]:
@@ -152,22 +180,37 @@ def _stack(vectors: pd.Series, size: int) -> np.ndarray:
     return np.stack(vectors) if len(vectors) else np.zeros((0, size))
 
 
-def _best(rows: pd.DataFrame, asked: pd.DataFrame, k: int) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
-    """(key asked, keys, distances) of the k nearest rows of other keys, ties to the smaller key; distances are rounded to nine places."""
-    keys, held, queries = rows["key"].to_numpy(), np.stack(rows["vector"]), np.stack(asked["vector"])
-    names, at = asked["key"].to_numpy(), 0
-    for part in _parts(queries, len(held)):
-        near = squares(part, held)
-        off = rounding(part, held)
-        same = keys == names[at : at + len(part), None]
-        near[same] = np.inf
-        few = min(k, len(held))
-        limit = np.sqrt(np.partition(near, few - 1, axis=1)[:, few - 1] + off) + SLACK
-        for n, row in enumerate(near):
-            some = np.flatnonzero((row <= limit[n] ** 2 + off) & ~same[n])
-            exact = np.round(np.sqrt(((held[some] - part[n]) ** 2).sum(1)), 9)
-            order = np.lexsort((keys[some], exact))[:k]
-            yield names[at + n], keys[some[order]], exact[order]
+def _best(rows: pd.DataFrame, asked: pd.DataFrame, k: int, limit: np.ndarray | None = None, held: Held | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places asked, places of rows, distances) of the k nearest rows of other keys, for some of the asked at a time; ties to the smaller key; distances are rounded to nine places.
+
+    limit: no row farther than that counts, for each of the asked.
+    """
+    keys, names, queries = rows["key"].to_numpy(), asked["key"].to_numpy(), np.stack(asked["vector"])
+    held = held or Held(np.stack(rows["vector"]))
+    few, at = min(k, len(keys)), 0
+    order = np.empty(len(keys), int)
+    order[np.argsort(keys, kind="stable")] = np.arange(len(keys))
+    for part in _parts(queries, len(keys)):
+        near, off = held.near(part)
+        same = np.nonzero(np.isin(names[at : at + len(part)], keys))[0]
+        for n in same:
+            near[n, keys == names[at + n]] = np.inf
+        if limit is None:
+            most = np.partition(near, few - 1, axis=1)[:, few - 1] + off
+        else:
+            most = (limit[at : at + len(part)] + SLACK) ** 2
+        bound = np.nextafter((most + off + SLACK * (1 + most)).astype(near.dtype), np.asarray(np.inf, near.dtype))
+        n, m = np.nonzero(near <= bound[:, None])
+        some = keys[m] != names[at + n]
+        n, m = n[some], m[some]
+        away = np.concatenate([np.round(np.sqrt(((held.rows[m[i : i + SOME]] - part[n[i : i + SOME]]) ** 2).sum(1)), 9) for i in range(0, len(n), SOME)]) if len(n) else np.zeros(0)
+        if limit is not None:
+            some = away <= limit[at + n]
+            n, m, away = n[some], m[some], away[some]
+        sort = np.lexsort((order[m], away, n))
+        n, m, away = n[sort], m[sort], away[sort]
+        some = np.arange(len(n)) - np.searchsorted(n, n) < k
+        yield at + n[some], m[some], away[some]
         at += len(part)
 
 
@@ -182,7 +225,10 @@ def knn_graph(df: DataFrame, key: str, columns: list[str], k: int = 10, unit: in
     found = f"array<struct<distance:double,dst:{kind}>>"
 
     def own(part: pd.DataFrame) -> pd.DataFrame:
-        near = [[{"distance": d, "dst": x} for d, x in zip(away, keys, strict=True)] for _, keys, away in _best(part, part, k)]
+        near, keys = [[] for _ in range(len(part))], part["key"].to_list()
+        for asked, at, away in _best(part, part, k):
+            for q, x, d in zip(asked.tolist(), at.tolist(), away.tolist(), strict=True):
+                near[q].append({"distance": d, "dst": keys[x]})
         return part[["key", "vector", "bundle", "unit"]].assign(near=near)
 
     first = written(rows.groupBy("unit").applyInPandas(own, f"key {kind}, vector array<double>, bundle int, unit int, near {found}"), "knn-own")
@@ -190,21 +236,25 @@ def knn_graph(df: DataFrame, key: str, columns: list[str], k: int = 10, unit: in
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             limit = np.array([near[-1]["distance"] if len(near) == k else np.inf for near in batch["near"]])
-            at = 0
+            batch, at = batch.assign(limit=limit), 0
             for part in _parts(np.stack(batch["vector"]), max(len(space.groups), int(space.units.sum()))):
                 low, _ = space.reach(part)
                 row, bundle = np.nonzero(low <= limit[at : at + len(part), None] + SLACK)
                 row, units = space.visits(row + at, bundle)
                 other = units != batch["unit"].to_numpy()[row]
-                yield from _sent(batch, row[other], units[other])
+                yield from _sent(batch, row[other], units[other], ("limit",))
                 at += len(part)
 
     def visit(held: pd.DataFrame, asked: pd.DataFrame, keeps: dict) -> pd.DataFrame:
-        out = [(q, x, d) for q, keys, away in _best(held, asked, k) for x, d in zip(keys, away, strict=True)]
-        return pd.DataFrame(out, columns=["src", "dst", "distance"])
+        if "held" not in keeps:
+            keeps["held"] = Held(np.stack(held["vector"]))
+        names, keys, out = asked["key"].to_numpy(), held["key"].to_numpy(), []
+        for n, m, away in _best(held, asked, k, asked["limit"].to_numpy(), keeps["held"]):
+            out.append(pd.DataFrame({"src": names[n], "dst": keys[m], "distance": away}))
+        return pd.concat(out)
 
     schema = f"src {kind}, dst {kind}, distance double"
-    more = stream(rows.select("key", "vector", "unit"), first.mapInPandas(route, f"key {kind}, vector array<double>, unit int"), visit, schema, int(space.units.sum()))
+    more = stream(rows.select("key", "vector", "unit", F.lit(0.0).alias("limit")), first.mapInPandas(route, f"key {kind}, vector array<double>, limit double, unit int"), visit, schema, int(space.units.sum()))
     both = first.select(F.col("key").alias("src"), F.explode("near").alias("n")).select("src", "n.dst", "n.distance").unionByName(more)
     order = Window.partitionBy("src").orderBy("distance", "dst")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("src", "dst", "rank", "distance")
@@ -216,12 +266,15 @@ def affinity(graph: DataFrame) -> DataFrame:
     return ends.groupBy("src", "dst").agg((F.count("*") / 2).alias("weight"))
 
 
-def _within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
+def _within(a: np.ndarray, b: Held, eps: float) -> np.ndarray:
     """(a, b): True where the distance is at most eps; pairs too close to call are computed component by component."""
-    near, off = squares(a, b), rounding(a, b)
-    out = near <= eps * eps
-    i, j = np.nonzero(np.abs(near - eps * eps) <= off)
-    out[i, j] = ((a[i] - b[j]) ** 2).sum(1) <= eps * eps
+    near, off = b.near(a)
+    off += SLACK * eps * eps
+    out = near <= np.asarray(eps * eps - off, near.dtype)
+    i, j = np.nonzero((near <= np.asarray(eps * eps + off, near.dtype)) & ~out)
+    for at in range(0, len(i), SOME):
+        some = slice(at, at + SOME)
+        out[i[some], j[some]] = ((a[i[some]] - b.rows[j[some]]) ** 2).sum(1) <= eps * eps
     return out
 
 
@@ -281,9 +334,14 @@ def dbscan(df: DataFrame, columns: list[str], eps: float, least: int, key: str =
         return some, total[some]
 
     def count(held: pd.DataFrame, asked: pd.DataFrame, keeps: dict) -> pd.DataFrame:
-        vectors, heavy = np.stack(held["vector"]), held["weight"].to_numpy("i8")
-        parts = _parts(np.stack(asked["vector"]), len(vectors))
-        return pd.DataFrame({"key": asked["key"], "made": np.concatenate([_within(p, vectors, eps) @ heavy for p in parts])})
+        if "held" not in keeps:
+            keeps["held"], keeps["more"] = Held(np.stack(held["vector"])), held["weight"].to_numpy("i8") - 1
+        vectors, more = keeps["held"], keeps["more"]
+        some, made = np.flatnonzero(more), []
+        for part in _parts(np.stack(asked["vector"]), len(vectors.rows)):
+            close = _within(part, vectors, eps)
+            made.append(np.count_nonzero(close, axis=1) + close[:, some] @ more[some])
+        return pd.DataFrame({"key": asked["key"], "made": np.concatenate(made)})
 
     visitors = written(rows.mapInPandas(*routed(counted, "long")), "dbscan-visits")
     seen = stream(rows.select("key", "vector", "weight", "unit"), visitors.where("unit >= 0").select("key", "vector", "unit"), count, f"key {kind}, made long", units)
@@ -308,10 +366,11 @@ def dbscan(df: DataFrame, columns: list[str], eps: float, least: int, key: str =
         return np.array([r for r, _ in links], int), value
 
     def forest(held: pd.DataFrame, asked: pd.DataFrame, keeps: dict) -> pd.DataFrame:
-        vectors, names = np.stack(held["vector"]), held["key"].to_numpy()
-        label = keeps.setdefault("label", np.arange(len(names)))
+        if "held" not in keeps:
+            keeps["held"], keeps["label"] = Held(np.stack(held["vector"])), np.arange(len(held))
+        vectors, label, names = keeps["held"], keeps["label"], held["key"].to_numpy()
         out, at, keys = [], 0, asked["key"].to_numpy()
-        for part in _parts(np.stack(asked["vector"]), len(vectors)):
+        for part in _parts(np.stack(asked["vector"]), len(names)):
             close = _within(part, vectors, eps)
             for n in np.flatnonzero(close.any(1)):
                 some = np.unique(label[close[n]])
@@ -344,11 +403,16 @@ def dbscan(df: DataFrame, columns: list[str], eps: float, least: int, key: str =
         return np.array([r for r, _ in found], int), value
 
     def border(held: pd.DataFrame, asked: pd.DataFrame, keeps: dict) -> pd.DataFrame:
-        order = np.argsort(held["cluster"].to_numpy(), kind="stable")  # the first that is near is the smallest
-        vectors, cluster = np.stack(held["vector"])[order], held["cluster"].to_numpy()[order]
-        close = np.concatenate([_within(p, vectors, eps) for p in _parts(np.stack(asked["vector"]), len(vectors))])
-        some = close.any(1)
-        return pd.DataFrame({"key": asked["key"].to_numpy()[some], "made": cluster[close[some].argmax(1)]})
+        if "held" not in keeps:
+            order = np.argsort(held["cluster"].to_numpy(), kind="stable")  # the first that is near is the smallest
+            keeps["held"], keeps["cluster"] = Held(np.stack(held["vector"])[order]), held["cluster"].to_numpy()[order]
+        vectors, cluster, names, out, at = keeps["held"], keeps["cluster"], asked["key"].to_numpy(), [], 0
+        for part in _parts(np.stack(asked["vector"]), len(cluster)):  # a unit and its visitors have no table of all pairs
+            close = _within(part, vectors, eps)
+            some = np.flatnonzero(close.any(1))
+            out.append(pd.DataFrame({"key": names[at + some], "made": cluster[close[some].argmax(1)]}))
+            at += len(part)
+        return pd.concat(out)
 
     visitors = written(rows.where("NOT core").mapInPandas(*routed(bordered, kind)), "dbscan-visits")
     beside = stream(core.select("key", "vector", "cluster", "unit"), visitors.where("unit >= 0").select("key", "vector", "unit"), border, f"key {kind}, made {kind}", units)

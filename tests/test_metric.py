@@ -143,3 +143,18 @@ def test_visitors_are_sent_some_at_a_time(monkeypatch):
     assert max(map(len, sent)) == 4 and sum(map(len, sent)) == 100
     whole = pd.concat(sent)
     assert list(zip(whole.key, whole.unit, strict=True)) == list(zip(row, unit, strict=True)) and list(whole.columns) == ["key", "vector", "unit", "made"]
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e30])
+def test_single_precision_only_screens(scale):
+    rng = np.random.default_rng(9)
+    held, asked = scale * rng.standard_normal((300, 8)), scale * rng.standard_normal((40, 8))
+    asked[:20] = held[:20] + scale * 1e-7 * rng.standard_normal((20, 8))  # nearer than single precision tells
+    exact = ((asked[:, None] - held) ** 2).sum(2)
+    for eps in (float(np.sqrt(exact[3, 3])), float(np.sqrt(np.median(exact)))):
+        assert (metric._within(asked, metric.Held(held), eps) == (exact <= eps * eps)).all()
+    rows, visitors = pd.DataFrame({"key": np.arange(300), "vector": list(held)}), pd.DataFrame({"key": np.arange(1000, 1040), "vector": list(asked)})
+    limit = np.round(np.sqrt(np.sort(exact, 1)[:, 2]), 9)
+    got = [(q, m) for n, some, _ in metric._best(rows, visitors, 5, limit) for q, m in zip(n.tolist(), some.tolist(), strict=True)]
+    near = np.round(np.sqrt(exact), 9)
+    assert got == [(q, int(m)) for q in range(40) for m in np.lexsort((np.arange(300), near[q]))[:5] if near[q, m] <= limit[q]]  # what is beyond the limit goes no further
