@@ -279,3 +279,15 @@ def test_forests_on_cells_are_forests_on_their_rows(spark, monkeypatch):
     assert abs(selection._validated(dense, ["f0", "f1"], "y", 2) - plain) < 0.05 and plain > 0.6
     got = {r["feature"]: (r["rank"], r["score"]) for r in selection.rfecv(df, ["f0", "f1"], "y", folds=2).collect()}
     assert got["f0"][0] == 1 and got["f0"][1] > 0.6 and set(got) == {"f0", "f1"}
+
+
+def test_filter_pipeline_drops_a_redundant_feature(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2000, 2))
+    twin = x[:, 0] + 0.01 * rng.normal(size=2000)
+    df = spark.createDataFrame(pd.DataFrame({"hash": range(2000), "f0": x[:, 0], "f1": twin, "f2": x[:, 1], "y": (x[:, 0] + 0.8 * x[:, 1] > 0).astype(int)}))
+    seen, real = [], selection._eliminated
+    monkeypatch.setattr(selection, "_eliminated", lambda rows, dense, names, *more: seen.append(sorted(names)) or real(rows, dense, names, *more))
+    kept = {r["feature"] for r in selection.filter_pipeline(df, ["f0", "f1", "f2"], "y", 0.001, 3).collect()}
+    assert seen in ([["f0", "f2"]], [["f1", "f2"]]) and kept <= set(seen[0]) and "f2" in kept
+    assert selection.mrmr(df, ["f0", "f1", "f2"], "y", 3).count() == 3
